@@ -3,6 +3,7 @@ shared folder, Arrow batch helpers and the tables of a data folder."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,12 +46,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, release: bool = True, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later stages then
-    start from files that survive a lost executor, and lineage is cut."""
+    start from files that survive a lost executor, and lineage is cut.  The
+    shuffle files behind it are of no more use; a collection frees them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
