@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import pieces_of, text_or_empty
 
 BLOCK_BYTES = 4 << 20
-MAX_WORDS = 400_000
+MAX_WORDS = 700_000
+INVENTORY = 2_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,15 +48,15 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def pair_rank(self, a: int, b: int) -> int:
-        """Rank of the merge of two symbols; -1 if they do not merge."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            r = self.pairs[(a, b)] = self.ranks.get(self.token[a] + self.token[b], -1)
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        self.pairs: dict[int, int] = {}
+
+    def pair_rank(self, key: int) -> int:
+        """Rank of the merge of the symbols key >> 20 and key & 0xFFFFF; -1 if
+        they do not merge."""
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        r = self.pairs[key] = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
         return r
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -73,41 +76,51 @@ class MergeReplay:
         return out
 
     def _replay(self, words: list[bytes]) -> Iterator[list[int]]:
-        joined = b"".join(words)
+        joined = np.frombuffer(b"".join(words), dtype=np.uint8)
         n = len(joined)
-        byte_id, pair_rank = self.byte_id, self.pair_rank
-        sym = [byte_id[b] for b in joined]
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        starts, at = [], 0
-        for w in words:
-            starts.append(at)
-            prv[at] = -1
-            at += len(w)
-            nxt[at - 1] = -1
-        index: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            if nxt[p] >= 0:
-                r = pair_rank(sym[p], sym[p + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(lengths)
+        starts = (ends - lengths).tolist()
+        first = np.array(self.byte_id)[joined]
+        after = np.arange(1, n + 1)
+        after[ends - 1] = -1
+        before = np.arange(-1, n - 1)
+        before[starts] = -1
+        sym, nxt, prv = first.tolist(), after.tolist(), before.tolist()
+        # the inverted index of the byte pairs, from one sort
+        ranks = self.byte_pairs[joined[:-1], joined[1:]]
+        at = np.flatnonzero((ranks >= 0) & (after[:-1] >= 0))
+        at = at[np.argsort(ranks[at], kind="stable")]
+        values, cuts = np.unique(ranks[at], return_index=True)
+        index = {r: part.tolist() for r, part in zip(values.tolist(), np.split(at, cuts[1:]))} if len(at) else {}
         heap = list(index)
         heapq.heapify(heap)
         early: set[int] = set()
+        pairs, learn = self.pairs, self.pair_rank
         while heap:
             rank = heapq.heappop(heap)
             positions = index.pop(rank)
-            positions.sort()
+            if len(positions) > 1:
+                positions.sort()
             for p in positions:
                 a = sym[p]
-                q = nxt[p] if a >= 0 else -1
-                if q < 0 or pair_rank(a, sym[q]) != rank:
+                if a < 0:
+                    continue
+                q = nxt[p]
+                if q < 0:
+                    continue
+                key = a << 20 | sym[q]
+                r = pairs.get(key)
+                if (learn(key) if r is None else r) != rank:
                     continue
                 sym[p], sym[q] = rank, -1
-                after = nxt[p] = nxt[q]
-                if after >= 0:
-                    prv[after] = p
-                    r = pair_rank(rank, sym[after])
+                q = nxt[p] = nxt[q]
+                if q >= 0:
+                    prv[q] = p
+                    key = rank << 20 | sym[q]
+                    r = pairs.get(key)
+                    if r is None:
+                        r = learn(key)
                     if r >= 0:
                         if r < rank:
                             early.add(p)
@@ -116,16 +129,19 @@ class MergeReplay:
                         else:
                             index[r] = [p]
                             heapq.heappush(heap, r)
-                before = prv[p]
-                if before >= 0:
-                    r = pair_rank(sym[before], rank)
+                q = prv[p]
+                if q >= 0:
+                    key = sym[q] << 20 | rank
+                    r = pairs.get(key)
+                    if r is None:
+                        r = learn(key)
                     if r >= 0:
                         if r < rank:
-                            early.add(before)
+                            early.add(q)
                         if r in index:
-                            index[r].append(before)
+                            index[r].append(q)
                         else:
-                            index[r] = [before]
+                            index[r] = [q]
                             heapq.heappush(heap, r)
         redo = set(np.searchsorted(starts, sorted(early), side="right") - 1) if early else ()
         for i, s in enumerate(starts):
@@ -144,7 +160,7 @@ class MergeReplay:
             return [self.ranks[word]]
         n = len(word)
         sym, nxt, prv = [self.byte_id[b] for b in word], [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(r, p, sym[p], sym[p + 1]) for p in range(n - 1) if (r := self.pair_rank(sym[p], sym[p + 1])) >= 0]
+        heap = [(r, p, sym[p], sym[p + 1]) for p in range(n - 1) if (r := self.pair_rank(sym[p] << 20 | sym[p + 1])) >= 0]
         heapq.heapify(heap)
         while heap:
             r, p, a, b = heapq.heappop(heap)
@@ -156,13 +172,15 @@ class MergeReplay:
             if nxt[p] >= 0:
                 prv[nxt[p]] = p
             for x, y in ((prv[p], p), (p, nxt[p])):
-                if x >= 0 and y >= 0 and (k := self.pair_rank(sym[x], sym[y])) >= 0:
+                if x >= 0 and y >= 0 and (k := self.pair_rank(sym[x] << 20 | sym[y])) >= 0:
                     heapq.heappush(heap, (k, x, sym[x], sym[y]))
         return [s for s in sym if s >= 0]
 
 
-class TextEncoder:
-    """Whole texts to ids (uint32, little-endian bytes) with a bounded word memory."""
+class ReplayEncoder:
+    """Whole texts to ids (uint32, little-endian bytes), with a bounded memory of
+    the words seen; new words are replayed together, INVENTORY at a time, which
+    keeps the linked array and the index in the processor's cache."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = MAX_WORDS):
         self.replay, self.split, self.max_words = MergeReplay(ranks), regex.compile(pattern).findall, max_words
@@ -170,18 +188,25 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) for t in texts]
-        fresh = set().union(*cut).difference(self.known) if cut else set()
+        fresh = set().union(*cut).difference(self.known)
         if len(self.known) + len(fresh) > self.max_words:
             self.known = {}
             fresh = set().union(*cut)
-        if fresh:
-            words = list(fresh)
-            ids = self.replay.encode_words([w.encode("utf-8", "surrogatepass") for w in words])
-            self.known.update((w, np.array(x, dtype="<u4").tobytes()) for w, x in zip(words, ids))
+        words = list(fresh)
+        for k in range(0, len(words), INVENTORY):
+            part = words[k : k + INVENTORY]
+            ids = self.replay.encode_words([w.encode("utf-8", "surrogatepass") for w in part])
+            self.known.update((w, array("I", x).tobytes()) for w, x in zip(part, ids))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
 
+@lru_cache(maxsize=1)
+def replay_encoder(ranks_path: str, pattern: str) -> ReplayEncoder:
+    """One encoder a worker process: its memory serves task after task."""
+    return ReplayEncoder(load_ranks(ranks_path), pattern)
+
+
 def bpe_round_trip(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -193,7 +218,7 @@ def bpe_round_trip(
         coder = None
         for batch in batches:
             if coder is None:
-                coder = TextEncoder(load_ranks(ranks_path), pattern)
+                coder = replay_encoder(ranks_path, pattern)
                 token = coder.replay.token
             for i, j in pieces_of(batch, 1, BLOCK_BYTES):
                 coded = coder.encode(batch.column(1).slice(i, j - i).to_pylist())
@@ -218,4 +243,4 @@ def decode_ids(token: dict[int, bytes], ids: list[int]) -> bytes:
     return b"".join(map(token.__getitem__, ids))
 
 
-__all__ = ["MergeReplay", "TextEncoder", "bpe_round_trip", "decode_ids", "load_ranks"]
+__all__ = ["MergeReplay", "ReplayEncoder", "bpe_round_trip", "decode_ids", "load_ranks"]
