@@ -11,10 +11,9 @@ column index per page; row groups and pages have fixed target sizes.  A reader
 that selects metadata columns never touches the id pages, and a filter on the
 identifier skips row groups and pages by their statistics.
 
-Words are encoded once per worker: a text is cut by the tokenizer's own
-pre-tokenisation pattern, words not seen yet are encoded by the library, and
-the document is put together from them.  A pattern match encodes alone as it
-does inside its text, so the ids equal those of the whole text.
+Chunks between spaces are encoded once per worker: those not seen yet go
+through the library, and a document is put together from them (see
+LibraryEncoder for why the ids equal those of the whole text).
 
 Defined cases: null text is empty (just the end id); rows of equal identifier
 are ordered by a hash of their text; a null identifier comes first; an empty
@@ -25,7 +24,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql.window import Window
 from .common import pieces_of, text_or_empty
 
 BLOCK_BYTES = 4 << 20
-MAX_WORDS = 400_000
+MAX_WORDS = 700_000
 WRITER = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
@@ -51,31 +52,60 @@ WRITER = {
 
 
 class LibraryEncoder:
-    """Texts to ids through the tokenizers library, with a bounded word memory."""
+    """Whole texts to ids (uint32, little-endian bytes) through the tokenizers
+    library, with a bounded memory.
 
-    def __init__(self, json_path: str, pattern: str, end_id: int, max_words: int = MAX_WORDS):
+    Texts are cut at single spaces, and a chunk's ids are remembered.  With the
+    public pattern a space always starts a match, never ends one, unless white
+    space meets white space there; texts with two spaces in a row or a space at
+    their end are therefore cut by the pattern itself.
+    """
+
+    def __init__(self, json_path: str, pattern: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(json_path)
         self.tok.encode_special_tokens = True
         self.split, self.max_words = regex.compile(pattern).findall, max_words
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.exact: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # ids of a space and the chunk
+
+    def fresh(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that were not seen yet."""
+        out = []
+        for k in range(0, len(chunks), 20_000):
+            coded = self.tok.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in coded]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(t) for t in texts]
-        fresh = set().union(*cut).difference(self.known) if cut else set()
-        if len(self.known) + len(fresh) > self.max_words:
-            self.known = {}
-            fresh = set().union(*cut)
-        words = list(fresh)
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            coded = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, coded))
-        get = self.known.__getitem__
-        return [b"".join([*map(get, words), self.end]) for words in cut]
+        heads, tails = [], []
+        for t in texts:
+            if "  " in t or t[-1:] == " ":
+                heads.append(self.split(t))
+                tails.append(())
+            else:
+                chunks = t.split(" ")
+                heads.append(chunks[:1] if chunks[0] else ())
+                tails.append(chunks[1:])
+        new_heads = set().union(*heads).difference(self.exact)
+        new_tails = set().union(*tails).difference(self.spaced)
+        if len(self.exact) + len(self.spaced) + len(new_heads) + len(new_tails) > self.max_words:
+            self.exact, self.spaced = {}, {}
+            new_heads, new_tails = set().union(*heads), set().union(*tails)
+        heads_list, tails_list = list(new_heads), list(new_tails)
+        coded = self.fresh(heads_list + [" " + w for w in tails_list])
+        self.exact.update(zip(heads_list, coded))
+        self.spaced.update(zip(tails_list, coded[len(heads_list) :]))
+        exact, spaced = self.exact.__getitem__, self.spaced.__getitem__
+        return [b"".join([*map(exact, h), *map(spaced, t)]) for h, t in zip(heads, tails)]
+
+
+@lru_cache(maxsize=1)
+def library_encoder(json_path: str, pattern: str) -> LibraryEncoder:
+    """One encoder a worker process: its memory serves task after task."""
+    return LibraryEncoder(json_path, pattern)
 
 
 def write_tokens(
@@ -105,11 +135,11 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, at = None, 0
+        coder, at, end = None, 0, array("I", [end_id]).tobytes()
         for batch in batches:
-            coder = coder or LibraryEncoder(json_path, pattern, end_id)
+            coder = coder or library_encoder(json_path, pattern)
             for i, j in pieces_of(batch, 1, BLOCK_BYTES):
-                coded = coder.encode(batch.column(1).slice(i, j - i).to_pylist())
+                coded = [x + end for x in coder.encode(batch.column(1).slice(i, j - i).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 ids = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)
