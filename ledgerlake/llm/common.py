@@ -56,7 +56,24 @@ def materialize(df: DataFrame, name: str, release: bool = True, **options: str)
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df._scratch_path)
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, n_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if its measured size is within the bound;
+    beyond it the join stays a shuffle join."""
+    return F.broadcast(df) if n_bytes <= most else df
 
 
 def text_or_empty(name: str = "text") -> Column:

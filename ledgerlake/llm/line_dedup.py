@@ -10,7 +10,7 @@ similarity of at least the threshold.  The steps:
    order: counter first, then hash.  Any global order is exact for prefix
    filters; a good one makes the lists short.
 2. Lines with equal word sets form a class, represented by its first line, so
-   copies are never paired.  Each class has its size, a 64-bit parity bitmap and
+   copies are never paired.  Each class has its size, a 128-bit parity bitmap and
    the keys of its prefix (the rarest words, enough that two similar lines share
    one).  A word above HOT occurrences is no key by itself: two similar lines of
    four or more words also share a second word within one more place, so such a
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces_of
+from .common import broadcast_if_small, discard, materialize, pieces_of
 
 NUM, DEN = 4, 5  # the threshold 0.8
 SKETCH_BITS = 18
@@ -109,6 +109,13 @@ class WordKeys(dict):
         return key
 
 
+def parity_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of 128 bits by hash, as two words."""
+    bit = np.left_shift(np.uint64(1), h >> np.uint64(58))
+    low = (h & np.uint64(1)).astype(bool)
+    return np.where(low, bit, np.uint64(0)), np.where(low, np.uint64(0), bit)
+
+
 def prefix_keys(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, places and line numbers of all prefixes; flat holds the sorted word
     keys of the lines, from starts on, sizes long."""
@@ -149,7 +156,8 @@ def line_table(docs: DataFrame, counts: np.ndarray, id_col: str, text: str) -> D
             T.StructField("c1", T.LongType()),
             T.StructField("c2", T.LongType()),
             T.StructField("size", T.IntegerType()),
-            T.StructField("parity", T.LongType()),
+            T.StructField("p1", T.LongType()),
+            T.StructField("p2", T.LongType()),
             T.StructField("keys", T.ArrayType(T.LongType())),
             T.StructField("places", T.ArrayType(T.IntegerType())),
         ]
@@ -178,7 +186,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, id_col: str, text: str) -> D
                 starts = np.cumsum(n) - n
                 u = f.astype(np.uint64)
                 c1, c2 = (np.add.reduceat(mixed(u + MIX[2], k), starts).astype(np.int64) for k in (0, 1))
-                parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), mixed(u, 2) >> np.uint64(58)), starts)
+                p1, p2 = (np.bitwise_xor.reduceat(x, starts) for x in parity_bits(mixed(u, 2)))
                 keys, places, lines = prefix_keys(f, starts, n)
                 ends = np.searchsorted(lines, np.arange(len(n) + 1)).astype(np.int32)
                 rows = np.array(rows)
@@ -190,7 +198,8 @@ def line_table(docs: DataFrame, counts: np.ndarray, id_col: str, text: str) -> D
                         pa.array(c1),
                         pa.array(c2),
                         pa.array(n.astype(np.int32)),
-                        pa.array(parity.astype(np.int64)),
+                        pa.array(p1.astype(np.int64)),
+                        pa.array(p2.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.astype(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int32))),
                     ],
@@ -211,7 +220,7 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
 
 
-def pairs_of(key, size, place, parity, order, limit, sought):
+def pairs_of(key, size, place, p1, p2, order, limit, sought):
     """Likely pairs among rows sorted by (key, size): (later, earlier, distance of
     the parity bitmaps), and the rows whose pairing may have stopped early.
 
@@ -238,7 +247,7 @@ def pairs_of(key, size, place, parity, order, limit, sought):
         slack = both - 2 * -(-NUM * both // (NUM + DEN))
         ok = sought[i] & (place[i] + place[j] <= slack)
         i, j, slack = i[ok], j[ok], slack[ok]
-        distance = np.bitwise_count(parity[i] ^ parity[j])
+        distance = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j])
         ok = distance <= slack
         i, j = i[ok], j[ok]
         later_out.append(i), earlier_out.append(j), distance_out.append(distance[ok])
@@ -265,8 +274,8 @@ def pairs_of(key, size, place, parity, order, limit, sought):
 
 
 def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
-    """(c1, c2) of the later class, (e1, e2) of the earlier, more: later rows by
-    key group; at most limit partners a row and key, and more says there may be others."""
+    """(rank, c) of the later class, (e_rank, e) of the earlier, more: at most
+    limit partners a row and key; more says that there may be others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -276,12 +285,13 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
             key = col("key")
             # corpus order of the rows; rows of one rank are ordered by class
             order = np.empty(len(key), dtype=np.int64)
-            order[np.lexsort((col("c2"), col("c1"), col("rank")))] = np.arange(len(key))
+            order[np.lexsort((col("c"), col("rank")))] = np.arange(len(key))
             later, earlier, distance, stopped = pairs_of(
                 key,
                 col("size").astype(np.int64),
                 col("place").astype(np.int64),
-                col("parity").view(np.uint64),
+                col("p1").view(np.uint64),
+                col("p2").view(np.uint64),
                 order,
                 limit,
                 col("sought").astype(bool),
@@ -295,10 +305,10 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
             number = np.arange(len(later)) - np.repeat(begin, np.diff([*begin, len(later)]))
             keep = number < limit
             later, earlier = later[keep], earlier[keep]
-            c1, c2 = col("c1"), col("c2")
+            rank, c = col("rank"), col("c")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (c1[later], c2[later], c1[earlier], c2[earlier], stopped[later])],
-                ["c1", "c2", "e1", "e2", "more"],
+                [pa.array(x) for x in (rank[later], c[later], rank[earlier], c[earlier], stopped[later])],
+                ["rank", "c", "e_rank", "e", "more"],
             )
 
         rows, enough = 0, 100_000
@@ -319,7 +329,7 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = postings.repartition("key").sortWithinPartitions("key", "size")
-    return dealt.mapInArrow(run, "c1 long, c2 long, e1 long, e2 long, more boolean")
+    return dealt.mapInArrow(run, "rank long, c long, e_rank long, e long, more boolean")
 
 
 def words_column(line: Column) -> Column:
@@ -329,11 +339,21 @@ def words_column(line: Column) -> Column:
     return F.array_distinct(F.filter(cut, lambda w: w != ""))
 
 
+PAIR = ["rank", "c", "e_rank", "e"]
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The pairs whose word sets have the similarity, on the words themselves."""
-    ids = pairs.select("c1", "c2").union(pairs.select("e1", "e2")).distinct()
-    places = classes.select("c1", "c2", "d", "h", "line").join(ids, ["c1", "c2"], "left_semi")
-    by_doc = places.groupBy("d", "h").agg(F.collect_list(F.struct("line", "c1", "c2")).alias("sought"))
+    """The pairs whose word sets have the similarity, on the words themselves.
+
+    The lines sought are joined to the documents by a broadcast while their
+    measured size allows it, so that texts need not be shuffled."""
+    ids = pairs.select("rank", "c").union(pairs.select("e_rank", "e")).distinct()
+    places = classes.select("rank", "c", "d", "h", "line").join(ids, ["rank", "c"], "left_semi")
+    by_doc = materialize(
+        places.groupBy("d", "h").agg(F.collect_list(F.struct("line", "rank", "c")).alias("sought")), "lines-sought"
+    )
+    n_bytes = by_doc.agg(F.coalesce(F.sum(F.size("sought") * 48 + 64), F.lit(0))).first()[0]
+    by_doc = broadcast_if_small(by_doc, n_bytes)
     src = docs.select(F.col(id_col).alias("d"), text_hash(text).alias("h"), F.col(text).alias("t"))
     same = (src["d"].eqNullSafe(by_doc["d"])) & (src["h"] == by_doc["h"])
     lines = (
@@ -341,20 +361,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
         .select("sought", F.split("t", "\n").alias("lines"))
         .select(
             F.explode(
-                F.transform("sought", lambda s: F.struct(s["c1"].alias("c1"), s["c2"].alias("c2"), F.get("lines", s["line"]).alias("l")))
+                F.transform("sought", lambda s: F.struct(s["rank"].alias("rank"), s["c"].alias("c"), F.get("lines", s["line"]).alias("l")))
             ).alias("x")
         )
-        .groupBy("x.c1", "x.c2")
+        .groupBy("x.rank", "x.c")
         .agg(F.first("x.l").alias("l"))
-        .select("c1", "c2", words_column(F.col("l")).alias("w"))
+        .select("rank", "c", words_column(F.col("l")).alias("w"))
     )
-    early = lines.select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("w").alias("v"))
+    lines = materialize(lines, "lines-words")
+    early = lines.select(F.col("rank").alias("e_rank"), F.col("c").alias("e"), F.col("w").alias("v"))
     both = F.size(F.array_intersect("w", "v"))
     return (
-        pairs.join(lines, ["c1", "c2"])
-        .join(early, ["e1", "e2"])
+        pairs.join(lines, ["rank", "c"])
+        .join(early, ["e_rank", "e"])
         .filter(F.lit(DEN) * both >= F.lit(NUM) * (F.size("w") + F.size("v") - both))
-        .select("c1", "c2", "e1", "e2")
+        .select(*PAIR)
     )
 
 
@@ -362,30 +383,41 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(d, h, lines): per document with removed lines their numbers, from 0."""
     lines = materialize(line_table(docs, word_frequencies(docs, text_col), id_col, text_col), "lines")
     place = F.struct(F.col("d"), F.col("h"), F.col("line"))
-    first = F.min(F.struct(place.alias("p"), F.col("size"), F.col("parity"), F.col("keys"), F.col("places"))).alias("m")
+    first = F.min(F.struct(place.alias("p"), *map(F.col, ("size", "p1", "p2", "keys", "places")))).alias("m")
     classes = materialize(
-        lines.groupBy("c1", "c2").agg(first).select("c1", "c2", "m.p.d", "m.p.h", "m.p.line", "m.size", "m.parity", "m.keys", "m.places"),
+        lines.groupBy("c1", "c2")
+        .agg(first)
+        .select("c1", "c2", "m.p.d", "m.p.h", "m.p.line", "m.size", "m.p1", "m.p2", "m.keys", "m.places")
+        .select(order_rank().alias("rank"), F.col("c1").alias("c"), "*"),
         "line-classes",
     )
+    full, lines = lines, materialize(lines.select("d", "h", "line", "c1", "c2"), "lines-places")
+    discard(full)
     postings = classes.select(
-        "c1", "c2", "size", "parity", order_rank().alias("rank"), F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))
-    ).withColumn("sought", F.lit(True))
-    found = materialize(
-        likely_pairs(postings).groupBy("c1", "c2", "e1", "e2").agg(F.max("more").alias("more")), "line-pairs"
+        "rank", "c", "size", "p1", "p2", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))
     )
-    good = materialize(verified(found, classes, docs, id_col, text_col).select("c1", "c2").distinct(), "line-verified")
-    open_ = found.groupBy("c1", "c2").agg(F.max("more").alias("more")).filter("more").join(good, ["c1", "c2"], "left_anti")
-    open_ = materialize(open_.select("c1", "c2", F.lit(True).alias("open")), "line-open")
-    if not open_.isEmpty():
-        again = postings.drop("sought").join(open_, ["c1", "c2"], "left").withColumn("sought", F.coalesce("open", F.lit(False))).drop("open")
-        rest = likely_pairs(again, 1 << 40).select("c1", "c2", "e1", "e2").distinct()
-        rest = rest.join(found, ["c1", "c2", "e1", "e2"], "left_anti")
-        good = good.union(verified(materialize(rest, "line-rest"), classes, docs, id_col, text_col).select("c1", "c2")).distinct()
-    firsts = classes.select("c1", "c2", F.col("d").alias("fd"), F.col("h").alias("fh"), F.col("line").alias("fl"))
-    firsts = firsts.join(good.withColumn("beaten", F.lit(True)), ["c1", "c2"], "left")
+    found = materialize(likely_pairs(postings.withColumn("sought", F.lit(True))).groupBy(*PAIR).agg(F.max("more").alias("more")), "line-pairs")
+    good = materialize(verified(found, classes, docs, id_col, text_col).select("rank", "c").distinct(), "line-verified")
+    open_ = found.groupBy("rank", "c").agg(F.max("more").alias("more")).filter("more").join(good, ["rank", "c"], "left_anti")
+    open_ = materialize(open_.select("rank", "c", F.lit(True).alias("open")), "line-open")
+    n_open = open_.count()
+    if n_open:
+        small = broadcast_if_small(open_, 64 * n_open)
+        keys = materialize(postings.join(small, ["rank", "c"], "left_semi").select("key").distinct(), "line-keys")
+        keys = broadcast_if_small(keys, 64 * keys.count())
+        again = postings.join(keys, "key", "left_semi").join(small, ["rank", "c"], "left")
+        again = again.withColumn("sought", F.coalesce("open", F.lit(False))).drop("open")
+        rest = likely_pairs(again, 1 << 40).select(*PAIR).distinct().join(found, PAIR, "left_anti")
+        rest = verified(materialize(rest, "line-rest"), classes, docs, id_col, text_col).select("rank", "c")
+        good = materialize(good.union(rest).distinct(), "line-beaten")
+    good = broadcast_if_small(good.withColumn("beaten", F.lit(True)), 64 * good.count())
+    firsts = classes.select("c1", "c2", "rank", "c", F.col("d").alias("fd"), F.col("h").alias("fh"), F.col("line").alias("fl"))
+    firsts = firsts.join(good, ["rank", "c"], "left")
     own = F.col("d").eqNullSafe(F.col("fd")) & (F.col("h") == F.col("fh")) & (F.col("line") == F.col("fl"))
     gone = lines.select("d", "h", "line", "c1", "c2").join(firsts, ["c1", "c2"]).filter(~own | F.coalesce("beaten", F.lit(False)))
-    return gone.groupBy("d", "h").agg(F.collect_set("line").alias("lines"))
+    out = materialize(gone.groupBy("d", "h").agg(F.collect_set("line").alias("lines")), "lines-gone")
+    discard(lines, classes, found)
+    return out
 
 
 def order_rank() -> Column:
@@ -398,9 +430,11 @@ def order_rank() -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all their columns, with the text without removed lines,
     and ``_ld_lines`` and ``_ld_removed``, the numbers of lines before and removed."""
-    gone = materialize(removed_lines(docs, id_col, text_col), "lines-gone").select(
+    gone = removed_lines(docs, id_col, text_col).select(
         F.col("d").alias("_ld_d"), F.col("h").alias("_ld_h"), F.col("lines").alias("_ld_gone")
     )
+    n_bytes = gone.agg(F.coalesce(F.sum(F.size("_ld_gone") * 4 + 64), F.lit(0))).first()[0]
+    gone = broadcast_if_small(gone, n_bytes)
     keyed = docs.withColumn("_ld_key", text_hash(text_col))
     on = keyed[id_col].eqNullSafe(gone["_ld_d"]) & (keyed["_ld_key"] == gone["_ld_h"])
     joined = keyed.join(gone, on, "left")
