@@ -13,13 +13,15 @@ empty is doubled for that document.
 
 Documents with equal word sequences form a class (copies are never paired).  The
 signature is cut into BANDS bands; classes that agree in a band are candidates if
-their total weights allow the similarity and one-bit sketches of the signatures
-are near enough (5 standard deviations below the threshold).  Candidates are
-verified on the bags themselves.  Pairing is in two rounds: first a row is held
-against its likeliest earlier partner per band, verified, and components are
-built; then all candidates between different components are taken, without any
-limit.  So a group of any number of variants costs a linear number of pairs, and
-every verified link between candidates still joins its two groups.
+their total weights allow the similarity and four-bit sketches of the signatures
+are near enough (4 standard deviations beyond the threshold).  Candidates are
+verified on the bags themselves.  Pairing is in rounds: first a row is held
+against its likeliest partner per band, verified, and components are built; then
+each row outside the commonest component of a band value is held against all rows
+of other components there, and its nearest few are verified.  Rounds go on, eight
+times as many at a time, until no such row has a candidate left untried.  So a
+group of many variants costs about a linear number of pairs, and no candidate
+link between two components is lost.
 
 Defined cases: words are maximal runs of letters, digits and non-ASCII after
 lower-casing A-Z; a text of one to four words is one shingle; a text without
@@ -40,19 +42,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces_of
+from .common import broadcast_if_small, discard, materialize, pieces_of
 from .line_dedup import ranges
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold 0.8
-M, BANDS = 128, 32
+M, BANDS, ROWS = 256, 32, 4
 BLOCK_BYTES = 4 << 20
 MAX_WORDS = 600_000
-PAIRS_AT_ONCE = 2_000_000
-#: One-bit sketches of similar bags differ in (1 - J) / 2 of M bits, 12.8 at J = 0.8, deviation 3.4.
-MAX_BITS = 30
-SURE_BITS = 14
-NEAR = 16
+KNOWN_BAGS = 1000
+PAIRS_AT_ONCE = 300_000
+#: Sketches hold four bits of each component; those of similar bags differ in
+#: 15 / 16 * (1 - J) * M components: 48 at J = 0.8, and 73 is 4 deviations more.
+MAX_FAR = 73
+SURE_FAR = 42
+NIBBLES = np.uint64(0x1111111111111111)
+LEADERS, NEAR = 4, 16
+FIRST_LIMIT = 4
 WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
@@ -134,6 +140,20 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     return sig
 
 
+def sketches(bits: np.ndarray) -> np.ndarray:
+    """Four bits of every component, sixteen components a word."""
+    nibble = (bits >> np.uint64(60)).reshape(len(bits), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(nibble, axis=2)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many components of two lists of sketches differ."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & NIBBLES).sum(axis=1, dtype=np.int64)
+
+
 def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """One row per document: class, total weight, sketch, band keys."""
     src = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
@@ -143,8 +163,7 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             T.StructField("h", T.LongType()),
             T.StructField("c", T.BinaryType()),
             T.StructField("weight", T.LongType()),
-            T.StructField("s1", T.LongType()),
-            T.StructField("s2", T.LongType()),
+            T.StructField("sketch", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
         ]
     )
@@ -166,11 +185,10 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 doc, element, weight = bags(flat, n_words)
                 sig = bag_min_hash(doc, element, weight, len(words))
                 bits = mixed(sig.view(np.uint64).copy())
-                sketch = np.packbits((bits >> np.uint64(63)).astype(bool), axis=1).copy().view(np.int64).reshape(len(words), M // 64)
-                rows = M // BANDS
+                sketch = sketches(bits)
                 band = np.zeros((len(words), BANDS), dtype=np.uint64)
-                for r in range(rows):
-                    band = mixed(band * C + bits[:, r::rows] + np.uint64(r))
+                for r in range(ROWS):
+                    band = mixed(band * C + bits[:, r : BANDS * ROWS : ROWS] + np.uint64(r))
                 band = mixed(band + np.arange(BANDS, dtype=np.uint64) * C).astype(np.int64)
                 classes = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
                 total = np.bincount(doc, weights=weight, minlength=len(words)).astype(np.int64)
@@ -181,8 +199,7 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                         batch.column(1).slice(i, j - i),
                         pa.array(classes, pa.binary()),
                         pa.array(total),
-                        pa.array(sketch[:, 0].copy()),
-                        pa.array(sketch[:, 1].copy()),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(band.reshape(-1))),
                     ],
                     [x.name for x in schema],
@@ -191,38 +208,45 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def pairs_in(key, weight, s1, s2, rank, part, single: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (i, j), j the earlier by rank, among rows sorted by (key, weight).
+def pairs_in(key, weight, sketch, rank, part, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (i, j) among rows sorted by (key, weight), and for each
+    whether the row i has more candidates than were returned.
 
-    Rows of one part (component) are never paired.  With single, a row is held
-    against the first row of its key by rank and, unless that is very likely
-    similar, against its neighbours by weight, and only the likeliest partner
-    stays: linear.  Otherwise every row whose part is not that of the first row
-    is held against all rows within the weight range: complete over parts.
+    Rows of one part (component) are never paired.  With limit 0 a row is held
+    against the first LEADERS rows of its key by rank and against its neighbours
+    by weight, and the likeliest one stays: linear.  Otherwise every row whose
+    part is not the commonest of its key is held against all rows within the
+    weight range, which covers all pairs of parts, and its limit nearest stay.
     """
     n = len(key)
     at = np.arange(n)
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    begin = np.flatnonzero(new)
-    no = np.cumsum(new) - 1
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    length = np.diff(np.append(begin, n))
+    no = np.repeat(np.arange(len(begin)), length)
     span = int(weight.max()) + 1
     flat = no * span + weight
     hi = np.searchsorted(flat, no * span + np.minimum(DEN * weight // NUM, span - 1), side="right")
     lo = np.searchsorted(flat, no * span + -(-NUM * weight // DEN))
-    by_rank = np.lexsort((rank, no))
-    first = by_rank[begin][no]
 
     def test(i, j):
-        """The likely ones, oriented, with the distance of their sketches."""
+        """The likely ones, with the distance of their sketches."""
         ok = (part[i] != part[j]) & (j >= lo[i]) & (j < hi[i])
         i, j = i[ok], j[ok]
-        far = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-        ok = far <= MAX_BITS
-        i, j, far = i[ok], j[ok], far[ok]
-        swap = rank[i] < rank[j]
-        return np.where(swap, j, i), np.where(swap, i, j), far
+        far = differing(sketch[i], sketch[j])
+        ok = far <= MAX_FAR
+        return i[ok], j[ok], far[ok]
+
+    def nearest(i, j, cost, most):
+        o = np.lexsort((rank[j], cost, i))
+        i, j, cost = i[o], j[o], cost[o]
+        head = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else at[:0]
+        count = np.diff(np.append(head, len(i)))
+        number = np.arange(len(i)) - np.repeat(head, count)
+        keep = number < most
+        return i[keep], j[keep], np.repeat(count > most, count)[keep]
 
     def sweep(rows, start, end):
+        """Whole rows at a time, so that the nearest of a row are chosen from all."""
         total = np.cumsum(np.maximum(end - start, 0))
         a = 0
         while a < len(rows):
@@ -231,25 +255,30 @@ def pairs_in(key, weight, s1, s2, rank, part, single: bool) -> tuple[np.ndarray,
             yield test(rows[a:b][i], j)
             a = b
 
-    if not single:
-        minor = at[(part != part[first]) & (hi - lo > 1)]
-        found = [x[:2] for x in sweep(minor, lo[minor], hi[minor])]
-        empty = at[:0]
-        return np.concatenate([empty, *(x[0] for x in found)]), np.concatenate([empty, *(x[1] for x in found)])
-    i, j, far = test(at, first)
-    sure = np.zeros(n, dtype=bool)
-    sure[i[far <= SURE_BITS]] = True
-    rest = at[~sure]
-    found = [(i, j, far), *sweep(rest, np.maximum(lo[rest], rest - NEAR), np.minimum(hi[rest], rest + NEAR + 1))]
-    i, j, far = (np.concatenate([x[k] for x in found]) for k in range(3))
-    o = np.lexsort((rank[j], np.where(far <= SURE_BITS, 0, far), i))
-    i, j = i[o], j[o]
-    top = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, dtype=bool)
-    return i[top], j[top]
-
-
-def likely_pairs(postings: DataFrame, single: bool) -> DataFrame:
-    """(c, e): candidate pairs of classes, e the earlier by class hash."""
+    joined = lambda parts, k: np.concatenate([at[:0], *(x[k] for x in parts)])
+    if limit:
+        o = np.lexsort((part, no))
+        run = np.flatnonzero(np.concatenate([[True], (no[o][1:] != no[o][:-1]) | (part[o][1:] != part[o][:-1])]))
+        size = np.diff(np.append(run, n))
+        common = np.zeros(len(begin), dtype=np.int64)
+        by_size = np.argsort(size, kind="stable")
+        common[no[o][run[by_size]]] = part[o][run[by_size]]
+        minor = at[(part != common[no]) & (hi - lo > 1)]
+        found = [nearest(*x, limit) for x in sweep(minor, lo[minor], hi[minor])]
+        return joined(found, 0), joined(found, 1), joined(found, 2).astype(bool)
+    by_rank = np.lexsort((rank, no))
+    found = []
+    for a in range(0, n, PAIRS_AT_ONCE):
+        rows = at[a : a + PAIRS_AT_ONCE]
+        for k in range(LEADERS):
+            found.append(test(rows, by_rank[begin[no[rows]] + np.minimum(k, length[no[rows]] - 1)]))
+    found += sweep(at, np.maximum(lo, at - NEAR), np.minimum(hi, at + NEAR + 1))
+    i, j, far = (joined(found, k) for k in range(3))
+    return nearest(i, j, np.where(far <= SURE_FAR, 0, far), 1)
+
+
+def likely_pairs(postings: DataFrame, limit: int) -> DataFrame:
+    """(c, e, more): candidate pairs of classes, c the later by rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -257,10 +286,14 @@ def likely_pairs(postings: DataFrame, single: bool) -> DataFrame:
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c: t.column(c).to_numpy()
-            i, j = pairs_in(col("key"), col("weight"), col("s1").view(np.uint64), col("s2").view(np.uint64), col("rank"), col("part"), single)
+            rank = col("rank")
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(rank), -1)
+            i, j, more = pairs_in(col("key"), col("weight"), sketch, rank, col("part"), limit)
             if len(i):
                 c = t.column("c").combine_chunks()
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(i)), c.take(pa.array(j))], ["c", "e"])
+                swap = rank[i] < rank[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(i)), c.take(pa.array(j)), pa.array(more)], ["c", "e", "more"])
 
         for batch in batches:
             held.append(batch)
@@ -279,7 +312,8 @@ def likely_pairs(postings: DataFrame, single: bool) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = postings.repartition("key").sortWithinPartitions("key", "weight")
-    return dealt.mapInArrow(run, "c binary, e binary")
+    pairs = dealt.mapInArrow(run, "c binary, e binary, more boolean")
+    return pairs.groupBy("c", "e").agg(F.max("more").alias("more"))
 
 
 def bag_similar(a: Counter, b: Counter) -> bool:
@@ -294,20 +328,28 @@ def bag_similar(a: Counter, b: Counter) -> bool:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """The pairs whose bags of shingles have the similarity."""
     ids = pairs.select("c").union(pairs.select("e")).distinct()
-    places = classes.select("c", "d", "h").join(ids, "c", "left_semi")
+    places = materialize(classes.select("c", "d", "h").join(ids, "c", "left_semi"), "near-sought")
+    places = broadcast_if_small(places, 96 * places.count())
     src = docs.select(F.col(id_col).alias("sd"), F.xxhash64(text).alias("sh"), F.col(text).alias("t"))
     on = src["sd"].eqNullSafe(places["d"]) & (src["sh"] == places["h"])
     texts = materialize(src.join(places, on).groupBy("c").agg(F.first("t").alias("t")), "near-texts")
-    both = pairs.join(texts, "c").join(texts.select(F.col("c").alias("e"), F.col("t").alias("u")), "e")
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
+    texts = broadcast_if_small(texts, n_bytes)
+    both = pairs.select("c", "e").join(texts, "c").join(texts.select(F.col("c").alias("e"), F.col("t").alias("u")), "e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, Counter()
+        known: dict[bytes, Counter] = {}
+
+        def bag(c: pa.Scalar, text: pa.Scalar) -> Counter:
+            key = c.as_py()
+            if key not in known:
+                if len(known) >= KNOWN_BAGS:
+                    known.clear()
+                known[key] = shingles_of(words_of(text.as_py()))
+            return known[key]
+
         for batch in batches:
-            keep = []
-            for e, t, u in zip(batch.column(0), batch.column(2), batch.column(3)):
-                if e != last_key:
-                    last_key, last = e, shingles_of(words_of(u.as_py()))
-                keep.append(bag_similar(shingles_of(words_of(t.as_py())), last))
+            keep = [bag_similar(bag(c, t), bag(e, u)) for e, c, t, u in zip(*batch.columns)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["c", "e"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("e", "c", "t", "u").mapInArrow(run, "c binary, e binary")
@@ -345,21 +387,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table = materialize(signature_table(docs, id_col, text_col), "near-signatures")
     classes = materialize(
         table.filter("c IS NOT NULL")
-        .groupBy("c", "weight", "s1", "s2")
+        .groupBy("c", "weight", "sketch")
         .agg(F.min(F.struct("d", "h", "bands")).alias("m"))
-        .select("c", "weight", "s1", "s2", "m.d", "m.h", "m.bands"),
+        .select("c", "weight", "sketch", "m.d", "m.h", "m.bands"),
         "near-classes",
     )
-    shared = classes.select("c", "weight", "s1", "s2", F.xxhash64("c").alias("rank"), F.explode("bands").alias("key"))
-    first = materialize(likely_pairs(shared.withColumn("part", F.col("rank")), True).distinct(), "near-pairs")
-    links = materialize(verified(first, classes, docs, id_col, text_col), "near-links")
+    postings = classes.select("c", "weight", "sketch", F.xxhash64("c").alias("rank"), F.explode("bands").alias("key"))
+    keys = classes.select(F.explode("bands").alias("key")).groupBy("key").count().filter("count > 1").select("key")
+    keys = materialize(keys, "near-keys")
+    keys = broadcast_if_small(keys, 32 * keys.count())
+    shared = materialize(postings.join(keys, "key", "left_semi"), "near-shared")
+    tried = materialize(likely_pairs(shared.withColumn("part", F.col("rank")), 0), "near-pairs").select("c", "e")
+    links = materialize(verified(tried, classes, docs, id_col, text_col), "near-links")
     labels = materialize(components(links), "near-labels")
-    parts = classes.select("c").join(labels, "c", "left").select("c", F.xxhash64(F.coalesce("label", "c")).alias("part"))
-    rest = likely_pairs(shared.join(parts, "c"), False).distinct().join(first, ["c", "e"], "left_anti")
-    rest = materialize(rest, "near-rest")
-    if not rest.isEmpty():
-        more = materialize(verified(rest, classes, docs, id_col, text_col), "near-links")
-        labels = materialize(components(links.union(more)), "near-labels")
+    limit = FIRST_LIMIT
+    while True:  # until no row between components has candidates left untried
+        parts = shared.join(labels, "c", "left").withColumn("part", F.xxhash64(F.coalesce("label", "c"))).drop("label")
+        found = materialize(likely_pairs(parts, limit), "near-pairs")
+        fresh = materialize(found.select("c", "e").join(tried, ["c", "e"], "left_anti"), "near-fresh")
+        if not fresh.isEmpty():
+            more = materialize(verified(fresh, classes, docs, id_col, text_col), "near-links")
+            tried = tried.union(fresh)
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = materialize(components(links), "near-labels")
+        if found.filter("more").isEmpty():
+            break
+        limit *= 8
+    discard(shared)
     rows = table.select("d", "h", "c").join(labels, "c", "left").select("d", "h", F.coalesce("label", "c").alias("group"))
     groups = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min("d").alias("keep"), F.count(F.lit(1)).alias("n"))
     return rows.join(groups, "group", "left").select(
@@ -386,5 +441,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with the smallest identifier."""
     gone = near_groups(docs, id_col, text_col).filter(~F.col("d").eqNullSafe(F.col("keep")))
     gone = materialize(gone.select(F.col("d").alias("_nd_d"), F.col("h").alias("_nd_h")).distinct(), "near-gone")
+    gone = broadcast_if_small(gone, 64 * gone.count())
     on = docs[id_col].eqNullSafe(gone["_nd_d"]) & (F.xxhash64(docs[text_col]) == gone["_nd_h"])
     return docs.join(gone, on, "left_anti").select(*docs.columns)

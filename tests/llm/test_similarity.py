@@ -88,9 +88,9 @@ def test_pairs_second_pass_finds_what_the_first_left(spark):
     size = np.full(n, 10)
     parity = np.zeros(n, dtype=np.uint64)
     order = np.arange(n)
-    later, earlier, _, stopped = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, order, 2, np.ones(n, dtype=bool))
+    later, earlier, _, stopped = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, parity, order, 2, np.ones(n, dtype=bool))
     assert stopped[-1]
-    later, earlier, *_ = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, order, 1 << 40, order == n - 1)
+    later, earlier, *_ = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, parity, order, 1 << 40, order == n - 1)
     assert set(zip(later, earlier)) == {(n - 1, j) for j in range(n - 1)}
 
 
