@@ -12,10 +12,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, secrets, token_files
+from . import bpe, decontam, exact_dedup, html_main, langid, line_dedup, near_dedup, pii, secrets, token_files
 from .common import scratch_path, table
 
 
+#: Production passes a secret key; this one keeps the registered query repeatable.
+PII_KEY = b"ledgerlake registered query"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    n = lambda *kinds: F.size(F.filter("_pii_spans", lambda s: s["kind"].isin(*kinds))).cast("long")
+    return done.select(
+        "doc_id",
+        "text",
+        F.size("_pii_spans").cast("long").alias("n_entities"),
+        n("email").alias("n_email"),
+        n("phone").alias("n_phone"),
+        n("card").alias("n_card"),
+        n("ip").alias("n_ip"),
+        n("given", "family").alias("n_name"),
+        n("ssn", "iban").alias("n_other"),
+        F.array_join(
+            F.transform("_pii_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        ).alias("spans"),
+    )
+
+
+def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_main.extract_main_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_round_trip(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -121,11 +149,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_html_main": op7_html_main,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
