@@ -14,14 +14,13 @@ empty is doubled for that document.
 Documents with equal word sequences form a class (copies are never paired).  The
 signature is cut into BANDS bands; classes that agree in a band are candidates if
 their total weights allow the similarity and four-bit sketches of the signatures
-are near enough (4 standard deviations beyond the threshold).  Candidates are
+are near enough (3.5 standard deviations beyond the threshold).  Candidates are
 verified on the bags themselves.  Pairing is in rounds: first a row is held
-against its likeliest partner per band, verified, and components are built; then
+against its likeliest partner, verified, and components are built; then
 each row outside the commonest component of a band value is held against all rows
-of other components there, and its nearest few are verified.  Rounds go on, eight
-times as many at a time, until no such row has a candidate left untried.  So a
-group of many variants costs about a linear number of pairs, and no candidate
-link between two components is lost.
+of other components there: first its nearest is verified, which joins most, then
+whatever is left untried.  So a group of many variants costs about a linear number
+of pairs, and no candidate link between two components is lost.
 
 Defined cases: words are maximal runs of letters, digits and non-ASCII after
 lower-casing A-Z; a text of one to four words is one shingle; a text without
@@ -44,31 +43,21 @@ from pyspark.sql import types as T
 
 from .common import broadcast_if_small, discard, materialize, pieces_of
 from .line_dedup import ranges
+from .wordhash import WORDS, hash_words, mixed
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold 0.8
 M, BANDS, ROWS = 256, 32, 4
-BLOCK_BYTES = 4 << 20
-MAX_WORDS = 600_000
+BLOCK_BYTES = 1 << 20
 KNOWN_BAGS = 1000
 PAIRS_AT_ONCE = 300_000
 #: Sketches hold four bits of each component; those of similar bags differ in
-#: 15 / 16 * (1 - J) * M components: 48 at J = 0.8, and 73 is 4 deviations more.
-MAX_FAR = 73
+#: 15 / 16 * (1 - J) * M components: 48 at J = 0.8, and 70 is 3.5 deviations more.
+MAX_FAR = 70
 SURE_FAR = 42
 NIBBLES = np.uint64(0x1111111111111111)
 LEADERS, NEAR = 4, 16
-FIRST_LIMIT = 4
-WORDS = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
-)
-A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * A
-    x = (x ^ (x >> np.uint64(27))) * B
-    return x ^ (x >> np.uint64(31))
+B, C = np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -171,28 +160,25 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known: dict[bytes, int] = {}
         for batch in batches:
             for i, j in pieces_of(batch, 2, BLOCK_BYTES):
-                words = [words_of(t) for t in batch.column(2).slice(i, j - i).to_pylist()]
-                fresh = set().union(*words).difference(known)
-                if len(known) + len(fresh) > MAX_WORDS:
-                    known, fresh = {}, set().union(*words)
-                known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
-                get = known.__getitem__
-                n_words = np.array([len(w) for w in words], dtype=np.int64)
-                flat = np.fromiter((h for w in words for h in map(get, w)), dtype=np.uint64, count=int(n_words.sum()))
+                texts = [(t or "").encode("utf-8", "surrogatepass").translate(WORDS) for t in batch.column(2).slice(i, j - i).to_pylist()]
+                flat, starts = hash_words(b" ".join(texts))
+                places = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                cuts = np.searchsorted(starts, places)
+                n_words, n_docs = np.diff(cuts), len(texts)
                 doc, element, weight = bags(flat, n_words)
-                sig = bag_min_hash(doc, element, weight, len(words))
+                sig = bag_min_hash(doc, element, weight, n_docs)
                 bits = mixed(sig.view(np.uint64).copy())
                 sketch = sketches(bits)
-                band = np.zeros((len(words), BANDS), dtype=np.uint64)
+                band = np.zeros((n_docs, BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     band = mixed(band * C + bits[:, r : BANDS * ROWS : ROWS] + np.uint64(r))
                 band = mixed(band + np.arange(BANDS, dtype=np.uint64) * C).astype(np.int64)
-                classes = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
-                total = np.bincount(doc, weights=weight, minlength=len(words)).astype(np.int64)
-                ends = np.arange(0, BANDS * len(words) + 1, BANDS, dtype=np.int32)
+                raw = memoryview(flat.tobytes())
+                classes = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) if b > a else None for a, b in zip(cuts, cuts[1:])]
+                total = np.bincount(doc, weights=weight, minlength=n_docs).astype(np.int64)
+                ends = np.arange(0, BANDS * n_docs + 1, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -208,15 +194,16 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def pairs_in(key, weight, sketch, rank, part, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (i, j) among rows sorted by (key, weight), and for each
-    whether the row i has more candidates than were returned.
+def pairs_in(key, weight, sketch, rank, part, band, bands, limit: int) -> tuple[np.ndarray, ...]:
+    """Candidate pairs (i, j) among rows sorted by (key, weight), the distance of
+    their sketches, and whether the row i has more candidates than were returned.
 
     Rows of one part (component) are never paired.  With limit 0 a row is held
     against the first LEADERS rows of its key by rank and against its neighbours
     by weight, and the likeliest one stays: linear.  Otherwise every row whose
     part is not the commonest of its key is held against all rows within the
-    weight range, which covers all pairs of parts, and its limit nearest stay.
+    weight range, which covers all pairs of parts, and its limit nearest stay; a
+    pair counts only in the first band that both rows share.
     """
     n = len(key)
     at = np.arange(n)
@@ -234,7 +221,11 @@ def pairs_in(key, weight, sketch, rank, part, limit: int) -> tuple[np.ndarray, n
         i, j = i[ok], j[ok]
         far = differing(sketch[i], sketch[j])
         ok = far <= MAX_FAR
-        return i[ok], j[ok], far[ok]
+        i, j, far = i[ok], j[ok], far[ok]
+        if limit:
+            ok = (bands[i] == bands[j]).argmax(axis=1) == band[i]
+            i, j, far = i[ok], j[ok], far[ok]
+        return i, j, far
 
     def nearest(i, j, cost, most):
         o = np.lexsort((rank[j], cost, i))
@@ -243,7 +234,7 @@ def pairs_in(key, weight, sketch, rank, part, limit: int) -> tuple[np.ndarray, n
         count = np.diff(np.append(head, len(i)))
         number = np.arange(len(i)) - np.repeat(head, count)
         keep = number < most
-        return i[keep], j[keep], np.repeat(count > most, count)[keep]
+        return i[keep], j[keep], cost[keep], np.repeat(count > most, count)[keep]
 
     def sweep(rows, start, end):
         """Whole rows at a time, so that the nearest of a row are chosen from all."""
@@ -265,7 +256,7 @@ def pairs_in(key, weight, sketch, rank, part, limit: int) -> tuple[np.ndarray, n
         common[no[o][run[by_size]]] = part[o][run[by_size]]
         minor = at[(part != common[no]) & (hi - lo > 1)]
         found = [nearest(*x, limit) for x in sweep(minor, lo[minor], hi[minor])]
-        return joined(found, 0), joined(found, 1), joined(found, 2).astype(bool)
+        return joined(found, 0), joined(found, 1), joined(found, 2), joined(found, 3).astype(bool)
     by_rank = np.lexsort((rank, no))
     found = []
     for a in range(0, n, PAIRS_AT_ONCE):
@@ -278,7 +269,7 @@ def pairs_in(key, weight, sketch, rank, part, limit: int) -> tuple[np.ndarray, n
 
 
 def likely_pairs(postings: DataFrame, limit: int) -> DataFrame:
-    """(c, e, more): candidate pairs of classes, c the later by rank."""
+    """(c, e, far, more): candidate pairs of classes, c the one that seeks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,14 +277,16 @@ def likely_pairs(postings: DataFrame, limit: int) -> DataFrame:
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c: t.column(c).to_numpy()
+            t = t.take(pa.array(np.lexsort((col("weight"), col("key")))))
             rank = col("rank")
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(rank), -1)
-            i, j, more = pairs_in(col("key"), col("weight"), sketch, rank, col("part"), limit)
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rank), -1)
+            i, j, far, more = pairs_in(col("key"), col("weight"), sketch, rank, col("part"), col("band"), bands, limit)
             if len(i):
                 c = t.column("c").combine_chunks()
-                swap = rank[i] < rank[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(i)), c.take(pa.array(j)), pa.array(more)], ["c", "e", "more"])
+                yield pa.RecordBatch.from_arrays(
+                    [c.take(pa.array(i)), c.take(pa.array(j)), pa.array(far), pa.array(more)], ["c", "e", "far", "more"]
+                )
 
         for batch in batches:
             held.append(batch)
@@ -311,9 +304,8 @@ def likely_pairs(postings: DataFrame, limit: int) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    dealt = postings.repartition("key").sortWithinPartitions("key", "weight")
-    pairs = dealt.mapInArrow(run, "c binary, e binary, more boolean")
-    return pairs.groupBy("c", "e").agg(F.max("more").alias("more"))
+    dealt = postings.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "c binary, e binary, far long, more boolean")
 
 
 def bag_similar(a: Counter, b: Counter) -> bool:
@@ -382,6 +374,11 @@ def components(edges: DataFrame, name: str = "near") -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("c"), "label")
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """The pairs with c the greater class, so that each has one form."""
+    return pairs.select(F.greatest("c", "e").alias("c"), F.least("c", "e").alias("e"), *[x for x in pairs.columns if x not in ("c", "e")])
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, h, group, keep, n) per row: its group's class, smallest identifier and size."""
     table = materialize(signature_table(docs, id_col, text_col), "near-signatures")
@@ -392,18 +389,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("c", "weight", "sketch", "m.d", "m.h", "m.bands"),
         "near-classes",
     )
-    postings = classes.select("c", "weight", "sketch", F.xxhash64("c").alias("rank"), F.explode("bands").alias("key"))
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
+    postings = classes.select("c", "weight", "sketch", F.xxhash64("c").alias("rank"), short, F.posexplode("bands").alias("band", "key"))
     keys = classes.select(F.explode("bands").alias("key")).groupBy("key").count().filter("count > 1").select("key")
     keys = materialize(keys, "near-keys")
     keys = broadcast_if_small(keys, 32 * keys.count())
     shared = materialize(postings.join(keys, "key", "left_semi"), "near-shared")
-    tried = materialize(likely_pairs(shared.withColumn("part", F.col("rank")), 0), "near-pairs").select("c", "e")
+    first = likely_pairs(shared.withColumn("part", F.col("rank")), 0)
+    first = first.groupBy("c").agg(F.min(F.struct("far", "e")).alias("m")).select("c", F.col("m.e").alias("e"))
+    tried = materialize(in_order(first).distinct(), "near-pairs")
     links = materialize(verified(tried, classes, docs, id_col, text_col), "near-links")
     labels = materialize(components(links), "near-labels")
-    limit = FIRST_LIMIT
+    limit = 1  # then all
     while True:  # until no row between components has candidates left untried
         parts = shared.join(labels, "c", "left").withColumn("part", F.xxhash64(F.coalesce("label", "c"))).drop("label")
-        found = materialize(likely_pairs(parts, limit), "near-pairs")
+        found = materialize(in_order(likely_pairs(parts, limit)).groupBy("c", "e").agg(F.max("more").alias("more")), "near-pairs")
         fresh = materialize(found.select("c", "e").join(tried, ["c", "e"], "left_anti"), "near-fresh")
         if not fresh.isEmpty():
             more = materialize(verified(fresh, classes, docs, id_col, text_col), "near-links")
@@ -413,7 +413,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 labels = materialize(components(links), "near-labels")
         if found.filter("more").isEmpty():
             break
-        limit *= 8
+        limit = 1 << 40
     discard(shared)
     rows = table.select("d", "h", "c").join(labels, "c", "left").select("d", "h", F.coalesce("label", "c").alias("group"))
     groups = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min("d").alias("keep"), F.count(F.lit(1)).alias("n"))
