@@ -10,7 +10,7 @@ similarity of at least the threshold.  The steps:
    order: counter first, then hash.  Any global order is exact for prefix
    filters; a good one makes the lists short.
 2. Lines with equal word sets form a class, represented by its first line, so
-   copies are never paired.  Each class has its size, a 128-bit parity bitmap and
+   copies are never paired.  Each class has its size, a parity bitmap (128 bits or more) and
    the keys of its prefix (the rarest words, enough that two similar lines share
    one).  A word above HOT occurrences is no key by itself: two similar lines of
    four or more words also share a second word within one more place, so such a
@@ -33,7 +33,6 @@ columns are kept apart from the input's columns.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,20 +42,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_if_small, discard, materialize, pieces_of
+from .wordhash import WORDS, hash_words
 
 NUM, DEN = 4, 5  # the threshold 0.8
 SKETCH_BITS = 18
 HOT = 2048
 SURE = 2
-BLOCK_BYTES = 4 << 20
+PRUNE_FROM = 1000
+BLOCK_BYTES = 2 << 20
 PAIRS_AT_ONCE = 2_000_000
-MAX_WORDS = 600_000
+PARITY_SIZES = (100, 220, 500)  # more words: 256, 512, 1024 bits
 LEVELS = 1 << 17
 HASH_BITS = 46
-#: A-Z to lower case; ASCII that is neither letter nor digit to a space, but for the line end.
-WORDS = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or c == 10 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
-)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -65,22 +62,23 @@ def mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with first[i] <= j < last[i]."""
+    n = np.maximum(last - first, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
+
+
 def word_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     """The sketch: summed counts of words by the top bits of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for i, j in pieces_of(batch, 0, BLOCK_BYTES):
                 data = "\n".join(t for t in batch.column(0).slice(i, j - i).to_pylist() if t)
-                counts = Counter(data.encode("utf-8", "surrogatepass").translate(WORDS).split())
-                if counts:
-                    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), dtype=np.uint64, count=len(counts))
-                    at = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                    total += np.bincount(at, weights=n, minlength=1 << SKETCH_BITS).astype(np.int64)
+                hashes, _ = hash_words(data.encode("utf-8", "surrogatepass").translate(WORDS))
+                total += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
@@ -94,26 +92,77 @@ def rarity_levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)) * 1024, LEVELS - 1).astype(np.uint32)
 
 
-class WordKeys(dict):
-    """word -> rarity level and hash in one integer that sorts rare words first."""
-
-    def __init__(self, levels: np.ndarray):
-        import xxhash
-
-        super().__init__()
-        self.levels, self.hash = levels.tolist(), xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.hash(word)
-        key = self[word] = (self.levels[h >> (64 - SKETCH_BITS)] << HASH_BITS) | (h & ((1 << HASH_BITS) - 1))
-        return key
-
-
-def parity_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One of 128 bits by hash, as two words."""
-    bit = np.left_shift(np.uint64(1), h >> np.uint64(58))
-    low = (h & np.uint64(1)).astype(bool)
-    return np.where(low, bit, np.uint64(0)), np.where(low, np.uint64(0), bit)
+def line_sets(data: bytes, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, words, keys, hashes) of the lines with words of a translated text:
+    line numbers and numbers of distinct words, and, line by line, the words'
+    keys (rarity level, then hash) in rising order, and their hashes."""
+    hashes, starts = hash_words(data)
+    ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+    line = np.searchsorted(ends, starts).astype(np.uint64)
+    level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    short = np.uint64(HASH_BITS - 14)
+    low = hashes & np.uint64((1 << HASH_BITS) - 1)
+    if len(ends) < 1 << 15:
+        order = np.argsort((line << np.uint64(49)) | (level << short) | (low >> np.uint64(14)), kind="quicksort")
+    else:  # very many very short lines
+        order = np.lexsort((low, level, line))
+    line, low, level, hashes = line[order], low[order], level[order], hashes[order]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    line, low, level, hashes = line[new], low[new], level[new], hashes[new]
+    begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(begin, len(line)))
+    return line[begin].astype(np.int64), sizes, ((level << np.uint64(HASH_BITS)) | low).astype(np.int64), hashes
+
+
+def parity_level(size: np.ndarray) -> np.ndarray:
+    """Parity bitmaps have 128 bits << level: longer lines need more."""
+    return np.searchsorted(PARITY_SIZES, size, side="right")
+
+
+def parities(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per line the parity of its words in each bit, by hash."""
+    level = parity_level(sizes)
+    out = np.empty(len(sizes), dtype=object)
+    for k in np.unique(level):
+        rows = np.flatnonzero(level == k)
+        words = 2 << k
+        no, at = ranges(starts[rows], starts[rows] + sizes[rows])
+        bit = mixed(hashes[at], 2) >> np.uint64(54) & np.uint64(64 * words - 1)
+        bits = np.zeros(len(rows) * words, dtype=np.uint64)
+        np.bitwise_xor.at(bits, no * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        raw = bits.tobytes()
+        for n, row in enumerate(rows.tolist()):
+            out[row] = raw[8 * words * n : 8 * words * (n + 1)]
+    return out.tolist()
+
+
+class Parities:
+    """Parity bitmaps of many lines, to be compared at the smaller size of two:
+    a bitmap folds to half its bits by exclusive or."""
+
+    def __init__(self, raw: list[bytes]):
+        length = np.array([len(x) for x in raw], dtype=np.int64)
+        self.level = np.log2(np.maximum(length, 16) // 16).astype(np.int64)
+        self.bits = []
+        for k in range(int(self.level.max(initial=0)) + 1):
+            words = 2 << k
+            m = np.zeros((len(raw), words), dtype=np.uint64)
+            rows = np.flatnonzero(self.level >= k)
+            for j in np.unique(self.level[rows]):
+                own = rows[self.level[rows] == j]
+                full = np.frombuffer(b"".join([raw[r] for r in own]), dtype=np.uint64).reshape(len(own), -1, words)
+                m[own] = np.bitwise_xor.reduce(full, axis=1)
+            self.bits.append(m)
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        level = np.minimum(self.level[i], self.level[j])
+        out = np.zeros(len(i), dtype=np.int64)
+        for k, m in enumerate(self.bits):
+            at = np.flatnonzero(level == k)
+            if len(at):
+                out[at] = np.bitwise_count(m[i[at]] ^ m[j[at]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def prefix_keys(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,50 +205,34 @@ def line_table(docs: DataFrame, counts: np.ndarray, id_col: str, text: str) -> D
             T.StructField("c1", T.LongType()),
             T.StructField("c2", T.LongType()),
             T.StructField("size", T.IntegerType()),
-            T.StructField("p1", T.LongType()),
-            T.StructField("p2", T.LongType()),
+            T.StructField("parity", T.BinaryType()),
             T.StructField("keys", T.ArrayType(T.LongType())),
             T.StructField("places", T.ArrayType(T.IntegerType())),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
         for batch in batches:
-            if known is None or len(known) > MAX_WORDS:
-                known = WordKeys(levels.value)
-            get = known.__getitem__
             for i, j in pieces_of(batch, 2, BLOCK_BYTES):
-                rows, numbers, sizes, flat = [], [], [], []
-                for row, t in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
-                    if not t:
-                        continue
-                    for k, line in enumerate(t.encode("utf-8", "surrogatepass").translate(WORDS).split(b"\n")):
-                        words = line.split()
-                        if words:
-                            own = sorted(set(map(get, words)))
-                            rows.append(row), numbers.append(k), sizes.append(len(own))
-                            flat += own
-                if not rows:
+                texts = [(t or "").encode("utf-8", "surrogatepass").translate(WORDS) for t in batch.column(2).slice(i, j - i).to_pylist()]
+                number, n, f, hashes = line_sets(b"\n".join(texts), levels.value)
+                if not len(number):
                     continue
-                f, n = np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64)
+                first_line = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+                rows = np.searchsorted(first_line, number, side="right") - 1
                 starts = np.cumsum(n) - n
-                u = f.astype(np.uint64)
-                c1, c2 = (np.add.reduceat(mixed(u + MIX[2], k), starts).astype(np.int64) for k in (0, 1))
-                p1, p2 = (np.bitwise_xor.reduceat(x, starts) for x in parity_bits(mixed(u, 2)))
+                c1, c2 = (np.add.reduceat(mixed(hashes + MIX[2], k), starts).astype(np.int64) for k in (0, 1))
                 keys, places, lines = prefix_keys(f, starts, n)
                 ends = np.searchsorted(lines, np.arange(len(n) + 1)).astype(np.int32)
-                rows = np.array(rows)
                 part = [batch.column(c).slice(i, j - i).take(pa.array(rows)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part,
-                        pa.array(numbers, pa.int32()),
+                        pa.array((number - first_line[rows]).astype(np.int32)),
                         pa.array(c1),
                         pa.array(c2),
                         pa.array(n.astype(np.int32)),
-                        pa.array(p1.astype(np.int64)),
-                        pa.array(p2.astype(np.int64)),
+                        pa.array(parities(hashes, starts, n), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.astype(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int32))),
                     ],
@@ -213,14 +246,7 @@ def text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
-def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with first[i] <= j < last[i]."""
-    n = np.maximum(last - first, 0)
-    i = np.repeat(np.arange(len(n)), n)
-    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
-
-
-def pairs_of(key, size, place, p1, p2, order, limit, sought):
+def pairs_of(key, size, place, parity: Parities, order, limit, sought):
     """Likely pairs among rows sorted by (key, size): (later, earlier, distance of
     the parity bitmaps), and the rows whose pairing may have stopped early.
 
@@ -247,7 +273,7 @@ def pairs_of(key, size, place, p1, p2, order, limit, sought):
         slack = both - 2 * -(-NUM * both // (NUM + DEN))
         ok = sought[i] & (place[i] + place[j] <= slack)
         i, j, slack = i[ok], j[ok], slack[ok]
-        distance = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j])
+        distance = parity.distance(i, j)
         ok = distance <= slack
         i, j = i[ok], j[ok]
         later_out.append(i), earlier_out.append(j), distance_out.append(distance[ok])
@@ -282,6 +308,7 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c: t.column(c).to_numpy()
+            t = t.take(pa.array(np.lexsort((col("size"), col("key")))))
             key = col("key")
             # corpus order of the rows; rows of one rank are ordered by class
             order = np.empty(len(key), dtype=np.int64)
@@ -290,8 +317,7 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
                 key,
                 col("size").astype(np.int64),
                 col("place").astype(np.int64),
-                col("p1").view(np.uint64),
-                col("p2").view(np.uint64),
+                Parities(t.column("parity").to_pylist()),
                 order,
                 limit,
                 col("sought").astype(bool),
@@ -328,7 +354,7 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    dealt = postings.repartition("key").sortWithinPartitions("key", "size")
+    dealt = postings.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "rank long, c long, e_rank long, e long, more boolean")
 
 
@@ -383,18 +409,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(d, h, lines): per document with removed lines their numbers, from 0."""
     lines = materialize(line_table(docs, word_frequencies(docs, text_col), id_col, text_col), "lines")
     place = F.struct(F.col("d"), F.col("h"), F.col("line"))
-    first = F.min(F.struct(place.alias("p"), *map(F.col, ("size", "p1", "p2", "keys", "places")))).alias("m")
+    first = F.min(F.struct(place.alias("p"), *map(F.col, ("size", "parity", "keys", "places")))).alias("m")
     classes = materialize(
         lines.groupBy("c1", "c2")
         .agg(first)
-        .select("c1", "c2", "m.p.d", "m.p.h", "m.p.line", "m.size", "m.p1", "m.p2", "m.keys", "m.places")
+        .select("c1", "c2", "m.p.d", "m.p.h", "m.p.line", "m.size", "m.parity", "m.keys", "m.places")
         .select(order_rank().alias("rank"), F.col("c1").alias("c"), "*"),
         "line-classes",
     )
     full, lines = lines, materialize(lines.select("d", "h", "line", "c1", "c2"), "lines-places")
     discard(full)
     postings = classes.select(
-        "rank", "c", "size", "p1", "p2", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))
+        "rank", "c", "size", "parity", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))
     )
     found = materialize(likely_pairs(postings.withColumn("sought", F.lit(True))).groupBy(*PAIR).agg(F.max("more").alias("more")), "line-pairs")
     good = materialize(verified(found, classes, docs, id_col, text_col).select("rank", "c").distinct(), "line-verified")
@@ -403,9 +429,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_open = open_.count()
     if n_open:
         small = broadcast_if_small(open_, 64 * n_open)
-        keys = materialize(postings.join(small, ["rank", "c"], "left_semi").select("key").distinct(), "line-keys")
-        keys = broadcast_if_small(keys, 64 * keys.count())
-        again = postings.join(keys, "key", "left_semi").join(small, ["rank", "c"], "left")
+        again = postings
+        if n_open * PRUNE_FROM < classes.count():  # few lines are open: deal out only the keys they have
+            keys = materialize(postings.join(small, ["rank", "c"], "left_semi").select("key").distinct(), "line-keys")
+            again = postings.join(broadcast_if_small(keys, 64 * keys.count()), "key", "left_semi")
+        again = again.join(small, ["rank", "c"], "left")
         again = again.withColumn("sought", F.coalesce("open", F.lit(False))).drop("open")
         rest = likely_pairs(again, 1 << 40).select(*PAIR).distinct().join(found, PAIR, "left_anti")
         rest = verified(materialize(rest, "line-rest"), classes, docs, id_col, text_col).select("rank", "c")
@@ -421,10 +449,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def order_rank() -> Column:
-    """Orders lines by document and line: the (numeric) identifier in the high
-    bits, null first, and the line number, up to a million, in the low ones;
-    what ties here is ordered by the class hash, the same everywhere."""
-    return F.coalesce(F.col("d").cast("long"), F.lit(-(1 << 42))) * F.lit(1 << 20) + F.least(F.col("line"), F.lit((1 << 20) - 1))
+    """Orders lines by document and line in one number: the (numeric) identifier,
+    null first, above 20 bits for the line number.  Identifiers of 2**42 and more
+    are ordered by their high bits; what ties is ordered by the class hash, the
+    same everywhere."""
+    d = F.coalesce(F.col("d").cast("long"), F.lit(-(1 << 42)))
+    line = F.least(F.col("line"), F.lit((1 << 20) - 1)).cast("long")
+    edge = F.lit(1 << 42)
+    low = F.greatest(F.least(d, edge), -edge) * F.lit(1 << 20) + line
+    return F.when(d >= edge, F.lit(1 << 62) + F.shiftright(d, 2)).when(d < -edge, F.lit(-(1 << 62)) + F.shiftright(d, 2)).otherwise(low)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

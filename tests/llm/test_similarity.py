@@ -60,6 +60,8 @@ def test_line_dedup_brute_force(spark, monkeypatch, hot, sure):
     rows = corpus(rnd, 60, base)
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "The of THE\n!!\nthe, of"), (None, rows[3][1]), (104, rows[5][1]), (104, rows[5][1])]
     rows += [(105, "a b c d"), (106, "a b c d e\nlast A, B c e d"), (107, " ".join(f"t{i}" for i in range(3000)))]
+    rows += [(110 + k, " ".join(f"t{i}" for i in range(n) if i % 37 != k)) for k, n in enumerate((3000, 2800, 400, 390, 120, 118, 230, 240, 90))]
+    rows += [(130, "z" * 200 + " a b c d"), (131, "A b c d " + "z" * 200), (132, "z" * 199 + " a b c d")]
     gone = brute_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id").repartition(3)
     got = line_dedup.dedup_lines(df).collect()
@@ -86,11 +88,11 @@ def test_pairs_second_pass_finds_what_the_first_left(spark):
     n = 400
     key = np.zeros(n, dtype=np.int64)
     size = np.full(n, 10)
-    parity = np.zeros(n, dtype=np.uint64)
+    parity = line_dedup.Parities([bytes(16)] * n)
     order = np.arange(n)
-    later, earlier, _, stopped = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, parity, order, 2, np.ones(n, dtype=bool))
+    later, earlier, _, stopped = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, order, 2, np.ones(n, dtype=bool))
     assert stopped[-1]
-    later, earlier, *_ = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, parity, order, 1 << 40, order == n - 1)
+    later, earlier, *_ = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, order, 1 << 40, order == n - 1)
     assert set(zip(later, earlier)) == {(n - 1, j) for j in range(n - 1)}
 
 
