@@ -131,6 +131,9 @@ def test_other_layouts():
     sections = ["TRANS DATE", "01/04/2024", "02/04/2024", "DESCRIPTION", "ALPHA", "BETA", "BALANCE", "100.00", "150.00", "120.00"]
     rows = layout.parse_sections([(x, []) for x in sections])
     assert [(r.particulars, r.withdrawal, r.deposit) for r in rows] == [("ALPHA", None, 50.0), ("BETA", 30.0, None)]
+    queues = ["TRANSACTION DATE", "01/04/2024", "02/04/2024", "03/04/2024", "PARTICULARS", "BY CREDIT ALPHA", "BETA", "GAMMA DEPOSIT", "WITHDRAWALS", "20.00", "DEPOSITS", "50.00", "5.00"]
+    name, rows = layout.parse_statement([(x, []) for x in queues])
+    assert name == "queues" and [(r.withdrawal, r.deposit, r.balance) for r in rows] == [(None, 50.0, 50.0), (20.0, None, 30.0), (None, 5.0, 35.0)]
     prefixed = ["Tran Date Chq No Particulars Debit Credit Balance", "UPI/ALPHA/123", "01/04/2024 10.00 90.00", "UPI/BETA/456", "02/04/2024 20.00 110.00"]
     assert [r.particulars for r in layout.parse_generic([(x, []) for x in prefixed])] == ["UPI/ALPHA/123", "UPI/BETA/456"]
     assert layout.parse_statement([]) == ("sections", []) or layout.parse_statement([])[1] == []
