@@ -132,3 +132,11 @@ def apply_resolver(txns: DataFrame, rows: DataFrame) -> DataFrame:
         "txn_id", clean.alias("ai_party"), F.coalesce(F.nullif(F.trim("ledger"), F.lit("")), F.lit("Others")).alias("ai_ledger"), confidence.cast("double").alias("ai_confidence")
     )
     return txns.join(made, "txn_id", "left")
+
+
+def party_options(parties: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
+    """Names to choose from: the parties, and detected labels that no party has, whatever their case."""
+    known = parties.select(*keys, F.lower(F.trim("name")).alias("_k"))
+    detected = labels.select(*keys, F.col("label").alias("name"), F.lower(F.trim("label")).alias("_k")).filter("_k NOT IN ('', 'unrecognized')")
+    once = detected.groupBy(*keys, "_k").agg(F.min("name").alias("name"))
+    return parties.select(*keys, "name").unionByName(once.join(known, [*keys, "_k"], "left_anti").select(*keys, "name"))

@@ -312,6 +312,11 @@ over_txns(
     PT + "SELECT p.account_id, p.party_id, p.name, CASE WHEN p.party_id < 3 THEN coalesce(txn_count, 0) ELSE 0 END AS txn_count, CASE WHEN p.party_id < 3 THEN coalesce(debit, 0.0) ELSE 0.0 END AS debit, CASE WHEN p.party_id < 3 THEN coalesce(credit, 0.0) ELSE 0.0 END AS credit, "
     "CASE WHEN p.party_id < 3 THEN coalesce(credit, 0.0) - coalesce(debit, 0.0) ELSE 0.0 END AS net FROM parties p LEFT JOIN tot ON p.account_id = tot.account_id AND p.party_id = tot.party_id",
 )
+over_txns(
+    "party_options",
+    lambda t: overrides.party_options(_override_tables(t)[1], t.select("account_id", F.when(F.col("seq") % 2 == 0, "party 3").otherwise(F.concat(F.lit("Label "), (F.col("seq") % 9).cast("string"))).alias("label"))),
+    SETS + "SELECT account_id, name FROM parties UNION ALL SELECT DISTINCT account_id, 'Label ' || (seq % 9) AS name FROM txn WHERE seq % 2 = 1",
+)
 for _strategy, _sql in {
     "reassign_unassigned": "SELECT account_id, txn_id, CASE WHEN assigned_party_id = 2 THEN NULL ELSE assigned_party_id END AS assigned_party_id, status FROM asg",
     "reassign_original": "SELECT account_id, txn_id, CASE WHEN assigned_party_id = 2 THEN NULL ELSE assigned_party_id END AS assigned_party_id, status FROM asg WHERE NOT (assigned_party_id = 2 AND status = 'active')",
