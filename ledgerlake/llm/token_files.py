@@ -13,7 +13,7 @@ identifier skips row groups and pages by their statistics.
 
 Chunks between spaces are encoded once per worker: those not seen yet go
 through the library, and a document is put together from them (see
-LibraryEncoder for why the ids equal those of the whole text).
+ChunkEncoder for why the ids equal those of the whole text).
 
 Defined cases: null text is empty (just the end id); rows of equal identifier
 are ordered by a hash of their text; a null identifier comes first; an empty
@@ -24,22 +24,21 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .chunks import ChunkEncoder
 from .common import pieces_of, text_or_empty
 
-BLOCK_BYTES = 4 << 20
-MAX_WORDS = 700_000
+BLOCK_BYTES = 2 << 20
+STORE_BITS = 22
 WRITER = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
@@ -51,56 +50,23 @@ WRITER = {
 }
 
 
-class LibraryEncoder:
-    """Whole texts to ids (uint32, little-endian bytes) through the tokenizers
-    library, with a bounded memory.
+class LibraryEncoder(ChunkEncoder):
+    """Chunks through the tokenizers library."""
 
-    Texts are cut at single spaces, and a chunk's ids are remembered.  With the
-    public pattern a space always starts a match, never ends one, unless white
-    space meets white space there; texts with two spaces in a row or a space at
-    their end are therefore cut by the pattern itself.
-    """
-
-    def __init__(self, json_path: str, pattern: str, max_words: int = MAX_WORDS):
+    def __init__(self, json_path: str, pattern: str, bits: int = STORE_BITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(pattern, bits)
         self.tok = Tokenizer.from_file(json_path)
         self.tok.encode_special_tokens = True
-        self.split, self.max_words = regex.compile(pattern).findall, max_words
-        self.exact: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # ids of a space and the chunk
 
-    def fresh(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that were not seen yet."""
-        out = []
+    def fresh(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
         for k in range(0, len(chunks), 20_000):
-            coded = self.tok.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in coded]
+            out += [e.ids for e in self.tok.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for t in texts:
-            if "  " in t or t[-1:] == " ":
-                heads.append(self.split(t))
-                tails.append(())
-            else:
-                chunks = t.split(" ")
-                heads.append(chunks[:1] if chunks[0] else ())
-                tails.append(chunks[1:])
-        new_heads = set().union(*heads).difference(self.exact)
-        new_tails = set().union(*tails).difference(self.spaced)
-        if len(self.exact) + len(self.spaced) + len(new_heads) + len(new_tails) > self.max_words:
-            self.exact, self.spaced = {}, {}
-            new_heads, new_tails = set().union(*heads), set().union(*tails)
-        heads_list, tails_list = list(new_heads), list(new_tails)
-        coded = self.fresh(heads_list + [" " + w for w in tails_list])
-        self.exact.update(zip(heads_list, coded))
-        self.spaced.update(zip(tails_list, coded[len(heads_list) :]))
-        exact, spaced = self.exact.__getitem__, self.spaced.__getitem__
-        return [b"".join([*map(exact, h), *map(spaced, t)]) for h, t in zip(heads, tails)]
-
 
 @lru_cache(maxsize=1)
 def library_encoder(json_path: str, pattern: str) -> LibraryEncoder:
@@ -135,15 +101,13 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, at, end = None, 0, array("I", [end_id]).tobytes()
+        coder, at = None, 0
         for batch in batches:
             coder = coder or library_encoder(json_path, pattern)
             for i, j in pieces_of(batch, 1, BLOCK_BYTES):
-                coded = [x + end for x in coder.encode(batch.column(1).slice(i, j - i).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in coded], dtype=np.int64)
+                ids, sizes = coder.encode(batch.column(1).slice(i, j - i), end_id)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(at + ends[:-1]), listed],
                     [id_col, "n_tokens", "at", "ids"],

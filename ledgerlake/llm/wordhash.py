@@ -22,6 +22,23 @@ WORDS = bytes(
 )
 
 
+def segment_sums(b: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums, from cut to cut, of the random numbers that bytes look up by their
+    place after the last start and their value."""
+    first = np.zeros(len(b), dtype=np.int32)
+    first[starts] = starts
+    place = np.arange(len(b), dtype=np.int32) - np.maximum.accumulate(first)
+    value = TABLE[((place & (PLACES - 1)) << 8) | b]
+    if len(place) and place.max() >= PLACES:
+        value *= (2 * (place // PLACES) + 1).astype(np.uint64)
+    return np.add.reduceat(value, cuts)
+
+
+def hash_segments(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each segment of the bytes, from one start to the next."""
+    return mixed(segment_sums(b, starts, starts) + np.diff(np.append(starts, len(b))).astype(np.uint64))
+
+
 def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, start byte) of every word of a translated text.
 
@@ -33,13 +50,7 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(edges):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     starts, ends = edges[::2], edges[1::2]
-    first = np.zeros(len(b), dtype=np.int32)
-    first[starts] = starts
-    place = np.arange(len(b), dtype=np.int32) - np.maximum.accumulate(first)
-    value = TABLE[((place & (PLACES - 1)) << 8) | b]
     length = ends - starts
-    if length.max() > PLACES:
-        value *= (2 * (place // PLACES) + 1).astype(np.uint64)
     cuts = edges if edges[-1] < len(b) else edges[:-1]
-    sums = np.add.reduceat(value, cuts)[::2]
+    sums = segment_sums(b, starts, cuts)[::2]
     return mixed(sums + length.astype(np.uint64)), starts
