@@ -6,9 +6,9 @@ index maps every mergeable pair to the positions where it occurs.  Merges are
 replayed in rank order over the whole inventory: all positions of the lowest
 rank are merged, and only the two touched neighbours of each position are
 re-indexed.  Words repeat far more often than they are new, so a worker keeps
-the ids of the words it has seen (up to a bound, after which it starts anew)
-and documents are assembled from them.  Words do not depend on each other, so
-blocks of any size give the same ids and nothing has to be shuffled.
+the ids of the chunks it has seen (up to a bound, after which it starts anew; see
+chunks.py) and documents are assembled from them.  Words do not depend on each
+other, so blocks of any size give the same ids and nothing has to be shuffled.
 
 Defined cases: null text is empty (no ids, empty bytes); very long words run
 through the same index in O(n log n); an empty table gives an empty result.
@@ -19,20 +19,19 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import STORE_BITS, ChunkEncoder
 from .common import pieces_of, text_or_empty
 
-BLOCK_BYTES = 4 << 20
-MAX_WORDS = 700_000
+BLOCK_BYTES = 2 << 20
 INVENTORY = 2_000
 
 
@@ -54,7 +53,7 @@ class MergeReplay:
     def pair_rank(self, key: int) -> int:
         """Rank of the merge of the symbols key >> 20 and key & 0xFFFFF; -1 if
         they do not merge."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
         r = self.pairs[key] = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
         return r
@@ -177,28 +176,22 @@ class MergeReplay:
         return [s for s in sym if s >= 0]
 
 
-class ReplayEncoder:
-    """Whole texts to ids (uint32, little-endian bytes), with a bounded memory of
-    the words seen; new words are replayed together, INVENTORY at a time, which
-    keeps the linked array and the index in the processor's cache."""
+class ReplayEncoder(ChunkEncoder):
+    """Chunks are cut by the pattern; their words are replayed together, INVENTORY
+    at a time, which keeps the linked array and the index in the processor's cache."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = MAX_WORDS):
-        self.replay, self.split, self.max_words = MergeReplay(ranks), regex.compile(pattern).findall, max_words
-        self.known: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, bits: int = STORE_BITS):
+        super().__init__(pattern, bits)
+        self.replay = MergeReplay(ranks)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(t) for t in texts]
-        fresh = set().union(*cut).difference(self.known)
-        if len(self.known) + len(fresh) > self.max_words:
-            self.known = {}
-            fresh = set().union(*cut)
-        words = list(fresh)
+    def fresh(self, chunks: list[str]) -> list[list[int]]:
+        cut = [self.split(c) for c in chunks]
+        words = list(set(chain.from_iterable(cut)))
+        ids: dict[str, list[int]] = {}
         for k in range(0, len(words), INVENTORY):
             part = words[k : k + INVENTORY]
-            ids = self.replay.encode_words([w.encode("utf-8", "surrogatepass") for w in part])
-            self.known.update((w, array("I", x).tobytes()) for w, x in zip(part, ids))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            ids.update(zip(part, self.replay.encode_words([w.encode("utf-8", "surrogatepass") for w in part])))
+        return [ids[c[0]] if len(c) == 1 else [i for w in c for i in ids[w]] for c in cut]
 
 
 @lru_cache(maxsize=1)
@@ -221,10 +214,9 @@ def bpe_round_trip(
                 coder = replay_encoder(ranks_path, pattern)
                 token = coder.replay.token
             for i, j in pieces_of(batch, 1, BLOCK_BYTES):
-                coded = coder.encode(batch.column(1).slice(i, j - i).to_pylist())
-                flat = np.frombuffer(b"".join(coded), dtype="<u4")
-                ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+                flat, sizes = coder.encode(batch.column(1).slice(i, j - i))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)))
                 listed = flat.tolist()
                 decoded = [b"".join(map(token.__getitem__, listed[a:b])) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(

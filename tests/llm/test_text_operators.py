@@ -250,3 +250,27 @@ def test_empty_table(spark, docs):
 def test_ranks_file_is_base64():
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     assert len(ranks) == 50256 and ranks[base64.b64decode("IQ==")] == 0
+
+
+def test_chunks_equal_the_libraries_on_odd_texts(encoding):
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    letters = " \n\tab'sé.1,—’_\r\x85l" + "d"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(4000)] + ["", " ", "  ", "a ", "\n b", "\n  b", "x" * 500, "it's  'll"]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    for coder, plain, end in (
+        (bpe.ReplayEncoder(ranks, P.PATTERN, bits=10), encoding.encode_ordinary, None),
+        (token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, bits=10), lambda t: tok.encode(t, add_special_tokens=False).ids, 0),
+    ):
+        for k in range(0, len(texts), 97):
+            part = texts[k : k + 97]
+            ids, sizes = coder.encode(pa.array(["cut off", *part]).slice(1), end)
+            at = 0
+            for t, n in zip(part, sizes):
+                assert ids[at : at + n].tolist() == plain(t) + ([end] if end is not None else []), t
+                at += n
