@@ -44,7 +44,7 @@ KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "given", "family")
 EMAIL = re.compile(r"[^\W_](?:[\w.%+-]*[^\W_])?@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 CARD = re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?!\w)")
 PHONE = re.compile(
-    r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?!\w)"
+    r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?!\w)"
 )
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = re.compile(rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)")
@@ -228,14 +228,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         digits = lambda s: "".join(c for c in s if c.isdigit())
         for m in CARD.finditer(text):
             out.append((m.start(), m.end(), "card", digits(m[0])))
-        for m in PHONE.finditer(text):
+        out += [(m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split("."))) for m in IP.finditer(text)]
+        rest = list(text)  # what is surely something else cannot be part of a phone number
+        for start, end, *_ in out:
+            rest[start:end] = "\0" * (end - start)
+        for m in PHONE.finditer("".join(rest)):
             d = digits(m[0])
             if 7 <= len(d) <= 15:
                 code = digits(re.split(r"[ .(-]", m[0], maxsplit=1)[0]) if m[0][0] == "+" else ""
                 if m[0][0] == "+" and len(code) > 3:
                     code = code[:1] if code[0] in "17" else code[:2]
                 out.append((m.start(), m.end(), "phone", code + "|" + d[len(code) :]))
-        out += [(m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split("."))) for m in IP.finditer(text)]
         out += [(m.start(), m.end(), "ssn", digits(m[0])) for m in SSN.finditer(text)]
         for m in IBAN.finditer(text):
             c = m[0].replace(" ", "")

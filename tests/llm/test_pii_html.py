@@ -73,6 +73,11 @@ def test_clashes_are_drawn_again(spark, monkeypatch):
         assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_neighbours_do_not_hide_each_other():
+    text = "+1 (826) 555-4081 190.137.223.204 +49 30 1234567 10.0.0.7 +1 (555) 555-1234 4465758382889437 a.1@b.example.com +1 212 555 0100"
+    assert [k for *_, k, _ in pii.find(text)] == ["phone", "ip", "phone", "ip", "phone", "card", "email", "phone"]
+
+
 def test_pii_empty_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a@b.example.com", "x")], "doc_id long, text string, kind string")
     assert pii.replace_pii(df.limit(0), KEY).count() == 0
