@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import bpe, decontam, langid, line_dedup, near_dedup
-from ledgerlake.llm.common import materialize, table
+from ledgerlake.llm.common import materialize, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = langid.learn(docs.filter(~langid.held_out()))
     known = langid.classify(docs, model, keep=docs.columns)
     return known.filter(~F.col("rejected")).select(*docs.columns)

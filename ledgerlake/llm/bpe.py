@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import STORE_BITS, ChunkEncoder
-from .common import pieces_of, text_or_empty
+from .chunks import ChunkEncoder
+from .common import pieces_of, text_or_empty, tidied
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 INVENTORY = 2_000
+STORE_BITS = 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,7 +54,7 @@ class MergeReplay:
     def pair_rank(self, key: int) -> int:
         """Rank of the merge of the symbols key >> 20 and key & 0xFFFFF; -1 if
         they do not merge."""
-        if len(self.pairs) > 200_000:
+        if len(self.pairs) > 100_000:
             self.pairs.clear()
         r = self.pairs[key] = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
         return r
@@ -228,7 +229,7 @@ def bpe_round_trip(
     schema = StructType(
         [StructField("_id", id_type), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]
     )
-    return src.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return src.mapInArrow(tidied(run), schema).withColumnRenamed("_id", id_col)
 
 
 def decode_ids(token: dict[int, bytes], ids: list[int]) -> bytes:

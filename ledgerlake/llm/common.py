@@ -3,10 +3,12 @@ shared folder, Arrow batch helpers and the tables of a data folder."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,20 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so fewer rows than the default make an Arrow batch; a
+    smaller number already set stays."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(conf, "10000")) <= ARROW_ROWS:
+        spark.conf.set(conf, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, to be handled in small Arrow batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,7 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ledgerlake/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is left there goes when the driver
+    ends, if its session still runs then."""
+    path = f"{shared_dir(spark)}/ledgerlake/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_end, spark, path)
+    return path
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -80,6 +104,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker function that gives freed memory back to the system when its
+    task ends: workers are kept, and share their node with the executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def pieces_of(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about most_bytes each (one row
     at least), so that what a worker holds follows neither rows nor batch."""

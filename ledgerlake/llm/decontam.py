@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces_of
+from .common import pieces_of, tidied
 
 WINDOW = 13
 RATIO = 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 #: A-Z to lower case; ASCII that is neither letter nor digit to a space.
 WORDS = bytes(
@@ -205,7 +205,7 @@ def find_matches(
                         schema=part.schema,
                     )
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidied(run), schema)
     return out
 
 

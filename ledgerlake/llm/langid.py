@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import text_or_empty, tidied
 
 DICT_BYTES = 112 << 10
 SAMPLE_TEXTS = 200
@@ -147,4 +147,4 @@ def classify(
                 [f.name for f in schema],
             )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, discard, materialize, pieces_of
+from .common import broadcast_if_small, discard, materialize, pieces_of, tidied
 from .wordhash import WORDS, hash_words
 
 NUM, DEN = 4, 5  # the threshold 0.8
@@ -50,7 +50,7 @@ HOT = 2048
 SURE = 2
 PRUNE_FROM = 1000
 BLOCK_BYTES = 2 << 20
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 200_000
 PARITY_SIZES = (100, 220, 500)  # more words: 256, 512, 1024 bits
 LEVELS = 1 << 17
 HASH_BITS = 46
@@ -82,7 +82,7 @@ def word_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
-    summed = docs.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    summed = docs.select(text).mapInArrow(tidied(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     out[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
     return out
@@ -239,7 +239,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, id_col: str, text: str) -> D
                     [x.name for x in schema],
                 )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def text_hash(text: str) -> Column:
@@ -355,7 +355,7 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = postings.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "rank long, c long, e_rank long, e long, more boolean")
+    return dealt.mapInArrow(tidied(run), "rank long, c long, e_rank long, e long, more boolean")
 
 
 def words_column(line: Column) -> Column:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, discard, materialize, pieces_of
+from .common import broadcast_if_small, discard, materialize, pieces_of, tidied
 from .line_dedup import ranges
 from .wordhash import WORDS, hash_words, mixed
 
@@ -49,7 +49,7 @@ SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold 0.8
 M, BANDS, ROWS = 256, 32, 4
 BLOCK_BYTES = 1 << 20
-KNOWN_BAGS = 1000
+KNOWN_SHINGLES = 60_000
 PAIRS_AT_ONCE = 300_000
 #: Sketches hold four bits of each component; those of similar bags differ in
 #: 15 / 16 * (1 - J) * M components: 48 at J = 0.8, and 70 is 3.5 deviations more.
@@ -191,7 +191,7 @@ def signature_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     [x.name for x in schema],
                 )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def pairs_in(key, weight, sketch, rank, part, band, bands, limit: int) -> tuple[np.ndarray, ...]:
@@ -305,7 +305,7 @@ def likely_pairs(postings: DataFrame, limit: int) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = postings.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "c binary, e binary, far long, more boolean")
+    return dealt.mapInArrow(tidied(run), "c binary, e binary, far long, more boolean")
 
 
 def bag_similar(a: Counter, b: Counter) -> bool:
@@ -331,20 +331,24 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, Counter] = {}
+        held = 0
 
         def bag(c: pa.Scalar, text: pa.Scalar) -> Counter:
+            nonlocal held
             key = c.as_py()
             if key not in known:
-                if len(known) >= KNOWN_BAGS:
+                made = shingles_of(words_of(text.as_py()))
+                if held + len(made) > KNOWN_SHINGLES:
                     known.clear()
-                known[key] = shingles_of(words_of(text.as_py()))
+                    held = 0
+                known[key], held = made, held + len(made)
             return known[key]
 
         for batch in batches:
             keep = [bag_similar(bag(c, t), bag(e, u)) for e, c, t, u in zip(*batch.columns)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["c", "e"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("e", "c", "t", "u").mapInArrow(run, "c binary, e binary")
+    return both.select("e", "c", "t", "u").mapInArrow(tidied(run), "c binary, e binary")
 
 
 def components(edges: DataFrame, name: str = "near") -> DataFrame:

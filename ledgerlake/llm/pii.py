@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, discard, materialize
+from .common import BROADCAST_BYTES, discard, materialize, tidied
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "given", "family")
 EMAIL = re.compile(r"[^\W_](?:[\w.%+-]*[^\W_])?@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
@@ -302,7 +302,7 @@ def entities(docs: DataFrame, key: bytes, text: str) -> DataFrame:
             rows = [(k, c, same_entity_form(k, c, surrogate(key, k, c))) for k, c in seen]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "canon", "form"])
 
-    return docs.select(text).mapInArrow(run, "kind string, canon string, form string").distinct()
+    return docs.select(text).mapInArrow(tidied(run), "kind string, canon string, form string").distinct()
 
 
 def clash_attempts(docs: DataFrame, key: bytes, text: str) -> DataFrame:
@@ -367,7 +367,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_b
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(span))], [*batch.schema.names[:last], "_pii_spans"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def with_own_attempts(docs: DataFrame, again: DataFrame, text: str) -> DataFrame:
@@ -381,6 +381,6 @@ def with_own_attempts(docs: DataFrame, again: DataFrame, text: str) -> DataFrame
             )
 
     keyed = docs.withColumn("_pii_h", F.xxhash64(text))
-    own = keyed.select("_pii_h", text).mapInArrow(run, "_pii_h long, kind string, canon string").distinct().join(again, ["kind", "canon"])
+    own = keyed.select("_pii_h", text).mapInArrow(tidied(run), "_pii_h long, kind string, canon string").distinct().join(again, ["kind", "canon"])
     own = own.groupBy("_pii_h").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_pii_again"))
     return keyed.join(own, "_pii_h", "left").select(*docs.columns, "_pii_again")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import text_or_empty, tidied
 
 REACH = 200
 KINDS = ("assign", "access", "hex", "ident", "blob", "endpoint")
@@ -153,4 +153,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [id_col, "spans", "links"],
             )
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)

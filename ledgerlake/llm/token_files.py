@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .chunks import ChunkEncoder
-from .common import pieces_of, text_or_empty
+from .common import pieces_of, text_or_empty, tidied
 
 BLOCK_BYTES = 2 << 20
 STORE_BITS = 22
@@ -114,7 +114,7 @@ def write_tokens(
                 )
                 at += int(ends[-1])
 
-    ordered.mapInArrow(run, schema).write.options(**WRITER).parquet(path)
+    ordered.mapInArrow(tidied(run), schema).write.options(**WRITER).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -179,7 +179,7 @@ def checked_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 [id_col, "at", "n_tokens", "ids_crc32", "_file"],
             )
 
-    read = rows.mapInArrow(run, schema)
+    read = rows.mapInArrow(tidied(run), schema)
     bases = file_bases(
         spark.read.parquet(path).select(F.col(id_col), "n_tokens", F.col("_metadata.file_path").alias("_file")), id_col
     )
