@@ -3,7 +3,10 @@
 Each learned language has a zstandard raw-content dictionary: a bounded sample
 of its labelled texts.  A text is compressed once with every dictionary; the
 language with the smallest output wins, and the prediction counts as rejected
-when the margin to the runner-up is narrow or the text has no letter.
+when the margin to the runner-up is narrow or the text has no letter.  Long texts are compressed
+in pieces of PIECE_BYTES at most, each with the dictionary anew, and the sizes
+added up: a dictionary saves a bounded number of bytes, so in one run the margin
+would shrink with the length of the text.
 
 The sample is bounded by DICT_BYTES per language (documented parameter): labelled
 texts are chosen by a hash of the text, copies once, and cut together so that
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 from .common import text_or_empty, tidied
 
 DICT_BYTES = 112 << 10
+PIECE_BYTES = 16 << 10
 SAMPLE_TEXTS = 200
 LEVEL = 9
 UNDETERMINED = "und"
@@ -44,6 +48,12 @@ def letters_only(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+def pieces(data: bytes, most: int = PIECE_BYTES) -> list[bytes]:
+    """The whole of data in pieces of one size, of at most so many bytes."""
+    n = -(-len(data) // most)
+    return [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents of the test fold: crc32 of the identifier as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -128,8 +138,8 @@ def classify(
                 if not made or not LETTER.search(text):
                     langs.append(UNDETERMINED), scores.append(0.0), margins.append(0.0), rejected.append(True)
                     continue
-                data = letters_only(text)
-                sizes = sorted((len(f(data)), lang) for lang, f in made)
+                parts = pieces(letters_only(text))
+                sizes = sorted((sum(len(f(p)) for p in parts), lang) for lang, f in made)
                 best = sizes[0][0]
                 margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
                 langs.append(sizes[0][1])
