@@ -9,20 +9,24 @@ added up: a dictionary saves a bounded number of bytes, so in one run the margin
 would shrink with the length of the text.
 
 The sample is bounded by DICT_BYTES per language (documented parameter): labelled
-texts are chosen by a hash of the text, copies once, and cut together so that
-all languages have dictionaries of one size.  Counting labels covers all rows.
+texts are chosen by a hash of the text, copies once, at least one a language.
+Counting distinct texts covers all rows.  Languages are compared with dictionaries
+of one size, but none is cut below half of its text for that: languages with
+less than half of the others' text form a tier of their own, in which the winner
+so far takes part with its dictionary cut to their size.  Where that size is
+under FAIR_BYTES, too little to compare by, the winner keeps its whole one.
 
 Defined cases: a null, empty or letterless text is ``und`` with score 0 and
 rejected; ties go to the language first by name; with no labelled text at all
 every document is ``und``; with one language it wins with score 1.  Whole texts
-are compressed, of any length.  Labels that are null teach nothing.  Only the
+are compressed, of any length.  Labels that are null teach nothing, nor do texts without a letter.  Only the
 identifier and the text (and the label, for learning) are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -35,6 +39,7 @@ from .common import text_or_empty, tidied
 DICT_BYTES = 112 << 10
 PIECE_BYTES = 16 << 10
 SAMPLE_TEXTS = 200
+FAIR_BYTES = 3000
 LEVEL = 9
 UNDETERMINED = "und"
 MIN_MARGIN = 0.004
@@ -72,25 +77,32 @@ def learn(
     language, each cut to a sixteenth of the dictionary.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.filter("_lang IS NOT NULL AND _text IS NOT NULL AND _text != ''")
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("_text"))
+    span = 1 << 30
+    place = F.pmod(F.col("_hash"), F.lit(span))
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("n"), F.min(place).alias("least")).collect()
     if not counts:
         return {}
-    span = 1 << 30
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(span, span * sample_texts // n)))])
-    picked = (
-        rows.withColumn("_hash", F.xxhash64("_text"))
-        .filter(F.pmod(F.col("_hash"), F.lit(span)) < F.element_at(share, F.col("_lang")))
-        .groupBy("_lang", "_hash")
-        .agg(F.min(F.substring("_text", 1, dict_bytes // 16)).alias("_text"))
-        .collect()
-    )
+    limits = {r["_lang"]: max(min(span, span * sample_texts // max(r["n"], 1)), r["least"] + 1) for r in counts}
+    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
+    from_letter = F.regexp_extract("_text", rf"(?s)\p{{L}}.{{0,{dict_bytes // 16 - 1}}}", 0)
+    picked = rows.filter(place < F.element_at(limit, F.col("_lang"))).groupBy("_lang", "_hash").agg(F.min(from_letter).alias("_text")).collect()
     texts: dict[str, list[tuple[int, bytes]]] = {}
     for r in picked:
         texts.setdefault(r["_lang"], []).append((r["_hash"], letters_only(r["_text"])))
-    raw = {k: b"\n".join(t for _, t in sorted(v)) for k, v in texts.items()}
-    size = min(dict_bytes, min(map(len, raw.values())))
-    return {k: v[-size:] if size >= 8 else v for k, v in sorted(raw.items())}
+    return {k: b"\n".join(t for _, t in sorted(v))[-dict_bytes:] for k, v in sorted(texts.items())}
+
+
+def tiers(model: dict[str, bytes]) -> list[tuple[int, list[str]]]:
+    """(size, languages) from the largest dictionaries on: the languages of a tier
+    have at least half of its largest dictionary and are cut to its smallest."""
+    out: list[list[str]] = []
+    for lang in sorted(model, key=lambda k: (-len(model[k]), k)):
+        if out and 2 * len(model[lang]) >= len(model[out[-1][0]]):
+            out[-1].append(lang)
+        else:
+            out.append([lang])
+    return [(len(model[langs[-1]]), sorted(langs)) for langs in out]
 
 
 def classify(
@@ -123,28 +135,49 @@ def classify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
-        made = []
-        for lang, raw in model.items():
-            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            params = zstd.ZstdCompressionParameters.from_level(
-                level, dict_size=len(raw), write_content_size=False, write_dict_id=False, write_checksum=False
-            )
-            d.precompute_compress(compression_params=params)
-            made.append((lang, zstd.ZstdCompressor(compression_params=params, dict_data=d).compress))
+        made: dict[tuple[str, int], Callable[[bytes], bytes]] = {}
+        levels = tiers(model)
+
+        def size_of(parts: list[bytes], lang: str, size: int) -> int:
+            f = made.get((lang, size))
+            if f is None:
+                raw = model[lang][-size:] if size else b""
+                d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+                params = zstd.ZstdCompressionParameters.from_level(
+                    level, dict_size=len(raw), write_content_size=False, write_dict_id=False, write_checksum=False
+                )
+                d.precompute_compress(compression_params=params)
+                f = made[lang, size] = zstd.ZstdCompressor(compression_params=params, dict_data=d).compress
+            return sum(len(f(p)) for p in parts)
+
+        def decide(parts: list[bytes]) -> tuple[str, float]:
+            winner, at, margin = "", 0, float("inf")
+            for size, langs in levels:
+                sizes = [(size_of(parts, k, size), k) for k in langs]
+                if winner:
+                    at = size if size >= FAIR_BYTES else at
+                    sizes.append((size_of(parts, winner, at), winner))
+                sizes.sort()
+                best, first = sizes[0]
+                near = (sizes[1][0] - best) / best if len(sizes) > 1 else margin
+                if first == winner:
+                    margin = min(margin, near)
+                else:
+                    winner, at, margin = first, size, near
+            return winner, margin
+
         for batch in batches:
             langs, scores, margins, rejected = [], [], [], []
             for value in batch.column(0):
                 text = value.as_py()
-                if not made or not LETTER.search(text):
+                if not model or not LETTER.search(text):
                     langs.append(UNDETERMINED), scores.append(0.0), margins.append(0.0), rejected.append(True)
                     continue
-                parts = pieces(letters_only(text))
-                sizes = sorted((sum(len(f(p)) for p in parts), lang) for lang, f in made)
-                best = sizes[0][0]
-                margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
-                langs.append(sizes[0][1])
+                lang, margin = decide(pieces(letters_only(text)))
+                margin = margin if len(model) > 1 else 1.0
+                langs.append(lang)
                 margins.append(margin)
-                scores.append(margin / (margin + 0.02) if len(sizes) > 1 else 1.0)
+                scores.append(margin / (margin + 0.02) if len(model) > 1 else 1.0)
                 rejected.append(margin < min_margin)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,5 +1,7 @@
 """The whole job: inputs that no test table holds."""
 
+from pyspark.sql import functions as F
+
 from ledgerlake.llm import langid
 
 
@@ -13,3 +15,28 @@ def test_language_of_a_text_of_megabytes(spark):
     for r in langid.classify(df, model).collect():
         assert r["lang_pred"] == "en" and not r["rejected"] and r["margin"] > 0.05
     assert b"".join(langid.pieces(b"abcdefg" * 11, 10)) == b"abcdefg" * 11 and langid.pieces(b"abc", 3) == [b"abc"]
+
+
+def test_a_rare_label_leaves_the_other_languages_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = docs.filter(~langid.held_out()).select("text", "lang")
+    rare = [("mi nombre es Ana y vivo aqui", "xx"), ("12345 67890", "yy")]
+    model = langid.learn(known.unionByName(spark.createDataFrame(rare, "text string, lang string")))
+    plain = langid.learn(known)
+    assert set(model) == {*plain, "xx"} and all(model[k] == plain[k] for k in plain)
+    held = docs.filter(langid.held_out() & (F.length("text") > 300))
+    got, want = ({r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.classify(held, m).collect()} for m in (model, plain))
+    assert got == want and len(got) > 100
+
+
+def test_a_small_language_is_found_and_copies_do_not_hide_it(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
+    few = docs.filter(~langid.held_out() & (F.col("lang") == "es") & (F.length("text") > 4000)).orderBy("doc_id").limit(1).select("text", "lang")
+    known = docs.filter(~langid.held_out() & (F.col("lang") != "es")).select("text", "lang")
+    copies = few.crossJoin(spark.range(10_000)).select("text", "lang")
+    model = langid.learn(known.unionByName(copies))
+    assert 3000 < len(model["es"]) < len(model["en"]) / 2
+    held = docs.filter(langid.held_out() & (F.length("text") > 1000))
+    rows = langid.classify(held, model, keep=["doc_id", "lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] and not r["rejected"] for r in rows) > 0.97 * len(rows)
+    assert len({r["lang"] for r in rows}) == 4
