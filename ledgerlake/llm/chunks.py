@@ -76,7 +76,9 @@ class ChunkEncoder:
     Texts are cut before single spaces (and as cuts() says).  With the public
     pattern a space always starts a match and never ends one, unless white space
     meets white space there; texts with two spaces in a row or a space at their
-    end are therefore cut by the pattern itself.
+    end are therefore cut by the pattern itself.  Chunks go through the store in
+    slices of at most half its slots, so that it holds any slice however many
+    distinct chunks a text has.
     """
 
     def __init__(self, pattern: str, bits: int = STORE_BITS):
@@ -105,14 +107,21 @@ class ChunkEncoder:
             cut[begin[k] + own] = True
         starts = np.flatnonzero(cut)
         n_chunks = np.diff(np.searchsorted(starts, np.append(begin, len(b))))
-        entry = self.known(data, b, starts) if len(starts) else np.zeros(0, dtype=np.int64)
-        length = self.store.length[entry]
+        lengths, listed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+        most = len(self.store.keys) // 2
+        for k in range(0, len(starts), most):
+            entry = self.known(data, b, starts[k : k + most], int(starts[k + most]) if k + most < len(starts) else len(b))
+            n = self.store.length[entry]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            lengths.append(n)
+            listed.append(self.store.ids[np.repeat(self.store.at[entry], n) + step])
+        length = np.concatenate(lengths)
         doc = np.repeat(np.arange(len(texts)), n_chunks)
         sizes = np.bincount(doc, weights=length, minlength=len(texts)).astype(np.int64) + (end_id is not None)
-        first = np.cumsum(length) - length
-        out = np.full(int(sizes.sum()), end_id or 0, dtype=np.uint32)
-        step = np.arange(int(length.sum())) - np.repeat(first, length)
-        out[np.repeat(first + (doc if end_id is not None else 0), length) + step] = self.store.ids[np.repeat(self.store.at[entry], length) + step]
+        if end_id is None:
+            return np.concatenate(listed), sizes
+        out = np.full(int(sizes.sum()), end_id, dtype=np.uint32)
+        out[np.arange(int(length.sum())) + np.repeat(doc, length)] = np.concatenate(listed)
         return out, sizes
 
     @staticmethod
@@ -137,9 +146,11 @@ class ChunkEncoder:
         ends = filled[b[begin[filled] + size[filled] - 1] == 32]
         return cut, np.union1d(odd[size[odd] > 0], ends).astype(np.int64)
 
-    def known(self, data: memoryview, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The store's entry of every chunk; new chunks go through the library."""
-        h = hash_segments(b, starts)
+    def known(self, data: memoryview, b: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+        """The store's entry of every chunk, the last one up to end; new chunks go
+        through the library."""
+        low = int(starts[0])
+        h = hash_segments(b[low:end], starts - low)
         h[h == 0] = 1
         entry = self.store.find(h)
         rows = np.flatnonzero(entry < 0)
@@ -148,7 +159,7 @@ class ChunkEncoder:
             rows = np.arange(len(h))
         if len(rows):
             fresh, place = np.unique(h[rows], return_index=True)
-            ends = np.append(starts, len(b))
+            ends = np.append(starts, end)
             chunks = [str(data[starts[r] : ends[r + 1]], "utf-8", "surrogatepass") for r in rows[place]]
             self.store.add(fresh, self.fresh(chunks))
             entry = self.store.find(h)

@@ -1,8 +1,13 @@
 """The whole job: inputs that no test table holds."""
 
+import signal
+
+import public_tokenizers as P
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import langid
+from ledgerlake.llm import bpe, langid, token_files
 
 
 def test_language_of_a_text_of_megabytes(spark):
@@ -40,3 +45,19 @@ def test_a_small_language_is_found_and_copies_do_not_hide_it(spark):
     rows = langid.classify(held, model, keep=["doc_id", "lang"]).collect()
     assert sum(r["lang"] == r["lang_pred"] and not r["rejected"] for r in rows) > 0.97 * len(rows)
     assert len({r["lang"] for r in rows}) == 4
+
+
+def test_a_text_with_more_distinct_chunks_than_slots():
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    listed = " ".join(str(7919 * k) for k in range(5000))
+    texts = ["short one", listed, "", listed.replace(" ", ",\n") + " ü  x ", "a,b"]
+    signal.alarm(60)  # a full table was searched for ever
+    try:
+        for coder in (bpe.ReplayEncoder(ranks, P.PATTERN, bits=10), token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, bits=10)):
+            for end in (None, 0):
+                ids, sizes = coder.encode(pa.array(texts), end)
+                want = [plain.encode_ordinary(t) + ([end] if end is not None else []) for t in texts]
+                assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    finally:
+        signal.alarm(0)
