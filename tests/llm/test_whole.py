@@ -7,7 +7,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, langid, token_files
+from ledgerlake.llm import bpe, html_main, langid, token_files
 
 
 def test_language_of_a_text_of_megabytes(spark):
@@ -61,3 +61,19 @@ def test_a_text_with_more_distinct_chunks_than_slots():
                 assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
     finally:
         signal.alarm(0)
+
+
+def test_class_words_do_not_empty_a_page():
+    body = "<p>one</p><p>two</p>"
+    for page in (
+        f'<html class="no-widget"><body class="has-sidebar search-results"><div>{body}</div></body></html>',
+        f'<body><article class="post comments-open">{body}</article></body>',
+        f'<body><main class="sidebar">{body}</main></body>',
+        f'<body><div class="content no-sidebar">{body}</div><div class="sidebar">side</div></body>',
+        f'<body><div class="sidebar-left"><article>{body}</article></div></body>',
+        f'<body><div class="share-page"><div>{body}</div></div></body>',
+    ):
+        assert html_main.main_text(page, [])[0] == "one\n\ntwo", page
+    page = f'<article>{body}</article><div id="comments"><article>first!</article></div><article class="ad">buy</article>'
+    assert html_main.main_text(page, [])[0] == "one\n\ntwo"
+    assert html_main.main_text(f'<div class="share-page">{body}<div class="ad">buy</div></div>', [])[0] == "one\n\ntwo"
