@@ -77,3 +77,14 @@ def test_class_words_do_not_empty_a_page():
     page = f'<article>{body}</article><div id="comments"><article>first!</article></div><article class="ad">buy</article>'
     assert html_main.main_text(page, [])[0] == "one\n\ntwo"
     assert html_main.main_text(f'<div class="share-page">{body}<div class="ad">buy</div></div>', [])[0] == "one\n\ntwo"
+
+
+def test_all_likely_parts_are_kept():
+    posts = '<body><div>Home</div><div class="post"><p>first post here</p></div><p>and</p><div class="post"><p>second post</p><div class="content">inner</div></div></body>'
+    assert html_main.main_text(posts, [])[0] == "first post here\n\nsecond post\n\ninner"
+    entry = '<body><div class="entry-title">Title</div><div class="entry-content"><p>the long story</p></div></body>'
+    assert html_main.main_text(entry, [])[0] == "Title\n\nthe long story"
+    alone = '<body><div class="entry-title">Title</div><div><p>the long story</p></div></body>'
+    assert html_main.main_text(alone, [])[0] == "Title\n\nthe long story"
+    refs = [html_main.parse(posts.replace("first", k).replace("second", k).replace("inner", k)) for k in ("x", "y")]
+    assert "second post" in html_main.main_text(posts, refs)[0]
