@@ -88,3 +88,22 @@ def test_all_likely_parts_are_kept():
     assert html_main.main_text(alone, [])[0] == "Title\n\nthe long story"
     refs = [html_main.parse(posts.replace("first", k).replace("second", k).replace("inner", k)) for k in ("x", "y")]
     assert "second post" in html_main.main_text(posts, refs)[0]
+
+
+def test_near_copies_are_no_template():
+    page = "<body><p>{0}</p><div><p>a story of many words</p><p>with a second part</p></div><p>call us</p></body>"
+    other = "<body><p>{0}</p><div><p>{0} something else that is long</p><p>{0} and so on</p></div><p>call us</p></body>"
+    copies = [html_main.parse(page.format(k)) for k in ("9 May", "8 May", "7 May")]
+    others = [html_main.parse(other.format(k)) for k in ("3 May", "2 May")]
+    whole = "1 May\n\na story of many words\n\nwith a second part\n\ncall us"
+    assert html_main.main_text(page.format("1 May"), copies[:1])[0] == whole
+    assert html_main.main_text(page.format("1 May"), copies)[0] == whole
+    assert html_main.main_text(page.format("1 May"), [*copies[:2], *others])[0] == whole.removesuffix("\n\ncall us")
+
+
+def test_references_differ_in_content(spark):
+    copy = "<body><p>{0}</p><p>a story of many words that was copied</p></body>"
+    rows = [(k, "http://a/x", copy.format(k)) for k in range(300)]
+    rows += [(1000 + k, "http://a/y", f"<body><p>{k}</p><p>another story {k} of some words, longer</p></body>") for k in range(30)]
+    refs = html_main.reference_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").first()["refs"]
+    assert len(refs) > 2 and sum("copied" in r for r in refs) <= 1
