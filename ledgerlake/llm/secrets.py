@@ -21,8 +21,9 @@ table gives an empty result.  Only the identifier and the text are read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,21 +79,21 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def nearest(part: tuple[str, int, int], others: list[tuple[int, int, str]], starts: list[int], reach: int):
-    """The part of the list nearest to a part, if their scopes meet; others are
-    sorted by start and do not overlap the part."""
+def nearest(part: tuple[str, int, int], starts: list[tuple[int, int, str]], ends: list[tuple[int, int, str]], reach: int):
+    """The part of a role nearest to a part, if their scopes meet: of those before
+    it the one that ends last, of those behind it the one that starts first (parts
+    of a role may nest).  starts holds (start, end, kind) by start, ends (end, start,
+    kind) by end; what overlaps the part is one string seen twice, not two parts."""
     _, s, e = part
     best = None
-    at = bisect_left(starts, s)
-    for places in (range(at - 1, -1, -1), range(at, len(others))):
-        for j in places:
-            other_s, other_e, kind = others[j]
-            if other_s < e and s < other_e:
-                continue  # one string seen twice is not two parts
-            gap = max(other_s - e, s - other_e)
-            if gap <= 2 * reach and (best is None or gap < best[0]):
-                best = (gap, (kind, other_s, other_e))
-            break
+    at = bisect_right(ends, s, key=itemgetter(0))
+    if at and s - ends[at - 1][0] <= 2 * reach:
+        other_e, other_s, kind = ends[at - 1]
+        best = (s - other_e, (kind, other_s, other_e))
+    at = bisect_left(starts, e, key=itemgetter(0))
+    if at < len(starts) and starts[at][0] - e <= 2 * reach and (best is None or starts[at][0] - e < best[0]):
+        other_s, other_e, kind = starts[at]
+        best = (other_s - e, (kind, other_s, other_e))
     return best and best[1]
 
 
@@ -108,10 +109,10 @@ def link(text: str, reach: int = REACH) -> tuple[list[tuple[str, int, int]], lis
     by_role: dict[str, list[tuple[int, int, str]]] = {}
     for kind, s, e in sorted(parts, key=lambda x: (x[1], KINDS.index(x[0]))):
         by_role.setdefault(ROLE[kind], []).append((s, e, kind))
-    starts = {r: [x[0] for x in v] for r, v in by_role.items()}
+    ends = {r: sorted(((e, s, k) for s, e, k in v), key=itemgetter(0, 1)) for r, v in by_role.items()}
     kept, links = [], []
     for p in parts:
-        partners = {r: q for r in COMPLETES[ROLE[p[0]]] if r in by_role and (q := nearest(p, by_role[r], starts[r], reach))}
+        partners = {r: q for r in COMPLETES[ROLE[p[0]]] if r in by_role and (q := nearest(p, by_role[r], ends[r], reach))}
         if p[0] in BASE or any(r in partners for r in NEEDS[p[0]]):
             kept.append(p)
             links += [(p, q) for q in partners.values()]

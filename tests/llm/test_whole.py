@@ -1,5 +1,6 @@
 """The whole job: inputs that no test table holds."""
 
+import random
 import signal
 
 import public_tokenizers as P
@@ -7,7 +8,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, html_main, langid, token_files
+from ledgerlake.llm import bpe, html_main, langid, secrets, token_files
 
 
 def test_language_of_a_text_of_megabytes(spark):
@@ -107,3 +108,22 @@ def test_references_differ_in_content(spark):
     rows += [(1000 + k, "http://a/y", f"<body><p>{k}</p><p>another story {k} of some words, longer</p></body>") for k in range(30)]
     refs = html_main.reference_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").first()["refs"]
     assert len(refs) > 2 and sum("copied" in r for r in refs) <= 1
+
+
+def test_an_inner_secret_does_not_hide_the_outer_one():
+    text = "token=" + "0123456789abcdef" * 2 + "Z" * 500 + " user=alice1"
+    kept, links = secrets.link(text)
+    ident = ("ident", text.index("user="), len(text))
+    assert ident in kept and (ident, ("assign", 0, 538)) in links
+
+
+def test_nearest_equals_brute_force():
+    r = random.Random(7)
+    for _ in range(300):
+        spans = sorted({(s, s + r.randint(1, 60)) for s in (r.randint(0, 300) for _ in range(r.randint(1, 12)))})
+        starts, ends = [(s, e, "hex") for s, e in spans], sorted((e, s, "hex") for s, e in spans)
+        s = r.randint(0, 300)
+        part, reach = ("ident", s, s + r.randint(1, 30)), r.choice([5, 50])
+        gaps = [g for a, b in spans if (g := max(a - part[2], part[1] - b)) >= 0 and g <= 2 * reach]
+        got = secrets.nearest(part, starts, ends, reach)
+        assert (got is None) == (not gaps) and (not gaps or max(got[1] - part[2], part[1] - got[2]) == min(gaps))
