@@ -15,7 +15,8 @@ Chunks between spaces are encoded once per worker: those not seen yet go
 through the library, and a document is put together from them (see
 ChunkEncoder for why the ids equal those of the whole text).
 
-Defined cases: null text is empty (just the end id); rows of equal identifier
+Defined cases: added tokens written out in a text (<|endoftext|>) are plain text
+(encode_special_tokens), unlike the library's default; null text is empty (just the end id); rows of equal identifier
 are ordered by a hash of their text; a null identifier comes first; an empty
 table writes no rows.  Only the identifier and the text are read.
 """

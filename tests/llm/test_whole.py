@@ -127,3 +127,10 @@ def test_nearest_equals_brute_force():
         gaps = [g for a, b in spans if (g := max(a - part[2], part[1] - b)) >= 0 and g <= 2 * reach]
         got = secrets.nearest(part, starts, ends, reach)
         assert (got is None) == (not gaps) and (not gaps or max(got[1] - part[2], part[1] - got[2]) == min(gaps))
+
+
+def test_a_written_end_token_is_plain_text():
+    coder = token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, bits=10)
+    ids, sizes = coder.encode(pa.array(["a<|endoftext|>"]), 0)
+    assert 50256 not in ids.tolist() and sizes.tolist() == [9]
+    assert "encode_special_tokens" in token_files.__doc__
