@@ -104,6 +104,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A worker function that gives freed memory back to the system when its
     task ends: workers are kept, and share their node with the executor."""

@@ -19,16 +19,21 @@ similarity of at least the threshold.  The steps:
    filter; positional filter and the parity bitmap (a lower bound on the
    symmetric difference) drop almost all false pairs before any row is made.
    A line that already has SURE likely partners is not paired further here.
+   A key of more than GROUP rows (estimated on a fixed share of the classes) is
+   salted into groups of about that size.
 4. Pairs are verified on the words themselves.  Lines whose likely partners all
-   failed and who had more possible ones are paired again without that stop, so
+   failed and who had more possible ones, or who met only a part of a salted key,
+   are paired again without that stop and sent to every part of such a key, so
    no similar line is lost and large groups of variants stay linear.
 5. Removed lines are gathered per document and cut out of the text.
 
 Defined cases: words are maximal runs of letters, digits and non-ASCII after
 lower-casing A-Z; a line without words is never removed; null text stays null;
 rows that share identifier and text are one document (all get the same answer);
-a null identifier comes first; an empty table gives an empty result.  Working
-columns are kept apart from the input's columns.
+identifiers of any type that can be ordered, numbers of any size and strings
+(by bytes) included; a null identifier comes first; an empty table gives an
+empty result.  Working columns take names that the input does not have; an input
+column called like an output column (``_ld_lines``, ``_ld_removed``) is replaced.
 """
 
 from __future__ import annotations
@@ -37,18 +42,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, discard, materialize, pieces_of, tidied
+from .common import broadcast_if_small, discard, fresh_names, materialize, pieces_of, tidied
 from .wordhash import WORDS, hash_words
 
 NUM, DEN = 4, 5  # the threshold 0.8
 SKETCH_BITS = 18
+PART_BITS = 10  # counters in one row of a sketch under way
 HOT = 2048
 SURE = 2
 PRUNE_FROM = 1000
+GROUP = 100_000
+LOOKED_AT = 64  # one class of so many is looked at to find the keys beyond GROUP
 BLOCK_BYTES = 2 << 20
 PAIRS_AT_ONCE = 200_000
 PARITY_SIZES = (100, 220, 500)  # more words: 256, 512, 1024 bits
@@ -70,22 +79,49 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def word_frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """The sketch: summed counts of words by the top bits of their hash."""
+    """The sketch: summed counts of words by the top bits of their hash.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sketches travel in parts, each with its places and counts that are not zero;
+    the parts of one place meet in one task, which holds one sum at a time."""
+    width = 1 << PART_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for i, j in pieces_of(batch, 0, BLOCK_BYTES):
                 data = "\n".join(t for t in batch.column(0).slice(i, j - i).to_pylist() if t)
                 hashes, _ = hash_words(data.encode("utf-8", "surrogatepass").translate(WORDS))
                 total += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+        parts = total.reshape(-1, width)
+        used = np.flatnonzero(parts.any(axis=1))
+        at = [np.flatnonzero(parts[k]).astype(np.int16) for k in used]
+        counts = [parts[k][i].tobytes() for k, i in zip(used, at)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int64()), pa.array([i.tobytes() for i in at], pa.binary()), pa.array(counts, pa.binary())], ["part", "at", "n"]
+        )
 
-    summed = docs.select(text).mapInArrow(tidied(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    out[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = -1, np.zeros(width, dtype=np.int64)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n"])
+
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != part:
+                    if part >= 0:
+                        yield done()
+                    part, total = k, np.zeros(width, dtype=np.int64)
+                total[np.frombuffer(at, dtype=np.int16)] += np.frombuffer(n, dtype=np.int64)
+        if part >= 0:
+            yield done()
+
+    counted = docs.select(text).mapInArrow(tidied(count), "part long, at binary, n binary")
+    summed = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, n binary").toArrow()
+    out = np.zeros((1 << SKETCH_BITS - PART_BITS, width), dtype=np.int64)
+    for part, n in zip(summed.column("part").to_pylist(), summed.column("n").to_pylist()):
+        out[part] = np.frombuffer(n, dtype=np.int64)
+    return out.reshape(-1)
 
 
 def rarity_levels(counts: np.ndarray) -> np.ndarray:
@@ -299,28 +335,40 @@ def pairs_of(key, size, place, parity: Parities, order, limit, sought):
     return joined(later_out), joined(earlier_out), joined(distance_out), stopped
 
 
+LINE = ["d", "h", "line"]
+EARLIER = ["e_d", "e_h", "e_line"]
+
+
 def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
-    """(rank, c) of the later class, (e_rank, e) of the earlier, more: at most
-    limit partners a row and key; more says that there may be others."""
+    """(LINE of the later line, EARLIER, more): at most limit partners a row and
+    key; more says that there may be others.  Without a column sought all rows are."""
+    marked = "sought" in postings.columns
+    kind = postings.schema["d"].dataType
+    fields = [T.StructField("d", kind), T.StructField("h", T.LongType()), T.StructField("line", T.IntegerType())]
+    schema = T.StructType([*fields, *(T.StructField("e_" + f.name, f.dataType) for f in fields), T.StructField("more", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c: t.column(c).to_numpy()
-            t = t.take(pa.array(np.lexsort((col("size"), col("key")))))
-            key = col("key")
-            # corpus order of the rows; rows of one rank are ordered by class
-            order = np.empty(len(key), dtype=np.int64)
-            order[np.lexsort((col("c"), col("rank")))] = np.arange(len(key))
+            t = t.take(pa.array(np.lexsort((col("measure"), col("key")))))
+            # corpus order of the rows: dense, one number for each line
+            number = pc.rank(t.column("d"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+            h, line = col("h"), col("line")
+            o = np.lexsort((line, h, number))
+            step = (np.diff(number[o]) != 0) | (np.diff(h[o]) != 0) | (np.diff(line[o]) != 0)
+            order = np.empty(len(o), dtype=np.int64)
+            order[o] = np.concatenate([[0], np.cumsum(step)])
+            measure = col("measure")
             later, earlier, distance, stopped = pairs_of(
-                key,
-                col("size").astype(np.int64),
-                col("place").astype(np.int64),
+                col("key"),
+                measure >> 32,
+                measure & 0xFFFFFFFF,
                 Parities(t.column("parity").to_pylist()),
                 order,
                 limit,
-                col("sought").astype(bool),
+                col("sought").astype(bool) if marked else np.ones(len(o), dtype=bool),
             )
             if not len(later):
                 return
@@ -331,11 +379,9 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
             number = np.arange(len(later)) - np.repeat(begin, np.diff([*begin, len(later)]))
             keep = number < limit
             later, earlier = later[keep], earlier[keep]
-            rank, c = col("rank"), col("c")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (rank[later], c[later], rank[earlier], c[earlier], stopped[later])],
-                ["rank", "c", "e_rank", "e", "more"],
-            )
+            ids = t.select(LINE).combine_chunks()
+            named = [ids.take(pa.array(k)).column(c).combine_chunks() for k in (later, earlier) for c in LINE]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(stopped[later])], [f.name for f in schema])
 
         rows, enough = 0, 100_000
         for batch in batches:
@@ -355,7 +401,24 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = postings.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(tidied(run), "rank long, c long, e_rank long, e long, more boolean")
+    return dealt.mapInArrow(tidied(run), schema)
+
+
+def same_line(left: DataFrame, right: DataFrame, names: list[str] = LINE, others: list[str] = LINE) -> Column:
+    d, h, line = ((left[a], right[b]) for a, b in zip(names, others))
+    return d[0].eqNullSafe(d[1]) & (h[0] == h[1]) & (line[0] == line[1])
+
+
+def large_keys(classes: DataFrame) -> DataFrame | None:
+    """(key, parts) of the keys with more than GROUP rows, as seen in a fixed share
+    of the classes; None if there are none.  What the estimate misses is only held
+    in larger groups."""
+    seen = classes.filter(F.pmod(F.xxhash64("h", "line"), F.lit(LOOKED_AT)) == 0).select(F.explode("keys").alias("key"))
+    n = F.col("count") * LOOKED_AT
+    counts = seen.groupBy("key").count().filter(n > GROUP).select("key", F.ceil(n / GROUP).cast("int").alias("parts"))
+    counts = materialize(counts, "line-large-keys")
+    n_keys = counts.count()
+    return broadcast_if_small(counts, 32 * n_keys) if n_keys else None
 
 
 def words_column(line: Column) -> Column:
@@ -365,117 +428,116 @@ def words_column(line: Column) -> Column:
     return F.array_distinct(F.filter(cut, lambda w: w != ""))
 
 
-PAIR = ["rank", "c", "e_rank", "e"]
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """The pairs whose word sets have the similarity, on the words themselves.
 
     The lines sought are joined to the documents by a broadcast while their
     measured size allows it, so that texts need not be shuffled."""
-    ids = pairs.select("rank", "c").union(pairs.select("e_rank", "e")).distinct()
-    places = classes.select("rank", "c", "d", "h", "line").join(ids, ["rank", "c"], "left_semi")
-    by_doc = materialize(
-        places.groupBy("d", "h").agg(F.collect_list(F.struct("line", "rank", "c")).alias("sought")), "lines-sought"
-    )
-    n_bytes = by_doc.agg(F.coalesce(F.sum(F.size("sought") * 48 + 64), F.lit(0))).first()[0]
+    ids = pairs.select(*LINE).union(pairs.select(*EARLIER)).distinct()
+    by_doc = materialize(ids.groupBy("d", "h").agg(F.collect_list("line").alias("sought")), "lines-sought")
+    n_bytes = by_doc.agg(F.coalesce(F.sum(F.size("sought") * 8 + 64), F.lit(0))).first()[0]
     by_doc = broadcast_if_small(by_doc, n_bytes)
-    src = docs.select(F.col(id_col).alias("d"), text_hash(text).alias("h"), F.col(text).alias("t"))
-    same = (src["d"].eqNullSafe(by_doc["d"])) & (src["h"] == by_doc["h"])
+    src = docs.select(F.col(id_col).alias("sd"), text_hash(text).alias("sh"), F.col(text).alias("t"))
     lines = (
-        src.join(by_doc, same)
-        .select("sought", F.split("t", "\n").alias("lines"))
-        .select(
-            F.explode(
-                F.transform("sought", lambda s: F.struct(s["rank"].alias("rank"), s["c"].alias("c"), F.get("lines", s["line"]).alias("l")))
-            ).alias("x")
-        )
-        .groupBy("x.rank", "x.c")
+        src.join(by_doc, src["sd"].eqNullSafe(by_doc["d"]) & (src["sh"] == by_doc["h"]))
+        .select("d", "h", "sought", F.split("t", "\n").alias("lines"))
+        .select("d", "h", F.explode(F.transform("sought", lambda k: F.struct(k.alias("line"), F.get("lines", k).alias("l")))).alias("x"))
+        .groupBy("d", "h", "x.line")
         .agg(F.first("x.l").alias("l"))
-        .select("rank", "c", words_column(F.col("l")).alias("w"))
+        .select(*LINE, words_column(F.col("l")).alias("w"))
     )
     lines = materialize(lines, "lines-words")
-    early = lines.select(F.col("rank").alias("e_rank"), F.col("c").alias("e"), F.col("w").alias("v"))
+    early = lines.select(*[F.col(a).alias(b) for a, b in zip(LINE, EARLIER)], F.col("w").alias("v"))
     both = F.size(F.array_intersect("w", "v"))
+    left = pairs.join(lines, same_line(pairs, lines)).select(*[pairs[c] for c in (*LINE, *EARLIER)], "w")
     return (
-        pairs.join(lines, ["rank", "c"])
-        .join(early, ["e_rank", "e"])
+        left.join(early, same_line(left, early, EARLIER, EARLIER))
+        .select(*[left[c] for c in (*LINE, *EARLIER)], "w", "v")
         .filter(F.lit(DEN) * both >= F.lit(NUM) * (F.size("w") + F.size("v") - both))
-        .select(*PAIR)
+        .select(*LINE, *EARLIER)
     )
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, h, lines): per document with removed lines their numbers, from 0."""
+    """(d, h, lines): per document with removed lines their numbers, from 0.
+
+    Copies of a class's first line are removed lines at once, so what is left to
+    pair are first lines, known by identifier, text hash and line number."""
     lines = materialize(line_table(docs, word_frequencies(docs, text_col), id_col, text_col), "lines")
-    place = F.struct(F.col("d"), F.col("h"), F.col("line"))
+    place = F.struct(*map(F.col, LINE))
     first = F.min(F.struct(place.alias("p"), *map(F.col, ("size", "parity", "keys", "places")))).alias("m")
     classes = materialize(
         lines.groupBy("c1", "c2")
-        .agg(first)
-        .select("c1", "c2", "m.p.d", "m.p.h", "m.p.line", "m.size", "m.parity", "m.keys", "m.places")
-        .select(order_rank().alias("rank"), F.col("c1").alias("c"), "*"),
+        .agg(first, F.count(F.lit(1)).alias("n"))
+        .select("c1", "c2", "n", "m.p.d", "m.p.h", "m.p.line", "m.size", "m.parity", "m.keys", "m.places"),
         "line-classes",
     )
-    full, lines = lines, materialize(lines.select("d", "h", "line", "c1", "c2"), "lines-places")
-    discard(full)
+    several = classes.filter("n > 1").select("c1", "c2", *[F.col(a).alias(b) for a, b in zip(LINE, EARLIER)])
+    several = broadcast_if_small(several, 64 * several.count())
+    members = lines.select("c1", "c2", *LINE).join(several, ["c1", "c2"])
+    copies = materialize(members.filter(~same_line(members, members, LINE, EARLIER)).select(*LINE), "line-copies")
+    discard(lines)
+    large = large_keys(classes)
     postings = classes.select(
-        "rank", "c", "size", "parity", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))
-    )
-    found = materialize(likely_pairs(postings.withColumn("sought", F.lit(True))).groupBy(*PAIR).agg(F.max("more").alias("more")), "line-pairs")
-    good = materialize(verified(found, classes, docs, id_col, text_col).select("rank", "c").distinct(), "line-verified")
-    open_ = found.groupBy("rank", "c").agg(F.max("more").alias("more")).filter("more").join(good, ["rank", "c"], "left_anti")
-    open_ = materialize(open_.select("rank", "c", F.lit(True).alias("open")), "line-open")
+        *LINE,
+        "parity",
+        F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))),
+        F.shiftleft(F.col("size").cast("long"), 32).alias("wide"),
+    ).select(*LINE, "parity", "key", F.col("wide").bitwiseOR(F.col("place").cast("long")).alias("measure"))
+    part = F.pmod(F.xxhash64("h", "line"), F.col("parts"))
+    salted = lambda p: F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", p)).alias("key")
+    shown = [*LINE, "parity", "measure"]
+    own = postings if large is None else postings.join(large, "key", "left").select(*shown, salted(part))
+    found = materialize(likely_pairs(own).groupBy(*LINE, *EARLIER).agg(F.max("more").alias("more")), "line-pairs")
+    good = materialize(verified(found, docs, id_col, text_col).select(*LINE).distinct(), "line-verified")
+    open_ = found.filter("more").select(*LINE)
+    if large is not None:
+        open_ = open_.union(postings.join(large, "key", "left_semi").select(*LINE))
+    open_ = open_.distinct()
+    open_ = materialize(open_.join(good, same_line(open_, good), "left_anti").withColumn("sought", F.lit(True)), "line-open")
     n_open = open_.count()
     if n_open:
         small = broadcast_if_small(open_, 64 * n_open)
         again = postings
         if n_open * PRUNE_FROM < classes.count():  # few lines are open: deal out only the keys they have
-            keys = materialize(postings.join(small, ["rank", "c"], "left_semi").select("key").distinct(), "line-keys")
+            keys = postings.join(small, same_line(postings, small), "left_semi").select("key").distinct()
+            keys = materialize(keys, "line-keys")
             again = postings.join(broadcast_if_small(keys, 64 * keys.count()), "key", "left_semi")
-        again = again.join(small, ["rank", "c"], "left")
-        again = again.withColumn("sought", F.coalesce("open", F.lit(False))).drop("open")
-        rest = likely_pairs(again, 1 << 40).select(*PAIR).distinct().join(found, PAIR, "left_anti")
-        rest = verified(materialize(rest, "line-rest"), classes, docs, id_col, text_col).select("rank", "c")
+        again = again.join(small, same_line(again, small), "left").select(
+            *[again[c] for c in (*shown, "key")], F.coalesce("sought", F.lit(False)).alias("sought")
+        )
+        if large is not None:
+            every = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(
+                F.col("sought"), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
+            )
+            again = again.join(large, "key", "left").withColumn("part", F.explode(F.coalesce(every, F.array(part.cast("long")))))
+            again = again.select(*shown, "sought", salted(F.col("part")))
+        rest = likely_pairs(again, 1 << 40).select(*LINE, *EARLIER).distinct()
+        rest = rest.join(found, same_line(rest, found) & same_line(rest, found, EARLIER, EARLIER), "left_anti")
+        rest = verified(materialize(rest, "line-rest"), docs, id_col, text_col).select(*LINE)
         good = materialize(good.union(rest).distinct(), "line-beaten")
-    good = broadcast_if_small(good.withColumn("beaten", F.lit(True)), 64 * good.count())
-    firsts = classes.select("c1", "c2", "rank", "c", F.col("d").alias("fd"), F.col("h").alias("fh"), F.col("line").alias("fl"))
-    firsts = firsts.join(good, ["rank", "c"], "left")
-    own = F.col("d").eqNullSafe(F.col("fd")) & (F.col("h") == F.col("fh")) & (F.col("line") == F.col("fl"))
-    gone = lines.select("d", "h", "line", "c1", "c2").join(firsts, ["c1", "c2"]).filter(~own | F.coalesce("beaten", F.lit(False)))
-    out = materialize(gone.groupBy("d", "h").agg(F.collect_set("line").alias("lines")), "lines-gone")
-    discard(lines, classes, found)
+    discard(classes, found)
+    out = materialize(copies.union(good).groupBy("d", "h").agg(F.collect_set("line").alias("lines")), "lines-gone")
+    discard(copies, good)
     return out
 
 
-def order_rank() -> Column:
-    """Orders lines by document and line in one number: the (numeric) identifier,
-    null first, above 20 bits for the line number.  Identifiers of 2**42 and more
-    are ordered by their high bits; what ties is ordered by the class hash, the
-    same everywhere."""
-    d = F.coalesce(F.col("d").cast("long"), F.lit(-(1 << 42)))
-    line = F.least(F.col("line"), F.lit((1 << 20) - 1)).cast("long")
-    edge = F.lit(1 << 42)
-    low = F.greatest(F.least(d, edge), -edge) * F.lit(1 << 20) + line
-    return F.when(d >= edge, F.lit(1 << 62) + F.shiftright(d, 2)).when(d < -edge, F.lit(-(1 << 62)) + F.shiftright(d, 2)).otherwise(low)
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all their columns, with the text without removed lines,
     and ``_ld_lines`` and ``_ld_removed``, the numbers of lines before and removed."""
-    gone = removed_lines(docs, id_col, text_col).select(
-        F.col("d").alias("_ld_d"), F.col("h").alias("_ld_h"), F.col("lines").alias("_ld_gone")
-    )
-    n_bytes = gone.agg(F.coalesce(F.sum(F.size("_ld_gone") * 4 + 64), F.lit(0))).first()[0]
+    d, h, cut = fresh_names(docs, "_ld_d", "_ld_h", "_ld_gone")
+    gone = removed_lines(docs, id_col, text_col).select(F.col("d").alias(d), F.col("h").alias(h), F.col("lines").alias(cut))
+    n_bytes = gone.agg(F.coalesce(F.sum(F.size(cut) * 4 + 64), F.lit(0))).first()[0]
     gone = broadcast_if_small(gone, n_bytes)
-    keyed = docs.withColumn("_ld_key", text_hash(text_col))
-    on = keyed[id_col].eqNullSafe(gone["_ld_d"]) & (keyed["_ld_key"] == gone["_ld_h"])
-    joined = keyed.join(gone, on, "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_ld_gone", i))
-    text = F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_gone = F.coalesce(F.size("_ld_gone"), F.lit(0))
-    return joined.select(
-        *[(text if c == text_col else F.col(c)).alias(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long").alias("_ld_lines"),
-        F.greatest(n_gone, F.lit(0)).cast("long").alias("_ld_removed"),
+    on = docs[id_col].eqNullSafe(gone[d]) & (F.xxhash64(docs[text_col]) == gone[h])
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(cut, i))
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    n_gone = F.coalesce(F.size(cut), F.lit(0))
+    counts = {
+        "_ld_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n"))),
+        "_ld_removed": F.greatest(n_gone, F.lit(0)),
+    }
+    return docs.join(gone, on, "left").select(
+        *[(text if c == text_col else docs[c]).alias(c) for c in docs.columns if c not in counts],
+        *[n.cast("long").alias(c) for c, n in counts.items()],
     )

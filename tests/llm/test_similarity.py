@@ -201,3 +201,64 @@ def test_components(spark):
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in parent if root(x) != x}
+
+
+def brute_by(rows, rank):
+    """Removed (identifier, text, line), with the rows in the order of rank."""
+    seen, gone = [], set()
+    for d, t in sorted(set(rows), key=rank):
+        for k, line in enumerate((t or "").split("\n")):
+            w = line_words(line)
+            if w and any(5 * len(w & x) >= 4 * len(w | x) for x in seen):
+                gone.add((d, t, k))
+            if w:
+                seen.append(w)
+    return gone
+
+
+def cut_texts(rows, gone):
+    return sorted((str(d), "\n".join(x for k, x in enumerate(t.split("\n")) if (d, t, k) not in gone)) for d, t in rows)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "tied"])
+def test_line_dedup_order_of_any_identifier(spark, kind):
+    rnd = random.Random(11)
+    base = [[rnd.choice(WORDS) for _ in range(14)] for _ in range(3)]
+    made = [t for _, t in corpus(rnd, 40, base)]
+    if kind == "long":  # far beyond 2**53, and next to each other
+        ids = [(1 << 60) + k for k in range(20)] + [-(1 << 61) + k for k in range(20)]
+    elif kind == "string":
+        ids = [None, ""] + [f"é{k}" if k % 3 else f"Z{k}" for k in range(38)]
+    else:
+        ids = [k // 4 for k in range(40)]
+    rows = list(zip(ids, made))
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'string' else 'long'}, text string")
+    hashes = {t: h for t, h in df.selectExpr("text", "xxhash64(text)").collect()}
+    rank = lambda r: (r[0] is not None, (r[0] or "").encode() if kind == "string" else r[0], hashes[r[1]])
+    got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup_lines(df.repartition(5)).collect())
+    assert got == cut_texts(rows, brute_by(rows, rank))
+
+
+def test_line_number_beyond_2_to_the_20_is_kept_in_order(spark):
+    text = "\n" * (1 << 20) + "a b c d e f\n" + "a b c d e g\n" * 2 + "b c d e f a g"
+    r = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["text"].strip("\n") == "a b c d e f\na b c d e g" and r["_ld_removed"] == 2
+
+
+def test_a_key_of_very_many_lines_is_split(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP", 30)
+    monkeypatch.setattr(line_dedup, "LOOKED_AT", 1)
+    rnd = random.Random(5)
+    base = [f"x{i}" for i in range(30)]
+    rows = [(i, " ".join(w if rnd.random() > 0.04 else f"r{rnd.randrange(10**6)}" for w in base)) for i in range(300)]
+    rows += [(300 + i, " ".join([*base[:3], *(f"s{rnd.randrange(10**6)}" for _ in range(12))])) for i in range(300)]
+    gone = {d for d, *_ in brute_lines(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["_ld_removed"]} == gone
+
+
+def test_line_dedup_clashing_columns(spark):
+    extra = ["_ld_key", "_ld_gone", "_ld_d", "_ld_h", "_LD_GONE_", "c1", "keys", "sought", "_ld_lines"]
+    df = spark.createDataFrame([(1, "a b\na b", *extra)], ["doc_id", "text", *extra])
+    r = line_dedup.dedup_lines(df).first()
+    assert r["text"] == "a b" and r["_ld_lines"] == 2 and all(r[c] == c for c in extra if c != "_ld_lines")
