@@ -55,7 +55,6 @@ SKETCH_BITS = 18
 PART_BITS = 10  # counters in one row of a sketch under way
 HOT = 2048
 SURE = 2
-PRUNE_FROM = 1000
 GROUP = 100_000
 LOOKED_AT = 64  # one class of so many is looked at to find the keys beyond GROUP
 BLOCK_BYTES = 2 << 20
@@ -177,18 +176,18 @@ class Parities:
     """Parity bitmaps of many lines, to be compared at the smaller size of two:
     a bitmap folds to half its bits by exclusive or."""
 
-    def __init__(self, raw: list[bytes]):
-        length = np.array([len(x) for x in raw], dtype=np.int64)
-        self.level = np.log2(np.maximum(length, 16) // 16).astype(np.int64)
+    def __init__(self, raw: pa.Array):
+        ends = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 8
+        data = np.frombuffer(raw.buffers()[2], dtype=np.uint64, count=int(ends[-1]))
+        self.level = np.log2(np.diff(ends) // 2).astype(np.int64)
         self.bits = []
         for k in range(int(self.level.max(initial=0)) + 1):
             words = 2 << k
             m = np.zeros((len(raw), words), dtype=np.uint64)
-            rows = np.flatnonzero(self.level >= k)
-            for j in np.unique(self.level[rows]):
-                own = rows[self.level[rows] == j]
-                full = np.frombuffer(b"".join([raw[r] for r in own]), dtype=np.uint64).reshape(len(own), -1, words)
-                m[own] = np.bitwise_xor.reduce(full, axis=1)
+            for j in range(k, int(self.level.max(initial=0)) + 1):
+                own = np.flatnonzero(self.level == j)
+                full = data[ends[own, None] + np.arange(2 << j)].reshape(len(own), -1, words)
+                m[own] = full[:, 0] if j == k else np.bitwise_xor.reduce(full, axis=1)
             self.bits.append(m)
 
     def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -339,6 +338,21 @@ LINE = ["d", "h", "line"]
 EARLIER = ["e_d", "e_h", "e_line"]
 
 
+def corpus_order(t: pa.Table) -> np.ndarray:
+    """Numbers that order the rows by LINE, equal for one line."""
+    d = pc.rank(t.column("d"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    h, line = t.column("h").to_numpy(), t.column("line").to_numpy()
+    one = np.zeros(len(d) + 1, dtype=np.int64)
+    one[d] = h
+    if (one[d] == h).all():  # the identifier alone tells the document
+        return (d << 32) | line
+    o = np.lexsort((line, h, d))
+    step = (np.diff(d[o]) != 0) | (np.diff(h[o]) != 0) | (np.diff(line[o]) != 0)
+    order = np.empty(len(o), dtype=np.int64)
+    order[o] = np.concatenate([[0], np.cumsum(step)])
+    return order
+
+
 def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
     """(LINE of the later line, EARLIER, more): at most limit partners a row and
     key; more says that there may be others.  Without a column sought all rows are."""
@@ -352,23 +366,24 @@ def likely_pairs(postings: DataFrame, limit: int = SURE) -> DataFrame:
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             col = lambda c: t.column(c).to_numpy()
-            t = t.take(pa.array(np.lexsort((col("measure"), col("key")))))
-            # corpus order of the rows: dense, one number for each line
-            number = pc.rank(t.column("d"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
-            h, line = col("h"), col("line")
-            o = np.lexsort((line, h, number))
-            step = (np.diff(number[o]) != 0) | (np.diff(h[o]) != 0) | (np.diff(line[o]) != 0)
-            order = np.empty(len(o), dtype=np.int64)
-            order[o] = np.concatenate([[0], np.cumsum(step)])
+            same = np.diff(col("key"), prepend=0, append=0) == 0
+            same[[0, -1]] = False
+            met = np.flatnonzero(same[1:] | same[:-1])  # keys of one row have no pairs
+            if not len(met):
+                return
+            size = col("measure")[met] >> 32
+            group = np.cumsum(np.diff(col("key")[met], prepend=0) != 0)
+            t = t.take(pa.array(met[np.argsort((group << 32) | size, kind="stable")]))
+            order = corpus_order(t)
             measure = col("measure")
             later, earlier, distance, stopped = pairs_of(
                 col("key"),
                 measure >> 32,
                 measure & 0xFFFFFFFF,
-                Parities(t.column("parity").to_pylist()),
+                Parities(t.column("parity").combine_chunks()),
                 order,
                 limit,
-                col("sought").astype(bool) if marked else np.ones(len(o), dtype=bool),
+                col("sought").astype(bool) if marked else np.ones(t.num_rows, dtype=bool),
             )
             if not len(later):
                 return
@@ -458,6 +473,14 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataF
     )
 
 
+def postings_of(classes: DataFrame) -> DataFrame:
+    """One row a key: the line, its size and the key's place as one number, and more."""
+    keyed = F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place")))
+    rest = [c for c in classes.columns if c in (*LINE, "parity", "sought")]
+    rows = classes.select(*rest, keyed, F.shiftleft(F.col("size").cast("long"), 32).alias("wide"))
+    return rows.select(*rest, "key", F.col("wide").bitwiseOR(F.col("place").cast("long")).alias("measure"))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, h, lines): per document with removed lines their numbers, from 0.
 
@@ -478,12 +501,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = materialize(members.filter(~same_line(members, members, LINE, EARLIER)).select(*LINE), "line-copies")
     discard(lines)
     large = large_keys(classes)
-    postings = classes.select(
-        *LINE,
-        "parity",
-        F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))),
-        F.shiftleft(F.col("size").cast("long"), 32).alias("wide"),
-    ).select(*LINE, "parity", "key", F.col("wide").bitwiseOR(F.col("place").cast("long")).alias("measure"))
+    postings = postings_of(classes)
     part = F.pmod(F.xxhash64("h", "line"), F.col("parts"))
     salted = lambda p: F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", p)).alias("key")
     shown = [*LINE, "parity", "measure"]
@@ -498,14 +516,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_open = open_.count()
     if n_open:
         small = broadcast_if_small(open_, 64 * n_open)
-        again = postings
-        if n_open * PRUNE_FROM < classes.count():  # few lines are open: deal out only the keys they have
-            keys = postings.join(small, same_line(postings, small), "left_semi").select("key").distinct()
-            keys = materialize(keys, "line-keys")
-            again = postings.join(broadcast_if_small(keys, 64 * keys.count()), "key", "left_semi")
-        again = again.join(small, same_line(again, small), "left").select(
-            *[again[c] for c in (*shown, "key")], F.coalesce("sought", F.lit(False)).alias("sought")
+        keys = classes.join(small, same_line(classes, small), "left_semi").select(F.explode("keys").alias("key")).distinct()
+        keys = materialize(keys, "line-keys")  # only those that open lines have are dealt out again
+        marked = classes.join(small, same_line(classes, small), "left").select(
+            *[classes[c] for c in (*LINE, "size", "parity", "keys", "places")], F.coalesce("sought", F.lit(False)).alias("sought")
         )
+        again = postings_of(marked).join(broadcast_if_small(keys, 64 * keys.count()), "key", "left_semi")
         if large is not None:
             every = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(
                 F.col("sought"), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)

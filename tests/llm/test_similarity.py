@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlake.llm import line_dedup, near_dedup
@@ -88,7 +89,7 @@ def test_pairs_second_pass_finds_what_the_first_left(spark):
     n = 400
     key = np.zeros(n, dtype=np.int64)
     size = np.full(n, 10)
-    parity = line_dedup.Parities([bytes(16)] * n)
+    parity = line_dedup.Parities(pa.array([bytes(16)] * n, pa.binary()))
     order = np.arange(n)
     later, earlier, _, stopped = line_dedup.pairs_of(key, size, np.zeros(n, dtype=np.int64), parity, order, 2, np.ones(n, dtype=bool))
     assert stopped[-1]
