@@ -1,13 +1,19 @@
 """Exact deduplication by a tree-merge of sorted digest runs (native plan).
 
-Every input partition pre-aggregates its rows into one run of digests, each
-with its smallest identifier and its count.  Runs meet in binomial rounds: in
-each round 2**fan_bits neighbouring runs are merged into one, and every level
+Every input partition sorts its digests into one run, each digest with its
+smallest identifier and its count.  Runs are cut into slices by the leading bits of
+the digest, so that a run of any length spreads over tasks, and meet in binomial
+rounds: in each round 2**fan_bits neighbouring runs are exchanged slice by slice,
+merged in digest order and reduced by a sort aggregation into one sorted run, which
 keeps, per digest, the smallest identifier and the summed count.  A digest
 counts as the same only if the SHA-256, a second independent 64-bit hash and
 the byte length all agree, so the identifier kept is verified at every level.
-Merges are partial aggregations before the exchange, so a text with a third of
-all copies crosses each exchange as one row per task.
+Equal digests are reduced before the exchange, so a text with a third of
+all copies crosses each exchange as one row per run.
+
+The number of runs and slices follows the number of input partitions: there is a
+run for each of them (up to MOST_RUNS, beyond which neighbouring partitions share
+one), and about as many slices.
 
 Defined cases: a null text counts as empty; two texts are equal when identical
 after each run of ``[\\x20\\x09-\\x0D]`` becomes one space (no trimming); of rows
@@ -39,22 +45,37 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def merge_runs(digests: DataFrame, runs: int = 64, fan_bits: int = 3) -> DataFrame:
-    """Binomial rounds over sorted runs: (digest key, smallest id, count)."""
-    level = digests.groupBy((F.spark_partition_id() % F.lit(runs)).alias("_run"), *KEY).agg(
-        F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")
+MOST_RUNS = 4096
+
+
+def merge_runs(digests: DataFrame, runs: int, fan_bits: int = 3) -> DataFrame:
+    """Binomial rounds over sorted runs: (digest key, smallest id, count).
+
+    The smallest identifier is kept as a struct, which Spark reduces by sorting,
+    not by hashing: in the first round the part before the exchange makes the runs,
+    then each task merges one slice of a group of runs in digest order."""
+    slices = 1 << max(runs - 1, 0).bit_length()
+    lead = F.conv(F.substring("_sha", 1, 4), 16, 10).cast("int")
+    level = digests.select(
+        (F.spark_partition_id() % F.lit(runs)).alias("_run"),
+        (lead % F.lit(slices)).alias("_slice"),
+        *KEY,
+        F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")).alias("_first"),
+        F.lit(1).cast("long").alias("_n"),
     )
-    left = runs
-    while left > 1:
+    left, first_round = runs, True
+    while first_round or left > 1:
         left = -(-left // (1 << fan_bits))
-        level = level.groupBy(F.shiftright("_run", fan_bits).alias("_run"), *KEY).agg(
-            F.min("_keep").alias("_keep"), F.sum("_n").alias("_n")
-        )
-    return level.select(*KEY, "_keep", "_n")
+        level = level.withColumn("_run", F.shiftright("_run", fan_bits))
+        if not first_round:
+            level = level.repartition("_run", "_slice").sortWithinPartitions("_run", "_slice", *KEY)
+        level = level.groupBy("_run", "_slice", *KEY).agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
+        first_round = False
+    return level.select(*KEY, F.col("_first.id").alias("_keep"), "_n")
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_bits: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None, fan_bits: int = 3
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -64,6 +85,9 @@ def exact_dedup(
     on the document side, so a hot digest does not land in one task.
     """
     digests = materialize(digest_table(docs, id_col, text_col), "digests")
+    if runs is None:
+        last = digests.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+        runs = min(1 + (last or 0), MOST_RUNS)
     classes = merge_runs(digests, runs, fan_bits)
     return (
         digests.join(classes, KEY, "left")
