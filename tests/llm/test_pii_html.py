@@ -145,3 +145,55 @@ def test_html_clashing_columns_and_nulls(spark):
     got = sorted((str(r["page_id"]), r["text"]) for r in html_main.extract_main_text(df).collect())
     assert got == [("1", ""), ("2", "hi"), ("None", "yo")]
     assert html_main.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_alignment_decides_where_nothing_is_marked():
+    """Pages whose tags and class names tell nothing: what the pages of a host share
+    goes, what varies stays."""
+    page = (
+        "<body><div><span>The Daily</span><div>Home | World | Sport</div></div><div><div><p>Read more every day</p><h2>{0} happens</h2>"
+        "<p>{0} was seen in town</p><p>By our staff</p><p>then {0} left again</p></div><div><p>Other stories</p></div></div><div>All rights reserved</div></body>"
+    )
+    refs = [html_main.parse(page.format(k)) for k in ("Rain", "Snow", "Wind", "Hail")]
+    text, n = html_main.main_text(page.format("A bear"), refs)
+    assert text == "A bear happens\n\nA bear was seen in town\n\nthen A bear left again" and n == 6
+    other = page.format("A bear").replace("By our staff", "By Ann")  # only where most repeat it
+    assert "By Ann" in html_main.main_text(other, refs)[0]
+
+
+def test_one_copy_among_the_references_hides_no_template():
+    body = "<article><h1>H {0}</h1><p>Subscribe now</p>" + "<p>para {0} with many words of its own</p>" * 3 + "</article>"
+    refs = [html_main.parse(PAGE.format(k, body.format(k))) for k in ("r1", "r2", "x")]
+    text, n = html_main.main_text(PAGE.format("y", body.format("x")), refs)
+    assert "Subscribe" not in text and "para x" in text and n == 1
+
+
+def test_labels_outside_forms_are_text():
+    assert html_main.main_text("<article><p>Hello <label>world</label></p><fieldset>set</fieldset><form><label>no</label></form></article>", [])[0] == "Hello world\n\nset"
+
+
+@pytest.mark.parametrize("kind", ["table", "list", "deep", "same"])
+def test_wide_and_deep_pages_are_aligned_in_time(kind):
+    import time
+
+    def page(word, n):
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td>{word}{k}</td><td>fixed</td><td>{k % 7}</td></tr>" for k in range(n)) + "</table><p>end</p>"
+        if kind == "list":
+            return "<p>start</p><ul>" + "".join(f"<li>{word} {k}</li>" for k in range(n)) + "</ul><p>end</p>"
+        if kind == "deep":
+            return "<div>" * n + f"{word}<p>end</p>" + "</div>" * n
+        return "<p>end</p>" + "<div><p>same</p></div>" * n + word
+
+    began = time.monotonic()
+    root, ref = html_main.parse(page("a", 16_000)), html_main.parse(page("b", 15_990))
+    found = html_main.repeated_slots(root, ref)
+    assert time.monotonic() - began < 40
+    ends = [n for n in html_main.below([root]) if n.tag == "p" and html_main.own_text(n) == "end"]
+    assert kind == "deep" or all(id(n) in found for n in ends)
+
+
+def test_blocks_match_as_the_whole_where_anchors_stand():
+    rows = [f"<li>{k}</li>" for k in range(200)]
+    a, b = "<ul>" + "".join(rows) + "</ul>", "<ul>" + "".join(rows[:50] + ["<li>x</li>"] * 3 + rows[50:120] + rows[130:]) + "</ul>"
+    assert html_main.align(html_main.parse(a), html_main.parse(b))[0] >= 2 + 190
