@@ -5,13 +5,15 @@ access identifiers (``access``) and long lower-case hex strings (``hex``).  Weak
 parts mean little alone: account identifiers (``ident``), opaque mixed strings
 (``blob``) and service addresses (``endpoint``).  Every part covers an interval
 that reaches REACH code points to both sides (its scope); an interval join over
-the sorted parts of a document links parts of complementary roles whose scopes
-meet, and a weak part is reported only if it has such a partner: an identifier
+the sorted parts of a document links all pairs of complementary roles whose scopes
+meet and that do not overlap (what overlaps is one string seen twice).  A weak part
+is reported only if it has such a partner: an identifier
 needs a secret, a blob needs an identifier or an address, an address needs a
 secret.  Strong findings are always reported, unchanged.
 
-Links are taken to the nearest partner of each complementary role, so their
-number is linear in the parts.  Positions are code points, end exclusive.
+Parts of one kind do not overlap and have a least length, so a part has a bounded
+number of partners in its scope and the links are linear in the parts.  Positions
+are code points, end exclusive.
 
 Defined cases: null text is empty (no findings); texts of any length are
 scanned whole; equal starts are ordered by kind as listed in KINDS; an empty
@@ -79,22 +81,26 @@ def weak_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def nearest(part: tuple[str, int, int], starts: list[tuple[int, int, str]], ends: list[tuple[int, int, str]], reach: int):
-    """The part of a role nearest to a part, if their scopes meet: of those before
-    it the one that ends last, of those behind it the one that starts first (parts
-    of a role may nest).  starts holds (start, end, kind) by start, ends (end, start,
-    kind) by end; what overlaps the part is one string seen twice, not two parts."""
+def partners(part: tuple[str, int, int], starts: list[tuple[int, int, str]], ends: list[tuple[int, int, str]], reach: int) -> list[tuple[str, int, int]]:
+    """The parts of a role whose scopes meet the part's and that do not overlap it.
+    starts holds (start, end, kind) by start, ends (end, start, kind) by end."""
     _, s, e = part
-    best = None
-    at = bisect_right(ends, s, key=itemgetter(0))
-    if at and s - ends[at - 1][0] <= 2 * reach:
-        other_e, other_s, kind = ends[at - 1]
-        best = (s - other_e, (kind, other_s, other_e))
-    at = bisect_left(starts, e, key=itemgetter(0))
-    if at < len(starts) and starts[at][0] - e <= 2 * reach and (best is None or starts[at][0] - e < best[0]):
-        other_s, other_e, kind = starts[at]
-        best = (other_s - e, (kind, other_s, other_e))
-    return best and best[1]
+    low, high = bisect_left(ends, s - 2 * reach, key=itemgetter(0)), bisect_right(ends, s, key=itemgetter(0))
+    first, last = bisect_left(starts, e, key=itemgetter(0)), bisect_right(starts, e + 2 * reach, key=itemgetter(0))
+    return [(k, a, b) for b, a, k in ends[low:high]] + [(k, a, b) for a, b, k in starts[first:last]]
+
+
+def apart(spans: list[tuple[str, int, int]], from_: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of the others, by one sorted list of their unions."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in from_):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
+    free = lambda s, e: (k := bisect_right(ends, s)) == len(starts) or starts[k] >= e
+    return [x for x in spans if free(x[1], x[2])]
 
 
 def link(text: str, reach: int = REACH) -> tuple[list[tuple[str, int, int]], list[tuple[tuple, tuple]]]:
@@ -103,19 +109,18 @@ def link(text: str, reach: int = REACH) -> tuple[list[tuple[str, int, int]], lis
     weak = weak_spans(text)
     if not base and len(weak) < 2:
         return base, []
-    taken = [(s, e) for _, s, e in base]
-    weak = [w for w in weak if w[0] != "blob" or not any(s < w[2] and w[1] < e for s, e in taken)]
-    parts = base + weak
+    free = set(apart([w for w in weak if w[0] == "blob"], base))
+    parts = base + [w for w in weak if w[0] != "blob" or w in free]
     by_role: dict[str, list[tuple[int, int, str]]] = {}
     for kind, s, e in sorted(parts, key=lambda x: (x[1], KINDS.index(x[0]))):
         by_role.setdefault(ROLE[kind], []).append((s, e, kind))
     ends = {r: sorted(((e, s, k) for s, e, k in v), key=itemgetter(0, 1)) for r, v in by_role.items()}
     kept, links = [], []
     for p in parts:
-        partners = {r: q for r in COMPLETES[ROLE[p[0]]] if r in by_role and (q := nearest(p, by_role[r], ends[r], reach))}
-        if p[0] in BASE or any(r in partners for r in NEEDS[p[0]]):
+        found = {r: partners(p, by_role[r], ends[r], reach) for r in COMPLETES[ROLE[p[0]]] if r in by_role}
+        if p[0] in BASE or any(found.get(r) for r in NEEDS[p[0]]):
             kept.append(p)
-            links += [(p, q) for q in partners.values()]
+            links += [(p, q) for of_role in found.values() for q in of_role]
     reported = set(kept)
     return kept, [(p, q) for p, q in links if q in reported]
 
