@@ -15,8 +15,10 @@ Chunks between spaces are encoded once per worker: those not seen yet go
 through the library, and a document is put together from them (see
 ChunkEncoder for why the ids equal those of the whole text).
 
-Defined cases: added tokens written out in a text (<|endoftext|>) are plain text
-(encode_special_tokens), unlike the library's default; null text is empty (just the end id); rows of equal identifier
+Defined cases: an added token written out in a text (<|endoftext|>) becomes its
+id, as by the library's default, and such a text goes through the library whole;
+with ``plain_added=True`` it is plain text, so that no document can forge an end
+id; null text is empty (just the end id); rows of equal identifier
 are ordered by a hash of their text; a null identifier comes first; an empty
 table writes no rows.  Only the identifier and the text are read.
 """
@@ -24,6 +26,7 @@ table writes no rows.  Only the identifier and the text are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +42,7 @@ from .chunks import ChunkEncoder
 from .common import pieces_of, text_or_empty, tidied
 
 BLOCK_BYTES = 2 << 20
-STORE_BITS = 22
+STORE_BITS = 21
 WRITER = {
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
@@ -52,15 +55,25 @@ WRITER = {
 
 
 class LibraryEncoder(ChunkEncoder):
-    """Chunks through the tokenizers library."""
+    """Chunks through the tokenizers library; texts that hold one of its added
+    tokens are one chunk."""
 
-    def __init__(self, json_path: str, pattern: str, bits: int = STORE_BITS):
+    def __init__(self, json_path: str, pattern: str, bits: int = STORE_BITS, plain_added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__(pattern, bits)
         self.tok = Tokenizer.from_file(json_path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain_added
+        added = [] if plain_added else [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def uncut(self, data: bytes, begin: np.ndarray, size: np.ndarray) -> list[int]:
+        if self.added is None:
+            return []
+        places = [m.start() for m in self.added.finditer(data)]
+        filled = np.flatnonzero(size > 0)
+        return np.unique(filled[np.searchsorted(begin[filled], places, side="right") - 1]).tolist() if places else []
 
     def fresh(self, chunks: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -70,9 +83,9 @@ class LibraryEncoder(ChunkEncoder):
 
 
 @lru_cache(maxsize=1)
-def library_encoder(json_path: str, pattern: str) -> LibraryEncoder:
+def library_encoder(json_path: str, pattern: str, plain_added: bool) -> LibraryEncoder:
     """One encoder a worker process: its memory serves task after task."""
-    return LibraryEncoder(json_path, pattern)
+    return LibraryEncoder(json_path, pattern, plain_added=plain_added)
 
 
 def write_tokens(
@@ -83,6 +96,7 @@ def write_tokens(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    plain_added: bool = False,
 ) -> None:
     """Encode every document and write the files in ascending identifier order.
 
@@ -104,7 +118,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, at = None, 0
         for batch in batches:
-            coder = coder or library_encoder(json_path, pattern)
+            coder = coder or library_encoder(json_path, pattern, plain_added)
             for i, j in pieces_of(batch, 1, BLOCK_BYTES):
                 ids, sizes = coder.encode(batch.column(1).slice(i, j - i), end_id)
                 ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -187,7 +187,6 @@ def test_sql_twins(spark, name):
 
 def test_token_files(spark, docs):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     path = scratch_path(spark, "t")
     token_files.write_tokens(docs, path, P.path("byte_bpe_50k.json"), P.PATTERN)
     rows = token_files.checked_tokens(spark, path).collect()
@@ -261,7 +260,6 @@ def test_chunks_equal_the_libraries_on_odd_texts(encoding):
     letters = " \n\tab'sé.1,—’_\r\x85l" + "d"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(4000)] + ["", " ", "  ", "a ", "\n b", "\n  b", "x" * 500, "it's  'll"]
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     for coder, plain, end in (
         (bpe.ReplayEncoder(ranks, P.PATTERN, bits=10), encoding.encode_ordinary, None),

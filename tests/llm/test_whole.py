@@ -3,12 +3,14 @@
 import random
 import signal
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from ledgerlake.llm import bpe, html_main, langid, secrets, token_files
+from ledgerlake.llm import bpe, chunks, html_main, langid, secrets, token_files
 
 
 def test_language_of_a_text_of_megabytes(spark):
@@ -117,20 +119,62 @@ def test_an_inner_secret_does_not_hide_the_outer_one():
     assert ident in kept and (ident, ("assign", 0, 538)) in links
 
 
-def test_nearest_equals_brute_force():
+def test_links_and_weak_spans_equal_brute_force():
     r = random.Random(7)
-    for _ in range(300):
-        spans = sorted({(s, s + r.randint(1, 60)) for s in (r.randint(0, 300) for _ in range(r.randint(1, 12)))})
-        starts, ends = [(s, e, "hex") for s, e in spans], sorted((e, s, "hex") for s, e in spans)
-        s = r.randint(0, 300)
-        part, reach = ("ident", s, s + r.randint(1, 30)), r.choice([5, 50])
-        gaps = [g for a, b in spans if (g := max(a - part[2], part[1] - b)) >= 0 and g <= 2 * reach]
-        got = secrets.nearest(part, starts, ends, reach)
-        assert (got is None) == (not gaps) and (not gaps or max(got[1] - part[2], part[1] - got[2]) == min(gaps))
-
-
-def test_a_written_end_token_is_plain_text():
-    coder = token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, bits=10)
-    ids, sizes = coder.encode(pa.array(["a<|endoftext|>"]), 0)
-    assert 50256 not in ids.tolist() and sizes.tolist() == [9]
-    assert "encode_special_tokens" in token_files.__doc__
+    pool = ["user=alice1", "login: bob22", "password=hunter22", "token='0123456789abcdef01234567Z'", "AKIA" + "A1B2" * 4, "0123456789abcdef" * 2]
+    pool += ["aB3" * 8, "https://x.example.com/a", "s3://b/c", "word", "some words", "x" * 150, "y" * 390]
+    for _ in range(400):
+        text = " ".join(r.choice(pool) for _ in range(r.randint(1, 25)))
+        base, weak = secrets.base_spans(text), secrets.weak_spans(text)
+        over = lambda a, b: a[1] < b[2] and b[1] < a[2]
+        parts = base + [w for w in weak if w[0] != "blob" or not any(over(w, x) for x in base)]
+        meets = lambda a, b: not over(a, b) and max(a[1] - b[2], b[1] - a[2]) <= 2 * secrets.REACH
+        role = secrets.ROLE
+        pairs = [(p, q) for p in parts for q in parts if p != q and role[q[0]] in secrets.COMPLETES[role[p[0]]] and meets(p, q)]
+        kept = {p for p in parts if p[0] in secrets.BASE or any(a == p and role[q[0]] in secrets.NEEDS[p[0]] for a, q in pairs)}
+        got, links = secrets.link(text)
+        assert set(got) == kept and len(got) == len(kept)
+        assert sorted(links) == sorted((p, q) for p, q in pairs if p in kept and q in kept)
+
+
+def test_all_partners_in_a_scope_are_linked():
+    text = " ".join(["user=alice1", "user=bob222", "user=carol3", "password=hunter22", "password=hunter33"])
+    assert len(secrets.link(text)[1]) == 12
+
+
+def test_very_many_parts_take_linear_time():
+    text = " ".join(f"{'aB3' * 7}{k} {'0123456789abcdef' * 2}" for k in range(20_000))
+    signal.alarm(60)
+    try:
+        kept, _ = secrets.link(text)
+    finally:
+        signal.alarm(0)
+    assert len(kept) >= 20_000
+
+
+def test_a_written_end_token_is_as_by_the_library():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    bits = ["<|endoftext|>", "<|endoftext|", "hello", " world", "  ", "\n", "é", ",", "x" * 40, "1", "<", "|>"]
+    texts = ["hello <|endoftext|> world", "", "<|endoftext|>", "a<|endoftext|>"] + ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    for plain in (False, True):
+        tok.encode_special_tokens = plain
+        coder = token_files.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, bits=10, plain_added=plain)
+        ids, sizes = coder.encode(pa.array(texts), 0)
+        want = [[*e.ids, 0] for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_ids_do_not_rest_on_a_hash(monkeypatch):
+    """All chunks share very few hashes, and the ids are right all the same."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    real = chunks.chunk_hashes
+    monkeypatch.setattr(chunks, "chunk_hashes", lambda parts, sizes: real(parts, sizes) % np.uint64(5) + np.uint64(1))
+    coder = bpe.ReplayEncoder(ranks, P.PATTERN, bits=10)
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.choice([3, 5, 40]))) for _ in range(60)]
+    for _ in range(5):
+        texts = [" ".join(r.choice(words) for _ in range(50)) for _ in range(20)]
+        ids, _ = coder.encode(pa.array(texts))
+        assert ids.tolist() == sum((plain.encode_ordinary(t) for t in texts), [])
