@@ -516,12 +516,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_open = open_.count()
     if n_open:
         small = broadcast_if_small(open_, 64 * n_open)
-        keys = classes.join(small, same_line(classes, small), "left_semi").select(F.explode("keys").alias("key")).distinct()
-        keys = materialize(keys, "line-keys")  # only those that open lines have are dealt out again
+        # only rows that may be partners of an open line are dealt out again: by key, size, place in the prefix and order
+        size, place, line = F.shiftright("measure", 32), F.col("measure").bitwiseAND(F.lit((1 << 32) - 1)), F.struct(*LINE)
+        seeking = postings_of(classes.join(small, same_line(classes, small), "left_semi"))
+        keys = seeking.groupBy("key").agg(F.min(size).alias("least"), F.max(size).alias("most"), F.min(place).alias("place"), F.max(line).alias("last"))
+        keys = materialize(keys, "line-keys")
+        n_keys = keys.count()
         marked = classes.join(small, same_line(classes, small), "left").select(
             *[classes[c] for c in (*LINE, "size", "parity", "keys", "places")], F.coalesce("sought", F.lit(False)).alias("sought")
         )
-        again = postings_of(marked).join(broadcast_if_small(keys, 64 * keys.count()), "key", "left_semi")
+        again = postings_of(marked)
+        fits = (F.lit(DEN) * size >= F.lit(NUM) * F.col("least")) & (F.lit(NUM) * size <= F.lit(DEN) * F.col("most"))
+        fits &= (F.lit(NUM + DEN) * (place + F.col("place")) <= F.col("most") + size) & (line <= F.col("last"))
+        within = (again["key"] == keys["key"]) & (F.col("sought") | fits)
+        again = again.join(broadcast_if_small(keys, 128 * n_keys), within, "left_semi")
         if large is not None:
             every = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(
                 F.col("sought"), F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
