@@ -174,12 +174,15 @@ def amount_of_text(raw: Column) -> Column:
 
 
 def inr(x: Column) -> Column:
-    """Lakh and crore display of an amount."""
+    """Lakh and crore display of an amount, in rupees."""
     v = F.abs(x.cast("double"))
-    return F.when(v >= 1e7, F.format_string("%.2f Cr", x / 1e7)).when(v >= 1e5, F.format_string("%.2f L", x / 1e5)).otherwise(indian_grouped(x))
+    two = lambda y: F.format_string("%.2f", F.floor(y * 100 + 0.5) / 100)
+    shown = F.when(v >= 1e7, F.concat(two(v / 1e7), F.lit(" Cr"))).when(v >= 1e5, F.concat(two(v / 1e5), F.lit(" L"))).otherwise(indian_grouped(F.floor(v + 0.5)))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.lit("Rs "), shown)
 
 
 def indian_grouped(x: Column) -> Column:
+    """The whole part with a comma after the thousands and each two digits more."""
     whole = F.floor(F.abs(x.cast("double"))).cast("long").cast("string")
     tail = F.right(whole, F.lit(3))
     head = F.when(F.length(whole) > 3, F.left(whole, F.length(whole) - 3)).otherwise(F.lit(""))

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..functions import names
 from .metrics import dbl
 
-RESOLVED = "_party string, _narration string, entity string, entity_confidence int, label string, narration_alias string, alias_label string, cluster_key string"
+RESOLVED = T.StructType(
+    [T.StructField(n, T.IntegerType() if n == "confidence" else T.StringType()) for n in names.Resolved._fields]
+)
 
 
-def resolve_distinct(pairs: DataFrame) -> DataFrame:
-    """Each distinct (party, narration) once through the extraction ladder."""
+@F.pandas_udf(RESOLVED)
+def resolved(party: pd.Series, narration: pd.Series) -> pd.DataFrame:
+    """A transaction's texts through the extraction ladder.  Workers remember the
+    texts they have seen, so nothing is shuffled to find the distinct ones."""
+    rows = [names.resolved(a or "", b or "") for a, b in zip(party, narration)]
+    return pd.DataFrame(rows, columns=names.Resolved._fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for party, narration in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = names.from_transaction(party, narration)
-                label = names.normalized(found.entity) if found.confidence >= 20 else names.UNKNOWN
-                alias = names.alias(narration)
-                rows.append((found.entity, found.confidence, label, alias, names.normalized(alias) if alias else None, names.cluster_key(label)))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-            made = [pa.array(list(v), t) for v, t in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *made],
-                ["_party", "_narration", "entity", "entity_confidence", "label", "narration_alias", "alias_label", "cluster_key"],
-            )
 
-    return pairs.mapInArrow(run, RESOLVED)
+@F.pandas_udf(T.StringType())
+def segment_party(narration: pd.Series) -> pd.Series:
+    """The party that the fields of a narration name, by themselves."""
+    return narration.map(lambda x: names.best_segment(x) if isinstance(x, str) else None)
 
 
 def normalized_name(name: Column) -> Column:
@@ -59,30 +51,28 @@ def with_party(txns: DataFrame) -> DataFrame:
     for name, kind in (("party", "string"), ("custom_party", "string"), ("ai_party", "string"), ("ai_ledger", "string"), ("ai_confidence", "double"), ("excluded", "boolean")):
         if name not in have:
             txns = txns.withColumn(name, F.lit(None).cast(kind))
-    keyed = txns.withColumn("_party", F.coalesce("party", F.lit(""))).withColumn("_narration", F.coalesce("narration", F.lit("")))
-    found = resolve_distinct(keyed.select("_party", "_narration").distinct())
-    joined = keyed.join(found, ["_party", "_narration"]).drop("_party", "_narration")
+    joined = txns.withColumn("_found", resolved("party", "narration"))
     custom, ai = F.nullif(F.trim("custom_party"), F.lit("")), F.nullif(F.trim("ai_party"), F.lit(""))
     given = F.coalesce(custom, ai)
-    label = F.when(given.isNotNull(), normalized_name(given)).otherwise(F.col("label"))
+    label = F.when(given.isNotNull(), normalized_name(given)).otherwise(F.col("_found.label"))
     ai_confidence = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.nullif("ai_confidence", F.lit(0.0)), F.lit(90.0))))
-    confidence = F.when(custom.isNotNull(), 100.0).when(ai.isNotNull(), ai_confidence).otherwise(dbl(F.col("entity_confidence")))
+    confidence = F.when(custom.isNotNull(), 100.0).when(ai.isNotNull(), ai_confidence).otherwise(dbl(F.col("_found.confidence")))
     cat = (
         F.when(custom.isNotNull(), "USER ASSIGNED")
         .when(ai.isNotNull(), F.upper(F.coalesce(F.nullif("ai_ledger", F.lit("")), F.lit("AI ASSIGNED"))))
-        .otherwise(c.party_category(F.col("label"), F.col("category"), F.col("narration")))
+        .otherwise(c.party_category(F.col("_found.label"), F.col("category"), F.col("narration")))
     )
     return joined.select(
         *[x for x in txns.columns if x not in ("label",)],
-        F.coalesce(given, F.col("entity")).alias("party_name"),
+        F.coalesce(given, F.col("_found.entity")).alias("party_name"),
         label.alias("label"),
         confidence.alias("confidence"),
         cat.alias("party_category"),
         c.fine_mode(F.col("mode"), F.col("narration")).alias("fine_mode"),
         custom.alias("manual_party"),
         F.when(custom.isNotNull(), "person").otherwise(c.party_type(label, confidence)).alias("txn_party_type"),
-        "narration_alias",
-        "alias_label",
+        F.col("_found.alias").alias("narration_alias"),
+        F.col("_found.alias_label").alias("alias_label"),
     )
 
 

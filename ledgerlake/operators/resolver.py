@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_CHARS = 60, 45_000
-ROW = "txn_id string, party string, ledger string, confidence double"
+ROW = "txn_id string, party string, ledger string, confidence double, error string"
 
 
 def batches(rows: list[dict], most_rows: int = BATCH_ROWS, most_chars: int = BATCH_CHARS) -> Iterator[list[dict]]:
@@ -38,18 +38,19 @@ def object_in(text: str) -> dict:
 
 
 def asked(rows: list[dict], resolve: Callable[[list[dict]], list[dict]]) -> list[dict]:
-    """Asks for a batch; one that fails is halved; a single row that fails is left out."""
+    """Asks for a batch; one that fails is halved; a single row that fails comes
+    back without a party and with the error."""
     try:
         return list(resolve(rows))
-    except Exception:
+    except Exception as e:
         if len(rows) == 1:
-            return []
+            return [{"txn_id": rows[0]["txn_id"], "error": f"{type(e).__name__}: {e}"}]
         half = len(rows) // 2
         return asked(rows[:half], resolve) + asked(rows[half:], resolve)
 
 
 def resolve_parties(txns: DataFrame, resolve: Callable[[list[dict]], list[dict]] | None) -> DataFrame:
-    """(txn_id, party, ledger, confidence) from a resolver, which has to give the
+    """(txn_id, party, ledger, confidence, error) from a resolver, which has to give the
     same answer when asked again; write the result before it is used twice."""
     if resolve is None:
         return txns.sparkSession.createDataFrame([], ROW)
@@ -58,7 +59,8 @@ def resolve_parties(txns: DataFrame, resolve: Callable[[list[dict]], list[dict]]
         for pdf in pdfs:
             rows = [r for part in batches(pdf.to_dict("records")) for r in asked(part, resolve)]
             known = set(pdf["txn_id"])
-            yield pd.DataFrame([r for r in rows if r.get("txn_id") in known], columns=["txn_id", "party", "ledger", "confidence"])
+            told = {c: [r.get(c) for r in rows if r.get("txn_id") in known] for c in ("txn_id", "party", "ledger", "confidence", "error")}
+            yield pd.DataFrame({c: pd.Series(v, dtype=float if c == "confidence" else object) for c, v in told.items()})
 
     compact = txns.select("txn_id", "narration", "direction", F.col("amount").cast("double").alias("amount"), "mode")
     return compact.mapInPandas(run, ROW)

@@ -9,30 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators.ledger import party_ledger, party_rows
+from ..operators.ledger import party_ledger, party_rows, segment_party
 from ..operators.metrics import daily_flow, dbl, month_metrics, totals_of_months
 from ..operators.scope import scope_month
 
-RAIL_WORDS = r"\b(UPI|NEFT|IMPS|P2A|ACH|CHQ|PAID|SALARY|RENT|DR|CR|D|EMI|TRADERS|CASH|DEPOSIT|SELF|PAYMENT|GST)\b|[-/]"
-CODES = r"@[A-Z0-9.]+|[A-Z]{4}0[A-Z0-9]{4,}|[0-9]{4,}"
-
-
-def rule_party(narration: Column) -> Column:
-    """A party label by rules alone, without the name extractor."""
-    left = F.regexp_replace(F.regexp_replace(F.upper(narration), CODES, " "), RAIL_WORDS, " ")
-    left = F.trim(F.regexp_replace(left, r"\s+", " "))
-    return F.coalesce(c.bank_event(narration)["label"], F.nullif(left, F.lit("")), F.lit("UNRECOGNIZED"))
-
-
 def first_by_date(txns: DataFrame, category: str, most: int = 100) -> DataFrame:
     """The first rows of a category by date, per account."""
     w = Window.partitionBy("account_id").orderBy("txn_date", "seq")
     rows = txns.filter(F.col("category") == category).withColumn("sn", F.row_number().over(w)).filter(F.col("sn") <= most)
-    return rows.select("account_id", "sn", F.date_format("txn_date", "yyyy-MM-dd").alias("date_text"), dbl(F.col("amount")).alias("amount"), "mode", "narration")
+    return rows.select("account_id", "sn", F.date_format("txn_date", "yyyy-MM-dd").alias("date_text"), segment_party("narration").alias("party"), dbl(F.col("amount")).alias("amount"), "mode", "narration")
 
 
 def raw_data(txns: DataFrame) -> DataFrame:
@@ -60,19 +49,17 @@ def net_transactions(txns: DataFrame) -> DataFrame:
 
 def ledger_book(txns: DataFrame) -> DataFrame:
     """The bank's own book: money in stands under debit, money out under credit;
-    a row with both is money out."""
+    a row with both is money out.  Rows stand under the party of the ledger."""
     out = F.col("debit") > 0
-    second = c.fine_mode(F.col("mode"), F.col("narration"))
-    party = F.col("party")
-    cat = c.party_category(party, F.col("category"), F.col("narration"))
     zero = F.lit(0.0)
-    return txns.withColumn("party", rule_party(F.col("narration"))).select(
+    return party_rows(txns).select(
         "account_id",
         F.col("seq").alias("voucher_no"),
         F.date_format("txn_date", "yyyy-MM-dd").alias("date_text"),
         F.when(out, "Cr").otherwise("Dr").alias("side"),
-        party,
-        c.counter_ledger(second, cat, F.col("narration")).alias("counter_ledger"),
+        F.col("filed_party").alias("party"),
+        F.col("label").alias("original_party"),
+        c.counter_ledger(F.col("fine_mode"), F.col("party_category"), F.col("narration")).alias("counter_ledger"),
         F.when(out, zero).otherwise(dbl(F.col("credit"))).alias("debit"),
         F.when(out, dbl(F.col("debit"))).otherwise(zero).alias("credit"),
     )
@@ -104,8 +91,8 @@ def spend_analysis(txns: DataFrame) -> DataFrame:
 
 
 def recurring(txns: DataFrame, side: str, months: int = 3) -> DataFrame:
-    rows = txns.filter(F.col(side) > 0).withColumn("party", rule_party(F.col("narration")))
-    per = rows.groupBy("account_id", "party", "month_key").agg(F.count(F.lit(1)).alias("n"), F.sum(side).alias("s"))
+    rows = party_rows(txns).filter(F.col(side) > 0)
+    per = rows.groupBy("account_id", F.col("filed_party").alias("party"), "month_key").agg(F.count(F.lit(1)).alias("n"), F.sum(side).alias("s"))
     return (
         per.groupBy("account_id", "party")
         .agg(F.count(F.lit(1)).alias("n_months"), F.sum("n").alias("txn_count"), dbl(F.sum("s")).alias("total"))
@@ -127,8 +114,7 @@ def bounce_penal(txns: DataFrame) -> DataFrame:
 
 
 def internal_group(txns: DataFrame) -> DataFrame:
-    rows = txns.withColumn("party", rule_party(F.col("narration")))
-    own = rows.filter((c.party_type(F.col("party"), F.lit(80)) == "self") | F.upper("narration").rlike(r"\bSELF\b"))
+    own = party_rows(txns).filter((F.col("txn_party_type") == "self") | F.upper("narration").rlike(r"\bSELF\b"))
     return own.groupBy("account_id", "month_key").agg(F.count(F.lit(1)).alias("txn_count"), dbl(F.sum("debit")).alias("debit"), dbl(F.sum("credit")).alias("credit"))
 
 
@@ -138,7 +124,8 @@ def circular_flows(txns: DataFrame, days: int = 7) -> DataFrame:
     An interval join by buckets of that many days: money out looks into its own
     bucket and the one before, so the join is on equal keys and no more rows
     meet than can match."""
-    rows = txns.withColumn("party", rule_party(F.col("narration"))).filter("party != 'UNRECOGNIZED'").withColumn("_day", F.unix_date("txn_date"))
+    filed = party_rows(txns).drop("party").withColumnRenamed("filed_party", "party")
+    rows = filed.filter("party != 'UNRECOGNIZED'").withColumn("_day", F.unix_date("txn_date"))
     bucket = F.floor(F.col("_day") / days)
     came = rows.filter("credit > 0").select("account_id", "party", bucket.alias("_b"), F.col("_day").alias("in_day"), F.col("seq").alias("in_seq"), F.col("credit").alias("in_amount"))
     went = rows.filter("debit > 0").select(
@@ -164,8 +151,8 @@ def cam_analysis(txns: DataFrame) -> DataFrame:
 
 
 def emi_tracker(txns: DataFrame) -> DataFrame:
-    rows = txns.filter("category = 'Loan & EMI' AND debit > 0").withColumn("lender", rule_party(F.col("narration")))
-    return rows.groupBy("account_id", "lender", "month_key").agg(F.count(F.lit(1)).alias("txn_count"), dbl(F.sum("debit")).alias("total"))
+    rows = party_rows(txns).filter("category = 'Loan & EMI' AND debit > 0")
+    return rows.groupBy("account_id", F.col("filed_party").alias("lender"), "month_key").agg(F.count(F.lit(1)).alias("txn_count"), dbl(F.sum("debit")).alias("total"))
 
 
 COMPUTED: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -206,13 +193,19 @@ ALIASES = {
 }
 
 
+def generic_sheet(spark: SparkSession, name: str) -> DataFrame:
+    """What a module without a plan of its own shows."""
+    title = " ".join(w[:1].upper() + w[1:] for w in name.split("-"))
+    return spark.createDataFrame([(title, "Module data will be available soon")], "sheet string, message string")
+
+
 def module(name: str, txns: DataFrame, month_key: str | None = None) -> DataFrame:
-    """A report module over a view of the transactions; unknown names are an error."""
+    """A report module over a view of the transactions; unknown names give a generic sheet."""
     name = ALIASES.get(name, name)
     plans = COMPUTED | EXTENSIONS
     if name not in plans:
-        raise KeyError(f"no report module {name!r}; there are {', '.join(sorted(plans))}")
+        return generic_sheet(txns.sparkSession, name)
     return plans[name](scope_month(txns, month_key))
 
 
-__all__ = ["ALIASES", "COMPUTED", "EXTENSIONS", "daily_flow", "module", "rule_party"]
+__all__ = ["ALIASES", "COMPUTED", "EXTENSIONS", "daily_flow", "generic_sheet", "module"]

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as c
-from .operators import balances, ledger, metrics, overrides, parsing, scope
+from .operators import balances, ledger, metrics, normalize, overrides, parsing, scope
 from .operators.metrics import dbl
 from .plans import modules
 from .sources.adapter import raw_transactions, table, transactions
@@ -44,11 +44,6 @@ FINE_MODE = """CASE WHEN regexp_matches({0}, '\\bUPI\\b') THEN 'UPI' WHEN regexp
 EVENT = """CASE WHEN regexp_matches({0}, '\\bSWEEP\\b') THEN 'BANK SWEEP' WHEN regexp_matches({0}, '\\bSETTLEMENT\\b') THEN 'BANK SETTLEMENT'
  WHEN regexp_matches({0}, '\\bCHARGES?\\s+FOR\\b|\\bSMS[_\\s]?CHARGE') THEN 'BANK CHARGES'
  WHEN regexp_matches({0}, '\\b(TO|FROM)\\s+SELF\\b|\\bSELF\\s+TRANSFER\\b') THEN 'SELF / INTERNAL TRANSFER' END"""
-RULE_PARTY = (
-    "coalesce(" + EVENT.format("upper(replace(narration, '_', ' '))") + ", nullif(trim(regexp_replace(regexp_replace(regexp_replace(upper(narration), "
-    "'@[A-Z0-9.]+|[A-Z]{4}0[A-Z0-9]{4,}|[0-9]{4,}', ' ', 'g'), '\\b(UPI|NEFT|IMPS|P2A|ACH|CHQ|PAID|SALARY|RENT|DR|CR|D|EMI|TRADERS|CASH|DEPOSIT|SELF|PAYMENT|GST)\\b|[-/]', ' ', 'g'), "
-    "'\\s+', ' ', 'g')), ''), 'UNRECOGNIZED')"
-)
 PARTY_CATEGORY = """CASE WHEN regexp_matches({0}, '\\b(MSEDCL|MSEB|ELECTRIC|POWER|GAS|WATER|AIRTEL|JIO|VODAFONE|UTILITY)\\b') THEN 'UTILITY'
  WHEN regexp_matches({0}, '\\b(GST|TDS|TAX|CBDT|PF|ESIC)\\b') THEN 'STATUTORY' WHEN regexp_matches({0}, '\\b(BANK CHARGES|CHARGE|FEE|PENAL)\\b') THEN 'BANK CHARGES'
  WHEN regexp_matches({0}, '\\b(BANK INTEREST|INTEREST|INT ON)\\b') THEN 'INTEREST' WHEN regexp_matches({0}, '\\b(EMI|LOAN|NACH|ECS|FINANCE|FINSERV)\\b') THEN 'LOAN/EMI'
@@ -62,13 +57,13 @@ TXN = (
     """WITH base AS (SELECT o_custkey % 50 AS account_id, CAST(l_shipdate AS DATE) AS txn_date, upper(p_name) AS p, CAST(l_orderkey + 100000 AS VARCHAR) AS ref,
  (l_orderkey * 7 + l_linenumber) % 10 AS k, CAST(l_extendedprice AS DECIMAL(18,2)) AS amt, lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 told AS (SELECT *, CASE k WHEN 0 THEN 'UPI-' || p || '-' || ref || '@ybl' WHEN 1 THEN 'NEFT DR-HDFC0001234-' || p WHEN 2 THEN 'IMPS/P2A/' || ref || '/' || p WHEN 3 THEN 'CASH DEPOSIT SELF'
- WHEN 4 THEN 'ACH D- ' || p || ' EMI' WHEN 5 THEN 'CHQ PAID-' || p || ' TRADERS' WHEN 6 THEN 'SALARY ' || p WHEN 7 THEN 'GST PAYMENT' WHEN 8 THEN 'SMS_CHARGE_FOR_JAN25' ELSE 'RENT ' || p END AS narration,
+ WHEN 4 THEN 'ACH D- ' || p || ' EMI' WHEN 5 THEN 'CHQ PAID-' || p || ' TRADERS' WHEN 6 THEN 'SALARY ' || p WHEN 7 THEN 'GST PAYMENT' WHEN 8 THEN 'SMS_CHARGE_FOR_JAN25' ELSE CASE WHEN l_orderkey % 3 = 0 THEN 'ELECTRICITY BILL ' ELSE 'RENT ' END || p END AS narration,
  CASE WHEN l_linenumber % 2 = 1 THEN amt ELSE 0::DECIMAL(18,2) END AS credit, CASE WHEN l_linenumber % 2 = 1 THEN 0::DECIMAL(18,2) ELSE amt END AS debit FROM base),
 seqd AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS seq FROM told),
 txn0 AS (SELECT account_id, seq, txn_date, narration, debit, credit, CAST(sum(credit - debit) OVER (PARTITION BY account_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance,
  CAST(account_id + 1 AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS txn_id, CASE WHEN credit >= debit THEN 'Credit' ELSE 'Debit' END AS direction, greatest(debit, credit) AS amount,
- strftime(txn_date, '%Y-%m') AS month_key, strftime(txn_date, '%b-%y') AS month FROM seqd),
-txn AS (SELECT *, """
+ strftime(txn_date, '%Y-%m') AS month_key, strftime(txn_date, '%b-%y') AS month, k AS shape, p AS pname FROM seqd),
+txn AS MATERIALIZED (SELECT *, """
     + MODE.format("narration")
     + " AS mode, "
     + CATEGORY.format("narration", "direction")
@@ -132,7 +127,7 @@ over_txns(
 over_txns("scope_month", lambda t: as_doubles(scope.scope_month(t, MONTH)), TXN + f"SELECT {ROW_SQL} FROM txn WHERE month_key = '{MONTH}'")
 over_txns("scope_unknown_month", lambda t: scope.scope_month(t, "none").select("account_id", "seq"), TXN + "SELECT account_id, seq FROM txn")
 over_txns("month_options", scope.month_options, TXN + "SELECT DISTINCT month_key, month FROM txn")
-FIRST = TXN + "SELECT account_id, sn, strftime(txn_date, '%Y-%m-%d') AS date_text, CAST(amount AS DOUBLE) AS amount, mode, narration FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date, seq) AS sn FROM txn WHERE category = '{}') WHERE sn <= 100"
+FIRST = TXN + "SELECT account_id, sn, strftime(txn_date, '%Y-%m-%d') AS date_text, CASE WHEN shape < 3 THEN pname WHEN shape = 5 THEN pname || ' TRADERS' WHEN shape = 8 THEN 'SMS' END AS party, CAST(amount AS DOUBLE) AS amount, mode, narration FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY txn_date, seq) AS sn FROM txn WHERE category = '{}') WHERE sn <= 100"
 over_txns("trade_credits_top100", modules.COMPUTED["trade-credits"], FIRST.format("Trade Credit"))
 over_txns("trade_debits_top100", modules.COMPUTED["trade-debits"], FIRST.format("Trade Debit"))
 over_txns(
@@ -210,49 +205,59 @@ over_txns(
 # --- parties -----------------------------------------------------------------
 
 over_txns("party_events", lambda t: t.select("account_id", "seq", c.bank_event(F.col("narration"))["label"].alias("event")), TXN + "SELECT account_id, seq, " + EVENT.format("upper(replace(narration, '_', ' '))") + " AS event FROM txn")
-PARTY = TXN + f", pt AS (SELECT *, {RULE_PARTY} AS party FROM txn), pc AS (SELECT *, {PARTY_CATEGORY.format(chr(39).join(['upper(party || ', ' ', ' || category || ', ' ', ' || narration)']))} AS party_category FROM pt)\n"
+#: What the ladder makes of the shapes of the adapter, and the clusters: a plain name joins the same name with TRADERS.
+LABEL = """CASE WHEN shape IN (0, 1, 2) THEN pname WHEN shape = 3 THEN 'DEPOSIT SELF' WHEN shape = 4 THEN 'EMI' WHEN shape = 5 THEN pname || ' TRADERS' WHEN shape = 6 THEN 'SALARY ' || pname WHEN shape = 7 THEN 'GST'
+ WHEN shape = 8 THEN 'BANK CHARGES' ELSE split_part(narration, ' ' || pname, 1) || ' ' || pname END"""
+PARTY = (
+    TXN
+    + f", lb AS (SELECT *, {LABEL} AS label, CASE shape WHEN 0 THEN 90 WHEN 4 THEN 80 ELSE 85 END AS confidence, {FINE_MODE.format("upper(mode || ' ' || narration)")} AS fine_mode FROM txn), "
+    "tr AS (SELECT DISTINCT account_id, pname AS tp FROM lb WHERE shape = 5), "
+    "pt AS MATERIALIZED (SELECT lb.*, CASE WHEN shape < 3 AND tp IS NOT NULL THEN label || ' TRADERS' ELSE label END AS party FROM lb LEFT JOIN tr ON lb.account_id = tr.account_id AND pname = tp), "
+    f"pc AS MATERIALIZED (SELECT *, {PARTY_CATEGORY.format("upper(label || ' ' || category || ' ' || narration)")} AS party_category FROM pt)\n"
+)
 over_txns(
     "party_labels",
-    lambda t: t.withColumn("party", modules.rule_party(F.col("narration"))).select(
-        "account_id", "seq", "party", c.party_type(F.col("party"), F.lit(80)).alias("party_type")
-    ),
-    PARTY + "SELECT account_id, seq, party, " + PARTY_TYPE.format("party") + " AS party_type FROM pt",
-)
-
-
-def _rule_labelled(t: DataFrame) -> DataFrame:
-    """The columns that the ledger summary reads, with rule labels instead of extracted names."""
-    party = F.col("filed_party")
-    return t.withColumn("filed_party", modules.rule_party(F.col("narration"))).select(
-        "*",
-        party.alias("label"),
-        F.lit(None).cast("string").alias("manual_party"),
-        F.lit(None).cast("string").alias("narration_alias"),
-        F.lit(None).cast("string").alias("alias_label"),
-        c.party_category(party, F.col("category"), F.col("narration")).alias("party_category"),
-        c.fine_mode(F.col("mode"), F.col("narration")).alias("fine_mode"),
-        F.lit(80.0).alias("confidence"),
-    )
-
-
+    lambda t: ledger.with_party(t).select("account_id", "seq", "party_name", "label", "confidence", "party_category", "fine_mode", "txn_party_type"),
+    PARTY + "SELECT account_id, seq, CASE WHEN shape = 4 THEN 'EMI PAYMENT' ELSE label END AS party_name, label, CAST(confidence AS DOUBLE) AS confidence, party_category, fine_mode, "
+    + PARTY_TYPE.format("label") + " AS txn_party_type FROM pc",
+)
 over_txns(
-    "party_summary",
-    lambda t: ledger.summarize(_rule_labelled(t)).select("account_id", "party", "txn_count", "debit", "credit", "net", F.array_join("modes", ",").alias("modes"), "category", "party_type"),
+    "party_aliases",
+    lambda t: ledger.with_party(t).select("account_id", "seq", "narration_alias", "alias_label"),
+    PARTY + ", al AS (SELECT account_id, seq, CASE shape WHEN 1 THEN 'HDFC ' || pname WHEN 4 THEN pname || ' EMI' WHEN 8 THEN 'SMS' ELSE label END AS a FROM pc) SELECT account_id, seq, a AS narration_alias, a AS alias_label FROM al",
+)
+over_txns("cluster_labels", lambda t: ledger.cluster_names(ledger.with_party(t), ("account_id",)), PARTY + "SELECT DISTINCT account_id, label, party AS canonical FROM pt")
+SUMMARY = (
     PARTY
-    + ", fm AS (SELECT *, "
-    + FINE_MODE.format("upper(mode || ' ' || narration)")
-    + " AS fine_mode FROM pc), ct AS (SELECT account_id, party, party_category, count(*) AS n, min(seq) AS f FROM fm GROUP BY ALL), "
+    + ", ct AS (SELECT account_id, party, party_category, count(*) AS n, min(seq) AS f FROM pc GROUP BY ALL), "
     "best AS (SELECT account_id, party, party_category AS category FROM (SELECT *, row_number() OVER (PARTITION BY account_id, party ORDER BY n DESC, f) AS r FROM ct) WHERE r = 1)\n"
-    f"SELECT fm.account_id, fm.party, count(*) AS txn_count, {D('sum(debit)')} AS debit, {D('sum(credit)')} AS credit, {D('sum(credit) - sum(debit)')} AS net, "
-    "array_to_string(list_sort(list_distinct(list(fine_mode))), ',') AS modes, any_value(best.category) AS category, any_value(" + PARTY_TYPE.format("fm.party") + ") AS party_type "
-    "FROM fm JOIN best ON fm.account_id = best.account_id AND fm.party = best.party GROUP BY fm.account_id, fm.party",
+    f"SELECT pc.account_id, pc.party, count(*) AS txn_count, {D('sum(debit)')} AS debit, {D('sum(credit)')} AS credit, {D('sum(credit) - sum(debit)')} AS net, "
+    "array_to_string(list_sort(list_distinct(list(fine_mode))), ',') AS modes, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label <> pc.party))), ','), '') AS aliases, "
+    "any_value(best.category) AS category, CAST(floor(sum(confidence) / count(*)::DOUBLE + 0.5) AS BIGINT) AS confidence, any_value(" + PARTY_TYPE.format("pc.party") + ") AS party_type "
+    "FROM pc JOIN best ON pc.account_id = best.account_id AND pc.party = best.party GROUP BY pc.account_id, pc.party"
+)
+over_txns(
+    "party_ledger_full",
+    lambda t: modules.transactions_summary(t).select("account_id", "party", "txn_count", "debit", "credit", "net", F.array_join("modes", ",").alias("modes"), F.array_join("aliases", ",").alias("aliases"), "category", "confidence", "party_type"),
+    SUMMARY,
+)
+over_txns(
+    "party_summary",
+    lambda t: ledger.ranked(ledger.party_ledger(t)).select("account_id", "rank", "party", "txn_count", "debit", "credit", "category", "party_type"),
+    f"SELECT account_id, row_number() OVER (PARTITION BY account_id ORDER BY txn_count DESC, CAST(debit AS DECIMAL(18,2)) + CAST(credit AS DECIMAL(18,2)) DESC, party) AS rank, party, txn_count, debit, credit, category, party_type FROM ({SUMMARY})",
+)
+over_txns(
+    "party_detail",
+    modules.transactions_detail,
+    PARTY
+    + f"SELECT account_id, party, 1 AS outline_level, CAST(row_number() OVER (PARTITION BY account_id, party ORDER BY seq) AS INTEGER) AS row_no, strftime(txn_date, '%Y-%m-%d') AS date_text, fine_mode, narration, {D('debit')} AS debit, {D('credit')} AS credit FROM pc",
 )
 over_txns(
     "ledger_book",
     modules.ledger_book,
     PARTY
-    + "SELECT account_id, seq AS voucher_no, strftime(txn_date, '%Y-%m-%d') AS date_text, CASE WHEN debit > 0 THEN 'Cr' ELSE 'Dr' END AS side, party, "
-    + COUNTER.format("upper(" + FINE_MODE.format("upper(mode || ' ' || narration)") + " || ' ' || party_category || ' ' || narration)")
+    + "SELECT account_id, seq AS voucher_no, strftime(txn_date, '%Y-%m-%d') AS date_text, CASE WHEN debit > 0 THEN 'Cr' ELSE 'Dr' END AS side, party, label AS original_party, "
+    + COUNTER.format("upper(fine_mode || ' ' || party_category || ' ' || narration)")
     + f" AS counter_ledger, CASE WHEN debit > 0 THEN 0.0::DOUBLE ELSE {D('credit')} END AS debit, CASE WHEN debit > 0 THEN {D('debit')} ELSE 0.0::DOUBLE END AS credit FROM pc",
 )
 
@@ -281,10 +286,6 @@ def name_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter(c.word_overlap(F.col("a"), F.col("b")) >= 0.85)
 
 
-over_txns("party_ledger_full", lambda t: modules.transactions_summary(t).select("account_id", "party", "txn_count", "debit", "credit", "net", F.array_join("modes", ",").alias("modes"), F.array_join("aliases", ",").alias("aliases"), "category", "confidence", "party_type"))
-over_txns("cluster_labels", lambda t: ledger.cluster_names(ledger.with_party(t), ("account_id",)))
-over_txns("party_detail", modules.transactions_detail)
-
 # --- overrides: assignments when seq % 17 = 0 to party seq % 5, excluded when seq % 34 = 0 ----
 
 SETS = TXN + ", pa AS (SELECT DISTINCT account_id, unnest(range(5)) AS party_id FROM txn), parties AS (SELECT account_id, party_id, 'PARTY ' || party_id AS name FROM pa), asg AS (SELECT account_id, txn_id, seq % 5 AS assigned_party_id, CASE WHEN seq % 34 = 0 THEN 'excluded' ELSE 'active' END AS status FROM txn WHERE seq % 17 = 0)\n"
@@ -398,7 +399,9 @@ over_txns("internal_group", modules.internal_group, TXN + f"SELECT account_id, m
 over_txns(
     "circular_flows",
     modules.circular_flows,
-    PARTY + f"SELECT i.account_id, i.party, i.seq AS in_seq, o.seq AS out_seq, o.txn_date - i.txn_date AS days, {D('i.credit')} AS in_amount, {D('o.debit')} AS out_amount FROM pt i JOIN pt o ON i.account_id = o.account_id AND i.party = o.party AND i.party <> 'UNRECOGNIZED' AND i.credit > 0 AND o.debit > 0 AND o.txn_date - i.txn_date BETWEEN 0 AND 7",
+    PARTY + ", d AS (SELECT account_id, party, seq, txn_date, credit, debit, date_diff('day', DATE '1970-01-01', txn_date) AS day FROM pt), "
+    "i AS (SELECT *, day // 7 AS b FROM d WHERE credit > 0), o AS (SELECT *, unnest([day // 7, day // 7 - 1]) AS b FROM d WHERE debit > 0) "
+    f"SELECT i.account_id, i.party, i.seq AS in_seq, o.seq AS out_seq, o.day - i.day AS days, {D('i.credit')} AS in_amount, {D('o.debit')} AS out_amount FROM i JOIN o ON i.account_id = o.account_id AND i.party = o.party AND i.b = o.b WHERE o.day - i.day BETWEEN 0 AND 7",
 )
 over_txns(
     "flags",
@@ -418,12 +421,18 @@ over_txns(
 
 # --- scalar functions, sources, sinks ----------------------------------------
 
+GROUPED = "CASE WHEN length({0}) <= 3 THEN {0} WHEN length({0}) <= 5 THEN left({0}, length({0}) - 3) || ',' || right({0}, 3) ELSE left({0}, length({0}) - 5) || ',' || substr({0}, length({0}) - 4, 2) || ',' || right({0}, 3) END"
 over_txns(
     "display_amounts",
-    lambda t: t.select("account_id", "seq", c.indian_grouped(F.col("amount")).alias("grouped"), c.round2(dbl(F.col("balance")) / 3).alias("third")),
-    TXN + ", g AS (SELECT account_id, seq, balance, CAST(CAST(floor(amount) AS BIGINT) AS VARCHAR) AS w FROM txn) SELECT account_id, seq, CASE WHEN length(w) <= 3 THEN w WHEN length(w) <= 5 THEN left(w, length(w) - 3) || ',' || right(w, 3) ELSE left(w, length(w) - 5) || ',' || substr(w, length(w) - 4, 2) || ',' || right(w, 3) END AS grouped, "
-    "floor((CAST(balance AS DOUBLE) / 3 + 2.220446049250313e-16::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS third FROM g",
-)
+    lambda t: t.select(
+        "account_id", "seq", c.indian_grouped(F.col("amount")).alias("grouped"), c.round2(dbl(F.col("balance")) / 3).alias("third"),
+        c.inr(F.col("balance") / F.when(F.col("seq") % 2 == 0, 1).otherwise(500)).alias("shown"), c.axis_tick(F.floor(F.col("amount"))).alias("tick"),
+    ),
+    TXN + ", g AS (SELECT account_id, seq, balance, CAST(balance AS DOUBLE) / CASE WHEN seq % 2 = 0 THEN 1 ELSE 500 END AS x, floor(CAST(amount AS DOUBLE)) AS t, CAST(CAST(floor(amount) AS BIGINT) AS VARCHAR) AS w FROM txn), h AS (SELECT *, abs(x) AS v, CAST(CAST(floor(abs(x) + 0.5) AS BIGINT) AS VARCHAR) AS r FROM g) SELECT account_id, seq, "
+    + GROUPED.format("w") + " AS grouped, floor((CAST(balance AS DOUBLE) / 3 + 2.220446049250313e-16::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS third, "
+    "CASE WHEN x < 0 THEN '-' ELSE '' END || 'Rs ' || CASE WHEN v >= 1e7 THEN printf('%.2f', floor(v / 1e7 * 100 + 0.5) / 100) || ' Cr' WHEN v >= 1e5 THEN printf('%.2f', floor(v / 1e5 * 100 + 0.5) / 100) || ' L' ELSE " + GROUPED.format("r") + " END AS shown, "
+    "CASE WHEN t >= 1e5 THEN printf('%.1fL', floor(t / 1e4 + 0.5) / 10) WHEN t >= 1e3 THEN printf('%.0fK', floor(t / 1e3 + 0.5)) ELSE printf('%.0f', t) END AS tick FROM h",
+)
 DAYS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MMM-yy", "d.M.yy"]
 
 
@@ -455,10 +464,45 @@ def daily_event_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", (F.floor(F.col("total") * 100 + 0.5) / 100).alias("total"))
 
 
-@query("parse_lines")
+@query(
+    "parse_lines",
+    TXN + f"SELECT 'account-' || account_id AS file_id, seq - 1 AS row_no, strftime(txn_date, '%Y-%m-%d') AS day, {D('nullif(debit, 0)')} AS withdrawal, {D('nullif(credit, 0)')} AS deposit, {D('balance')} AS balance FROM txn",
+)
 def parse_lines(spark: SparkSession, d: str) -> DataFrame:
     """Statements of all accounts written as lines and parsed back."""
-    return parsing.parse_lines(statement_lines(transactions(spark, d)))
+    got = parsing.parse_lines(statement_lines(transactions(spark, d)))
+    return got.select("file_id", F.col("row_no").cast("long").alias("row_no"), F.date_format("txn_date", "yyyy-MM-dd").alias("day"), "withdrawal", "deposit", "balance")
+
+
+def statement_documents(t: DataFrame) -> DataFrame:
+    """One document a month and account, as extraction services write them: text
+    dates in several forms, rows without a date or an amount, and account labels."""
+    n = F.row_number().over(Window.partitionBy("account_id", "month_key").orderBy("seq"))
+    day = F.when(F.col("seq") % 23 == 0, "n/a").when(F.col("seq") % 2 == 0, F.date_format("txn_date", "dd/MM/yyyy")).otherwise(F.date_format("txn_date", "yyyy-MM-dd"))
+    gone = F.col("seq") % 29 == 0
+    amount = lambda x: F.when(gone, 0.0).otherwise(dbl(F.col(x)))
+    row = F.struct(
+        F.when(F.col("seq") % 3 == 0, F.col("narration")).alias("particulars"), F.col("narration"), day.alias("date"), amount("debit").alias("withdrawal"), amount("credit").alias("deposit"),
+        F.when(F.col("seq") % 7 != 0, dbl(F.col("balance"))).alias("balance"),
+    )
+    parts = t.withColumn("_n", n).groupBy("account_id", "month_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    kind = F.col("account_id") % 3
+    said = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    entries = F.when(kind == 0, F.array(said("Bank Name", F.lit("HDFC BANK LTD, Fort")), said("Account Number", F.concat(F.lit("00-77"), F.lpad(F.col("account_id").cast("string"), 4, "0"))))).when(
+        kind == 1, F.array(said("IFSC", F.lit("SBIN0001234")), said("Customer Name", F.lit("Alpha Person")))
+    ).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
+    statement = F.struct(F.lit("icici_2024.pdf").alias("fileName"), entries.alias("accountInfo"), F.col("rows").alias("transactions"))
+    return parts.select(F.concat_ws("/", F.col("account_id").cast("string"), "month_key").alias("analysis_id"), F.lit("The Applicant").alias("applicantName"), F.array(statement).alias("statements"))
+
+
+over_txns(
+    "normalize_statements",
+    lambda t: as_doubles(normalize.normalize(statement_documents(t)).drop("seq", "stmt_idx", "txn_idx")),
+    TXN + f"""SELECT account_id || '/' || month_key AS analysis_id, '1-' || n AS txn_id, strftime(txn_date, '%Y-%m-%d') AS txn_date, strftime(txn_date, '%Y-%m-%d') AS date_text, narration, {D('debit')} AS debit, {D('credit')} AS credit,
+{D('CASE WHEN seq % 7 <> 0 THEN balance END')} AS balance, CASE account_id % 3 WHEN 0 THEN 'HDFC Bank' WHEN 1 THEN 'State Bank of India' ELSE 'ICICI Bank' END AS bank_name,
+CASE account_id % 3 WHEN 0 THEN lpad(CAST(account_id AS VARCHAR), 4, '0') END AS account_suffix, CASE account_id % 3 WHEN 1 THEN 'Alpha Person' ELSE 'The Applicant' END AS holder,
+direction, {D('amount')} AS amount, month_key, month, mode, category FROM (SELECT *, row_number() OVER (PARTITION BY account_id, month_key ORDER BY seq) AS n FROM txn) WHERE seq % 23 <> 0 AND seq % 29 <> 0""",
+)
 
 
 def statement_lines(t: DataFrame) -> DataFrame:

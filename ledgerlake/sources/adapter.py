@@ -34,7 +34,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SALARY "), p),
         F.lit("GST PAYMENT"),
         F.lit("SMS_CHARGE_FOR_JAN25"),
-        F.concat(F.lit("RENT "), p),
+        F.concat(F.when(F.col("l_orderkey") % 3 == 0, "ELECTRICITY BILL ").otherwise("RENT "), p),
     ]
     narration = F.coalesce(*[F.when(kind == i, s) for i, s in enumerate(shapes)])
     amount = F.col("l_extendedprice").cast("decimal(18,2)")

@@ -37,11 +37,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """PDF and image files within the size limit, with what they are."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= UPLOAD_BYTES)
+    """PDF and image files with what they are; one beyond the size limit keeps its
+    row, without content and with the reason."""
+    files = spark.read.format("binaryFile").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ext == "pdf", "pdf").when(ext.isin("jpg", "jpeg", "png", "tif", "tiff"), "image")
-    return files.withColumn("kind", kind).filter("kind IS NOT NULL")
+    large = F.col("length") > UPLOAD_BYTES
+    return files.select(
+        "path", "modificationTime", "length", F.when(~large, F.col("content")).alias("content"), kind.alias("kind"), F.when(large, "file too large").alias("error")
+    ).filter("kind IS NOT NULL")
 
 
 def extract_lines(files: DataFrame, extractor) -> DataFrame:
@@ -54,7 +58,7 @@ def extract_lines(files: DataFrame, extractor) -> DataFrame:
             rows = [r for p, content in zip(pdf["path"], pdf["content"]) for r in extractor(p, content)]
             yield pd.DataFrame(rows, columns=["file_id", "page_no", "line_no", "y", "text", "items"])
 
-    return files.select("path", "content").mapInPandas(run, LINES)
+    return files.filter("content IS NOT NULL").select("path", "content").mapInPandas(run, LINES)
 
 
 def with_fallback(first: DataFrame, second: DataFrame, key: str = "file_id") -> DataFrame:

@@ -5,11 +5,12 @@ import itertools
 from datetime import date
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as c
 from ledgerlake.functions import layout, names
-from ledgerlake.operators import ledger, metrics, normalize, overrides, parsing, resolver, scope
+from ledgerlake.operators import balances, ledger, metrics, normalize, overrides, parsing, resolver, scope
 from ledgerlake.operators.prefix import running
 from ledgerlake.plans import modules
 from ledgerlake.sources import sinks, statements
@@ -213,8 +214,7 @@ def test_scope_and_modules(spark):
     assert scope.scope_rows(df, "2024-02").count() == 1
     keys = spark.createDataFrame([("Jan-24",), ("2024-03",), ("Feb-60",), ("x",)], "l string").select(c.key_of_label(F.col("l")).alias("k")).collect()
     assert [r["k"] for r in keys] == ["2024-01", "2024-03", "1960-02", None]
-    with pytest.raises(KeyError):
-        modules.module("no-such", df)
+    assert modules.module("no-such", df).first()["sheet"] == "No Such"
 
 
 def test_resolver(spark):
@@ -226,7 +226,8 @@ def test_resolver(spark):
             raise ValueError
         return [{"txn_id": rows[0]["txn_id"], "party": "P", "ledger": None, "confidence": None}]
 
-    assert [r["txn_id"] for r in resolver.asked([{"txn_id": x} for x in ("a", "bad", "b")], picky)] == ["a", "b"]
+    got = resolver.asked([{"txn_id": x} for x in ("a", "bad", "b")], picky)
+    assert [(r["txn_id"], r.get("party"), r.get("error")) for r in got] == [("a", "P", None), ("bad", None, "ValueError: "), ("b", "P", None)]
     t = spark.createDataFrame([("a", "n", "Credit", 1.0, "UPI")], "txn_id string, narration string, direction string, amount double, mode string")
     assert resolver.resolve_parties(t, None).count() == 0 and resolver.resolve_parties(t, picky).first()["party"] == "P"
 
@@ -249,6 +250,27 @@ def test_money_columns(spark):
     df = spark.createDataFrame([(1.005,), (-1.005,), (float("nan"),), (None,), (12345678.9,), (250000.0,)], "x double")
     assert [r[0] for r in df.select(c.round2(F.col("x"))).limit(2).collect()] == [1.01, -1.0]
     assert [r[0] for r in df.select(c.money(F.col("x"))).collect()][2:4] == [0.0, 0.0]
-    assert [r[0] for r in df.select(c.inr(F.col("x"))).collect()][4:] == ["1.23 Cr", "2.50 L"]
+    assert [r[0] for r in df.select(c.inr(F.col("x"))).collect()][4:] == ["Rs 1.23 Cr", "Rs 2.50 L"]
     texts = spark.createDataFrame([("1,23,456.00",), ("-5.00",), ("12.00 Dr",), ("x",)], "t string")
     assert [str(r[0]) for r in texts.select(c.amount_of_text(F.col("t"))).collect()] == ["123456.00", "-5.00", "-12.00", "None"]
+
+
+def test_balances_do_not_depend_on_buckets(spark, monkeypatch):
+    rows = [(k % 3, k, date(2024, 1, 1 + k % 28), None if k % 11 == 0 else k * 7 % 50, k % 5) for k in range(400)]
+    df = spark.createDataFrame(rows, "account_id long, seq long, txn_date date, balance int, amount int")
+    df = df.select("account_id", "seq", "txn_date", F.col("balance").cast("decimal(18,2)"), F.col("amount").cast("decimal(18,2)"), F.lit("x").alias("narration"))
+    wide = [sorted(map(str, f(df).collect())) for f in (balances.infer_side, lambda t: balances.reconcile_running(t, F.lit(0)), balances.from_balances)]
+    monkeypatch.setattr(balances, "BUCKET_ROWS", 7)
+    assert wide == [sorted(map(str, f(df).collect())) for f in (balances.infer_side, lambda t: balances.reconcile_running(t, F.lit(0)), balances.from_balances)]
+    w = Window.partitionBy("account_id").orderBy("seq")
+    for ahead, f in ((False, F.lag), (True, F.lead)):
+        got = balances.with_neighbour(df, ("account_id",), ahead, "x").select("seq", "x").collect()
+        assert sorted(map(str, got)) == sorted(map(str, df.select("seq", f("balance").over(w).alias("x")).collect()))
+
+
+def test_uploads_beyond_the_limit_keep_a_reason(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(statements, "UPLOAD_BYTES", 4)
+    for name, data in (("a.pdf", b"123"), ("b.png", b"12345"), ("c.txt", b"1")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"][-5:]: (r["kind"], r["content"], r["error"]) for r in statements.read_uploads(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": ("pdf", bytearray(b"123"), None), "b.png": ("image", None, "file too large")}

@@ -39,16 +39,6 @@ def test_entry_and_registries(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_parsed_lines_give_the_statement_back(spark):
-    got = {(r["file_id"], r["row_no"]): r for r in queries.parse_lines(spark, SF).collect()}
-    facts = queries.transactions(spark, SF).collect()
-    assert len(got) == len(facts)
-    for f in facts:
-        r = got[(f"account-{f['account_id']}", f["seq"] - 1)]
-        assert (r["txn_date"], r["balance"]) == (f["txn_date"], float(f["balance"]))
-        assert (r["withdrawal"] or 0.0, r["deposit"] or 0.0) == (float(f["debit"]), float(f["credit"]))
-
-
 def test_party_ledger_keeps_sums(spark):
     rows = queries.QUERIES["party_ledger_full"](spark, SF).collect()
     facts = queries.transactions(spark, SF).collect()
