@@ -94,14 +94,7 @@ def reads_like_sentence(text: Column) -> Column:
 
 def is_reference_code(token: Column) -> Column:
     u = F.upper(token)
-    return (
-        u.rlike(r"^\d{2,}$")
-        | u.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")
-        | u.rlike(r"^\d{1,2}[/-]\d{1,2}([/-]\d{2,4})?$")
-        | u.rlike(r"^[A-Z]{4}0[A-Z0-9]{4,}$")
-        | u.rlike(r"^[A-Z]{1,4}\d{2,}$")
-        | ((F.length(u) >= 10) & u.rlike(r"\d") & u.rlike(r"^[A-Z0-9]+$"))
-    )
+    return reduce(lambda x, p: x | u.rlike(p), t.REFERENCE_SHAPES, F.lit(False))
 
 
 def is_party_word(token: Column) -> Column:
@@ -110,7 +103,7 @@ def is_party_word(token: Column) -> Column:
         u.rlike(r"[A-Z0-9]")
         & ~u.isin(*t.CHANNEL_WORDS, *t.PROCESS_WORDS)
         & ~is_reference_code(u)
-        & ~u.rlike(r"^XX+\d*$")
+        & ~u.rlike(t.MASKED_NUMBER)
         & (F.length(token) >= 3)
     )
 
@@ -129,7 +122,7 @@ def once(value: Column, use) -> Column:
 def bank_event(narration: Column) -> Column:
     """struct(label, confidence) of a known event, own transfer or merchant, or null."""
     none = F.lit(None).cast("string")
-    merchants = [(label, p + (r"(?!IT)" if label == "CRED" else "")) for label, p in t.MERCHANTS]
+    merchants = t.MERCHANTS
     some = "|".join(f"(?:{p})" for _, p in merchants)
     pair = lambda label, n: F.struct(label.alias("label"), F.lit(n).alias("confidence"))
 

@@ -39,7 +39,7 @@ CATEGORY = """CASE WHEN regexp_matches(upper({0}), '\\b(SALARY|PAYROLL|WAGES)\\b
 FINE_MODE = """CASE WHEN regexp_matches({0}, '\\bUPI\\b') THEN 'UPI' WHEN regexp_matches({0}, '\\bIMPS\\b') THEN 'IMPS' WHEN regexp_matches({0}, '\\bNEFT\\b') THEN 'NEFT'
  WHEN regexp_matches({0}, '\\bRTGS\\b') THEN 'RTGS' WHEN regexp_matches({0}, '\\b(CHQ|CHEQUE|CLG)\\b') THEN 'CHEQUE' WHEN regexp_matches({0}, '\\b(CARD|POS)\\b') THEN 'CARD'
  WHEN regexp_matches({0}, '\\b(ACH|NACH|ECS)\\b') THEN 'ACH' WHEN regexp_matches({0}, '\\bAUTOPAY\\b') THEN 'AUTOPAY' WHEN regexp_matches({0}, '\\bSI\\b') THEN 'SI'
- WHEN regexp_matches({0}, '\\b(CASH|ATM)\\b') THEN 'CASH' WHEN regexp_matches({0}, '\\bSWEEP\\b') THEN 'SWEEP' WHEN regexp_matches({0}, '\\b(INTEREST|INT)\\b') THEN 'INTEREST'
+ WHEN regexp_matches({0}, '\\b(CASH|ATM)\\b') THEN 'CASH' WHEN regexp_matches({0}, '\\bSWEEP\\b') THEN 'SWEEP' WHEN regexp_matches({0}, '\\b(INTEREST|INT\\.?)\\b') THEN 'INTEREST'
  WHEN regexp_matches({0}, '\\b(CHARGE|CHARGES|FEE|PENAL)\\b') THEN 'BANK CHARGES' ELSE 'TRANSFER' END"""
 EVENT = """CASE WHEN regexp_matches({0}, '\\bSWEEP\\b') THEN 'BANK SWEEP' WHEN regexp_matches({0}, '\\bSETTLEMENT\\b') THEN 'BANK SETTLEMENT'
  WHEN regexp_matches({0}, '\\bCHARGES?\\s+FOR\\b|\\bSMS[_\\s]?CHARGE') THEN 'BANK CHARGES'
