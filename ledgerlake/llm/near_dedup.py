@@ -15,12 +15,15 @@ Documents with equal word sequences form a class (copies are never paired).  The
 signature is cut into BANDS bands; classes that agree in a band are candidates if
 their total weights allow the similarity and four-bit sketches of the signatures
 are near enough (3.5 standard deviations beyond the threshold).  Candidates are
-verified on the bags themselves.  Pairing is in rounds: first a row is held
+verified on the bags themselves.  A band value of more than GROUP
+rows is salted into parts of about that size.  Pairing is in rounds: first a row is held
 against its likeliest partner, verified, and components are built; then
 each row outside the commonest component of a band value is held against all rows
 of other components there: first its nearest is verified, which joins most, then
 whatever is left untried.  So a group of many variants costs about a linear number
-of pairs, and no candidate link between two components is lost.
+of pairs, and no candidate link between two components is lost.  In a salted value
+its LEADERS go to all parts in the first round, and later each row outside the
+commonest component of the whole value does, so that it meets all others there.
 
 Defined cases: words are maximal runs of letters, digits and non-ASCII after
 lower-casing A-Z; a text of one to four words is one shingle; a text without
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +60,7 @@ MAX_FAR = 70
 SURE_FAR = 42
 NIBBLES = np.uint64(0x1111111111111111)
 LEADERS, NEAR = 4, 16
+GROUP = 50_000
 B, C = np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -308,6 +312,43 @@ def likely_pairs(postings: DataFrame, limit: int) -> DataFrame:
     return dealt.mapInArrow(tidied(run), "c binary, e binary, far long, more boolean")
 
 
+def dealt(rows: DataFrame, large: DataFrame | None, everywhere: Column) -> DataFrame:
+    """The rows with the keys of large groups salted: a row goes to one part, or to
+    all of them where everywhere is true."""
+    if large is None:
+        return rows
+    own = F.array(F.pmod(F.xxhash64("c"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    salts = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(everywhere, every).otherwise(own)
+    salted = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", "salt"))
+    columns = [x for x in rows.columns if x != "key"]
+    return rows.join(large, "key", "left").withColumn("salt", F.explode(salts)).select(*columns, salted.alias("key"))
+
+
+def with_leaders(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Adds lead: whether a row of a large group is one of its LEADERS, which then
+    have the lowest ranks."""
+    if large is None:
+        return rows.withColumn("lead", F.lit(False))
+    least = F.array(*[F.min(F.struct(F.xxhash64("rank", F.lit(k)).alias("h"), F.col("c"))) for k in range(LEADERS)])
+    chosen = rows.join(large, "key").groupBy("key").agg(least.alias("x")).select("key", F.explode("x.c").alias("c")).distinct()
+    chosen = materialize(chosen.withColumn("lead", F.lit(True)), "near-leaders")
+    marked = rows.join(broadcast_if_small(chosen, 96 * chosen.count()), ["key", "c"], "left")
+    lead = F.coalesce("lead", F.lit(False))
+    low = F.lit(-(1 << 63)) + F.pmod("rank", F.lit(1 << 20))
+    return marked.select(*[(F.when(lead, low).otherwise(F.col(x)) if x == "rank" else F.col(x)).alias(x) for x in rows.columns], lead.alias("lead"))
+
+
+def minor_rows(parts: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Adds minor: whether a row of a large group is outside its commonest component."""
+    if large is None:
+        return parts.withColumn("minor", F.lit(False))
+    sizes = parts.join(large, "key").groupBy("key", "part").count()
+    common = materialize(sizes.groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("common")), "near-common")
+    marked = parts.join(broadcast_if_small(common, 48 * common.count()), "key", "left")
+    return marked.withColumn("minor", F.coalesce(F.col("part") != F.col("common"), F.lit(False))).drop("common")
+
+
 def bag_similar(a: Counter, b: Counter) -> bool:
     """Weighted Jaccard of two bags is at least the threshold, in whole numbers."""
     if len(b) < len(a):
@@ -395,11 +436,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("bands")
     postings = classes.select("c", "weight", "sketch", F.xxhash64("c").alias("rank"), short, F.posexplode("bands").alias("band", "key"))
-    keys = classes.select(F.explode("bands").alias("key")).groupBy("key").count().filter("count > 1").select("key")
-    keys = materialize(keys, "near-keys")
-    keys = broadcast_if_small(keys, 32 * keys.count())
+    keys = materialize(classes.select(F.explode("bands").alias("key")).groupBy("key").count().filter("count > 1"), "near-keys")
+    large = keys.filter(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("parts"))
+    n_large = large.count()
+    large = broadcast_if_small(large, 32 * n_large) if n_large else None
+    keys = broadcast_if_small(keys.select("key"), 32 * keys.count())
     shared = materialize(postings.join(keys, "key", "left_semi"), "near-shared")
-    first = likely_pairs(shared.withColumn("part", F.col("rank")), 0)
+    led = with_leaders(shared.withColumn("part", F.xxhash64("c")), large)
+    first = likely_pairs(dealt(led, large, F.col("lead")).drop("lead"), 0)
     first = first.groupBy("c").agg(F.min(F.struct("far", "e")).alias("m")).select("c", F.col("m.e").alias("e"))
     tried = materialize(in_order(first).distinct(), "near-pairs")
     links = materialize(verified(tried, classes, docs, id_col, text_col), "near-links")
@@ -407,6 +451,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     limit = 1  # then all
     while True:  # until no row between components has candidates left untried
         parts = shared.join(labels, "c", "left").withColumn("part", F.xxhash64(F.coalesce("label", "c"))).drop("label")
+        parts = dealt(minor_rows(parts, large), large, F.col("minor")).drop("minor")
         found = materialize(in_order(likely_pairs(parts, limit)).groupBy("c", "e").agg(F.max("more").alias("more")), "near-pairs")
         fresh = materialize(found.select("c", "e").join(tried, ["c", "e"], "left_anti"), "near-fresh")
         if not fresh.isEmpty():
@@ -447,4 +492,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(gone.select(F.col("d").alias("_nd_d"), F.col("h").alias("_nd_h")).distinct(), "near-gone")
     gone = broadcast_if_small(gone, 64 * gone.count())
     on = docs[id_col].eqNullSafe(gone["_nd_d"]) & (F.xxhash64(docs[text_col]) == gone["_nd_h"])
-    return docs.join(gone, on, "left_anti").select(*docs.columns)
+    return docs.join(gone, on, "left_anti").select(*[docs[c] for c in docs.columns])

@@ -263,3 +263,27 @@ def test_line_dedup_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b\na b", *extra)], ["doc_id", "text", *extra])
     r = line_dedup.dedup_lines(df).first()
     assert r["text"] == "a b" and r["_ld_lines"] == 2 and all(r[c] == c for c in extra if c != "_ld_lines")
+
+
+@pytest.mark.parametrize("group", [7, 40])
+def test_near_band_values_of_very_many_rows_are_split(spark, monkeypatch, group):
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    rnd = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        for i in range(70):
+            words = list(base)
+            for _ in range(rnd.randrange(4) if i % 3 else rnd.randrange(2, 9)):  # some chains, some strays
+                words[rnd.randrange(len(words))] = f"q{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in got) == brute_groups(rows)
+
+
+def test_recall_against_brute_force_on_documents(spark):
+    """All links of similarity 0.8 and more between the documents of the smallest
+    tables, found by comparing each with each."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in got) == brute_groups(rows)
