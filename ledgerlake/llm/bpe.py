@@ -1,14 +1,17 @@
-"""Byte-level BPE by merge replay over a word inventory.
+"""Byte-level BPE by merge replay over a word inventory of the corpus.
 
-Text is cut by the public pattern; the distinct words of a block of documents
-form one inventory whose byte symbols lie in one linked array.  An inverted
+Text is cut by the public pattern.  A first pass counts the distinct chunks of all
+documents; the INVENTORY_CHUNKS most frequent ones (a bound that the corpus does not
+move) form the corpus inventory.  The byte symbols of its words lie in one linked
+array.  An inverted
 index maps every mergeable pair to the positions where it occurs.  Merges are
 replayed in rank order over the whole inventory: all positions of the lowest
 rank are merged, and only the two touched neighbours of each position are
-re-indexed.  Words repeat far more often than they are new, so a worker keeps
-the ids of the chunks it has seen (up to a bound, after which it starts anew; see
-chunks.py) and documents are assembled from them.  Words do not depend on each
-other, so blocks of any size give the same ids and nothing has to be shuffled.
+re-indexed.  The ids of the inventory go to all workers; what is rarer is
+replayed in the same way over the inventory of a block of documents, and its ids
+are kept up to a bound (see chunks.py).  Words do not depend on each
+other, so inventories of any size give the same ids, and of all chunks only the
+distinct ones of each task are shuffled.
 
 Defined cases: null text is empty (no ids, empty bytes); very long words run
 through the same index in O(n log n); an empty table gives an empty result.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
-from .common import pieces_of, text_or_empty, tidied
+from .chunks import SHORT, ChunkEncoder, chunk_hashes, short_chunks
+from .common import discard, materialize, pieces_of, text_or_empty, tidied
 
 BLOCK_BYTES = 1 << 19
 INVENTORY = 2_000
-STORE_BITS = 19
+STORE_BITS = 20
+INVENTORY_CHUNKS = 1 << 18
+COUNTED_AT_ONCE = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -184,6 +190,23 @@ class ReplayEncoder(ChunkEncoder):
     def __init__(self, ranks: dict[bytes, int], pattern: str, bits: int = STORE_BITS):
         super().__init__(pattern, bits)
         self.replay = MergeReplay(ranks)
+        self.loaded = ""
+
+    def load(self, token: str, inventory: pa.Table) -> None:
+        """Puts the ids of an inventory into the store, to stay there."""
+        if self.loaded == token:
+            return
+        self.store.kept = None
+        self.store.clear()
+        data = b"".join(chunks := inventory.column("chunk").to_pylist())
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        parts = short_chunks(np.frombuffer(data, dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
+        h, first = np.unique(chunk_hashes(parts, sizes), return_index=True)
+        ids = inventory.column("ids").to_pylist()
+        if len(h):
+            self.store.add(h, parts[first], sizes[first], [ids[i] for i in first])
+        self.store.keep()
+        self.loaded = token
 
     def fresh(self, chunks: list[str]) -> list[list[int]]:
         cut = [self.split(c) for c in chunks]
@@ -201,18 +224,96 @@ def replay_encoder(ranks_path: str, pattern: str) -> ReplayEncoder:
     return ReplayEncoder(load_ranks(ranks_path), pattern)
 
 
+class ChunkCounts:
+    """Distinct short chunks of texts with their counts, given away in tables of a
+    bounded size."""
+
+    def __init__(self, pattern: str):
+        self.encoder = ChunkEncoder(pattern, bits=1)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, texts: pa.Array) -> None:
+        _, b, starts, _ = self.encoder.chunks_of(texts)
+        sizes = np.diff(np.append(starts, len(b)))
+        short = np.flatnonzero(sizes <= SHORT)
+        starts, sizes = starts[short], sizes[short]
+        parts = short_chunks(b, starts, sizes)
+        h, first, n = np.unique(chunk_hashes(parts, sizes), return_index=True, return_counts=True)
+        self.held.append((h, parts[first], sizes[first], n))
+        self.n += len(h)
+        if self.n > COUNTED_AT_ONCE:
+            self.merge()
+
+    def merge(self) -> None:
+        h, parts, sizes, n = (np.concatenate(x) for x in zip(*self.held))
+        h, first, same = np.unique(h, return_index=True, return_inverse=True)
+        self.held = [(h, parts[first], sizes[first], np.bincount(same, weights=n).astype(np.int64))]
+        self.n = len(h)
+
+    def tables(self, all_: bool) -> Iterator[pa.RecordBatch]:
+        """The counts, if they are asked for or have grown beyond the bound."""
+        if not self.held or not (all_ or self.n > COUNTED_AT_ONCE // 2):
+            return
+        self.merge()
+        _, parts, sizes, n = self.held[0]
+        self.held, self.n = [], 0
+        raw = parts.view(np.uint8).reshape(len(parts), SHORT)[np.arange(SHORT) < sizes[:, None]]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+        yield pa.RecordBatch.from_arrays([chunks, pa.array(n)], ["chunk", "n"])
+
+
+def corpus_inventory(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", most: int | None = None) -> pa.Table:
+    """(chunk, ids) of the most frequent chunks of the corpus, at most so many: those
+    of the counts above which no more than that remain, by a table of counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = ChunkCounts(pattern)
+        for batch in batches:
+            for i, j in pieces_of(batch, 0, BLOCK_BYTES):
+                seen.add(batch.column(0).slice(i, j - i))
+                yield from seen.tables(False)
+        yield from seen.tables(True)
+
+    most = INVENTORY_CHUNKS if most is None else most
+    counted = docs.select(text_or_empty(text_col).alias("_text")).mapInArrow(tidied(count), "chunk binary, n long")
+    counts = materialize(counted.groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1"), "bpe-chunks")
+    level = F.floor(F.log2("n") * 8)
+    least, held = 1 << 30, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds at most
+        held += r["count"]
+        if held > most:
+            break
+        least = r["level"]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = replay_encoder(ranks_path, pattern)
+        for batch in batches:
+            ids = coder.fresh([c.decode("utf-8", "surrogatepass") for c in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["chunk", "ids"])
+
+    chosen = counts.filter(level >= least).select("chunk")
+    out = chosen.mapInArrow(tidied(replay), "chunk binary, ids array<int>").toArrow()
+    discard(counts)
+    return out
+
+
 def bpe_round_trip(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id, ids array<int>, decoded binary: every text encoded, and decoded from its ids."""
     src = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     id_type = src.schema["_id"].dataType
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_inventory(docs, ranks_path, pattern, text_col))
+    made = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
             if coder is None:
                 coder = replay_encoder(ranks_path, pattern)
+                coder.load(made, sent.value)
                 token = coder.replay.token
             for i, j in pieces_of(batch, 1, BLOCK_BYTES):
                 flat, sizes = coder.encode(batch.column(1).slice(i, j - i))

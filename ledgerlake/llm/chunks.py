@@ -51,9 +51,19 @@ class ChunkStore:
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
         self.entry = np.zeros(1 << bits, dtype=np.int32)
+        self.kept: tuple | None = None
         self.clear()
 
+    def keep(self) -> None:
+        """What the store holds now stays when it is cleared."""
+        self.kept = (self.keys.copy(), self.entry.copy(), self.n, self.used, *(x.copy() for x in (self.at, self.length, self.parts, self.size, self.ids)))
+
     def clear(self) -> None:
+        if self.kept:
+            keys, entry, self.n, self.used, *rest = self.kept
+            self.keys[:], self.entry[:] = keys, entry
+            self.at, self.length, self.parts, self.size, self.ids = (x.copy() for x in rest)
+            return
         self.keys[:] = 0
         self.n = self.used = 0
         self.at, self.length = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
@@ -132,9 +142,8 @@ class ChunkEncoder:
         """Ids of chunks that are not known yet."""
         raise NotImplementedError
 
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with the end id if one is given, numbers of ids
-        by text)."""
+    def chunks_of(self, texts: pa.Array) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of the texts, the same as an array, where chunks start, their numbers by text)."""
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)
         offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         raw = texts.buffers()[2]
@@ -153,6 +162,12 @@ class ChunkEncoder:
             cut[begin[k]] = True
         starts = np.flatnonzero(cut)
         n_chunks = np.diff(np.searchsorted(starts, np.append(begin, len(b))))
+        return data, b, starts, n_chunks
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id if one is given, numbers of ids
+        by text)."""
+        data, b, starts, n_chunks = self.chunks_of(texts)
         lengths, listed = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
         most = len(self.store.keys) // 2
         for k in range(0, len(starts), most):
@@ -207,7 +222,7 @@ class ChunkEncoder:
         entry = np.where(sizes <= SHORT, store.find(h), -1)
         if store.full(int((entry < 0).sum())):
             store.clear()
-            entry[:] = -1
+            entry = np.where(sizes <= SHORT, store.find(h), -1)
         alone = sizes > SHORT
         hit = np.flatnonzero(entry >= 0)
         alone[hit] |= ~store.holds(entry[hit], parts[hit], sizes[hit])

@@ -178,3 +178,41 @@ def test_ids_do_not_rest_on_a_hash(monkeypatch):
         texts = [" ".join(r.choice(words) for _ in range(50)) for _ in range(20)]
         ids, _ = coder.encode(pa.array(texts))
         assert ids.tolist() == sum((plain.encode_ordinary(t) for t in texts), [])
+
+
+def test_corpus_inventory_and_ids(spark, monkeypatch):
+    """The inventory holds what is frequent, and ids are the same with any of it."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdeéß") for _ in range(r.choice([2, 4, 7, 40]))) for _ in range(300)]
+    rows = [(i, " ".join(words[min(int(r.expovariate(0.02)), 299)] for _ in range(80)) + r.choice(["", " ", "\n\n", "  x"])) for i in range(120)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {i: plain.encode_ordinary(t or "") for i, t in rows}
+    for most in (0, 7, 100, 1 << 17):
+        table = bpe.corpus_inventory(df, path, P.PATTERN, most=most)
+        assert table.num_rows <= most and (most < 100 or table.num_rows > 50)
+        for c, ids in zip(table.column("chunk").to_pylist(), table.column("ids").to_pylist()):
+            assert ids == plain.encode_ordinary(c.decode())
+        monkeypatch.setattr(bpe, "INVENTORY_CHUNKS", most)
+        got = {x["doc_id"]: x for x in bpe.bpe_round_trip(df, path, P.PATTERN).collect()}
+        assert {i: x["ids"] for i, x in got.items()} == want
+        assert all(bytes(x["decoded"]).decode() == (dict(rows)[i] or "") for i, x in got.items())
+    assert bpe.bpe_round_trip(df.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_a_loaded_store_survives_being_full():
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.ReplayEncoder(ranks, P.PATTERN, bits=8)
+    known = [b" the", b" of", b" abc"]
+    coder.load("a", pa.table({"chunk": known, "ids": [plain.encode_ordinary(c.decode()) for c in known]}))
+    signal.alarm(60)
+    try:
+        for k in range(20):
+            text = " the of " + " ".join(f"x{k}y{i} of" for i in range(150)) + " abc"
+            ids, _ = coder.encode(pa.array([text]))
+            assert ids.tolist() == plain.encode_ordinary(text)
+    finally:
+        signal.alarm(0)
+    assert coder.store.kept[2] == 3
