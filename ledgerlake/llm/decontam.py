@@ -1,12 +1,12 @@
 """Benchmark decontamination with training suffix arrays.
 
-A shard is a bounded block of whole training documents.  Its words are mapped to
+A shard is a block of whole training documents, up to SHARD_BYTES of text.  Its words are mapped to
 the vocabulary of the test texts; a suffix that starts outside that vocabulary,
 or in a stretch of test words shorter than the shortest window, can hold no
 window, so the shard's suffix array covers just the other suffixes (a sparse
 suffix array, sorted by prefix doubling).  Every test suffix is then looked up
-by binary search: the neighbours of its place give the longest verbatim match,
-and the range that shares its first window gives all locations.  Shards need
+by binary search, all at once: the range that shares its first window gives all
+locations, and each is extended to the longest verbatim match.  Shards need
 nothing of each other, so documents are never shuffled.
 
 A window is WINDOW consecutive words of an item; an item with fewer words (but
@@ -14,33 +14,36 @@ some) is one window.  A document word inside any occurrence of a window is hit,
 and a document is contaminated if ``n_hit > 0 and ratio * n_hit >= n_words``.
 
 The test set is a query set held against all rows in blocks: each block of
-items is bounded by BLOCK_BYTES of text, is broadcast by itself, and marks are
-carried along the rows from block to block, so a test set of any size works.
+items is bounded by BLOCK_BYTES of text and broadcast by itself.  With one block the
+rows pass through one map.  With more, the matches of each block are written to a
+table of their own, its broadcast is given up before the next, and the rows get
+their matches by a join on hashes of the text, so a test set of any size works.
 
 Defined cases: words are maximal runs of letters, digits and non-ASCII, after
 lower-casing A-Z; a null text has no words and is clean; an item without words
 matches nothing; repeated items each count; an empty test set or an empty table
-is fine.  Columns to carry along are named by the caller and kept apart from
-the working columns, so clashing names are harmless.
+is fine.  Columns are carried along; in find_matches and mark an input column called
+like an output column (``_dc_...``) is replaced, decontaminate keeps all columns.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces_of, tidied
+from .common import broadcast_if_small, fresh_names, materialize, pieces_of, tidied
 
 WINDOW = 13
 RATIO = 20
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 8 << 20
+NEEDLES = 50_000
 BLOCK_BYTES = 16 << 20
 #: A-Z to lower case; ASCII that is neither letter nor digit to a space.
 WORDS = bytes(
@@ -65,6 +68,36 @@ class TestBlock:
         self.window = window
         self.shortest = min((min(window, len(x)) for _, x in self.items), default=window)
         self.longest = max((len(x) for _, x in self.items), default=0)
+        #: By length of window: (item, place in it) of each, and their words as rows.
+        self.needles: dict[int, tuple[list[tuple[int, int]], np.ndarray]] = {}
+        for k in sorted({min(window, len(x)) for _, x in self.items}):
+            at = [(n, j) for n, (_, x) in enumerate(self.items) if min(window, len(x)) == k for j in range(len(x) - k + 1)]
+            self.needles[k] = at, np.array([self.items[n][1][j : j + k] for n, j in at], dtype=np.int64)
+
+
+def ids_of(words: list[bytes], block: TestBlock) -> np.ndarray:
+    """The words as numbers of the test vocabulary, 0 for others."""
+    get = block.vocab.get
+    return np.fromiter((get(w, 0) for w in words), dtype=np.int32, count=len(words))
+
+
+def bounds(text: np.ndarray, order: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the suffix array the suffixes that start with each needle begin and
+    end, by binary searches for all needles at once."""
+    m, k = needles.shape
+    step = np.arange(k)
+    out = []
+    for upper in (False, True):
+        lo, hi = np.zeros(m, dtype=np.int64), np.full(m, len(order), dtype=np.int64)
+        while (on := np.flatnonzero(lo < hi)).size:
+            mid = (lo[on] + hi[on]) // 2
+            differs = text[np.minimum(order[mid, None] + step, len(text) - 1)] - needles[on]
+            first = (differs != 0).argmax(axis=1)
+            sign = differs[np.arange(len(on)), first]
+            after = sign <= 0 if upper else sign < 0
+            lo[on], hi[on] = np.where(after, mid + 1, lo[on]), np.where(after, hi[on], mid)
+        out.append(lo)
+    return out[0], out[1]
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -92,51 +125,44 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
 
 
 def match_shard(docs: list[list[bytes]], block: TestBlock) -> list[tuple[int, object, int, int, int]]:
+    return match_ids([ids_of(words, block) for words in docs], block)
+
+
+def match_ids(docs: list[np.ndarray], block: TestBlock) -> list[tuple[int, object, int, int, int]]:
     """All occurrences: (document, item, place in item, place in document, words).
 
     Each is a longest verbatim match that holds a window: an occurrence of a
     window is extended to the left and right as far as both texts agree.
     """
-    if not block.items:
-        return []
-    get = block.vocab.get
-    parts, doc_of, place_of = [], [], []
-    for d, words in enumerate(docs):
-        if not words:
-            continue
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+    parts, doc_of = [], []
+    for d, ids in enumerate(docs):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]])))
         for a, b in zip(edges[::2], edges[1::2]):
             if b - a >= block.shortest:
                 parts.append(ids[a:b])
-                parts.append(np.zeros(1, dtype=np.int64))
+                parts.append(np.zeros(1, dtype=np.int32))
                 doc_of.append((d, a, b - a + 1))
-    if not parts:
+    if not parts or not block.items:
         return []
-    text = np.concatenate(parts)
+    text = np.concatenate(parts).astype(np.int64)
     doc = np.repeat([x[0] for x in doc_of], [x[2] for x in doc_of])
     place = np.concatenate([np.arange(a, a + n) for _, a, n in doc_of])
     order = suffix_array(text, block.longest + 1)
     order = order[text[order] > 0]
-    raw, listed = text.astype(">u4").tobytes(), order.tolist()
     found: set[tuple[int, object, int, int, int]] = set()
-    for key, ids in block.items:
-        k = min(block.window, len(ids))
-        item = np.array(ids, dtype=np.int64)
-        needle_all = item.astype(">u4").tobytes()
-        for j in range(len(ids) - k + 1):
-            needle = needle_all[4 * j : 4 * (j + k)]
-            head = lambda p, n=4 * k: raw[4 * p : 4 * p + n]
-            lo = bisect_left(listed, needle, key=head)
-            if lo == len(listed) or head(listed[lo]) != needle:
-                continue
-            for p in listed[lo : bisect_right(listed, needle, lo=lo, key=head)]:
-                if j and p and text[p - 1] == item[j - 1] and doc[p - 1] == doc[p]:
-                    continue  # inside the match that starts further left
-                m = min(len(ids) - j, len(text) - p)
-                same = text[p : p + m] == item[j : j + m]
-                n = m if same.all() else int(np.argmin(same))
-                found.add((int(doc[p]), key, j, int(place[p]), n))
+    for at, words in block.needles.values():
+        for a in range(0, len(at), NEEDLES):
+            low, high = bounds(text, order, words[a : a + NEEDLES])
+            for r in np.flatnonzero(low < high):
+                n, j = at[a + r]
+                key, item = block.items[n][0], np.array(block.items[n][1], dtype=np.int64)
+                for p in order[low[r] : high[r]]:
+                    if j and p and text[p - 1] == item[j - 1] and doc[p - 1] == doc[p]:
+                        continue  # inside the match that starts further left
+                    m = min(len(item) - j, len(text) - p)
+                    same = text[p : p + m] == item[j : j + m]
+                    length = m if same.all() else int(np.argmin(same))
+                    found.add((int(doc[p]), key, j, int(place[p]), length))
     return sorted(found, key=lambda x: (x[0], x[3], x[4], x[2], str(x[1])))
 
 
@@ -151,7 +177,7 @@ MATCH = T.StructType(
 
 
 def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The test items in blocks of bounded size; one block is on the driver at a time."""
+    """The test items in blocks of bounded size, one after another."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     block, held = [], 0
     for r in rows.toLocalIterator():
@@ -179,34 +205,60 @@ def find_matches(
     matches of test items that hold a window, as (item, place in the item,
     place in the document, words)."""
     spark = docs.sparkSession
-    out = docs.select("*", F.lit(0).cast("long").alias("_dc_n_words"), F.array().cast(T.ArrayType(MATCH)).alias("_dc_matches"))
-    schema, n_cols = out.schema, len(out.columns)
-    at = docs.columns.index(text_col)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUTPUTS])
     blocks = test_blocks(benchmark, item_col, item_text_col, block_bytes)
-    for block in chain([next(blocks, [])], blocks):
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is None:
+        return matched_with(docs, spark.sparkContext.broadcast(first), text_col, window, shard_bytes)
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"), F.col(text_col).alias("t"))
+    tables = []
+    for block in chain([first, second], blocks):
         sent = spark.sparkContext.broadcast(block)
+        part = matched_with(texts, sent, "t", window, shard_bytes).filter(F.size("_dc_matches") > 0)
+        tables.append(materialize(part.select("h", "g", "_dc_matches").dropDuplicates(["h", "g"]), "decontam-matches"))
+        sent.destroy()
+    every = tables[0]
+    for part in tables[1:]:
+        every = every.union(part)
+    h, g = fresh_names(docs, "_dc_h", "_dc_g")
+    every = every.groupBy(F.col("h").alias(h), F.col("g").alias(g)).agg(F.flatten(F.collect_list("_dc_matches")).alias("_dc_matches"))
+    every = materialize(every, "decontam-matches")
+    n_bytes = every.agg(F.coalesce(F.sum(F.size("_dc_matches") * 64 + 64), F.lit(0))).first()[0]
+    every = broadcast_if_small(every, n_bytes)
+    on = (F.xxhash64(docs[text_col]) == every[h]) & (F.xxhash64(docs[text_col], F.lit(1)) == every[g])
+    n_words = F.size(F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    none = F.array().cast(T.ArrayType(MATCH))
+    return docs.join(every, on, "left").select(
+        *[docs[c] for c in docs.columns], n_words.cast("long").alias("_dc_n_words"), F.coalesce("_dc_matches", none).alias("_dc_matches")
+    )
+
+
+OUTPUTS = ("_dc_n_words", "_dc_matches", "_dc_n_hit", "_dc_contaminated")
+
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tests = None
-            for batch in batches:
-                tests = tests or TestBlock(sent.value, window)
-                for i, j in pieces_of(batch, at, shard_bytes):
-                    part = batch.slice(i, j - i)
-                    docs_words = [words_of(t) for t in part.column(at).to_pylist()]
-                    matches = part.column(n_cols - 1).to_pylist()
-                    for d, key, iw, dw, n in match_shard(docs_words, tests):
-                        matches[d].append({"item": key, "item_word": iw, "doc_word": dw, "n_words": n})
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *part.columns[: n_cols - 2],
-                            pa.array([len(w) for w in docs_words], pa.int64()),
-                            pa.array(matches, part.schema.field(n_cols - 1).type),
-                        ],
-                        schema=part.schema,
-                    )
-
-        out = out.mapInArrow(tidied(run), schema)
-    return out
+def matched_with(docs: DataFrame, sent: Broadcast, text_col: str, window: int, shard_bytes: int) -> DataFrame:
+    """The documents with their words' number and the matches of one block of items.
+    A shard ends with its text bound or with the batch that Spark sends."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_dc_n_words", T.LongType()), T.StructField("_dc_matches", T.ArrayType(MATCH))])
+    at = docs.columns.index(text_col)
+    match = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = None
+        for batch in batches:
+            tests = tests or TestBlock(sent.value, window)
+            for i, j in pieces_of(batch, at, shard_bytes):
+                part = batch.slice(i, j - i)
+                ids = [ids_of(words_of(t.as_py()), tests) for t in part.column(at)]
+                matches: list[list[dict]] = [[] for _ in ids]
+                for d, key, iw, dw, n in match_ids(ids, tests):
+                    matches[d].append({"item": key, "item_word": iw, "doc_word": dw, "n_words": n})
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(matches, match)], [f.name for f in schema]
+                )
+
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def mark(matched: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -230,6 +282,6 @@ def mark(matched: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    marked = mark(find_matches(docs, benchmark, text_col, **options))
-    return marked.filter(~F.col("_dc_contaminated")).select(*docs.columns)
-
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    marked = mark(find_matches(plain, benchmark, f"c{docs.columns.index(text_col)}", **options))
+    return marked.filter(~F.col("_dc_contaminated")).select(*plain.columns).toDF(*docs.columns)

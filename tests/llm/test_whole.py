@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlake.llm import bpe, chunks, html_main, langid, secrets, token_files
+from ledgerlake.llm import bpe, chunks, decontam, html_main, langid, secrets, token_files
 
 
 def test_language_of_a_text_of_megabytes(spark):
@@ -216,3 +216,27 @@ def test_a_loaded_store_survives_being_full():
     finally:
         signal.alarm(0)
     assert coder.store.kept[2] == 3
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    extra = ["_dc_matches", "_dc_n_words", "_dc_h", "c0", "c1", "lists"]
+    item = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, "clean text", *extra), (2, item, *extra)], ["doc_id", "text", *extra])
+    bench = spark.createDataFrame([(1, item), (2, "other words here")], "item_id long, text string")
+    for block in (1 << 20, 10):
+        rows = decontam.decontaminate(df, bench, block_bytes=block).collect()
+        assert [r["doc_id"] for r in rows] == [1] and all(rows[0][c] == c for c in extra) and rows[0].__fields__ == df.columns
+        marked = decontam.mark(decontam.find_matches(df, bench, block_bytes=block))
+        assert sorted((r["doc_id"], r["_dc_n_words"], r["_dc_contaminated"], r["lists"]) for r in marked.collect()) == [(1, 2, False, "lists"), (2, 20, True, "lists")]
+
+
+def test_all_suffixes_are_bisected_at_once():
+    r = random.Random(12)
+    text = np.array([r.randrange(4) for _ in range(400)] + [0], dtype=np.int64)
+    order = decontam.suffix_array(text, 400)
+    order = order[text[order] > 0]
+    needles = np.array([[r.randrange(1, 5) for _ in range(5)] for _ in range(200)])
+    low, high = decontam.bounds(text, order, needles)
+    for n, a, b in zip(needles, low, high):
+        want = {p for p in range(len(text) - 5) if (text[p : p + 5] == n).all()}
+        assert set(order[a:b].tolist()) == want
