@@ -205,6 +205,17 @@ def month_label(d: Column) -> Column:
     return F.date_format(d, "MMM-yy")
 
 
+def display_date(text: Column) -> Column:
+    """Day, month name and year; what is no date stays as it is, nothing is a dash."""
+    given = F.nullif(text.cast("string"), F.lit(""))
+    return F.coalesce(F.date_format(parsed_date(given), "dd-MMM-yyyy"), given, F.lit("-"))
+
+
+def date_tokens(text: Column) -> Column:
+    """How many date-like tokens a text holds, as a sign that a page is upright."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b"), F.lit(0)))
+
+
 def two_digit_year(y: Column, pivot: int) -> Column:
     n = y.cast("int")
     return F.when(F.length(y) == 4, n).when(n <= pivot, n + 2000).otherwise(n + 1900)

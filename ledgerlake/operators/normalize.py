@@ -92,3 +92,18 @@ def normalize(statements: DataFrame) -> DataFrame:
             (F.unix_date("txn_date").cast("long") * F.lit(1 << 40) + F.col("stmt_idx").cast("long") * F.lit(1 << 24) + F.col("txn_idx")).alias("seq"),
         )
     )
+
+
+def applicant_banks(statements: DataFrame) -> DataFrame:
+    """(analysis_id, stmt_idx, bank, account, ifsc, branch) of every statement."""
+    each = statements.select("analysis_id", F.posexplode("statements").alias("stmt_idx", "s"))
+    flat = each.select("analysis_id", "stmt_idx", F.col("s.fileName").alias("f"), F.col("s.accountInfo").alias("e"))
+    text = lambda x: F.nullif(x, F.lit(""))
+    return flat.select(
+        "analysis_id",
+        "stmt_idx",
+        bank_name(F.col("e"), F.col("f")).alias("bank"),
+        F.coalesce(text(info(F.col("e"), r"(?i)account number")), text(F.col("f")), F.concat(F.lit("Account "), (F.col("stmt_idx") + 1).cast("string"))).alias("account"),
+        F.coalesce(text(info(F.col("e"), r"(?i)ifsc")), F.lit("-")).alias("ifsc"),
+        F.coalesce(text(info(F.col("e"), r"(?i)branch")), F.lit("-")).alias("branch"),
+    )

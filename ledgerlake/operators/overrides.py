@@ -76,6 +76,10 @@ def name_key(name: Column) -> Column:
     return F.upper(F.trim(name))
 
 
+def party(parties: DataFrame, party_id: int) -> DataFrame:
+    return parties.filter(F.col("party_id") == party_id)
+
+
 def add_parties(parties: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
     """New names that no party has yet, whatever their case; blank ones are refused."""
     keyed = fresh.withColumn("_k", name_key(F.col("name"))).filter("_k IS NOT NULL AND _k != ''")

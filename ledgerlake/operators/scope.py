@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import key_of_label
+
 
 def scope_month(txns: DataFrame, key: str | None) -> DataFrame:
     """Transactions of a month, by key or label; an unknown month changes nothing.
@@ -29,3 +31,24 @@ def scope_rows(rows: DataFrame, key: str, columns: tuple[str, ...] = ("month_key
 
 def month_options(txns: DataFrame) -> DataFrame:
     return txns.select("month_key", "month").distinct()
+
+
+def same_month(rows: DataFrame, month: str, column: str = "month") -> DataFrame:
+    """Rows of a month, whichever way either side writes it."""
+    return rows.filter(key_of_label(F.col(column)) == key_of_label(F.lit(month)))
+
+
+def cleaned_rows(rows: DataFrame) -> DataFrame:
+    """Party and narration as a screen shows them, and an identifier for rows without."""
+    named = lambda x, other: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(other)).alias(x)
+    shown = {"party": named("party", "UNRECOGNIZED"), "narration": named("narration", "Transaction")}
+    return rows.select(*[shown.get(x, F.col(x)) for x in rows.columns])
+
+
+def excluded_only(hydrated: DataFrame) -> DataFrame:
+    return hydrated.filter(F.coalesce("excluded", F.lit(False)))
+
+
+def analysis(rows: DataFrame, analysis_id: str, column: str = "analysis_id") -> DataFrame:
+    """One analysis of a table that holds many."""
+    return rows.filter(F.col(column) == analysis_id)

@@ -79,6 +79,34 @@ def transactions_detail(txns: DataFrame) -> DataFrame:
     )
 
 
+def party_outline(txns: DataFrame) -> DataFrame:
+    """Summary and detail as one outline: level 0 is a party, level 1 its rows by date."""
+    detail = transactions_detail(txns)
+    total = lambda x: dbl(F.sum(F.col(x).cast("decimal(18,2)"))).alias(x)
+    none = lambda kind: F.lit(None).cast(kind)
+    head = detail.groupBy("account_id", "party").agg(total("debit"), total("credit"))
+    return head.select(
+        "account_id", "party", F.lit(0).alias("outline_level"), F.lit(0).alias("row_no"), none("string").alias("date_text"), none("string").alias("fine_mode"), none("string").alias("narration"), "debit", "credit"
+    ).unionByName(detail)
+
+
+def trade_rows(txns: DataFrame) -> DataFrame:
+    """Facts out of the two trade lists, for reports that hold no transactions."""
+    side = lambda name, way: COMPUTED[name](txns).select(
+        "account_id", "date_text", "party", "narration", F.lit(way).alias("direction"),
+        F.when(F.lit(way) == "Debit", F.col("amount")).otherwise(0.0).alias("debit"), F.when(F.lit(way) == "Credit", F.col("amount")).otherwise(0.0).alias("credit"),
+    )
+    return side("trade-credits", "Credit").unionByName(side("trade-debits", "Debit"))
+
+
+def master_book(txns: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> list[str]:
+    """Every module as a table of its own under one folder; the names written."""
+    names = sorted(COMPUTED | EXTENSIONS)
+    for name in names:
+        write(module(name, txns), f"{path}/{name}")
+    return names
+
+
 def highest_transactions(txns: DataFrame, most: int = 10) -> DataFrame:
     w = Window.partitionBy("account_id", "direction").orderBy(F.desc("amount"), "seq")
     return txns.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("account_id", "direction", "rank", "seq", dbl(F.col("amount")).alias("amount"))

@@ -4,16 +4,17 @@ sinks, each over the whole tables, with the same in DuckDB SQL."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import columns as c
 from .functions import names
 from .functions import tables as t
-from .operators import ledger, overrides, parsing, resolver, scope
+from .operators import ledger, normalize, overrides, parsing, resolver, scope
 from .operators.metrics import dbl
-from .queries import MONTH, SETS, TXN, D, _events, _override_tables, over_txns, query
+from .plans import modules
+from .queries import MONTH, PARTY, SETS, TXN, D, _events, _override_tables, over_txns, query, statement_documents
 from .sources.adapter import table
 from .sources.sinks import as_document, sheet_names
 
@@ -150,6 +151,51 @@ over_txns(
 )
 over_txns("scope_report_rows", lambda x: scope.scope_rows(x.select("account_id", "seq", "month_key", F.date_format("txn_date", "yyyy-MM-dd").alias("date_text")), MONTH).select("account_id", "seq"), TXN + f"SELECT account_id, seq FROM txn WHERE month_key = '{MONTH}'")
 
+over_txns(
+    "same_month_rows",
+    lambda x: scope.same_month(x, "Mar-96").select("account_id", "seq"),
+    TXN + "SELECT account_id, seq FROM txn WHERE month_key = '1996-03'",
+)
+over_txns(
+    "cleaned_rows",
+    lambda x: scope.cleaned_rows(x.select("account_id", "seq", F.when(F.col("seq") % 3 == 0, F.lit("  ")).when(F.col("seq") % 3 == 1, F.lit("ALPHA ")).alias("party"), F.when(F.col("seq") % 4 != 0, F.col("narration")).alias("narration"))),
+    TXN + "SELECT account_id, seq, CASE WHEN seq % 3 = 1 THEN 'ALPHA' ELSE 'UNRECOGNIZED' END AS party, CASE WHEN seq % 4 <> 0 THEN narration ELSE 'Transaction' END AS narration FROM txn",
+)
+over_txns(
+    "excluded_rows",
+    lambda x: scope.excluded_only(overrides.hydrate(x, *_override_tables(x))).select("account_id", "seq", "custom_party"),
+    SETS + "SELECT txn.account_id, seq, 'PARTY ' || (seq % 5) AS custom_party FROM txn WHERE seq % 34 = 0",
+)
+over_txns(
+    "display_dates",
+    lambda x: x.select("account_id", "seq", c.display_date(F.when(F.col("seq") % 5 == 0, "").when(F.col("seq") % 5 == 1, "n/a").otherwise(F.date_format("txn_date", "dd/MM/yyyy"))).alias("shown"),
+                       c.date_tokens(F.concat_ws(" ", F.date_format("txn_date", "dd/MM/yyyy"), "narration", F.date_format("txn_date", "d-M-yy"))).cast("long").alias("n_dates")),
+    TXN + "SELECT account_id, seq, CASE seq % 5 WHEN 0 THEN '-' WHEN 1 THEN 'n/a' ELSE strftime(txn_date, '%d-%b-%Y') END AS shown, CAST(2 AS BIGINT) AS n_dates FROM txn",
+)
+over_txns(
+    "applicant_banks",
+    lambda x: normalize.applicant_banks(statement_documents(x)).drop("stmt_idx"),
+    TXN + """SELECT DISTINCT account_id || '/' || month_key AS analysis_id, CASE account_id % 3 WHEN 0 THEN 'HDFC Bank' WHEN 1 THEN 'State Bank of India' ELSE 'ICICI Bank' END AS bank,
+CASE account_id % 3 WHEN 0 THEN '00-77' || lpad(CAST(account_id AS VARCHAR), 4, '0') ELSE 'icici_2024.pdf' END AS account, CASE account_id % 3 WHEN 1 THEN 'SBIN0001234' ELSE '-' END AS ifsc, '-' AS branch FROM txn""",
+)
+over_txns(
+    "one_analysis",
+    lambda x: scope.analysis(normalize.normalize(statement_documents(x)), "7/1996-03").select("txn_id", "narration"),
+    TXN + "SELECT '1-' || n AS txn_id, narration FROM (SELECT *, row_number() OVER (PARTITION BY account_id, month_key ORDER BY seq) AS n FROM txn) WHERE account_id = 7 AND month_key = '1996-03' AND seq % 23 <> 0 AND seq % 29 <> 0",
+)
+over_txns(
+    "party_outline",
+    modules.party_outline,
+    PARTY + f"""SELECT account_id, party, 0 AS outline_level, 0 AS row_no, {NUL} AS date_text, {NUL} AS fine_mode, {NUL} AS narration, {D('sum(debit)')} AS debit, {D('sum(credit)')} AS credit FROM pc GROUP BY account_id, party
+UNION ALL SELECT account_id, party, 1 AS outline_level, CAST(row_number() OVER (PARTITION BY account_id, party ORDER BY seq) AS INTEGER) AS row_no, strftime(txn_date, '%Y-%m-%d') AS date_text, fine_mode, narration, {D('debit')} AS debit, {D('credit')} AS credit FROM pc""",
+)
+over_txns(
+    "trade_rows",
+    modules.trade_rows,
+    TXN + f"""SELECT account_id, strftime(txn_date, '%Y-%m-%d') AS date_text, CASE WHEN shape < 3 THEN pname WHEN shape = 5 THEN pname || ' TRADERS' WHEN shape = 8 THEN 'SMS' END AS party, narration, direction, {D('debit')} AS debit, {D('credit')} AS credit
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id, category ORDER BY txn_date, seq) AS n FROM txn WHERE category IN ('Trade Credit', 'Trade Debit')) WHERE n <= 100""",
+)
+
 # --- changes of parties --------------------------------------------------------
 
 
@@ -160,6 +206,7 @@ def _fresh(x: DataFrame) -> DataFrame:
     return x.select("account_id").distinct().select("account_id", each.alias("name"))
 
 
+over_txns("party_by_id", lambda x: overrides.party(_override_tables(x)[1], 3), SETS + "SELECT account_id, party_id, name FROM parties WHERE party_id = 3")
 over_txns(
     "party_added",
     lambda x: overrides.add_parties(_override_tables(x)[1].drop("party_id"), _fresh(x)).select("account_id", F.upper("name").alias("name")),
