@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SHORT, ChunkEncoder, chunk_hashes, short_chunks
-from .common import discard, materialize, pieces_of, text_or_empty, tidied
+from .common import KEPT, discard, materialize, pieces_of, text_or_empty, tidied
 
 BLOCK_BYTES = 1 << 19
 INVENTORY = 2_000
-STORE_BITS = 20
-INVENTORY_CHUNKS = 1 << 18
+STORE_BITS = 19
+INVENTORY_CHUNKS = 1 << 16
 COUNTED_AT_ONCE = 1 << 19
 
 
@@ -224,6 +224,9 @@ def replay_encoder(ranks_path: str, pattern: str) -> ReplayEncoder:
     return ReplayEncoder(load_ranks(ranks_path), pattern)
 
 
+KEPT["bpe"] = replay_encoder.cache_clear
+
+
 class ChunkCounts:
     """Distinct short chunks of texts with their counts, given away in tables of a
     bounded size."""
@@ -277,7 +280,7 @@ def corpus_inventory(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
         yield from seen.tables(True)
 
     most = INVENTORY_CHUNKS if most is None else most
-    counted = docs.select(text_or_empty(text_col).alias("_text")).mapInArrow(tidied(count), "chunk binary, n long")
+    counted = docs.select(text_or_empty(text_col).alias("_text")).mapInArrow(tidied(count, "bpe"), "chunk binary, n long")
     counts = materialize(counted.groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1"), "bpe-chunks")
     level = F.floor(F.log2("n") * 8)
     least, held = 1 << 30, 0
@@ -294,7 +297,7 @@ def corpus_inventory(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["chunk", "ids"])
 
     chosen = counts.filter(level >= least).select("chunk")
-    out = chosen.mapInArrow(tidied(replay), "chunk binary, ids array<int>").toArrow()
+    out = chosen.mapInArrow(tidied(replay, "bpe"), "chunk binary, ids array<int>").toArrow()
     discard(counts)
     return out
 
@@ -330,7 +333,7 @@ def bpe_round_trip(
     schema = StructType(
         [StructField("_id", id_type), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]
     )
-    return src.mapInArrow(tidied(run), schema).withColumnRenamed("_id", id_col)
+    return src.mapInArrow(tidied(run, "bpe"), schema).withColumnRenamed("_id", id_col)
 
 
 def decode_ids(token: dict[int, bytes], ids: list[int]) -> bytes:

@@ -116,17 +116,33 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+#: Memories that a worker process keeps between tasks, as functions that forget them.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(uses: str) -> None:
+    for name, forget in KEPT.items():
+        if name != uses:
+            forget()
+
+
+def given_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator], uses: str = "") -> Callable[[Iterator], Iterator]:
     """A worker function that gives freed memory back to the system when its
-    task ends: workers are kept, and share their node with the executor."""
+    task ends: workers are kept, and share their node with the executor.  What a
+    worker remembers for other operators than the one used here is forgotten first."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        forget_others(uses)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        given_back()
 
     return wrapped
 

@@ -42,7 +42,7 @@ from .common import broadcast_if_small, fresh_names, materialize, pieces_of, tid
 
 WINDOW = 13
 RATIO = 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 NEEDLES = 50_000
 BLOCK_BYTES = 16 << 20
 #: A-Z to lower case; ASCII that is neither letter nor digit to a space.

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .chunks import ChunkEncoder
-from .common import pieces_of, text_or_empty, tidied
+from .common import KEPT, pieces_of, text_or_empty, tidied
 
 BLOCK_BYTES = 2 << 20
 STORE_BITS = 21
@@ -88,6 +88,9 @@ def library_encoder(json_path: str, pattern: str, plain_added: bool) -> LibraryE
     return LibraryEncoder(json_path, pattern, plain_added=plain_added)
 
 
+KEPT["tokens"] = library_encoder.cache_clear
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -129,7 +132,7 @@ def write_tokens(
                 )
                 at += int(ends[-1])
 
-    ordered.mapInArrow(tidied(run), schema).write.options(**WRITER).parquet(path)
+    ordered.mapInArrow(tidied(run, "tokens"), schema).write.options(**WRITER).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
