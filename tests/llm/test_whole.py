@@ -240,3 +240,35 @@ def test_all_suffixes_are_bisected_at_once():
     for n, a, b in zip(needles, low, high):
         want = {p for p in range(len(text) - 5) if (text[p : p + 5] == n).all()}
         assert set(order[a:b].tolist()) == want
+
+
+def test_language_equals_a_plain_version(spark):
+    """Each text with each dictionary, cut to one size, in whole pieces: the smallest sum wins."""
+    import re
+
+    import zstandard as zstd
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**9 + k, t) for k, t in enumerate([None, "", "123 !", "a", "ß" * 40_000])]
+    size = min(map(len, model.values()))
+    model = {k: v[-size:] for k, v in model.items()}  # one tier
+    coders = {}
+    for k, v in model.items():
+        d = zstd.ZstdCompressionDict(v[-size:], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        params = zstd.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=size, write_content_size=False, write_dict_id=False, write_checksum=False)
+        d.precompute_compress(compression_params=params)
+        coders[k] = zstd.ZstdCompressor(compression_params=params, dict_data=d)
+    want = {}
+    for i, t in rows:
+        letters = re.sub(r"[\W\d_]+", " ", (t or "").lower())
+        if not letters.strip():
+            want[i] = ("und", True)
+            continue
+        data = letters.encode()
+        n = -(-len(data) // langid.PIECE_BYTES)
+        cut = [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+        sizes = sorted((sum(len(c.compress(p)) for p in cut), k) for k, c in coders.items())
+        want[i] = (sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[0][0] < langid.MIN_MARGIN)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.classify(df, model).collect()} == want
