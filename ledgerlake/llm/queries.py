@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_main, langid, line_dedup, near_dedup, pii, secrets, token_files
+from . import bpe, decontam, exact_dedup, html_main, langid, line_dedup, merkle, near_dedup, pii, secrets, token_files
 from .common import scratch_path, table
 
 
@@ -148,6 +148,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checked_tokens(spark, path)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(altered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claim = merkle.leaf_of([text if c == "text" else F.col(c) for c in merkle.FIELDS])
+    done = merkle.manifest(docs, claim=claim)
+    return done.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_byte_bpe": op2_byte_bpe,
@@ -159,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
