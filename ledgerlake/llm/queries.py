@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_main, langid, line_dedup, merkle, near_dedup, pii, secrets, token_files
-from .common import scratch_path, table
+from . import bpe, conv_trie, decontam, exact_dedup, html_main, langid, line_dedup, merkle, near_dedup, pii, secrets, token_files
+from .common import materialize, scratch_path, table
 
 
 #: Production passes a secret key; this one keeps the registered query repeatable.
@@ -148,6 +148,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checked_tokens(spark, path)
 
 
+#: unsigned CRC-32 of the decimal text of a whole number, bit by bit
+CRC32_SQL = """xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda a, c: list_reduce(range(8), lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END, xor(a, c)),
+  CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     altered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
@@ -157,6 +163,95 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+OP11_SQL = """
+WITH RECURSIVE
+s AS (
+  SELECT doc_id, source, replace(text, chr(10), '') AS cut, {crc} % 2 = 0 AS altered, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+      || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head
+  FROM documents),
+d AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN altered THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-'))
+              ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS claim
+  FROM s),
+l AS (
+  SELECT doc_id, leaf, claim, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM d),
+up AS (
+  SELECT g, 0 AS lvl, i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT g, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY g, lvl, i // 3, n),
+sub AS (SELECT g, h FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, g AS i, (SELECT count(*) FROM sub) AS n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 3, n),
+side AS (
+  SELECT a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM up a JOIN up b ON a.g = b.g AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.g, a.lvl, a.i),
+topside AS (
+  SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.lvl, a.i),
+walk AS (
+  SELECT g, i AS leaf_at, 0 AS lvl, i, claim AS h, '' AS proof FROM l
+  UNION ALL
+  SELECT w.g, w.leaf_at, w.lvl + 1, w.i // 3, sha256(lft || w.h || rgt), w.proof || lft || rgt
+  FROM walk w JOIN side s ON w.g = s.g AND w.lvl = s.lvl AND w.i = s.i),
+high AS (
+  SELECT g, leaf_at, 0 AS lvl, g AS i, h, proof FROM (SELECT *, row_number() OVER (PARTITION BY g, leaf_at ORDER BY lvl DESC) AS k FROM walk) WHERE k = 1
+  UNION ALL
+  SELECT w.g, w.leaf_at, w.lvl + 1, w.i // 3, sha256(lft || w.h || rgt), w.proof || lft || rgt
+  FROM high w JOIN topside s ON w.lvl = s.lvl AND w.i = s.i)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM l JOIN sub ON l.g = sub.g
+JOIN (SELECT *, row_number() OVER (PARTITION BY g, leaf_at ORDER BY lvl DESC) AS k FROM high) f ON f.g = l.g AND f.leaf_at = l.i AND f.k = 1
+CROSS JOIN (SELECT h FROM top WHERE n = 1) r
+""".replace("{crc}", CRC32_SQL.format("doc_id"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = materialize(conv_trie.turn_arrays(table(spark, sf_dir, "conversations")), "conversations")
+    heads = arrays.select(F.col("conv").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv").cast("string")) % 9).cast("int")
+    both = arrays.withColumn("base", F.col("conv") - F.col("conv") % 5).join(heads, "base", "left")
+    none = F.array().cast("array<binary>")
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))
+    return conv_trie.trie(both.select("conv", F.concat(F.coalesce(F.slice("head", F.lit(1), h), none), own).alias("turns")))
+
+
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, {crc} % 9 AS h, conv_id - conv_id % 5 AS base,
+         list(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS keys,
+         list(strlen(coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS sizes
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+seq AS (
+  SELECT o.conv_id, list_concat(coalesce(b.keys[1:o.h], []), o.keys[o.h + 1:]) AS keys, list_concat(coalesce(b.sizes[1:o.h], []), o.sizes[o.h + 1:]) AS sizes
+  FROM own o LEFT JOIN own b ON b.conv_id = o.base),
+pre AS (
+  SELECT conv_id, len(keys) AS len, d, array_to_string(keys[1:d], '') AS path, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM seq)),
+node AS (
+  SELECT path, d, min(conv_id) AS low, count(*) AS n, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = d), '')) AS ends
+  FROM pre GROUP BY path, d),
+kids AS (SELECT left(path, 64 * (CAST(d AS INT) - 1)) AS path, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+sub AS (
+  SELECT left(n.path, 64 * CAST(a.d AS INT)) AS path, a.d, count(*) FILTER (coalesce(k.n, 0) = 0) AS leaves, sum((n.n - 1) * n.size) AS saved
+  FROM node n LEFT JOIN kids k ON k.path = n.path AND k.d = n.d, LATERAL (SELECT unnest(range(0, n.d + 1)) AS d) a GROUP BY ALL)
+SELECT n.low AS conv_id, n.d AS depth, p.low AS parent_conv_id, n.n AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, sub.leaves AS n_leaves,
+       CAST(sub.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM node n JOIN sub ON sub.path = n.path AND sub.d = n.d
+LEFT JOIN kids k ON k.path = n.path AND k.d = n.d
+LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.path = left(n.path, 64 * (CAST(n.d AS INT) - 1))
+""".replace("{crc}", CRC32_SQL.format("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_byte_bpe": op2_byte_bpe,
@@ -169,6 +264,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
+}
