@@ -29,13 +29,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, materialize
+from .common import broadcast_if_small, discard, materialize, placed
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-PLACE_BITS = 33  # of monotonically_increasing_id, for the place in a partition
 STEPS = "array<struct<left:binary,right:binary>>"
 
 
@@ -59,33 +58,6 @@ def joined(digests: Column) -> Column:
     return F.aggregate(digests, F.lit(b""), lambda a, x: F.concat(a, x))
 
 
-def placed(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
-    """Adds ``_i``, the place in the group from 0, and ``_n``, the group's size.
-
-    The rows are sorted by range and written; what stands before a partition
-    is a running sum over one row per partition and group."""
-    by = [F.col(c).asc_nulls_first() for c in (group, *order)]
-    at = F.monotonically_increasing_id()
-    run = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", at), name, release=False)
-    run = run.withColumn("_part", F.shiftrightunsigned("_at", PLACE_BITS))
-    parts = run.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    whole = Window.partitionBy(group)
-    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = materialize(
-        parts.select(
-            F.col("_part").alias("_p"),
-            F.col(group).alias("_of"),
-            (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-            F.sum("_rows").over(whole).alias("_n"),
-        ),
-        name + "-parts",
-        release=False,
-    )
-    small = broadcast_if_small(parts, 100 * parts.count())
-    found = run.join(small, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_of")))
-    return found.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("_i"), "_n")
-
-
 def grown(leaves: DataFrame, fan: int, name: str) -> list[DataFrame]:
     """The levels (g, i, n, digest, kids) over leaves (g, i, n, digest): n is the
     number of nodes that the tree g has on the level.  The last level of a
@@ -176,16 +148,13 @@ def manifest(
         "merkle-base",
     )
     levels = grown(base.select("g", "i", "n", "digest"), fan, "merkle")
-    roots = levels[0].filter("n = 1").select("g", "digest")
-    for level in levels[1:]:
-        roots = roots.unionByName(level.filter("n = 1").select("g", "digest"))
-    roots = materialize(roots, "merkle-roots", release=False)
     n_groups = groups.count()
-    top = grown(
-        roots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), F.lit(n_groups).cast("long").alias("n"), "digest"), fan, "merkle-top"
-    )
-    spark = docs.sparkSession
-    start = spark.range(1).select(F.lit(0).cast("long").alias("g"), F.array().cast(STEPS).alias("above"))
+    one = (F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), F.lit(n_groups).cast("long").alias("n"), "digest")
+    roots = levels[0].filter("n = 1").select(*one)
+    for level in levels[1:]:
+        roots = roots.unionByName(level.filter("n = 1").select(*one))
+    top = grown(materialize(roots, "merkle-roots", release=False), fan, "merkle-top")
+    start = docs.sparkSession.range(1).select(F.col("id").alias("g"), F.array().cast(STEPS).alias("above"))
     above = pushed(top, start, fan, "merkle-top").select(F.col("i").alias("g"), F.col("proof").alias("above"), F.col("top").alias("root"))
     above = materialize(above, "merkle-above", release=False)
     tops = broadcast_if_small(above.select("g", "above"), 2000 * n_groups)

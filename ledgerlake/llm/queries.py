@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conv_trie, decontam, exact_dedup, html_main, langid, line_dedup, merkle, near_dedup, pii, secrets, token_files
+from . import bpe, conv_trie, decontam, exact_dedup, html_main, langid, line_dedup, merkle, near_dedup, pii, repeats, secrets, token_files
 from .common import materialize, scratch_path, table
 
 
@@ -214,6 +214,24 @@ CROSS JOIN (SELECT h FROM top WHERE n = 1) r
 """.replace("{crc}", CRC32_SQL.format("doc_id"))
 
 
+def op12_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+since AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM win JOIN since ON win.h = since.h WHERE since.first < win.doc_id),
+each AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT e.rid, string_agg(e.word, ' ' ORDER BY e.p) AS s FROM each e ANTI JOIN gone g ON e.rid = g.rid AND e.p = g.p GROUP BY e.rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN kept ON d.rid = kept.rid
+"""
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = materialize(conv_trie.turn_arrays(table(spark, sf_dir, "conversations")), "conversations")
     heads = arrays.select(F.col("conv").alias("base"), F.slice("turns", 1, 8).alias("head"))
@@ -264,6 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_repeated_phrases": op12_repeated_phrases,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -271,5 +290,6 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_repeated_phrases": OP12_SQL,
     "op13_conversation_trie": OP13_SQL,
 }
