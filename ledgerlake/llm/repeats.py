@@ -177,9 +177,9 @@ def cut_pieces(shards: int):
                         if shard[i] >= 0:
                             out.append((PIECE, int(here[i]), rank, no, i, block.text(a + i, a + j - 1 + WINDOW).decode()))
                     found, at = np.unique(signed[a : a + n - PHRASE + 1], return_index=True)
-                    for phrase, k in zip(found.tolist(), at.tolist()):
-                        if phrase in known:
-                            out.append((PATTERN, phrase, None, None, None, block.text(a + k, a + k + PHRASE).decode()))
+                    wanted = np.isin(found, known)
+                    for phrase, k in zip(found[wanted].tolist(), at[wanted].tolist()):
+                        out.append((PATTERN, phrase, None, None, None, block.text(a + k, a + k + PHRASE).decode()))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], NAMES)
                     out = []
