@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..functions import names
+from ..sources.scratch import written
+from .clustering import clustered
 from .metrics import dbl
 
 RESOLVED = T.StructType(
@@ -77,27 +79,16 @@ def with_party(txns: DataFrame) -> DataFrame:
 
 
 def cluster_names(resolved: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, label, canonical) of the labels of each analysis.
-
-    Distinct labels only, with the place they were first seen; the greedy
-    clustering depends on order, so one analysis is one group.  Its size is
-    the number of different names in one set of statements."""
+    """(keys, label, canonical) of the distinct labels of each analysis, with the
+    place they were first seen as their order (see operators.clustering)."""
     labels = resolved.filter("manual_party IS NULL").groupBy(*keys, "label").agg(F.min(F.struct("txn_date", "seq")).alias("_first"))
-    labels = labels.select(*keys, "label", F.col("_first.txn_date").alias("_d"), F.col("_first.seq").alias("_s"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_d", "_s", "label"])
-        shown = names.clusters(pdf["label"].tolist())
-        pdf["canonical"] = [shown.get(names.cluster_key(x), x) for x in pdf["label"]]
-        return pdf[[*keys, "label", "canonical"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in labels.schema if f.name in keys)
-    return labels.groupBy(*keys).applyInPandas(run, f"{schema}, label string, canonical string")
+    return clustered(labels, keys, ("_first",))
 
 
 def party_rows(txns: DataFrame, keys: tuple[str, ...] = ("account_id",)) -> DataFrame:
-    """Included transactions with the party they are filed under."""
-    resolved = with_party(txns).filter(~F.coalesce("excluded", F.lit(False)))
+    """Included transactions with the party they are filed under.  The resolved rows
+    are written once: labels and rows come from the same pass over the narrations."""
+    resolved = written(with_party(txns).filter(~F.coalesce("excluded", F.lit(False))), "party-rows")
     shown = cluster_names(resolved, keys)
     return resolved.join(shown, [*keys, "label"], "left").withColumn("filed_party", F.coalesce("manual_party", "canonical", "label"))
 
