@@ -24,14 +24,20 @@ def effective_assignments(events: DataFrame, keys: tuple[str, ...] = ("account_i
     excluding keeps the party; restoring only lifts an exclusion."""
     at = lambda *kinds: F.max(F.when(F.col("action").isin(*kinds), F.col("at")))
     per = events.groupBy(*keys, "txn_id").agg(
-        F.coalesce(at("reset"), F.lit(-1)).alias("reset_at"),
+        at("reset").alias("reset_at"),
         at("assign").alias("assign_at"),
         at("exclude").alias("exclude_at"),
         at("restore", "assign").alias("lift_at"),
         F.max_by("party", F.when(F.col("action") == "assign", F.col("at"))).alias("party"),
     )
-    assigned = F.col("assign_at") > F.col("reset_at")
-    excluded = (F.col("exclude_at") > F.col("reset_at")) & (F.col("exclude_at") > F.coalesce("lift_at", F.lit(-1)))
+    return settled(per, list(keys))
+
+
+def settled(per: DataFrame, keys: list[str]) -> DataFrame:
+    """What is in force, from the last time of each kind of event."""
+    reset = F.coalesce("reset_at", F.lit(-1))
+    assigned = F.col("assign_at") > reset
+    excluded = (F.col("exclude_at") > reset) & (F.col("exclude_at") > F.coalesce("lift_at", F.lit(-1)))
     return per.select(
         *keys,
         "txn_id",

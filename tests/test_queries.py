@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerlake import queries, rule_queries, scan_queries, zip_queries  # noqa: F401
+from ledgerlake import history_queries, queries, rule_queries, scan_queries, zip_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
