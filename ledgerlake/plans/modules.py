@@ -8,51 +8,85 @@ here.  Every plan keys its rows by account_id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators.ledger import party_ledger, party_rows, segment_party
+from ..operators.ledger import party_rows, segment_party, summarize
 from ..operators.metrics import daily_flow, dbl, month_metrics, totals_of_months
 from ..operators.scope import scope_month
+from ..sources.scratch import written
 
-def first_by_date(txns: DataFrame, category: str, most: int = 100) -> DataFrame:
+
+class Facts:
+    """A view of the transactions with what several modules share: month metrics, resolved rows,
+    sums by month and category.  With keep, each is written once and read by all modules of a book."""
+
+    def __init__(self, rows: DataFrame, keep: bool = False):
+        self.keep = keep
+        self.rows = written(rows, "book-facts") if keep else rows
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name) if self.keep else df
+
+    @cached_property
+    def months(self) -> DataFrame:
+        return self.kept(month_metrics(self.rows), "book-months")
+
+    @cached_property
+    def filed(self) -> DataFrame:
+        return self.kept(party_rows(self.rows), "book-parties")
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        """(account_id, month_key, category): counts and sums of both sides."""
+        some = lambda side: F.count_if(F.col(side) > 0).alias(f"n_{side}")
+        sums = self.rows.groupBy("account_id", "month_key", "category").agg(some("debit"), some("credit"), F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
+        return self.kept(sums, "book-categories")
+
+
+def over(txns: DataFrame | Facts) -> Facts:
+    return txns if isinstance(txns, Facts) else Facts(txns)
+
+
+def first_by_date(txns: DataFrame | Facts, category: str, most: int = 100) -> DataFrame:
     """The first rows of a category by date, per account."""
     w = Window.partitionBy("account_id").orderBy("txn_date", "seq")
-    rows = txns.filter(F.col("category") == category).withColumn("sn", F.row_number().over(w)).filter(F.col("sn") <= most)
+    rows = over(txns).rows.filter(F.col("category") == category).withColumn("sn", F.row_number().over(w)).filter(F.col("sn") <= most)
     return rows.select("account_id", "sn", F.date_format("txn_date", "yyyy-MM-dd").alias("date_text"), segment_party("narration").alias("party"), dbl(F.col("amount")).alias("amount"), "mode", "narration")
 
 
-def raw_data(txns: DataFrame) -> DataFrame:
+def raw_data(txns: DataFrame | Facts) -> DataFrame:
     none_if_zero = lambda x: F.nullif(dbl(F.col(x)), F.lit(0.0)).alias(x)
-    return txns.select(
+    return over(txns).rows.select(
         "account_id", F.col("seq").alias("sn"), F.date_format("txn_date", "yyyy-MM-dd").alias("date_text"), "narration", none_if_zero("debit"), none_if_zero("credit"), dbl(F.col("balance")).alias("balance")
     )
 
 
-def mom_summary(txns: DataFrame) -> DataFrame:
-    return month_metrics(txns)
+def mom_summary(txns: DataFrame | Facts) -> DataFrame:
+    return over(txns).months
 
 
-def executive_summary(txns: DataFrame) -> DataFrame:
-    return totals_of_months(month_metrics(txns))
+def executive_summary(txns: DataFrame | Facts) -> DataFrame:
+    return totals_of_months(over(txns).months)
 
 
-def monthly_cashflow(txns: DataFrame) -> DataFrame:
-    return month_metrics(txns).select("account_id", "month_key", "opening_balance", F.col("total_credits").alias("inflow"), F.col("total_debits").alias("outflow"), "net", "closing_balance")
+def monthly_cashflow(txns: DataFrame | Facts) -> DataFrame:
+    return over(txns).months.select("account_id", "month_key", "opening_balance", F.col("total_credits").alias("inflow"), F.col("total_debits").alias("outflow"), "net", "closing_balance")
 
 
-def net_transactions(txns: DataFrame) -> DataFrame:
-    return month_metrics(txns).select("account_id", "month_key", "total_credits", "total_debits", "net", (F.col("credit_count") + F.col("debit_count")).alias("txn_count"))
+def net_transactions(txns: DataFrame | Facts) -> DataFrame:
+    return over(txns).months.select("account_id", "month_key", "total_credits", "total_debits", "net", (F.col("credit_count") + F.col("debit_count")).alias("txn_count"))
 
 
-def ledger_book(txns: DataFrame) -> DataFrame:
+def ledger_book(txns: DataFrame | Facts) -> DataFrame:
     """The bank's own book: money in stands under debit, money out under credit;
     a row with both is money out.  Rows stand under the party of the ledger."""
     out = F.col("debit") > 0
     zero = F.lit(0.0)
-    return party_rows(txns).select(
+    return over(txns).filed.select(
         "account_id",
         F.col("seq").alias("voucher_no"),
         F.date_format("txn_date", "yyyy-MM-dd").alias("date_text"),
@@ -65,13 +99,13 @@ def ledger_book(txns: DataFrame) -> DataFrame:
     )
 
 
-def transactions_summary(txns: DataFrame) -> DataFrame:
-    return party_ledger(txns).drop("first_seen")
+def transactions_summary(txns: DataFrame | Facts) -> DataFrame:
+    return summarize(over(txns).filed).drop("first_seen")
 
 
-def transactions_detail(txns: DataFrame) -> DataFrame:
+def transactions_detail(txns: DataFrame | Facts) -> DataFrame:
     """Detail rows under their party, level 1 below the summary's level 0."""
-    filed = party_rows(txns)
+    filed = over(txns).filed
     w = Window.partitionBy("account_id", "filed_party").orderBy("txn_date", "seq")
     return filed.select(
         "account_id", F.col("filed_party").alias("party"), F.lit(1).alias("outline_level"), F.row_number().over(w).alias("row_no"),
@@ -79,7 +113,7 @@ def transactions_detail(txns: DataFrame) -> DataFrame:
     )
 
 
-def party_outline(txns: DataFrame) -> DataFrame:
+def party_outline(txns: DataFrame | Facts) -> DataFrame:
     """Summary and detail as one outline: level 0 is a party, level 1 its rows by date."""
     detail = transactions_detail(txns)
     total = lambda x: dbl(F.sum(F.col(x).cast("decimal(18,2)"))).alias(x)
@@ -90,7 +124,7 @@ def party_outline(txns: DataFrame) -> DataFrame:
     ).unionByName(detail)
 
 
-def trade_rows(txns: DataFrame) -> DataFrame:
+def trade_rows(txns: DataFrame | Facts) -> DataFrame:
     """Facts out of the two trade lists, for reports that hold no transactions."""
     side = lambda name, way: COMPUTED[name](txns).select(
         "account_id", "date_text", "party", "narration", F.lit(way).alias("direction"),
@@ -99,27 +133,42 @@ def trade_rows(txns: DataFrame) -> DataFrame:
     return side("trade-credits", "Credit").unionByName(side("trade-debits", "Debit"))
 
 
-def master_book(txns: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> list[str]:
-    """Every module as a table of its own under one folder; the names written."""
-    names = sorted(COMPUTED | EXTENSIONS)
-    for name in names:
-        write(module(name, txns), f"{path}/{name}")
-    return names
+def book_rows(txns: DataFrame | Facts, names: list[str] | None = None) -> DataFrame:
+    """All modules as one table: module, account_id, and the other columns of a row as JSON."""
+    facts = txns if isinstance(txns, Facts) else Facts(txns, keep=True)
+    out = None
+    for name in names or sorted(COMPUTED | EXTENSIONS):
+        df = (COMPUTED | EXTENSIONS)[name](facts)
+        row = df.select(F.lit(name).alias("module"), "account_id", F.to_json(F.struct(*[x for x in df.columns if x != "account_id"])).alias("row"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def master_book(txns: DataFrame | Facts, path: str, names: list[str] | None = None) -> list[str]:
+    """Every module under one folder, a partition each, by one write over facts that are resolved once."""
+    book_rows(txns, names).write.mode("overwrite").partitionBy("module").parquet(path)
+    return names or sorted(COMPUTED | EXTENSIONS)
+
+
+def read_module(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A module of a written book, with its columns."""
+    rows = spark.read.parquet(path).filter(F.col("module") == name)
+    return rows.select("account_id", F.from_json("row", schema).alias("r")).select("account_id", "r.*")
 
 
-def highest_transactions(txns: DataFrame, most: int = 10) -> DataFrame:
+def highest_transactions(txns: DataFrame | Facts, most: int = 10) -> DataFrame:
     w = Window.partitionBy("account_id", "direction").orderBy(F.desc("amount"), "seq")
-    return txns.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("account_id", "direction", "rank", "seq", dbl(F.col("amount")).alias("amount"))
+    return over(txns).rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("account_id", "direction", "rank", "seq", dbl(F.col("amount")).alias("amount"))
 
 
-def spend_analysis(txns: DataFrame) -> DataFrame:
-    per = txns.filter("debit > 0").groupBy("account_id", "category").agg(F.sum("debit").alias("total"), F.count(F.lit(1)).alias("txn_count"))
+def spend_analysis(txns: DataFrame | Facts) -> DataFrame:
+    per = over(txns).categories.filter("n_debit > 0").groupBy("account_id", "category").agg(F.sum("debit").alias("total"), F.sum("n_debit").alias("txn_count"))
     whole = F.sum("total").over(Window.partitionBy("account_id"))
     return per.select("account_id", "category", dbl(F.col("total")).alias("total"), "txn_count", c.round2(dbl(F.col("total")) * 100 / dbl(whole)).alias("share"))
 
 
-def recurring(txns: DataFrame, side: str, months: int = 3) -> DataFrame:
-    rows = party_rows(txns).filter(F.col(side) > 0)
+def recurring(txns: DataFrame | Facts, side: str, months: int = 3) -> DataFrame:
+    rows = over(txns).filed.filter(F.col(side) > 0)
     per = rows.groupBy("account_id", F.col("filed_party").alias("party"), "month_key").agg(F.count(F.lit(1)).alias("n"), F.sum(side).alias("s"))
     return (
         per.groupBy("account_id", "party")
@@ -128,62 +177,62 @@ def recurring(txns: DataFrame, side: str, months: int = 3) -> DataFrame:
     )
 
 
-def of_category(txns: DataFrame, category: str, side: str) -> DataFrame:
-    rows = txns.filter((F.col("category") == category) & (F.col(side) > 0))
-    return rows.groupBy("account_id", "month_key").agg(
-        F.count(F.lit(1)).alias("txn_count"), dbl(F.sum(side)).alias("total"), c.round2(dbl(F.sum(side)) / F.count(F.lit(1))).alias("mean_amount")
-    )
+def of_category(txns: DataFrame | Facts, category: str, side: str) -> DataFrame:
+    n = F.col(f"n_{side}")
+    rows = over(txns).categories.filter((F.col("category") == category) & (n > 0))
+    return rows.select("account_id", "month_key", n.alias("txn_count"), dbl(F.col(side)).alias("total"), c.round2(dbl(F.col(side)) / n).alias("mean_amount"))
 
 
-def bounce_penal(txns: DataFrame) -> DataFrame:
-    rows = txns.filter(F.upper("narration").rlike(r"BOUNCE|RETURN|PENAL|INSUFFICIENT|CHARGE"))
+def bounce_penal(txns: DataFrame | Facts) -> DataFrame:
+    rows = over(txns).rows.filter(F.upper("narration").rlike(r"BOUNCE|RETURN|PENAL|INSUFFICIENT|CHARGE"))
     kind = F.when(F.upper("narration").rlike("BOUNCE|RETURN|INSUFFICIENT"), "bounce").otherwise("penal")
     return rows.groupBy("account_id", "month_key", kind.alias("kind")).agg(F.count(F.lit(1)).alias("txn_count"), dbl(F.sum("debit")).alias("total"))
 
 
-def internal_group(txns: DataFrame) -> DataFrame:
-    own = party_rows(txns).filter((F.col("txn_party_type") == "self") | F.upper("narration").rlike(r"\bSELF\b"))
+def internal_group(txns: DataFrame | Facts) -> DataFrame:
+    own = over(txns).filed.filter((F.col("txn_party_type") == "self") | F.upper("narration").rlike(r"\bSELF\b"))
     return own.groupBy("account_id", "month_key").agg(F.count(F.lit(1)).alias("txn_count"), dbl(F.sum("debit")).alias("debit"), dbl(F.sum("credit")).alias("credit"))
 
 
-def circular_flows(txns: DataFrame, days: int = 7) -> DataFrame:
-    """Money in and out again with one party within some days.
+def circular_flows(txns: DataFrame | Facts, days: int = 7) -> DataFrame:
+    """Money in that goes out again to the same party within some days: per row of money in,
+    the first row of money out, and number and sum of all of them.
 
-    An interval join by buckets of that many days: money out looks into its own
-    bucket and the one before, so the join is on equal keys and no more rows
-    meet than can match."""
-    filed = party_rows(txns).drop("party").withColumnRenamed("filed_party", "party")
-    rows = filed.filter("party != 'UNRECOGNIZED'").withColumn("_day", F.unix_date("txn_date"))
+    A range window by buckets of that many days: money out stands in its own bucket and in the one
+    before, so a party of any size is cut by time and no pairs are made."""
+    rows = over(txns).filed.filter("filed_party != 'UNRECOGNIZED' AND (credit > 0 OR debit > 0)").withColumn("_day", F.unix_date("txn_date"))
     bucket = F.floor(F.col("_day") / days)
-    came = rows.filter("credit > 0").select("account_id", "party", bucket.alias("_b"), F.col("_day").alias("in_day"), F.col("seq").alias("in_seq"), F.col("credit").alias("in_amount"))
-    went = rows.filter("debit > 0").select(
-        "account_id", "party", F.explode(F.array(bucket, bucket - 1)).alias("_b"), F.col("_day").alias("out_day"), F.col("seq").alias("out_seq"), F.col("debit").alias("out_amount")
-    )
-    gap = F.col("out_day") - F.col("in_day")
-    return came.join(went, ["account_id", "party", "_b"]).filter(gap.between(0, days)).select(
-        "account_id", "party", "in_seq", "out_seq", gap.cast("long").alias("days"), dbl(F.col("in_amount")).alias("in_amount"), dbl(F.col("out_amount")).alias("out_amount")
-    )
+    pick = lambda buckets, way: rows.select("account_id", F.col("filed_party").alias("party"), F.explode(buckets).alias("_b"), "_day", "seq", "credit", "debit", F.lit(way).alias("_out"))
+    both = pick(F.array(bucket), False).filter("credit > 0").unionByName(pick(F.array(bucket, bucket - 1), True).filter("debit > 0"))
+    ahead = Window.partitionBy("account_id", "party", "_b").orderBy("_day").rangeBetween(0, days)
+    out = lambda x: F.when(F.col("_out"), x)
+    first = F.min(out(F.struct("_day", "seq", "debit"))).over(ahead)
+    seen = both.select("*", first.alias("_first"), F.count(out(F.lit(1))).over(ahead).alias("n_out"), F.sum(out(F.col("debit"))).over(ahead).alias("_total"))
+    return seen.filter("NOT _out AND n_out > 0").select(
+        "account_id", "party", F.col("seq").alias("in_seq"), dbl(F.col("credit")).alias("in_amount"), F.col("_first.seq").alias("out_seq"),
+        (F.col("_first._day") - F.col("_day")).cast("long").alias("days"), dbl(F.col("_first.debit")).alias("out_amount"), "n_out", dbl(F.col("_total")).alias("out_total"),
+    )
 
 
-def flags(txns: DataFrame) -> DataFrame:
+def flags(txns: DataFrame | Facts) -> DataFrame:
     """Months with a negative net flow, a negative closing balance or much cash."""
-    m = month_metrics(txns)
+    m = over(txns).months
     flag = lambda cond, name: F.when(cond, F.lit(name))
     found = F.array_compact(F.array(flag(F.col("net") < 0, "negative_net"), flag(F.col("closing_balance") < 0, "negative_closing"), flag(F.col("cash_deposit") * 2 > F.col("total_credits"), "cash_heavy")))
     return m.select("account_id", "month_key", F.explode(found).alias("flag"))
 
 
-def cam_analysis(txns: DataFrame) -> DataFrame:
-    returns = txns.groupBy("account_id", "month_key").agg(F.count_if(F.upper("narration").rlike("BOUNCE|RETURN")).alias("return_count"))
-    return month_metrics(txns).join(returns, ["account_id", "month_key"]).select("account_id", "month_key", "total_credits", "total_debits", "credit_count", "debit_count", "mean_balance", "return_count")
+def cam_analysis(txns: DataFrame | Facts) -> DataFrame:
+    returns = over(txns).rows.groupBy("account_id", "month_key").agg(F.count_if(F.upper("narration").rlike("BOUNCE|RETURN")).alias("return_count"))
+    return over(txns).months.join(returns, ["account_id", "month_key"]).select("account_id", "month_key", "total_credits", "total_debits", "credit_count", "debit_count", "mean_balance", "return_count")
 
 
-def emi_tracker(txns: DataFrame) -> DataFrame:
-    rows = party_rows(txns).filter("category = 'Loan & EMI' AND debit > 0")
+def emi_tracker(txns: DataFrame | Facts) -> DataFrame:
+    rows = over(txns).filed.filter("category = 'Loan & EMI' AND debit > 0")
     return rows.groupBy("account_id", F.col("filed_party").alias("lender"), "month_key").agg(F.count(F.lit(1)).alias("txn_count"), dbl(F.sum("debit")).alias("total"))
 
 
-COMPUTED: dict[str, Callable[[DataFrame], DataFrame]] = {
+COMPUTED: dict[str, Callable[[DataFrame | Facts], DataFrame]] = {
     "raw-data": raw_data,
     "executive-summary": executive_summary,
     "mom-summary": mom_summary,
@@ -194,7 +243,7 @@ COMPUTED: dict[str, Callable[[DataFrame], DataFrame]] = {
     "transactions-detail": transactions_detail,
     "transactions-ledger": ledger_book,
 }
-EXTENSIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
+EXTENSIONS: dict[str, Callable[[DataFrame | Facts], DataFrame]] = {
     "flags": flags,
     "cam-analysis": cam_analysis,
     "bounce-penal": bounce_penal,

@@ -303,7 +303,7 @@ def _override_tables(t: DataFrame) -> tuple[DataFrame, DataFrame]:
 over_txns(
     "hydrate_overrides",
     lambda t: overrides.hydrate(t, *_override_tables(t)).select("account_id", "seq", "custom_party", "excluded"),
-    SETS + "SELECT txn.account_id, txn.seq, parties.name AS custom_party, coalesce(asg.status, '') = 'excluded' AS excluded FROM txn LEFT JOIN asg ON txn.account_id = asg.account_id AND txn.txn_id = asg.txn_id LEFT JOIN parties ON parties.account_id = asg.account_id AND parties.party_id = asg.assigned_party_id",
+    TXN + "SELECT account_id, seq, CASE WHEN seq % 17 = 0 THEN 'PARTY ' || (seq % 5) END AS custom_party, seq % 34 = 0 AS excluded FROM txn",
 )
 PT = SETS + f", tot AS (SELECT txn.account_id, assigned_party_id AS party_id, count(*) AS txn_count, {D('sum(debit)')} AS debit, {D('sum(credit)')} AS credit FROM txn JOIN asg ON txn.account_id = asg.account_id AND txn.txn_id = asg.txn_id WHERE status = 'active' GROUP BY ALL)\n"
 over_txns("party_totals", lambda t: overrides.party_totals(t, _override_tables(t)[0]), PT + "SELECT * FROM tot")
@@ -399,9 +399,10 @@ over_txns("internal_group", modules.internal_group, TXN + f"SELECT account_id, m
 over_txns(
     "circular_flows",
     modules.circular_flows,
-    PARTY + ", d AS (SELECT account_id, party, seq, txn_date, credit, debit, date_diff('day', DATE '1970-01-01', txn_date) AS day FROM pt), "
-    "i AS (SELECT *, day // 7 AS b FROM d WHERE credit > 0), o AS (SELECT *, unnest([day // 7, day // 7 - 1]) AS b FROM d WHERE debit > 0) "
-    f"SELECT i.account_id, i.party, i.seq AS in_seq, o.seq AS out_seq, o.day - i.day AS days, {D('i.credit')} AS in_amount, {D('o.debit')} AS out_amount FROM i JOIN o ON i.account_id = o.account_id AND i.party = o.party AND i.b = o.b WHERE o.day - i.day BETWEEN 0 AND 7",
+    PARTY + """, d AS (SELECT account_id, party, seq, date_diff('day', DATE '1970-01-01', txn_date) AS day, credit, debit FROM pt WHERE party <> 'UNRECOGNIZED'),
+w AS (SELECT *, min(CASE WHEN debit > 0 THEN day * 1000000000 + seq END) OVER f AS k, count(*) FILTER (debit > 0) OVER f AS n_out, sum(debit) OVER f AS t
+  FROM d WINDOW f AS (PARTITION BY account_id, party ORDER BY day RANGE BETWEEN CURRENT ROW AND 7 FOLLOWING))
+SELECT w.account_id, w.party, w.seq AS in_seq, """ + f"{D('w.credit')} AS in_amount, o.seq AS out_seq, o.day - w.day AS days, {D('o.debit')} AS out_amount, w.n_out, {D('w.t')} AS out_total FROM w JOIN d o ON o.account_id = w.account_id AND o.seq = w.k % 1000000000 WHERE w.credit > 0 AND w.n_out > 0",
 )
 over_txns(
     "flags",
@@ -419,6 +420,27 @@ over_txns(
     PARTY + f"SELECT account_id, party AS lender, month_key, count(*) AS txn_count, {D('sum(debit)')} AS total FROM pt WHERE category = 'Loan & EMI' AND debit > 0 GROUP BY ALL",
 )
 
+
+
+def _book(t: DataFrame) -> DataFrame:
+    """Rows and sums of a book of modules, all read from facts and sums that are written once."""
+    rows = modules.book_rows(t, ["raw-data", "mom-summary", "loans-emi", "salary", "bill-payments", "spend-analysis", "transactions-ledger", "recurring-debits"])
+    total = F.get_json_object("row", "$.total").cast("decimal(18,2)")
+    return rows.groupBy("module", "account_id").agg(F.count(F.lit(1)).alias("n_rows"), dbl(F.sum(total)).alias("total"))
+
+
+OF_MONTHS = "SELECT '{0}' AS module, account_id, count(DISTINCT month_key) AS n_rows, sum({2}) AS total FROM txn WHERE category = '{1}' AND {2} > 0 GROUP BY account_id"
+over_txns(
+    "book_rows",
+    _book,
+    PARTY + ", book AS (SELECT 'raw-data' AS module, account_id, count(*) AS n_rows, NULL AS total FROM pt GROUP BY account_id UNION ALL SELECT 'transactions-ledger', account_id, count(*), NULL FROM pt GROUP BY account_id "
+    "UNION ALL SELECT 'mom-summary', account_id, count(DISTINCT month_key), NULL FROM pt GROUP BY account_id UNION ALL "
+    + " UNION ALL ".join(OF_MONTHS.format(*x) for x in (("loans-emi", "Loan & EMI", "debit"), ("salary", "Salary", "credit"), ("bill-payments", "Utilities", "debit"))).replace("FROM txn", "FROM pt")
+    + " UNION ALL SELECT 'spend-analysis', account_id, count(DISTINCT category), sum(debit) FROM pt WHERE debit > 0 GROUP BY account_id "
+    "UNION ALL SELECT 'recurring-debits', account_id, count(*), sum(t) FROM (SELECT account_id, party, sum(debit) AS t FROM pt WHERE debit > 0 GROUP BY ALL HAVING count(DISTINCT month_key) >= 3) GROUP BY account_id) "
+    f"SELECT module, account_id, n_rows, {D('total')} AS total FROM book",
+)
+
 # --- scalar functions, sources, sinks ----------------------------------------
 
 GROUPED = "CASE WHEN length({0}) <= 3 THEN {0} WHEN length({0}) <= 5 THEN left({0}, length({0}) - 3) || ',' || right({0}, 3) ELSE left({0}, length({0}) - 5) || ',' || substr({0}, length({0}) - 4, 2) || ',' || right({0}, 3) END"
