@@ -226,6 +226,8 @@ class Shard:
 
     def removed(self, block: Block, a: int, n: int, rank: int, ids: list[int]) -> list[tuple[int, int]]:
         """The intervals of words, from the piece's first, that an earlier document has."""
+        if not len(self.automaton):  # none of the shard's phrases is confirmed
+            return []
         if not self.ready:
             self.automaton.make_automaton()
             self.ready = True
