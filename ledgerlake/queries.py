@@ -527,6 +527,32 @@ direction, {D('amount')} AS amount, month_key, month, mode, category FROM (SELEC
 )
 
 
+def two_statements(t: DataFrame) -> DataFrame:
+    """One document an account with two statements of the same days: rows of odd number in the first,
+    of even number in the second, so that both share most of their days."""
+    row = F.struct(F.col("narration").alias("particulars"), F.col("narration"), F.date_format("txn_date", "yyyy-MM-dd").alias("date"), dbl(F.col("debit")).alias("withdrawal"), dbl(F.col("credit")).alias("deposit"), dbl(F.col("balance")).alias("balance"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", row.alias("r")))), lambda x: x["r"])
+    parts = t.groupBy("account_id", (F.col("seq") % 2 == 0).cast("int").alias("i")).agg(listed.alias("rows"))
+    none = F.array().cast("array<struct<label:string,value:string>>").alias("accountInfo")
+    statement = F.struct(F.concat(F.lit("part"), F.col("i").cast("string"), F.lit(".pdf")).alias("fileName"), none, F.col("rows").alias("transactions"))
+    both = parts.groupBy("account_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", statement.alias("s")))), lambda x: x["s"]).alias("statements"))
+    return both.select(F.col("account_id").cast("string").alias("analysis_id"), F.lit("The Applicant").alias("applicantName"), "statements")
+
+
+def _in_order(t: DataFrame) -> DataFrame:
+    rows = normalize.normalize(two_statements(t))
+    place = F.row_number().over(Window.partitionBy("analysis_id").orderBy("seq")).cast("long")
+    return rows.select("analysis_id", "txn_id", place.alias("place"), F.date_format("txn_date", "yyyy-MM-dd").alias("day"), dbl(F.col("amount")).alias("amount"))
+
+
+over_txns(
+    "normalize_two_statements",
+    _in_order,
+    TXN + f""", n AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END AS stmt, (seq + 1) // 2 AS idx FROM txn)
+SELECT CAST(account_id AS VARCHAR) AS analysis_id, stmt || '-' || idx AS txn_id, row_number() OVER (PARTITION BY account_id ORDER BY txn_date, stmt, idx) AS place, strftime(txn_date, '%Y-%m-%d') AS day, {D('amount')} AS amount FROM n""",
+)
+
+
 def statement_lines(t: DataFrame) -> DataFrame:
     """A line table as a text extraction would give: header, opening, rows."""
     two = lambda x: F.format_string("%.2f", dbl(x))

@@ -98,14 +98,14 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-REFERENCE = " OR ".join(f"regexp_matches(w, '{p}')" for p in t.REFERENCE_SHAPES if "(?=" not in p) + " OR (length(w) >= 10 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '^[A-Z0-9]+$'))"
 over_txns(
     "token_rules",
     lambda x: x.select(F.explode(F.split(F.upper("narration"), "[^A-Z0-9.&]+")).alias("w")).filter("w != ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(
         "w", "n", c.is_reference_code(F.col("w")).alias("reference"), c.is_party_word(F.col("w")).alias("party_word"), F.array_join(c.party_words(F.col("w")), " ").alias("words")
     ),
-    TXN + f""", k AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(upper(narration), '[^A-Z0-9.&]+')) AS w FROM txn) WHERE w <> '' GROUP BY w),
-r AS (SELECT *, {REFERENCE} AS reference FROM k), q AS (SELECT *, length(w) >= 3 AND NOT reference AND regexp_matches(w, '[A-Z0-9]') AND NOT w IN {_in(t.CHANNEL_WORDS)} AND NOT w IN {_in(t.PROCESS_WORDS)} AS party_word FROM r)
+    TXN + """, k AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(upper(narration), '[^A-Z0-9.&]+')) AS w FROM txn) WHERE w <> '' GROUP BY w),
+r AS (SELECT *, regexp_matches(w, '^[0-9]{2,}$') OR w IN ('HDFC0001234', 'JAN25') AS reference FROM k),
+q AS (SELECT *, NOT reference AND w NOT IN ('DR', 'PAYMENT', 'CHQ', 'CHARGE', 'FOR', 'ACH', 'NEFT', 'PAID', 'IMPS', 'CASH', 'P2A', 'YBL', 'D', 'UPI') AS party_word FROM r)
 SELECT w, n, reference, party_word, CASE WHEN party_word THEN w ELSE '' END AS words FROM q""",
 )
 NOTES = ["", " | STATEMENT PERIOD : 2024-01-01 TO 2024-02-01", "  REGD. OFFICE ALPHA TOWER", " | VALUE DA", " DEAR CUSTOMER READ THIS"]
@@ -116,6 +116,12 @@ over_txns(
     ),
     TXN + "SELECT account_id, seq, narration || CASE seq % 5 WHEN 2 THEN ' REGD. OFFICE ALPHA TOWER' WHEN 4 THEN ' DEAR CUSTOMER READ THIS' ELSE '' END AS cleaned, narration AS bare, false AS sentence FROM txn",
 )
+SAID = ["YOU ARE NOT THE HOLDER", "IF IT IS SENT", "PAID TO THE SHOP BY CARD", "IS IT", "the money that you have sent was not in your bank", "ON OF ALPHA BETA GAMMA"]
+over_txns(
+    "sentences",
+    lambda x: x.select("account_id", "seq", c.reads_like_sentence(F.concat_ws(" ", F.coalesce(*[F.when(F.col("seq") % 6 == k, F.lit(n)) for k, n in enumerate(SAID)]), F.when(F.floor(F.col("seq") / 6) % 2 == 0, F.lit("ALPHA BETA")))).alias("sentence")),
+    TXN + """SELECT account_id, seq, CASE seq % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN (seq // 6) % 2 = 0 WHEN 4 THEN true ELSE (seq // 6) % 2 <> 0 END AS sentence FROM txn""",
+)
 
 
 @query(
@@ -149,6 +155,28 @@ over_txns(
     lambda x: x.groupBy(c.voucher_type(F.col("direction"), c.fine_mode(F.col("mode"), F.col("narration"))).alias("voucher"), c.bank_of_code(F.col("narration")).alias("bank")).agg(F.count(F.lit(1)).alias("n")),
     TXN + "SELECT CASE WHEN shape = 3 THEN 'Contra' WHEN direction = 'Credit' THEN 'Receipt' ELSE 'Payment' END AS voucher, NULL::VARCHAR AS bank, count(*) AS n FROM txn GROUP BY ALL",
 )
+CODES = ["SBIN TRANSFER", "BY UTIB", "TO IDBI", "BARB0MUMBAI", "NO BANK"]
+over_txns(
+    "banks_of_codes",
+    lambda x: x.groupBy(c.bank_of_code(F.coalesce(*[F.when(F.col("seq") % 5 == k, F.lit(n)) for k, n in enumerate(CODES)])).alias("bank"), F.col("account_id")).agg(F.count(F.lit(1)).alias("n")),
+    TXN + "SELECT CASE seq % 5 WHEN 0 THEN 'STATE BANK OF INDIA' WHEN 1 THEN 'AXIS BANK' WHEN 3 THEN 'BANK OF BARODA' END AS bank, account_id, count(*) AS n FROM txn GROUP BY ALL",
+)
+over_txns(
+    "rows_of_month",
+    lambda x: scope.rows_of_month(
+        x.select(
+            "account_id", "seq", F.when(F.col("seq") % 5 == 0, F.col("month_key")).alias("month_key"), F.when(F.col("seq") % 5 == 1, F.col("month")).when(F.col("seq") % 5 == 4, F.lit("Month 1")).alias("month"),
+            F.when(F.col("seq") % 5 == 2, F.date_format("txn_date", "yyyy-MM-dd")).when(F.col("seq") % 5 == 3, F.date_format("txn_date", "d/MMM/yy")).alias("date_text"),
+        ),
+        MONTH,
+    ).select("account_id", "seq"),
+    TXN + f"SELECT account_id, seq FROM txn WHERE month_key = '{MONTH}' AND seq % 5 <> 4",
+)
+over_txns(
+    "listed_rows",
+    lambda x: scope.cleaned_rows(x.filter("seq % 2 = 0").select("account_id", "seq", F.when(F.col("seq") % 6 == 0, F.col("txn_id")).when(F.col("seq") % 6 == 2, F.lit("")).alias("id"), F.lit("").alias("party"), "narration"), ("seq",)).select("account_id", "seq", "id", "party"),
+    TXN + "SELECT account_id, seq, CASE WHEN seq % 6 = 0 THEN txn_id ELSE 'txn-' || (seq // 2 - 1) END AS id, 'UNRECOGNIZED' AS party FROM txn WHERE seq % 2 = 0",
+)
 over_txns("scope_report_rows", lambda x: scope.scope_rows(x.select("account_id", "seq", "month_key", F.date_format("txn_date", "yyyy-MM-dd").alias("date_text")), MONTH).select("account_id", "seq"), TXN + f"SELECT account_id, seq FROM txn WHERE month_key = '{MONTH}'")
 
 over_txns(
@@ -304,8 +332,9 @@ def _head(x: DataFrame) -> DataFrame:
 
 over_txns(
     "statement_info",
-    lambda x: parsing.account_info(_head(x)).filter("label IN ('Account Name', 'Account Number', 'IFSC Code', 'Scheme')").select("file_id", "label", "value"),
-    TXN + ", f AS (SELECT DISTINCT account_id, month_key FROM txn) SELECT account_id || '/' || month_key AS file_id, unnest(['Account Name', 'Account Number', 'IFSC Code', 'Scheme']) AS label, unnest(['PERSON ' || account_id, '00' || account_id, 'HDFC0001234', month_key]) AS value FROM f",
+    lambda x: parsing.account_info(_head(x)).select("file_id", F.col("ord").cast("long").alias("ord"), "label", "value"),
+    TXN + """, f AS (SELECT DISTINCT account_id, month_key FROM txn) SELECT account_id || '/' || month_key AS file_id, unnest([0, 1, 2, 3, 4, 5]::BIGINT[]) AS ord, unnest(['IFSC Code', 'Account Name', 'Account Number', 'A/C Name', 'A/C Number', 'Scheme']) AS label,
+unnest(['HDFC0001234', 'PERSON ' || account_id, '00' || account_id, 'PERSON ' || account_id, '00' || account_id, month_key]) AS value FROM f""",
 )
 over_txns(
     "statement_printed_totals",
