@@ -12,9 +12,11 @@ similarity of at least the threshold.  The steps:
 2. Lines with equal word sets form a class, represented by its first line, so
    copies are never paired.  Each class has its size, a parity bitmap (128 bits or more) and
    the keys of its prefix (the rarest words, enough that two similar lines share
-   one).  A word above HOT occurrences is no key by itself: two similar lines of
-   four or more words also share a second word within one more place, so such a
-   word gives one key for each following prefix word.
+   one).  A word above HOT occurrences is no key by itself; it gives a key with
+   each of the next GAP words.  Two similar lines differ in at most D words, so of
+   D // GAP + 1 neighbouring pairs of shared words at least one has fewer than GAP
+   other words between it in both lines; the prefix is longer by that many places.
+   The keys so are at most GAP for each place, however long the line and however common its words.
 3. Classes are dealt out by key, sorted by size, and paired within the length
    filter; positional filter and the parity bitmap (a lower bound on the
    symmetric difference) drop almost all false pairs before any row is made.
@@ -54,6 +56,7 @@ NUM, DEN = 4, 5  # the threshold 0.8
 SKETCH_BITS = 18
 PART_BITS = 10  # counters in one row of a sketch under way
 HOT = 2048
+GAP = 64
 SURE = 2
 GROUP = 100_000
 LOOKED_AT = 64  # one class of so many is looked at to find the keys beyond GROUP
@@ -206,20 +209,24 @@ def prefix_keys(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
     least = -(-NUM * sizes // DEN)
     n = sizes - least + 1
     n[(least == sizes) & (DEN * sizes // NUM == sizes)] = 0  # only equal sets are similar
-    line = np.repeat(np.arange(len(sizes)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = (sizes + DEN * sizes // NUM) // (DEN + NUM)  # words that two similar lines may not share
+    more = differ // GAP + 1
+    reach = np.where(n > 0, np.minimum(n + more, sizes), 0)
+    line = np.repeat(np.arange(len(sizes)), reach)
+    place = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
     at = starts[line] + place
     word = flat[at]
     hot = (word >> HASH_BITS) >= int(np.log2(HOT) * 1024)
-    keys, places, lines = [mixed(word[~hot].astype(np.uint64), 0)], [place[~hot]], [line[~hot]]
+    single = ~hot & (place < n[line])
+    keys, places, lines = [mixed(word[single].astype(np.uint64), 0)], [place[single]], [line[single]]
     h_at, h_place, h_line = at[hot], place[hot], line[hot]
-    step = 1
-    while len(h_at):
-        ok = h_place + step <= n[h_line]
+    for step in range(1, GAP + 1):
+        ok = h_place + step < reach[h_line]
         h_at, h_place, h_line = h_at[ok], h_place[ok], h_line[ok]
+        if not len(h_at):
+            break
         both = mixed(flat[h_at].astype(np.uint64), 1) + flat[h_at + step].astype(np.uint64)
-        keys.append(mixed(both, 2)), places.append(h_place), lines.append(h_line)
-        step += 1
+        keys.append(mixed(both, 2)), places.append(np.where(more[h_line] > 1, 0, h_place)), lines.append(h_line)
     lines = np.concatenate(lines)
     order = np.argsort(lines, kind="stable")
     return np.concatenate(keys)[order], np.concatenate(places)[order], lines[order]

@@ -1,6 +1,7 @@
 """Line dedup and near-dedup against brute force."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -287,3 +288,38 @@ def test_recall_against_brute_force_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in got) == brute_groups(rows)
+
+
+def keys_of_sets(sets, levels):
+    """prefix_keys of lines given as sets of word numbers, with a rarity level per word."""
+    rows = [np.sort(np.array([(levels[w] << line_dedup.HASH_BITS) | (w * 7919 % 1_000_003) for w in s], dtype=np.int64)) for s in sets]
+    sizes = np.array([len(r) for r in rows])
+    keys, _, lines = line_dedup.prefix_keys(np.concatenate(rows), np.cumsum(sizes) - sizes, sizes)
+    return [set(keys[lines == i].tolist()) for i in range(len(sets))]
+
+
+def test_long_similar_lines_of_hot_words_share_a_key():
+    rng = random.Random(11)
+    hot = int(np.log2(line_dedup.HOT) * 1024) + 1
+    for trial in range(120):
+        n = rng.choice([4, 9, 40, 70, 130, 400, 900])
+        words = rng.sample(range(100_000), 2 * n)
+        levels = {w: hot + rng.randrange(500) if trial % 3 else hot - 200 + rng.randrange(400) for w in words}
+        a, spare = set(words[:n]), words[n:]
+        b = set(a)
+        for w in rng.sample(sorted(a), rng.randrange(0, n // 8 + 1)):  # worst for pairs: the gaps lie anywhere
+            b.remove(w)
+        b |= set(spare[: rng.randrange(0, n // 8 + 1)])
+        if len(a & b) / len(a | b) >= 0.8 and len(a) > 3 and len(b) > 3 and a != b:
+            x, y = keys_of_sets([a, b], levels)
+            assert x & y
+
+
+def test_keys_of_a_very_long_line_of_hot_words_stay_few():
+    n = 100_000
+    word = (np.int64(20 * 1024) << line_dedup.HASH_BITS) | np.arange(n, dtype=np.int64)
+    tracemalloc.start()
+    keys, places, _ = line_dedup.prefix_keys(word, np.array([0]), np.array([n]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) < line_dedup.GAP * n / 4 and peak < 400 << 20 and not places.any()
