@@ -211,7 +211,7 @@ def find_matches(
     second = next(blocks, None)
     if second is None:
         return matched_with(docs, spark.sparkContext.broadcast(first), text_col, window, shard_bytes)
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"), F.col(text_col).alias("t"))
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g"), F.col(text_col).alias("t"))
     tables = []
     for block in chain([first, second], blocks):
         sent = spark.sparkContext.broadcast(block)
@@ -226,7 +226,7 @@ def find_matches(
     every = materialize(every, "decontam-matches")
     n_bytes = every.agg(F.coalesce(F.sum(F.size("_dc_matches") * 64 + 64), F.lit(0))).first()[0]
     every = broadcast_if_small(every, n_bytes)
-    on = (F.xxhash64(docs[text_col]) == every[h]) & (F.xxhash64(docs[text_col], F.lit(1)) == every[g])
+    on = (F.xxhash64(docs[text_col]) == every[h]) & (F.xxhash64(F.lit(1), docs[text_col]) == every[g])
     n_words = F.size(F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
     none = F.array().cast(T.ArrayType(MATCH))
     return docs.join(every, on, "left").select(
