@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..functions import tables as t
+from ..sources.scratch import written
 from .balances import with_neighbour
 from .prefix import running
 
@@ -160,8 +161,8 @@ def aligned(changes: DataFrame, said: DataFrame) -> DataFrame:
 def transactions(lines: DataFrame, by: str = "aligned", most: float = 1e7, trail: tuple[float, float] | None = None) -> DataFrame:
     """(file_id, page, k, txn_date, particulars, withdrawal, deposit, balance); the k-th change takes the
     page's k-th date, the last one for all beyond; changes of a page without dates are left out."""
-    parts = sections(lines)
-    changes, dates, said = page_changes(parts, most, trail), page_dates(parts), page_narrations(parts)
+    parts = written(sections(lines), "column-parts")
+    changes, dates, said = written(page_changes(parts, most, trail), "column-changes"), page_dates(parts), page_narrations(parts)
     words = aligned(changes, said) if by == "aligned" else said
     counts = dates.select("file_id", "page", "n_dates").distinct()
     dated = changes.join(counts, ["file_id", "page"]).withColumn("_k", F.least("k", "n_dates"))

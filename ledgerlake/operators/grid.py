@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import tables as t
+from ..sources.scratch import written
 from .balances import with_neighbour
 from .columnar import NO_WORDS, clean
 from .prefix import running
@@ -95,6 +96,7 @@ def placed_rows(lines: DataFrame, words_from: float = 150.0, words_to: float = 4
     alone = (F.size("amounts") == 1) & (F.col("text") == F.get("amounts", F.lit(0))["text"])
     kind = F.when(alone, "orphan").when(F.col("day").isNull(), F.when(~F.col("text").rlike(AMOUNT), "words")).when(F.size("amounts") > 0, "row")
     rows = rows.withColumn("kind", kind).filter("kind IS NOT NULL")
+    rows = written(rows, "position-rows")
     bucket = F.struct("page_no", F.floor(F.col("line_no") / BUCKET).alias("part"))
     rows = running(rows, ["file_id"], bucket, ["page_no", "line_no"], "n", {"row_no": F.when(F.col("kind") == "row", 1).otherwise(0)})
     rows = rows.withColumn("row_no", F.col("row_no").cast("long")).filter("row_no > 0")
@@ -128,7 +130,7 @@ def placed_rows(lines: DataFrame, words_from: float = 150.0, words_to: float = 4
 
 def newest_first(lines: DataFrame, step: float = 0.02, **places) -> DataFrame:
     """(file_id, row_no, txn_date, particulars, withdrawal, deposit, balance)."""
-    rows = placed_rows(lines, **places).withColumn("seq", F.col("row_no"))
+    rows = written(placed_rows(lines, **places).withColumn("seq", F.col("row_no")), "position-put")
     near = with_neighbour(rows, ("file_id",), True, "_older")
     change = (F.col("balance") - F.col("_older")).cast("decimal(18,2)")
     printed = F.col("amount").isNotNull()
