@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import boxes, grid, history, matching
 from .operators.metrics import dbl
 from .queries import TXN, D, _events, over_txns
-from .zip_queries import FILE, put_together
+from .zip_queries import file_id, put_together
 
-PAGE_NO = (F.year("txn_date") * 12 + F.month("txn_date")).cast("int").alias("page_no")
 PAGE_SQL = "year(txn_date) * 12 + month(txn_date)"
 
+
+def page_no() -> Column:
+    return (F.year("txn_date") * 12 + F.month("txn_date")).cast("int").alias("page_no")
+
+
 # --- word boxes on pages that are askew by account: a row every 20 units, a word every 70 --------
 
 
@@ -22,7 +26,7 @@ def word_boxes(t: DataFrame) -> DataFrame:
     each = t.withColumn("row", row).select("account_id", "txn_date", "seq", "row", F.posexplode(words).alias("k", "text"))
     x = F.col("k") * 70.0
     y = F.col("row") * 20.0 + (x + 30) * F.tan(F.radians((F.col("account_id") % 7 - 3) * 0.5)) + (F.col("seq") + F.col("k")) % 3
-    return each.select(FILE, PAGE_NO, x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 10).alias("y1"), "text")
+    return each.select(file_id(), page_no(), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 10).alias("y1"), "text")
 
 
 over_txns(
@@ -37,7 +41,7 @@ strftime(txn_date, '%d/%m/%Y') || ' ' || narration || ' ' || amount AS text FROM
 
 def _pages(t: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.date_format("txn_date", "dd/MM/yyyy").alias("d")))), lambda x: x["d"]), " ")
-    return t.groupBy("account_id", "month_key").agg(text.alias("text"), F.min("txn_date").alias("txn_date")).select(FILE, PAGE_NO, "text", (F.col("account_id") % 3 == 0).alias("down"), F.col("account_id"))
+    return t.groupBy("account_id", "month_key").agg(text.alias("text"), F.min("txn_date").alias("txn_date")).select(file_id(), page_no(), "text", (F.col("account_id") % 3 == 0).alias("down"), F.col("account_id"))
 
 
 def _read(pages: DataFrame, rotation: int) -> DataFrame:
@@ -66,7 +70,7 @@ def positioned_lines(t: DataFrame) -> DataFrame:
     alone = (F.col("seq") % 9 == 0) & (F.col("seq") % 8 != 0)
     start = F.array(item(30, F.date_format("txn_date", "dd-MM-yyyy")), item(160, F.lit("NO")), item(200, F.col("seq").cast("string")))
     items = F.concat(start, F.when(alone, F.array(held)).when(F.col("seq") % 8 == 0, F.array(money)).otherwise(F.array(money, held)))
-    line = lambda n, its, rows: rows.select(FILE, F.lit(1).alias("page_no"), n.cast("int").alias("line_no"), F.array_join(F.transform(its, lambda i: i["text"]), " ").alias("text"), its.alias("items"))
+    line = lambda n, its, rows: rows.select(file_id(), F.lit(1).alias("page_no"), n.cast("int").alias("line_no"), F.array_join(F.transform(its, lambda i: i["text"]), " ").alias("text"), its.alias("items"))
     heads = F.array(item(30, F.lit("TRAN DATE")), item(431, F.lit("WITHDRAWAL(DR)")), item(521, F.lit("DEPOSIT(CR)")), item(601, F.lit("BALANCE(INR)")))
     return put_together(
         line(F.lit(0), heads, t.select("account_id").distinct()),
