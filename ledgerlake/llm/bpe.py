@@ -2,13 +2,14 @@
 
 Text is cut by the public pattern.  A first pass counts the distinct chunks of all
 documents; the INVENTORY_CHUNKS most frequent ones (a bound that the corpus does not
-move) form the corpus inventory.  The byte symbols of its words lie in one linked
+move) form the corpus inventory.  The byte symbols of all its words lie in one linked
 array.  An inverted
 index maps every mergeable pair to the positions where it occurs.  Merges are
-replayed in rank order over the whole inventory: all positions of the lowest
+replayed in rank order over the whole inventory, once: all positions of the lowest
 rank are merged, and only the two touched neighbours of each position are
-re-indexed.  The ids of the inventory go to all workers; what is rarer is
-replayed in the same way over the inventory of a block of documents, and its ids
+re-indexed.  The ids of the inventory go to all workers; what is rarer or longer is
+replayed in the same way by each worker, AT_ONCE words of a block of documents at a
+time (smaller arrays stay in the processor's cache), and its ids
 are kept up to a bound (see chunks.py).  Words do not depend on each
 other, so inventories of any size give the same ids, and of all chunks only the
 distinct ones of each task are shuffled.
@@ -36,7 +37,7 @@ from .chunks import SHORT, ChunkEncoder, chunk_hashes, short_chunks
 from .common import KEPT, discard, materialize, pieces_of, text_or_empty, tidied
 
 BLOCK_BYTES = 1 << 19
-INVENTORY = 2_000
+AT_ONCE = 2_000
 STORE_BITS = 19
 INVENTORY_CHUNKS = 1 << 16
 COUNTED_AT_ONCE = 1 << 19
@@ -184,8 +185,7 @@ class MergeReplay:
 
 
 class ReplayEncoder(ChunkEncoder):
-    """Chunks are cut by the pattern; their words are replayed together, INVENTORY
-    at a time, which keeps the linked array and the index in the processor's cache."""
+    """Chunks are cut by the pattern; their words are replayed together, so many at a time."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, bits: int = STORE_BITS):
         super().__init__(pattern, bits)
@@ -208,12 +208,12 @@ class ReplayEncoder(ChunkEncoder):
         self.store.keep()
         self.loaded = token
 
-    def fresh(self, chunks: list[str]) -> list[list[int]]:
+    def fresh(self, chunks: list[str], at_once: int = AT_ONCE) -> list[list[int]]:
         cut = [self.split(c) for c in chunks]
         words = list(set(chain.from_iterable(cut)))
         ids: dict[str, list[int]] = {}
-        for k in range(0, len(words), INVENTORY):
-            part = words[k : k + INVENTORY]
+        for k in range(0, len(words), at_once):
+            part = words[k : k + at_once]
             ids.update(zip(part, self.replay.encode_words([w.encode("utf-8", "surrogatepass") for w in part])))
         return [ids[c[0]] if len(c) == 1 else [i for w in c for i in ids[w]] for c in cut]
 
@@ -292,11 +292,13 @@ def corpus_inventory(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = replay_encoder(ranks_path, pattern)
-        for batch in batches:
-            ids = coder.fresh([c.decode("utf-8", "surrogatepass") for c in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["chunk", "ids"])
+        chunks = [c for batch in batches for c in batch.column(0).to_pylist()]  # INVENTORY_CHUNKS of SHORT bytes at most
+        ids = coder.fresh([c.decode("utf-8", "surrogatepass") for c in chunks], max(1, len(chunks)))
+        for k in range(0, len(chunks), AT_ONCE):
+            part = pa.array(chunks[k : k + AT_ONCE], pa.binary()), pa.array(ids[k : k + AT_ONCE], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(part), ["chunk", "ids"])
 
-    chosen = counts.filter(level >= least).select("chunk")
+    chosen = counts.filter(level >= least).select("chunk").repartition(1)
     out = chosen.mapInArrow(tidied(replay, "bpe"), "chunk binary, ids array<int>").toArrow()
     discard(counts)
     return out
