@@ -2,7 +2,8 @@
 
 Skew: for each of a few angles the middles of a page's boxes are projected along it and counted in
 bins of half the usual height; at the right angle words of a line fall into one bin,
-so the sum of squares is greatest.  Lines: after that turn, a sweep down the page opens a
+so the sum of squares is greatest; a page's boxes are one small array in a task, so nothing is
+multiplied by the angles.  Lines: after that turn, a sweep down the page opens a
 line where no box still reaches; heights are taken a quarter narrower at each end, so
 that lines which touch stay apart.  All windows hold one page.
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +30,30 @@ MOST_DEGREES, STEP_DEGREES = 5.0, 0.25
 SHRINK = 0.25
 
 
+def steepest(y: np.ndarray, x: np.ndarray, high: np.ndarray, n: int, step: float) -> float:
+    """Of 2 n + 1 angles the one at which the boxes of a page fall into the fewest bins."""
+    known = np.sort(high[~np.isnan(high)])
+    usual = max(known[math.ceil(len(known) / 2) - 1] / 2, 1.0) if len(known) else 1.0
+    best, out = None, 0.0
+    for k in range(-n, n + 1):
+        counts = np.unique(np.floor((y - x * math.tan(math.radians(k * step))) / usual), return_counts=True)[1]
+        score = (int((counts * counts).sum()), -abs(k), k)
+        best, out = (score, k * step) if best is None or score > best else (best, out)
+    return out
+
+
 def page_skew(boxes: DataFrame, most: float = MOST_DEGREES, step: float = STEP_DEGREES) -> DataFrame:
     """(file_id, page_no, degrees): the slope of a page's lines; of equal ones the least."""
-    high = boxes.groupBy(*PAGE).agg(F.greatest(F.percentile_approx(F.col("y1") - F.col("y0"), 0.5) / 2, F.lit(1.0)).alias("bin"))
     n = round(most / step)
-    angles = F.array(*[F.struct(F.lit(k * step).alias("degrees"), F.lit(math.tan(math.radians(k * step))).alias("slope")) for k in range(-n, n + 1)])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        degrees = steepest(pdf["y"].to_numpy(float), pdf["x"].to_numpy(float), pdf["high"].to_numpy(float), n, step)
+        return pd.DataFrame([(*key, degrees)], columns=[*PAGE, "degrees"])
+
+    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in PAGE)
     middle, across = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2
-    seen = boxes.join(high, PAGE).select(*PAGE, "bin", middle.alias("y"), across.alias("x"), F.explode(angles).alias("a"))
-    bins = seen.groupBy(*PAGE, "a.degrees", F.floor((F.col("y") - F.col("x") * F.col("a.slope")) / F.col("bin")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    sharp = bins.groupBy(*PAGE, "degrees").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
-    return sharp.groupBy(*PAGE).agg(F.max_by("degrees", F.struct(F.col("s"), -F.abs("degrees"), F.col("degrees"))).alias("degrees"))
+    seen = boxes.select(*PAGE, middle.alias("y"), across.alias("x"), (F.col("y1") - F.col("y0")).alias("high"))
+    return seen.groupBy(*PAGE).applyInPandas(run, f"{kinds}, degrees double")
 
 
 def lines_of_boxes(boxes: DataFrame, most: float = MOST_DEGREES) -> DataFrame:
