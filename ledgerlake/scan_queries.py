@@ -44,9 +44,18 @@ judged AS (
 each AS (SELECT account_id, unnest(ns) AS seq, unnest(string_split(said, '')) AS c FROM judged)
 SELECT account_id, seq, CASE c WHEN 'd' THEN 'deposit' WHEN 'w' THEN 'withdrawal' WHEN 's' THEN 'skipped' ELSE 'unread' END AS status FROM each""",
 )
+
+
+def foreign_rows(t: DataFrame) -> DataFrame:
+    """The rows and a foreign line after every seventh that no amount explains: its balance is off by more than its
+    amount.  (A line of noisy_rows is off by a fixed sum, and some row of a large table has just that amount.)"""
+    rows = noisy_rows(t.filter("NOT (account_id % 10 = 3)")).filter("seq % 3 <> 2")
+    return rows.withColumn("balance", F.when(F.col("seq") % 3 == 1, F.col("balance") + 2 * F.col("amount")).otherwise(F.col("balance")).cast("decimal(18,2)"))
+
+
 over_txns(
     "reconcile_carried_counts",
-    lambda t: anchors.skipped_counts(anchors.reconcile_carried(noisy_rows(t.filter("NOT (account_id % 10 = 3)")).filter("seq % 3 <> 2"), F.col("opening"))),
+    lambda t: anchors.skipped_counts(anchors.reconcile_carried(foreign_rows(t), F.col("opening"))),
     TXN + """, n AS (SELECT account_id, count(*) AS good, count(*) FILTER (seq % 7 = 0) AS bad FROM txn WHERE account_id % 10 <> 3 GROUP BY account_id)
 SELECT account_id, good + bad AS n_rows, good - CASE WHEN account_id % 4 = 1 THEN 1 ELSE 0 END AS n_accepted, bad + CASE WHEN account_id % 4 = 1 THEN 1 ELSE 0 END AS n_skipped, CAST(0 AS BIGINT) AS n_unread FROM n""",
 )

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake import scan_queries
 from ledgerlake.operators import anchors
 
 
@@ -57,3 +58,16 @@ def test_noise_between_rows_does_not_move_the_anchor(spark):
     counts = anchors.skipped_counts(got).first()
     assert (counts["n_rows"], counts["n_accepted"], counts["n_skipped"], counts["n_unread"]) == (5, 3, 1, 1)
     assert anchors.reconcile_carried(df.limit(0), F.lit(1.0)).count() == 0
+
+
+def test_foreign_lines_are_skipped_whatever_the_amount(spark):
+    """A row of 999.87 explains a line that is off by 1000.37 with 0.50 added to the amount."""
+    rows, balance = [], 0
+    for k in range(1, 30):
+        amount = 99987 if k in (7, 21) else 5000 + k
+        balance += amount
+        rows.append((2, k, balance / 100, amount / 100))
+    df = spark.createDataFrame(rows, "account_id long, seq long, balance double, amount double")
+    df = df.select("account_id", "seq", F.col("balance").cast("decimal(18,2)").alias("balance"), F.col("amount").cast("decimal(18,2)").alias("amount"))
+    got = anchors.skipped_counts(anchors.reconcile_carried(scan_queries.foreign_rows(df), F.col("opening"))).first()
+    assert (got["n_rows"], got["n_accepted"], got["n_skipped"], got["n_unread"]) == (33, 29, 4, 0)
