@@ -18,6 +18,7 @@ Which description belongs to which change can be told in two ways:
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -38,6 +39,8 @@ NO_WORDS = "TRANSACTION"
 WORDS_IN = re.compile(r"^BY\b|\b(CR|CREDIT|DEPOSIT|CHQ RETURN|INWARD RETURN)\b")
 WORDS_OUT = re.compile(r"^TO\b|\b(DR|DEBIT|WITHDRAWAL|CHARGES?|CHQ PAID)\b|^GST$")
 UNKNOWN_COST, CONFLICT_COST, GAP_COST = 1, 6, 2
+SLACK = 64  # cells beside the diagonals that are looked at first
+FAR = 1 << 29
 
 
 MATCHED = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("particulars", T.StringType())]))
@@ -116,28 +119,77 @@ def sign_told(text: str) -> int:
     return 0 if bool(into) == bool(out) else 1 if into else -1
 
 
+class Band:
+    """Costs of the best alignments of what is left, for cells within ``slack`` of the diagonals from corner to corner.
+
+    A row of the table is a few array steps; rows are kept at distances of the root of their number, and
+    those between are made again on the way back, so memory grows with the width of the band only."""
+
+    def __init__(self, signs: Sequence[int], told: Sequence[int], slack: int):
+        self.signs, self.n, self.m = signs, len(signs), len(told)
+        apart = self.n - self.m
+        self.left, self.right = max(0, apart) + slack, slack - min(0, apart)
+        said = np.asarray(told, dtype=np.int32)
+        pair = lambda s: np.append(np.where(said == 0, UNKNOWN_COST, np.where(said == s, 0, CONFLICT_COST)), FAR).astype(np.int32)
+        self.pairs = {s: pair(s) for s in set(signs)}
+        self.ramp = GAP_COST * np.arange(self.left + self.right + 2, dtype=np.int32)
+        self.stride = max(1, math.isqrt(self.n))
+        lo, hi = self.bounds(self.n)
+        row = (lo, GAP_COST * (self.m - np.arange(lo, hi + 1, dtype=np.int32)))
+        self.kept = {self.n: row}
+        for i in range(self.n - 1, -1, -1):
+            row = self.above(i, row)
+            if i % self.stride == 0:
+                self.kept[i] = row
+        self.least = int(row[1][0])
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        return max(0, i - self.left), min(self.m, i + self.right)
+
+    def above(self, i: int, below: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+        lo, hi = self.bounds(i)
+        after = np.full(hi - lo + 2, FAR, dtype=np.int32)
+        after[below[0] - lo : below[0] - lo + len(below[1])] = below[1]
+        ramp = self.ramp[: hi - lo + 1]
+        own = np.minimum(after[1:] + self.pairs[self.signs[i]][lo : hi + 1], after[:-1] + GAP_COST)
+        return lo, np.minimum.accumulate((own + ramp)[::-1])[::-1] - ramp
+
+    def path(self) -> list[int | None]:
+        out: list[int | None] = []
+        j = 0
+        for start in range(0, self.n, self.stride):
+            end = min(start + self.stride, self.n)
+            rows = {end: self.kept[end]}
+            for i in range(end - 1, start - 1, -1):
+                rows[i] = self.above(i, rows[i + 1])
+            for i in range(start, end):
+                (lo, here), (lo2, below) = rows[i], rows[i + 1]
+                pair = self.pairs[self.signs[i]]
+                while True:
+                    cost = here[j - lo]
+                    if j < self.m and 0 <= j + 1 - lo2 < len(below) and cost == below[j + 1 - lo2] + pair[j]:
+                        out.append(j)
+                        j += 1
+                        break
+                    if j < self.m and j + 1 - lo < len(here) and cost == here[j + 1 - lo] + GAP_COST:
+                        j += 1
+                        continue
+                    out.append(None)
+                    break
+        return out
+
+
 def align(signs: Sequence[int], told: Sequence[int]) -> list[int | None]:
-    """For each change the number of its description, or none."""
-    n, m = len(signs), len(told)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int64)  # of the best alignment of what is left
-    cost[n, :] = GAP_COST * np.arange(m, -1, -1)
-    cost[:, m] = GAP_COST * np.arange(n, -1, -1)
-    pair = lambda i, j: UNKNOWN_COST if told[j] == 0 else 0 if told[j] == signs[i] else CONFLICT_COST
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            cost[i, j] = min(cost[i + 1, j + 1] + pair(i, j), cost[i + 1, j] + GAP_COST, cost[i, j + 1] + GAP_COST)
-    out: list[int | None] = []
-    i = j = 0
-    while i < n:
-        if j < m and cost[i, j] == cost[i + 1, j + 1] + pair(i, j):
-            out.append(j)
-            i, j = i + 1, j + 1
-        elif j < m and cost[i, j] == cost[i, j + 1] + GAP_COST:
-            j += 1
-        else:
-            out.append(None)
-            i += 1
-    return out
+    """For each change the number of its description, or none.
+
+    An alignment that leaves the band costs more gaps than its width; where the best one within costs less,
+    all best ones are within.  Otherwise the band is made wide enough for the cost that was found."""
+    n, m, slack = len(signs), len(told), SLACK
+    while True:
+        band = Band(signs, told, slack)
+        if n == 0 or band.least < GAP_COST * (abs(n - m) + 2 * (slack + 1)) or slack >= max(n, m):
+            return band.path()
+        slack = min(max(n, m), band.least // (2 * GAP_COST) + 1)
 
 
 def aligned(changes: DataFrame, said: DataFrame) -> DataFrame:
