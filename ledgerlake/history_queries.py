@@ -87,6 +87,7 @@ over_txns(
 q AS (SELECT *, held - lag(held) OVER (PARTITION BY account_id ORDER BY seq) AS change, row_number() OVER (PARTITION BY account_id ORDER BY seq DESC) AS row_no FROM p)
 SELECT 'account-' || account_id AS file_id, row_no, strftime(txn_date, '%Y-%m-%d') AS day, 'NO ' || seq || CASE WHEN seq % 7 = 0 THEN ' AND MORE' ELSE '' END AS particulars,
   {D('CASE WHEN change IS NULL THEN CASE WHEN debit > 0 THEN amount END WHEN change <= -0.02 THEN -change END')} AS withdrawal, {D('CASE WHEN change IS NULL THEN CASE WHEN debit = 0 THEN amount END WHEN change >= 0.02 THEN change END')} AS deposit, {D('held')} AS balance FROM q""",
+    keep="account_id seq txn_date debit amount balance",
 )
 
 # --- a manual ledger against the computed one ---------------------------------------------------
@@ -130,9 +131,10 @@ OF_TIME = TXN + """, e AS (SELECT account_id, txn_id, 'assign' AS action, 'FIRST
 s AS (SELECT account_id, ask_at, txn_id, coalesce(max(t) FILTER (action = 'reset'), -1) AS r, max(t) FILTER (action = 'assign') AS a, max(t) FILTER (action = 'exclude') AS x,
   coalesce(max(t) FILTER (action IN ('restore', 'assign')), -1) AS l, arg_max(party, t) FILTER (action = 'assign') AS party FROM e, (SELECT unnest([0, 1, 2, 3, 4, 5, 9]) AS ask_at) WHERE t <= ask_at GROUP BY ALL)
 SELECT account_id, CAST(ask_at AS BIGINT) AS ask_at, txn_id, CASE WHEN a > r THEN party END AS party, CASE WHEN x > r AND x > l THEN 'excluded' ELSE 'active' END AS status FROM s WHERE (x > r AND x > l) OR a > r"""
-over_txns("overrides_as_of", _asked, OF_TIME)
+over_txns("overrides_as_of", _asked, OF_TIME, keep="account_id txn_id seq")
 over_txns(
     "overrides_advanced",
     lambda t: history.settled(history.advanced(history.folded(_log(t).filter("at <= 2"), ["account_id"]).withColumn("upto", F.lit(3 * AGE - 1)), _log(t)), ["account_id"]),
     "SELECT account_id, txn_id, party, status FROM (" + OF_TIME + ") WHERE ask_at = 9",
+    keep="account_id txn_id seq",
 )
