@@ -43,6 +43,7 @@ judged AS (
     ELSE {'b': acc.b, 'a': acc.a, 's': acc.s || 's'} END, {'b': opening, 'a': CAST(0 AS BIGINT), 's': ''}).s AS said FROM listed),
 each AS (SELECT account_id, unnest(ns) AS seq, unnest(string_split(said, '')) AS c FROM judged)
 SELECT account_id, seq, CASE c WHEN 'd' THEN 'deposit' WHEN 'w' THEN 'withdrawal' WHEN 's' THEN 'skipped' ELSE 'unread' END AS status FROM each""",
+    keep="account_id seq balance amount",
 )
 
 
@@ -58,6 +59,7 @@ over_txns(
     lambda t: anchors.skipped_counts(anchors.reconcile_carried(foreign_rows(t), F.col("opening"))),
     TXN + """, n AS (SELECT account_id, count(*) AS good, count(*) FILTER (seq % 7 = 0) AS bad FROM txn WHERE account_id % 10 <> 3 GROUP BY account_id)
 SELECT account_id, good + bad AS n_rows, good - CASE WHEN account_id % 4 = 1 THEN 1 ELSE 0 END AS n_accepted, bad + CASE WHEN account_id % 4 = 1 THEN 1 ELSE 0 END AS n_skipped, CAST(0 AS BIGINT) AS n_unread FROM n""",
+    keep="account_id seq balance amount",
 )
 
 # --- column blocks: a page a month; some descriptions lost, others on two lines ------------------
@@ -107,10 +109,11 @@ COLUMNS = TXN + """, page AS (SELECT *, dense_rank() OVER (PARTITION BY account_
 said AS (SELECT *, NOT (seq % 3 = 0 AND (next_in IS NULL OR next_in <> (credit > 0))) AS kept, CASE WHEN credit > 0 THEN 'BY TRF ' ELSE 'TO TRF ' END || seq || ' END' AS words FROM page)
 SELECT 'account-' || a.account_id AS file_id, a.page, a.k, strftime(a.txn_date, '%Y-%m-%d') AS day, coalesce({words}, 'TRANSACTION') AS particulars,
   """ + f"{D('CASE WHEN a.debit > 0 THEN a.debit END')} AS withdrawal, {D('CASE WHEN a.credit > 0 THEN a.credit END')} AS deposit, {D('a.balance')} AS balance FROM said a"
-over_txns("column_blocks_aligned", lambda t: shown(columnar.transactions(column_lines(t), most=1e12)), COLUMNS.replace("{words}", "CASE WHEN a.kept THEN a.words END"))
+over_txns("column_blocks_aligned", lambda t: shown(columnar.transactions(column_lines(t), most=1e12)), COLUMNS.replace("{words}", "CASE WHEN a.kept THEN a.words END"), keep="account_id seq txn_date debit credit balance month_key")
 over_txns(
     "column_blocks_by_number",
     lambda t: shown(columnar.transactions(column_lines(t), by="by_number", most=1e12)),
     COLUMNS.replace("{words}", "b.words")
     + " LEFT JOIN (SELECT account_id, page, words, row_number() OVER (PARTITION BY account_id, page ORDER BY seq) AS k FROM said WHERE kept) b ON b.account_id = a.account_id AND b.page = a.page AND b.k = a.k",
+    keep="account_id seq txn_date debit credit balance month_key",
 )
