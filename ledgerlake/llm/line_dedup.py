@@ -158,21 +158,16 @@ def parity_level(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(PARITY_SIZES, size, side="right")
 
 
-def parities(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def parities(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Per line the parity of its words in each bit, by hash."""
-    level = parity_level(sizes)
-    out = np.empty(len(sizes), dtype=object)
-    for k in np.unique(level):
-        rows = np.flatnonzero(level == k)
-        words = 2 << k
-        no, at = ranges(starts[rows], starts[rows] + sizes[rows])
-        bit = mixed(hashes[at], 2) >> np.uint64(54) & np.uint64(64 * words - 1)
-        bits = np.zeros(len(rows) * words, dtype=np.uint64)
-        np.bitwise_xor.at(bits, no * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        raw = bits.tobytes()
-        for n, row in enumerate(rows.tolist()):
-            out[row] = raw[8 * words * n : 8 * words * (n + 1)]
-    return out.tolist()
+    words = 2 << parity_level(sizes)
+    begin = np.cumsum(words) - words
+    no, at = ranges(starts, starts + sizes)
+    bit = mixed(hashes[at], 2) >> np.uint64(54) & (64 * words - 1).astype(np.uint64)[no]
+    bits = np.zeros(int(words.sum()), dtype=np.uint64)
+    np.bitwise_xor.at(bits, begin[no] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    ends = (8 * np.append(begin, len(bits))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(bits)])
 
 
 class Parities:
@@ -189,7 +184,7 @@ class Parities:
             m = np.zeros((len(raw), words), dtype=np.uint64)
             for j in range(k, int(self.level.max(initial=0)) + 1):
                 own = np.flatnonzero(self.level == j)
-                full = data[ends[own, None] + np.arange(2 << j)].reshape(len(own), -1, words)
+                full = data[ends[own, None] + np.arange(2 << j)].reshape(len(own), 1 << (j - k), words)
                 m[own] = full[:, 0] if j == k else np.bitwise_xor.reduce(full, axis=1)
             self.bits.append(m)
 
@@ -274,7 +269,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, id_col: str, text: str) -> D
                         pa.array(c1),
                         pa.array(c2),
                         pa.array(n.astype(np.int32)),
-                        pa.array(parities(hashes, starts, n), pa.binary()),
+                        parities(hashes, starts, n),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.astype(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int32))),
                     ],

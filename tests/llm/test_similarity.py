@@ -98,6 +98,20 @@ def test_pairs_second_pass_finds_what_the_first_left(spark):
     assert set(zip(later, earlier)) == {(n - 1, j) for j in range(n - 1)}
 
 
+def test_parities_of_lines_where_a_level_between_is_missing():
+    short, long = (np.random.default_rng(1).integers(0, 1 << 63, n, dtype=np.uint64) for n in (2, 8))  # 128 and 512 bits, none of 256
+    parity = line_dedup.Parities(pa.array([short.tobytes(), long.tobytes()], pa.binary()))
+    folded = np.bitwise_xor.reduce(long.reshape(-1, 2), axis=0)
+    assert parity.distance(np.array([0]), np.array([1])).tolist() == [int(np.bitwise_count(short ^ folded).sum())]
+
+
+def test_parities_are_those_of_each_line_by_itself():
+    hashes, sizes = line_dedup.mixed(np.arange(1, 311, dtype=np.uint64), 1), np.array([10, 300])
+    both = line_dedup.parities(hashes, np.array([0, 10]), sizes)
+    assert [len(x.as_py()) for x in both] == [16, 64]
+    assert both[1].as_py() == line_dedup.parities(hashes[10:], np.array([0]), sizes[1:])[0].as_py()
+
+
 def test_line_dedup_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b\na b", "x", 7)], "doc_id long, text string, d string, h int")
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
