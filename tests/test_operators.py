@@ -34,6 +34,25 @@ def test_party_of_narration(narration, entity, confidence):
     assert found.entity == entity and found.confidence >= confidence
 
 
+def test_texts_that_differ_in_a_reference_are_resolved_once(monkeypatch):
+    asked = []
+    ladder = names.ladder
+    monkeypatch.setattr(names, "ladder", lambda p, n: asked.append(n) or ladder(p, n))
+    names.resolved_shape.cache_clear()
+    for form in ("UPI-ALPHA BETALINE-{}-@ybl", "IMPS/P2A/{}/GAMMA DELTAIN", "NEFT/OMEGA SIGMA/{}"):
+        texts = [form.format(k) for k in (123456, 654321, 999111, 471108)]
+        assert [names.resolved("", x) for x in texts] == [ladder("", x) for x in texts]
+    assert len(asked) == 3
+    for x in ("SBIN-1800123456-ALPHA", "ABCD012345 ALPHA", "HDFC0001234 BETA", "24 X 7 123456 GAMMA", "1STATEMENT PERIOD : 2024-01-01800123456"):
+        assert names.resolved("", x) == ladder("", x)
+
+
+def test_resolved_rows_keep_their_order_and_nulls(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", "UPI-ALPHA BETALINE-123456-@ybl"), (3, None, "MOB ZOMATO 123"), (4, "", "UPI-ALPHA BETALINE-654321-@ybl")], "k int, p string, n string")
+    got = [r["e"] for r in df.coalesce(1).select("k", ledger.resolved("p", "n")["entity"].alias("e")).orderBy("k").collect()]
+    assert got == ["UNRECOGNIZED", "ALPHA BETALINE", "ZOMATO", "ALPHA BETALINE"]
+
+
 def test_party_details():
     assert names.from_transaction("", "ACH D- ALPHA EMI") == ("EMI PAYMENT", 80)
     assert names.from_text("CLOSING BALANCE 1,000.00") == names.NOTHING
