@@ -2,8 +2,7 @@
 of descriptions and one of balances, and the blocks have unequal lengths.
 
 A change between balances is a transaction.  Sections and pages come from running
-counts of headers, over buckets of lines (operators.prefix); all other windows hold
-one page.  The balance before a page's first one is that of the page before, from the
+counts over the headers alone (operators.prefix); the entries of a page meet in one task.  The balance before a page's first one is that of the page before, from the
 first page on that has a transaction.
 
 Which description belongs to which change can be told in two ways:
@@ -20,21 +19,21 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import columns as c
 from ..functions import tables as t
 from ..sources.scratch import written
-from .balances import with_neighbour
 from .prefix import running
 
 BUCKET_LINES = 1 << 14
+MOST_BROADCAST = 200_000  # rows of a table of parts or pages that goes to all tasks
 NO_WORDS = "TRANSACTION"
 WORDS_IN = re.compile(r"^BY\b|\b(CR|CREDIT|DEPOSIT|CHQ RETURN|INWARD RETURN)\b")
 WORDS_OUT = re.compile(r"^TO\b|\b(DR|DEBIT|WITHDRAWAL|CHARGES?|CHQ PAID)\b|^GST$")
@@ -43,74 +42,101 @@ SLACK = 64  # cells beside the diagonals that are looked at first
 FAR = 1 << 29
 
 
-MATCHED = T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("particulars", T.StringType())]))
-
-
 def clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00a0]+", " "))
+    """White space as single blanks; a text that has no other is not rebuilt."""
+    given = F.coalesce(text, F.lit(""))
+    return F.trim(F.when(given.rlike(r"[\t-\r\u00a0]| {2}"), F.regexp_replace(given, r"[\s\u00a0]+", " ")).otherwise(given))
 
 
 def header_of(text: Column) -> Column:
-    """The column that a line heads, else null."""
-    return F.coalesce(*[F.when(text.rlike(f"(?i){pattern}"), name) for name, pattern in t.COLUMN_HEADERS.items()])
+    """The column that a line heads, else null; most lines meet one pattern only."""
+    named = lambda x: F.coalesce(*[F.when(x.rlike(f"(?i){pattern}"), name) for name, pattern in t.COLUMN_HEADERS.items()])
+    return F.when(text.rlike(f"(?i){'|'.join(t.COLUMN_HEADERS.values())}"), c.bound(text, named))
+
+
+def headed(rows: DataFrame) -> DataFrame:
+    """(file_id, page_no, part, heads): for each part of a page of paper, which is BUCKET_LINES lines, the headers in it in order, and
+    before them the last one above, each as (at, page, column, first).  A page begins with every TRANS DATE header but the first;
+    first tells the first header of its column on its page."""
+    found = rows.groupBy("file_id", "page_no", "part", F.when(F.col("head").isNotNull(), F.col("line_no")).alias("line_no"), "head").agg(F.count(F.lit(1)).alias("_n"))
+    found = written(found.drop("_n"), "column-heads")
+    heads = found.filter("head IS NOT NULL")
+    heads = running(heads, ["file_id"], F.col("page_no"), ["line_no"], "section", {"page": F.when(F.col("head") == "trans_date", 1).otherwise(0)})
+    heads = heads.withColumn("page", F.greatest(F.col("page").cast("int"), F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("file_id", "page", "head").orderBy("section")) == 1
+    heads = heads.select("file_id", "page_no", "part", F.struct(F.col("section").alias("no"), line_at().alias("at"), "page", F.col("head").alias("column"), first.alias("first")).alias("h"))
+    last = heads.groupBy("file_id", "page_no", "part").agg(F.array_sort(F.collect_list("h")).alias("heads"))
+    parts = found.select("file_id", "page_no", "part").distinct().alias("p")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"l.{k}")) for k in ("file_id", "page_no", "part")]
+    both = parts.join(last.alias("l"), same, "left").select("p.*", "l.heads")
+    above = F.last(F.element_at("heads", -1), ignorenulls=True).over(Window.partitionBy("file_id").orderBy("page_no", "part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = above.withField("at", F.lit(-(1 << 62)))
+    both = both.withColumn("_above", carried)
+    return both.select("file_id", "page_no", "part", F.array_compact(F.concat(F.array("_above"), F.coalesce("heads", F.array().cast(both.schema["heads"].dataType)))).alias("heads"))
+
+
+def line_at() -> Column:
+    return F.coalesce(F.col("line_no").cast("long"), F.lit(-(1 << 61)))
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """(file_id, page, section, column, n, text): the lines below the first header of each
-    column of each page.  A page begins with every TRANS DATE header but the first."""
-    rows = lines.select("file_id", "page_no", "line_no", clean(F.col("text")).alias("text")).withColumn("head", header_of(F.col("text")))
-    bucket = F.struct("page_no", F.floor(F.col("line_no") / BUCKET_LINES).alias("part"))
-    counted = running(
-        rows, ["file_id"], bucket, ["page_no", "line_no"], "n",
-        {"page": F.when(F.col("head") == "trans_date", 1).otherwise(0), "section": F.when(F.col("head").isNotNull(), 1).otherwise(0)},
-    )
-    counted = counted.withColumn("page", F.greatest(F.col("page").cast("int"), F.lit(1))).withColumn("section", F.col("section").cast("int"))
-    named = counted.filter("section > 0").withColumn("column", F.max("head").over(Window.partitionBy("file_id", "section")))
-    first = named.withColumn("_first", F.min("section").over(Window.partitionBy("file_id", "page", "column")))
-    return first.filter("head IS NULL AND section = _first").select("file_id", "page", "section", "column", "n", "text")
+    """(file_id, page, column, page_no, at, text): the lines below the first header of each column of each page.
 
+    Headers are few: they are found first, and each line looks at those of its part of the page, so lines are not shuffled."""
+    rows = lines.select("file_id", "page_no", "line_no", clean(F.col("text")).alias("text"), F.floor(F.col("line_no") / BUCKET_LINES).alias("part"))
+    heads = written(headed(rows.withColumn("head", header_of(F.col("text")))), "column-parts")
+    near = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in ("file_id", "page_no", "part")]
+    placed = rows.alias("r").join(near.alias("h"), same).select("r.file_id", "r.page_no", line_at().alias("at"), "r.text", "h.heads")
+    under = F.slice(F.filter("heads", lambda h: h["at"] <= F.col("at")), -1, 1)
+    placed = placed.select("file_id", "page_no", "at", "text", F.explode(under).alias("h")).filter("h.first")
+    return placed.filter(header_of(F.col("text")).isNull()).select("file_id", "h.page", "h.column", "page_no", "at", "text")
 
-def page_dates(parts: DataFrame) -> DataFrame:
-    """(file_id, page, k, n_dates, txn_date): the dates of the date column, then of the reference column."""
-    dated = parts.filter(F.col("column").isin("trans_date", "reff")).withColumn("txn_date", c.parsed_date(F.col("text"))).filter("txn_date IS NOT NULL")
-    page = Window.partitionBy("file_id", "page")
-    return dated.select(
-        "file_id", "page", F.row_number().over(page.orderBy(F.col("column") == "reff", "n")).alias("k"), F.count(F.lit(1)).over(page).alias("n_dates"), "txn_date"
-    )
 
+def cents(amount: Column) -> Column:
+    return (amount * 100).cast("long")
 
-def page_narrations(parts: DataFrame, starts: Sequence[str] = t.NARRATION_STARTS, skip: Sequence[str] = t.NARRATION_SKIPS) -> DataFrame:
-    """(file_id, page, k, particulars): description lines, put together from each line that
-    opens an entry to the next."""
-    said = parts.filter(F.col("column") == "description").filter((F.col("text") != "") & ~F.col("text").rlike(f"(?i){'|'.join(skip)}"))
-    order = Window.partitionBy("file_id", "page").orderBy("n")
-    opens = (F.row_number().over(order) == 1) | F.col("text").rlike(f"(?i)^({'|'.join(starts)})")
-    grouped = said.withColumn("k", F.sum(F.when(opens, 1).otherwise(0)).over(order).cast("int"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
-    return grouped.groupBy("file_id", "page", "k").agg(F.array_join(lines, " ").alias("particulars"))
 
-
-def page_changes(parts: DataFrame, most: float = 1e7, trail: tuple[float, float] | None = None, least: float = 0.01) -> DataFrame:
-    """(file_id, page, k, change, balance): the steps between balances that follow each other.
+def entries(parts: DataFrame, most: float, trail: tuple[float, float] | None, starts: Sequence[str], skip: Sequence[str]) -> DataFrame:
+    """(file_id, page, page_no, at, kind, text, opens, day, balance): what the columns of a page hold.  kind tells a date of the date
+    column (0) or of the reference column (1), a line of a description (2), which may open one, a balance in cents (3).
 
     Numbers of ``most`` and above are no balances.  With trail = (low, high) a page's balances begin
     at the first one within these bounds that is no whole number, if that is not the first number at all."""
-    held = parts.filter(F.col("column") == "balance").select("file_id", "page", "n", c.amount_of_text(F.col("text")).alias("balance")).filter("balance IS NOT NULL")
-    page = Window.partitionBy("file_id", "page")
+    column, text = F.col("column"), F.col("text")
+    kind = F.when(column == "trans_date", 0).when(column == "reff", 1).when(column == "description", 2).when(column == "balance", 3)
+    read = F.struct(
+        F.when(F.col("kind") == 2, text).alias("text"), F.when(F.col("kind") == 2, text.rlike(f"(?i)^({'|'.join(starts)})")).alias("opens"),
+        F.when(F.col("kind") < 2, c.parsed_date(text)).alias("day"), F.when(F.col("kind") == 3, c.amount_of_text(text)).alias("balance"),
+    )
+    rows = parts.withColumn("kind", kind).filter("kind IS NOT NULL")
+    rows = rows.select("file_id", "page", "page_no", "at", "kind", F.explode(F.array(read)).alias("x"))  # a filter on what was read does not read it again
+    rows = rows.select("file_id", "page", "page_no", "at", "kind", "x.*")
+    text = F.col("text")
+    said = (text != "") & ~text.rlike(f"(?i){'|'.join(skip)}")
+    held = F.abs("balance") < most
     if trail is not None:
         low, high = trail
+        page, place = Window.partitionBy("file_id", "page"), F.struct("page_no", "at")
         fits = F.col("balance").between(low, high) & (F.col("balance") != F.floor("balance"))
-        held = held.withColumn("_0", F.min("n").over(page)).withColumn("_1", F.min(F.when(fits, F.col("n"))).over(page))
-        late = F.coalesce(F.col("_1") > F.col("_0"), F.lit(False))
-        held = held.filter(F.when(late, (F.col("n") >= F.col("_1")) & (F.abs("balance") <= high)).otherwise(F.abs("balance") < most)).drop("_0", "_1")
-    else:
-        held = held.filter(F.abs("balance") < most)
-    own = held.withColumn("_own", F.lag("balance").over(page.orderBy("n")))
-    moved = own.filter(F.abs(F.col("balance") - F.col("_own")) >= least).groupBy("file_id").agg(F.min("page").alias("_from"))
-    steps = with_neighbour(own.withColumnRenamed("n", "seq"), ("file_id",), False, "_before").join(moved, "file_id", "left")
-    before = F.coalesce("_own", F.when(F.col("page") > F.col("_from"), F.col("_before")))
-    steps = steps.withColumn("change", (F.col("balance") - before).cast("decimal(18,2)")).filter(F.abs("change") >= least)
-    return steps.select("file_id", "page", F.row_number().over(page.orderBy("seq")).alias("k"), "change", "balance")
+        rows = rows.withColumn("_p", place).withColumn("_0", F.min(F.when(F.col("balance").isNotNull(), place)).over(page)).withColumn("_1", F.min(F.when(fits, place)).over(page))
+        held = F.when(F.coalesce(F.col("_1") > F.col("_0"), F.lit(False)), (F.col("_p") >= F.col("_1")) & (F.abs("balance") <= high)).otherwise(held)
+    keep = F.when(F.col("kind") < 2, F.col("day").isNotNull()).when(F.col("kind") == 2, said).otherwise(held)
+    return rows.withColumn("_keep", keep).filter("_keep").select("file_id", "page", "page_no", "at", "kind", "text", "opens", "day", cents(F.col("balance")).alias("balance"))
+
+
+def carried(rows: DataFrame, least: float) -> DataFrame:
+    """(file_id, page, before): the balance before a page's first one, from the first page on that has a transaction."""
+    held, place = rows.filter("kind = 3").select("file_id", "page", "page_no", "at", "balance"), F.struct("page_no", "at")
+    if least > 0.01:
+        own = F.lag("balance").over(Window.partitionBy("file_id", "page").orderBy("page_no", "at"))
+        moved = F.max(F.coalesce(F.abs(F.col("balance") - F.col("_own")) / 100 >= least, F.lit(False)))
+        pages = held.withColumn("_own", own).groupBy("file_id", "page").agg(F.max_by("balance", place).alias("last"), moved.alias("moved"))
+    else:  # no step is smaller than a cent
+        pages = held.groupBy("file_id", "page").agg(F.max_by("balance", place).alias("last"), (F.max("balance") > F.min("balance")).alias("moved"))
+    above = Window.partitionBy("file_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.when(F.coalesce(F.max("moved").over(above), F.lit(False)), F.last("last").over(above))
+    return pages.select("file_id", "page", before.alias("before")).filter("before IS NOT NULL")
 
 
 def sign_told(text: str) -> int:
@@ -179,11 +205,28 @@ class Band:
         return out
 
 
+def earliest(signs: Sequence[int], told: Sequence[int]) -> list[int | None] | None:
+    """Each description with the first change that is left and does not contradict it; none if one finds no change."""
+    out: list[int | None] = [None] * len(signs)
+    j, m = 0, len(told)
+    for i, sign in enumerate(signs):
+        if j == m:
+            break
+        if told[j] == 0 or told[j] == sign:
+            out[i] = j
+            j += 1
+    return out if j == m else None
+
+
 def align(signs: Sequence[int], told: Sequence[int]) -> list[int | None]:
     """For each change the number of its description, or none.
 
-    An alignment that leaves the band costs more gaps than its width; where the best one within costs less,
-    all best ones are within.  Otherwise the band is made wide enough for the cost that was found."""
+    Where descriptions are only lost, each one left finds a change that does not contradict it: then no alignment costs
+    less than the one that pairs each as early as it can, and that is the one told for.  Else, an alignment that
+    leaves the band costs more gaps than its width; where the best one within costs less, all best ones are within.
+    Otherwise the band is made wide enough for the cost that was found."""
+    if (early := earliest(signs, told)) is not None:
+        return early
     n, m, slack = len(signs), len(told), SLACK
     while True:
         band = Band(signs, told, slack)
@@ -192,38 +235,61 @@ def align(signs: Sequence[int], told: Sequence[int]) -> list[int | None]:
         slack = min(max(n, m), band.least // (2 * GAP_COST) + 1)
 
 
-def aligned(changes: DataFrame, said: DataFrame) -> DataFrame:
-    """(file_id, page, k, particulars) of the changes, by alignment within each page."""
-    left = changes.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(F.struct("k", F.signum("change").cast("int").alias("sign")))).alias("signs"))
-    right = said.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(F.struct("k", "particulars"))).alias("said"))
-    both = left.join(right, ["file_id", "page"])
-
-    @F.pandas_udf(MATCHED)
-    def matched(signs: pd.Series, said: pd.Series) -> pd.Series:
-        out = []
-        for s, d in zip(signs, said):
-            words = [x["particulars"] for x in d]
-            found = align([x["sign"] for x in s], [sign_told(w) for w in words])
-            out.append([{"k": x["k"], "particulars": words[j]} for x, j in zip(s, found) if j is not None])
-        return pd.Series(out)
-
-    return both.select("file_id", "page", F.explode(matched("signs", "said")).alias("x")).select("file_id", "page", "x.k", "x.particulars")
-
-
-def transactions(lines: DataFrame, by: str = "aligned", most: float = 1e7, trail: tuple[float, float] | None = None) -> DataFrame:
+PAGE_ROWS = "file_id string, page int, k int, txn_date date, particulars string, change long, balance long"
+
+
+def page_rows(by: str, least: float) -> Callable[[pa.Table], pa.Table]:
+    """The transactions of one page (entries with before): its rows are columns of numbers and texts throughout, none is an object."""
+
+    def run(page: pa.Table) -> pa.Table:
+        page = page.combine_chunks().sort_by([("kind", "ascending"), ("page_no", "ascending"), ("at", "ascending")])
+        kind = page["kind"].to_numpy()
+        first, last = np.searchsorted(kind, [0, 2, 3], "left"), np.searchsorted(kind, [1, 2, 3], "right")
+        part = lambda i, name: page[name].slice(first[i], last[i] - first[i])
+        days, texts, opens, held = part(0, "day"), part(1, "text"), part(1, "opens"), part(2, "balance").to_numpy()
+        before = page["before"][0].as_py()
+        steps = np.diff(held, prepend=held[:1] if before is None else before) if len(held) else held
+        moved = np.flatnonzero((np.abs(steps) / 100 >= least) & ((np.arange(len(held)) > 0) | (before is not None)))
+        if not len(days):
+            moved = moved[:0]
+        change, n = steps[moved], len(moved)
+        begin = np.flatnonzero(opens.to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0, np.int64)
+        begin = begin if not len(texts) or (len(begin) and begin[0] == 0) else np.concatenate(([0], begin))
+        words = texts.combine_chunks() if len(texts) else pa.array([], pa.string())
+        if len(begin) < len(texts):
+            words = pc.binary_join(pa.ListArray.from_arrays(np.append(begin, len(texts)).astype(np.int32), words.cast(pa.string())), " ")
+        if by == "aligned" and n and len(words):
+            at = pa.array(align(np.sign(change).tolist(), [sign_told(w) for w in words.to_pylist()]), pa.int64())
+        else:
+            at = pa.array([k if k < len(words) else None for k in range(n)], pa.int64())
+        said = words.take(at).cast(pa.string())
+        said = pc.if_else(pc.equal(pc.fill_null(said, ""), ""), NO_WORDS, said)
+        dated = days.take(pa.array(np.minimum(np.arange(n), len(days) - 1), pa.int64())) if n else pa.array([], pa.date32())
+        keys = [page[name].slice(0, 1).take(pa.array(np.zeros(n, np.int64))) for name in ("file_id", "page")]
+        made = [*keys, pa.array(np.arange(1, n + 1), pa.int32()), dated, said, pa.array(change, pa.int64()), pa.array(held[moved], pa.int64())]
+        return pa.table(made, names=[x.split()[0] for x in PAGE_ROWS.split(", ")])
+
+    return run
+
+
+def transactions(
+    lines: DataFrame, by: str = "aligned", most: float = 1e7, trail: tuple[float, float] | None = None, least: float = 0.01,
+    starts: Sequence[str] = t.NARRATION_STARTS, skip: Sequence[str] = t.NARRATION_SKIPS,
+) -> DataFrame:
     """(file_id, page, k, txn_date, particulars, withdrawal, deposit, balance); the k-th change takes the
-    page's k-th date, the last one for all beyond; changes of a page without dates are left out."""
-    parts = written(sections(lines), "column-parts")
-    changes, dates, said = written(page_changes(parts, most, trail), "column-changes"), page_dates(parts), page_narrations(parts)
-    words = aligned(changes, said) if by == "aligned" else said
-    counts = dates.select("file_id", "page", "n_dates").distinct()
-    dated = changes.join(counts, ["file_id", "page"]).withColumn("_k", F.least("k", "n_dates"))
-    dated = dated.join(dates.select("file_id", "page", F.col("k").alias("_k"), "txn_date"), ["file_id", "page", "_k"])
-    full = dated.join(words, ["file_id", "page", "k"], "left")
-    zero = F.lit(0)
-    return full.select(
-        "file_id", "page", "k", "txn_date", F.coalesce(F.nullif("particulars", F.lit("")), F.lit(NO_WORDS)).alias("particulars"),
-        F.when(F.col("change") < zero, -F.col("change")).alias("withdrawal"), F.when(F.col("change") > zero, F.col("change")).alias("deposit"), "balance",
+    page's k-th date, the last one for all beyond; changes of a page without dates are left out.
+
+    The entries of a page meet in one shuffle."""
+    rows = entries(sections(lines), most, trail, starts, skip)
+    before = written(carried(rows, least), "column-before")
+    near = F.broadcast(before) if before.count() <= MOST_BROADCAST else before
+    same = [F.col("r.file_id").eqNullSafe(F.col("b.file_id")), F.col("r.page") == F.col("b.page")]
+    full = rows.alias("r").join(near.alias("b"), same, "left").select("r.*", "b.before")
+    found = full.groupBy("file_id", "page").applyInArrow(page_rows(by, least), PAGE_ROWS.replace("file_id string", f"file_id {lines.schema['file_id'].dataType.simpleString()}"))
+    money = lambda x: (F.col(x).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    return found.select(
+        "file_id", "page", "k", "txn_date", "particulars", F.when(F.col("change") < 0, -money("change")).cast("decimal(18,2)").alias("withdrawal"),
+        F.when(F.col("change") > 0, money("change")).alias("deposit"), money("balance").alias("balance"),
     )
 
 
