@@ -74,27 +74,23 @@ def column_lines(t: DataFrame) -> DataFrame:
     file_id = F.concat(F.lit("account-"), F.col("account_id").cast("string")).alias("file_id")
     page = (F.year("txn_date") * 12 + F.month("txn_date")).cast("int").alias("page_no")
     n = F.col("seq").cast("int") * 4
-    line = lambda at, text, rows: rows.select(file_id, page, at.cast("int").alias("line_no"), text.alias("text"))
     into = F.col("credit") > 0
     after = F.lead(into).over(Window.partitionBy("account_id", "month_key").orderBy("seq"))
-    kept = t.withColumn("_after", after).filter(~((F.col("seq") % 3 == 0) & (F.col("_after").isNull() | (into != F.col("_after")))))
+    kept = ~((F.col("seq") % 3 == 0) & (F.col("_after").isNull() | (into != F.col("_after"))))
     words = F.concat_ws(" ", F.when(into, "BY TRF").otherwise("TO TRF"), F.col("seq").cast("string"), F.when(F.col("seq") % 5 != 0, "END"))
-    pages = t.groupBy("account_id", F.trunc("txn_date", "month").alias("txn_date")).agg(F.lit(1).alias("one"))
     before = F.col("balance") - F.col("credit") + F.col("debit")
-    parts = [
-        line(F.lit(0), F.lit("TRANS DATE"), pages),
-        line(n + 1, F.date_format("txn_date", "dd/MM/yyyy"), t),
-        line(F.lit(BLOCK), F.lit("DESCRIPTION"), pages),
-        line(n + BLOCK + 1, words, kept),
-        line(n + BLOCK + 2, F.lit("END"), kept.filter("seq % 5 = 0")),
-        line(F.lit(2 * BLOCK), F.lit("BALANCE"), pages),
-        line(F.lit(2 * BLOCK + 1), before.cast("decimal(18,2)").cast("string"), t.filter("seq = 1")),
-        line(n + 2 * BLOCK + 1, F.col("balance").cast("string"), t),
+    line = lambda at, text: F.struct(at.cast("int").alias("line_no"), text.alias("text"))
+    own = [
+        line(n + 1, F.date_format("txn_date", "dd/MM/yyyy")),
+        F.when(kept, line(n + BLOCK + 1, words)),
+        F.when(kept & (F.col("seq") % 5 == 0), line(n + BLOCK + 2, F.lit("END"))),
+        F.when(F.col("seq") == 1, line(F.lit(2 * BLOCK + 1), before.cast("decimal(18,2)").cast("string"))),
+        line(n + 2 * BLOCK + 1, F.col("balance").cast("string")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    heads = [line(F.lit(k * BLOCK), F.lit(x)) for k, x in enumerate(("TRANS DATE", "DESCRIPTION", "BALANCE"))]
+    of = lambda rows, each: rows.select(file_id, page, F.explode(F.array(*each)).alias("x")).filter("x IS NOT NULL").select("file_id", "page_no", "x.line_no", "x.text")
+    pages = t.groupBy("account_id", F.trunc("txn_date", "month").alias("txn_date")).agg(F.lit(1).alias("one"))
+    return of(t.withColumn("_after", after), own).unionByName(of(pages, heads))
 
 
 def shown(found: DataFrame) -> DataFrame:
