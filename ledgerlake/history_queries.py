@@ -70,14 +70,12 @@ def positioned_lines(t: DataFrame) -> DataFrame:
     alone = (F.col("seq") % 9 == 0) & (F.col("seq") % 8 != 0)
     start = F.array(item(30, F.date_format("txn_date", "dd-MM-yyyy")), item(160, F.lit("NO")), item(200, F.col("seq").cast("string")))
     items = F.concat(start, F.when(alone, F.array(held)).when(F.col("seq") % 8 == 0, F.array(money)).otherwise(F.array(money, held)))
-    line = lambda n, its, rows: rows.select(file_id(), F.lit(1).alias("page_no"), n.cast("int").alias("line_no"), F.array_join(F.transform(its, lambda i: i["text"]), " ").alias("text"), its.alias("items"))
+    line = lambda n, its: F.struct(n.cast("int").alias("line_no"), its.alias("items"))
     heads = F.array(item(30, F.lit("TRAN DATE")), item(431, F.lit("WITHDRAWAL(DR)")), item(521, F.lit("DEPOSIT(CR)")), item(601, F.lit("BALANCE(INR)")))
-    return put_together(
-        line(F.lit(0), heads, t.select("account_id").distinct()),
-        line(at, items, t),
-        line(at + 1, F.array(money), t.filter(alone)),
-        line(at + 2, F.array(item(160, F.lit("AND MORE"))), t.filter("seq % 7 = 0")),
-    )
+    own = [line(at, items), F.when(alone, line(at + 1, F.array(money))), F.when(F.col("seq") % 7 == 0, line(at + 2, F.array(item(160, F.lit("AND MORE")))))]
+    of = lambda rows, each: rows.select(file_id(), F.explode(F.array(*each)).alias("l")).filter("l IS NOT NULL").select("file_id", "l.line_no", "l.items")
+    lines = put_together(of(t.select("account_id").distinct(), [line(F.lit(0), heads)]), of(t, own))
+    return lines.select("file_id", F.lit(1).alias("page_no"), "line_no", F.array_join(F.transform("items", lambda i: i["text"]), " ").alias("text"), "items")
 
 
 over_txns(

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions import tables as t
 from ..sources.scratch import written
-from .prefix import running
+from .prefix import once, running
 
 BUCKET_LINES = 1 << 14
 MOST_BROADCAST = 200_000  # rows of a table of parts or pages that goes to all tasks
@@ -105,14 +105,12 @@ def entries(parts: DataFrame, most: float, trail: tuple[float, float] | None, st
     at the first one within these bounds that is no whole number, if that is not the first number at all."""
     column, text = F.col("column"), F.col("text")
     kind = F.when(column == "trans_date", 0).when(column == "reff", 1).when(column == "description", 2).when(column == "balance", 3)
-    read = F.struct(
-        F.when(F.col("kind") == 2, text).alias("text"), F.when(F.col("kind") == 2, text.rlike(f"(?i)^({'|'.join(starts)})")).alias("opens"),
-        F.when(F.col("kind") < 2, c.parsed_date(text)).alias("day"), F.when(F.col("kind") == 3, c.amount_of_text(text)).alias("balance"),
-    )
     rows = parts.withColumn("kind", kind).filter("kind IS NOT NULL")
-    rows = rows.select("file_id", "page", "page_no", "at", "kind", F.explode(F.array(read)).alias("x"))  # a filter on what was read does not read it again
-    rows = rows.select("file_id", "page", "page_no", "at", "kind", "x.*")
-    text = F.col("text")
+    rows = once(
+        rows.select("file_id", "page", "page_no", "at", "kind", text.alias("line")),
+        text=F.when(F.col("kind") == 2, F.col("line")), opens=F.when(F.col("kind") == 2, F.col("line").rlike(f"(?i)^({'|'.join(starts)})")),
+        day=F.when(F.col("kind") < 2, c.parsed_date(F.col("line"))), balance=F.when(F.col("kind") == 3, c.amount_of_text(F.col("line"))),
+    ).drop("line")
     said = (text != "") & ~text.rlike(f"(?i){'|'.join(skip)}")
     held = F.abs("balance") < most
     if trail is not None:

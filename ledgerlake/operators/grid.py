@@ -5,7 +5,8 @@ Positions of amounts are counted per file and whole unit of x, so what is sorted
 columns is one row per position that occurs, however long the file.  A column is a run of
 positions without a gap; it takes the name of the nearest header, or its place from the
 right (balance, deposit, withdrawal) where no header says so.  An amount looks at its file's
-few columns in an array; no rows are multiplied.
+few columns in an array; no rows are multiplied.  What a line says is made once, before lines are numbered, so
+that words with positions are never shuffled.
 
 Rows are listed newest first: a date with an amount opens a row; a line that holds nothing but one
 amount gives the row above it that amount; other lines go on with its words.  The step to the
@@ -21,8 +22,8 @@ from ..functions import columns as c
 from ..functions import tables as t
 from ..sources.scratch import written
 from .balances import with_neighbour
-from .columnar import NO_WORDS, clean
-from .prefix import running
+from .columnar import MOST_BROADCAST, NO_WORDS, clean
+from .prefix import once, running
 
 GAP = 25
 LEAST = 1
@@ -52,8 +53,9 @@ def amount_columns(lines: DataFrame, gap: int = GAP, least: int = LEAST) -> Data
 def header_places(lines: DataFrame) -> DataFrame:
     """(file_id, name, x) of the first header of each amount column."""
     said = lines.select("file_id", "page_no", "line_no", F.explode("items").alias("i"))
-    name = F.coalesce(*[F.when(clean(F.col("i.text")).rlike(f"(?i){p}"), n) for n, p in t.AMOUNT_HEADERS.items()])
-    heads = said.withColumn("name", name).filter("name IS NOT NULL")
+    name = lambda text: F.coalesce(*[F.when(text.rlike(f"(?i){p}"), n) for n, p in t.AMOUNT_HEADERS.items()])
+    any_name = "|".join(f"(?:{p})" for p in t.AMOUNT_HEADERS.values())
+    heads = said.filter(clean(F.col("i.text")).rlike(f"(?i){any_name}")).withColumn("name", name(clean(F.col("i.text")))).filter("name IS NOT NULL")
     return heads.groupBy("file_id", "name").agg(F.min_by("i.x", F.struct("page_no", "line_no")).alias("x"))
 
 
@@ -84,48 +86,62 @@ def of_column(name: str) -> Column:
     return F.get(F.filter("columns", lambda k: k["name"] == name), F.lit(0))["x"]
 
 
+def marked_items(items: Column) -> Column:
+    """The words of a line, each with what it looks like."""
+    cleaned = F.transform(items, lambda i: F.struct(i["x"].alias("x"), clean(i["text"]).alias("text")))
+    return F.transform(cleaned, lambda i: F.struct(i["x"].alias("x"), i["text"].alias("text"), i["text"].rlike(AMOUNT).alias("money"), i["text"].rlike(DATE).alias("dated")))
+
+
 def placed_rows(lines: DataFrame, words_from: float = 150.0, words_to: float = 430.0, noise: str = t.POSITION_NOISE, gap: int = GAP, least: int = LEAST) -> DataFrame:
     """(file_id, row_no, txn_date, particulars, balance, amount, side): rows as printed, newest first."""
-    rows = lines.select("file_id", "page_no", "line_no", clean(F.col("text")).alias("text"), F.coalesce("items", F.array().cast("array<struct<x:double,text:string>>")).alias("items"))
-    rows = rows.filter((F.col("text") != "") & ~F.col("text").rlike(noise)).join(named_columns(lines, gap, least), "file_id", "left")
-    items = F.transform("items", lambda i: F.struct(i["x"].alias("x"), clean(i["text"]).alias("text")))
-    rows = rows.withColumn("items", items)
-    amounts = F.transform(F.filter("items", lambda i: i["text"].rlike(AMOUNT)), lambda i: F.struct(i["x"].alias("x"), F.abs(c.amount_of_text(i["text"])).alias("value"), i["text"].rlike("(?i)cr$").alias("cr"), i["text"].alias("text")))
-    dated = F.get(F.filter("items", lambda i: i["text"].rlike(DATE)), F.lit(0))["text"]
-    rows = rows.withColumn("amounts", amounts).withColumn("day", c.parsed_date(dated))
+    none = F.array().cast("array<struct<x:double,text:string>>")
+    columns = named_columns(lines, gap, least).withColumn("_w", of_column("withdrawal")).withColumn("_b", of_column("balance"))
+    columns = written(columns, "position-columns")
+    near = F.broadcast(columns) if columns.count() <= MOST_BROADCAST else columns
+    rows = lines.select("file_id", "page_no", "line_no", clean(F.col("text")).alias("text"), F.coalesce("items", none).alias("items"))
+    rows = rows.filter((F.col("text") != "") & ~F.col("text").rlike(noise)).join(near, "file_id", "left")
+    rows = once(rows.withColumnRenamed("items", "_items"), items=marked_items(F.col("_items"))).drop("_items")
+    amounts = F.transform(F.filter("items", lambda i: i["money"]), lambda i: F.struct(i["x"].alias("x"), F.abs(c.amount_of_text(i["text"])).alias("value"), i["text"].rlike("(?i)cr$").alias("cr"), i["text"].alias("text")))
+    rows = once(rows, amounts=amounts, day=c.parsed_date(F.get(F.filter("items", lambda i: i["dated"]), F.lit(0))["text"]))
     alone = (F.size("amounts") == 1) & (F.col("text") == F.get("amounts", F.lit(0))["text"])
     kind = F.when(alone, "orphan").when(F.col("day").isNull(), F.when(~F.col("text").rlike(AMOUNT), "words")).when(F.size("amounts") > 0, "row")
-    rows = rows.withColumn("kind", kind).filter("kind IS NOT NULL")
-    rows = written(rows, "position-rows")
-    bucket = F.struct("page_no", F.floor(F.col("line_no") / BUCKET).alias("part"))
-    rows = running(rows, ["file_id"], bucket, ["page_no", "line_no"], "n", {"row_no": F.when(F.col("kind") == "row", 1).otherwise(0)})
-    rows = rows.withColumn("row_no", F.col("row_no").cast("long")).filter("row_no > 0")
-    width = F.coalesce(of_column("withdrawal") - 10, F.lit(words_to))
-    own = F.array_sort(F.filter("items", lambda i: ~i["text"].rlike(AMOUNT) & ~i["text"].rlike(DATE) & i["x"].between(F.lit(words_from), width)))
+    rows = once(rows, kind=kind).filter("kind IS NOT NULL")
+    width = F.coalesce(F.col("_w") - 10, F.lit(words_to))
+    own = F.array_sort(F.filter("items", lambda i: ~i["money"] & ~i["dated"] & i["x"].between(F.lit(words_from), width)))
     own_words = F.array_join(F.transform(own, lambda i: i["text"]), " ")
     said = F.when(F.col("kind") == "row", own_words).when(F.col("kind") == "words", F.col("text"))
-    by_balance = F.array_min(F.transform("amounts", lambda a, i: F.struct(F.coalesce(F.abs(a["x"] - of_column("balance")), F.lit(0.0)).alias("d"), i.alias("i"))))["i"]
+    by_balance = F.array_min(F.transform("amounts", lambda a, i: F.struct(F.coalesce(F.abs(a["x"] - F.col("_b")), F.lit(0.0)).alias("d"), i.alias("i"))))["i"]
     last_cr = F.array_max(F.transform("amounts", lambda a, i: F.when(a["cr"], i)))
-    held = F.coalesce(last_cr, by_balance)
-    one = F.size("amounts") == 1
-    first = F.get("amounts", F.lit(0))
-    at_balance = first["cr"] | (nearest(first["x"]) == "balance")
-    rows = rows.withColumn("_held", held).withColumn("_other", F.get(F.filter("amounts", lambda a, i: i != F.col("_held")), F.lit(0)))
+    one, first = F.size("amounts") == 1, F.get("amounts", F.lit(0))
+    rows = once(rows, said=said, _held=F.when(~one, F.coalesce(last_cr, by_balance)))
+    # the amount that may be no balance: the only one, or beside the balance the first other one
+    other = F.when(one, first).otherwise(F.get(F.filter("amounts", lambda a, i: i != F.col("_held")), F.lit(0)))
+    rows = once(once(rows, _other=other), _name=nearest(F.col("_other.x")))
+    at_balance = first["cr"] | (F.col("_name") == "balance")
     balance = F.when(one, F.when(at_balance, first["value"])).otherwise(F.get("amounts", F.col("_held"))["value"])
-    moved = F.when(one, F.when(~at_balance, F.struct(first["value"].alias("value"), nearest(first["x"]).alias("name")))).otherwise(F.struct(F.col("_other")["value"].alias("value"), nearest(F.col("_other")["x"]).alias("name")))
-    is_row = F.col("kind") == "row"
-    orphan = F.when(F.col("kind") == "orphan", F.struct(first["value"].alias("value"), nearest(first["x"]).alias("name")))
-    put = rows.groupBy("file_id", "row_no").agg(
-        F.min(F.when(is_row, F.col("day"))).alias("txn_date"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.length(said) > 0, F.struct(F.col("n"), said.alias("s"))))), lambda w: w["s"]), " ").alias("said"),
-        F.min(F.when(is_row, balance)).alias("balance"),
-        F.coalesce(F.max_by(orphan, F.when(orphan.isNotNull(), F.col("n"))), F.min(F.when(is_row, moved))).alias("moved"),
-    )
-    cut = F.col("said")
+    moved = F.struct(F.col("_other.value").alias("value"), F.col("_name").alias("name"))
+    is_row, is_orphan = F.col("kind") == "row", F.col("kind") == "orphan"
+    rows = rows.select(
+        "file_id", "page_no", "line_no", "kind", F.when(is_row, F.col("day")).alias("day"), F.when(F.length("said") > 0, F.col("said")).alias("said"),
+        F.when(is_row, balance).alias("balance"), F.when(is_orphan | (is_row & ~(one & at_balance)), moved).alias("moved"),
+    )
+    rows = written(rows, "position-rows")
+    bucket = F.struct("page_no", F.floor(F.col("line_no") / BUCKET).alias("part"))
+    rows = running(rows, ["file_id"], bucket, ["page_no", "line_no"], "n", {"row_no": F.when(is_row, 1).otherwise(0)})
+    rows = written(rows.withColumn("row_no", F.col("row_no").cast("long")).filter("row_no > 0").drop("page_no", "line_no"), "position-numbered")
+    below = rows.filter(~is_row & (is_orphan | F.col("said").isNotNull())).groupBy("file_id", "row_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("n", "said")))).alias("more"),
+        F.max_by("moved", F.when(is_orphan, F.col("n"))).alias("late"),
+    )
+    put = rows.filter(is_row).select("file_id", "row_no", "day", "said", "balance", "moved").alias("r")
+    put = put.join(below.alias("m"), F.col("r.file_id").eqNullSafe(F.col("m.file_id")) & (F.col("r.row_no") == F.col("m.row_no")), "left")
+    full = F.concat_ws(" ", "said", F.transform("more", lambda w: w["said"]))
+    put = once(put.select("r.file_id", "r.row_no", "day", "balance", "said", "more", F.coalesce("late", "moved").alias("moved")), cut=full)
+    cut = F.col("cut")
     for pattern in t.POSITION_TAILS:
         cut = F.regexp_replace(cut, pattern, "")
     words = F.coalesce(F.nullif(F.trim(cut), F.lit("")), F.lit(NO_WORDS))
-    return put.select("file_id", "row_no", "txn_date", words.alias("particulars"), "balance", F.col("moved.value").alias("amount"), F.col("moved.name").alias("side"))
+    return put.select("file_id", "row_no", F.col("day").alias("txn_date"), words.alias("particulars"), "balance", F.col("moved.value").alias("amount"), F.col("moved.name").alias("side"))
 
 
 def newest_first(lines: DataFrame, step: float = 0.02, **places) -> DataFrame:

@@ -44,3 +44,16 @@ def test_columns_without_headers(spark):
     found = grid.amount_columns(df, least=3).orderBy("x").collect()
     assert [(r["column_no"], round(r["x"]), r["n"]) for r in found] == [(1, 302, 20), (2, 397, 20), (3, 500, 20)]
     assert [c["name"] for c in grid.named_columns(df, least=3).first()["columns"]] == ["withdrawal", "deposit", "balance"]
+
+
+def test_lines_are_numbered_without_their_words(spark, monkeypatch):
+    seen = {}
+    real = grid.written
+    monkeypatch.setattr(grid, "written", lambda df, name: (seen.__setitem__(name, df.schema), real(df, name))[1])
+    rows = [line(0, (431, "WITHDRAWAL(DR)"), (521, "DEPOSIT(CR)"), (601, "BALANCE(INR)"))]
+    rows += [line(3 * k + 1, (30, "05-01-2024"), (160, f"NO {k}"), (520, f"{k + 1}.00"), (601, f"{900 - k * k}.00")) for k in range(40)]
+    rows += [line(3 * k + 2, (160, "AND MORE")) for k in range(0, 40, 7)] + [line(3 * k + 3, (431, "7.00")) for k in range(0, 40, 9)]
+    got = grid.newest_first(spark.createDataFrame(rows, ITEMS).repartition(3)).orderBy("row_no").collect()
+    assert len(got) == 40 and all(r["particulars"] == f"NO {k}" + (" AND MORE" if k % 7 == 0 else "") for k, r in enumerate(got))
+    assert [float(r["deposit"] or 0) for r in got[:3]] == [1.0, 3.0, 5.0] and float(got[39]["deposit"]) == 40.0
+    assert "array" not in seen["position-rows"].simpleString()
