@@ -21,12 +21,14 @@ def page_no() -> Column:
 
 
 def word_boxes(t: DataFrame) -> DataFrame:
-    row = F.row_number().over(Window.partitionBy("account_id", "month_key").orderBy("seq"))
+    """Rows come to their page before they are cut into words."""
     words = F.split(F.concat_ws(" ", F.date_format("txn_date", "dd/MM/yyyy"), "narration", F.col("amount").cast("string")), " ")
-    each = t.withColumn("row", row).select("account_id", "txn_date", "seq", "row", F.posexplode(words).alias("k", "text"))
+    rows = t.select(file_id(), page_no(), "account_id", "seq", words.alias("words"))
+    row = F.row_number().over(Window.partitionBy("file_id", "page_no").orderBy("seq"))
+    each = rows.withColumn("row", row).select("file_id", "page_no", "account_id", "seq", "row", F.posexplode("words").alias("k", "text"))
     x = F.col("k") * 70.0
     y = F.col("row") * 20.0 + (x + 30) * F.tan(F.radians((F.col("account_id") % 7 - 3) * 0.5)) + (F.col("seq") + F.col("k")) % 3
-    return each.select(file_id(), page_no(), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 10).alias("y1"), "text")
+    return each.select("file_id", "page_no", x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 10).alias("y1"), "text")
 
 
 over_txns(

@@ -5,7 +5,7 @@ bins of half the usual height; at the right angle words of a line fall into one
 so the sum of squares is greatest; a page's boxes are one small array in a task, so nothing is
 multiplied by the angles.  Lines: after that turn, a sweep down the page opens a
 line where no box still reaches; heights are taken a quarter narrower at each end, so
-that lines which touch stay apart.  All windows hold one page.
+that lines which touch stay apart.  A page is a few arrays in one task.
 
 Orientation: of several readings of a page the one with most date-like words, then the highest
 confidence; a page is not read again once a reading shows enough dates.
@@ -18,7 +18,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -56,20 +58,50 @@ def page_skew(boxes: DataFrame, most: float = MOST_DEGREES, step: float = STEP_D
     return seen.groupBy(*PAGE).applyInPandas(run, f"{kinds}, degrees double")
 
 
-def lines_of_boxes(boxes: DataFrame, most: float = MOST_DEGREES) -> DataFrame:
-    """(file_id, page_no, line_no, y, text, items) of boxes (file_id, page_no, x0, y0, x1, y1, text)."""
+def page_lines(most: float, step: float) -> Callable[[pa.Table], pa.Table]:
+    """The lines of one page: its boxes are arrays of numbers and one of texts.  Nulls come first and numbers that are none
+    last, as in a sort of the table."""
+    n_angles = round(most / step)
+
+    def run(page: pa.Table) -> pa.Table:
+        page = page.combine_chunks()
+        x0, y0, x1, y1 = (page[k].to_numpy() for k in ("x0", "y0", "x1", "y1"))
+        there = [pc.is_valid(page[k]).to_numpy() for k in ("x0", "y0", "x1", "y1")]
+        known, x_known = np.logical_and.reduce(there), there[0]
+        text = page["text"].combine_chunks()
+        rank = pc.rank(text, tiebreaker="dense").to_numpy()
+        degrees = steepest((y0 + y1) / 2, (x0 + x1) / 2, y1 - y0, n_angles, step)
+        shift, high = (x0 + x1) / 2 * math.tan(math.radians(degrees)), (y1 - y0) * SHRINK
+        top, bottom = y0 - shift + high, y1 - shift - high
+        down = np.lexsort((rank, x0, x_known, top, known))
+        low = np.maximum.accumulate(np.where(known[down], bottom[down], -np.inf))
+        reached = np.append(-np.inf, low[:-1])
+        some = np.append(0, np.cumsum(known[down])[:-1]) > 0
+        at = top[down]
+        opens = ~known[down] | ~some | (at > reached) | (np.isnan(at) & ~np.isnan(reached))
+        line = np.empty(len(down), np.int64)
+        line[down] = np.cumsum(opens)
+        across = np.lexsort((rank, x0, x_known, line))
+        first = np.flatnonzero(np.diff(line[across], prepend=0))
+        ends = pa.array(np.append(first, len(across)), pa.int32())
+        words = text.take(pa.array(across)).cast(pa.string())
+        items = pa.StructArray.from_arrays([page["x0"].combine_chunks().take(pa.array(across)), words], ["x", "text"])
+        opened = down[opens]
+        n = len(opened)
+        keys = [page[k].take(pa.array(np.zeros(n, np.int64))) for k in PAGE]
+        made = [pa.array(np.arange(1, n + 1), pa.int32()), pa.array(top[opened], pa.float64(), mask=~known[opened]), pc.binary_join(pa.ListArray.from_arrays(ends, words), " "), pa.ListArray.from_arrays(ends, items)]
+        return pa.table([*keys, *made], names=[*PAGE, "line_no", "y", "text", "items"])
+
+    return run
+
+
+def lines_of_boxes(boxes: DataFrame, most: float = MOST_DEGREES, step: float = STEP_DEGREES) -> DataFrame:
+    """(file_id, page_no, line_no, y, text, items) of boxes (file_id, page_no, x0, y0, x1, y1, text).
+
+    The boxes of a page come to one task once, for its skew and its lines."""
     words = boxes.select(*PAGE, *[F.col(k).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")], clean(F.col("text")).alias("text")).filter("text <> ''")
-    turned = words.join(page_skew(words, most), PAGE)
-    shift = (F.col("x0") + F.col("x1")) / 2 * F.tan(F.radians("degrees"))
-    high = (F.col("y1") - F.col("y0")) * SHRINK
-    turned = turned.withColumn("top", F.col("y0") - shift + high).withColumn("bottom", F.col("y1") - shift - high)
-    down = Window.partitionBy(*PAGE).orderBy("top", "x0", "text")
-    reached = F.max("bottom").over(down.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.coalesce(F.col("top") > reached, F.lit(True)), 1).otherwise(0)
-    placed = turned.withColumn("_o", opens).withColumn("line_no", F.sum("_o").over(down).cast("int"))
-    row = F.array_sort(F.collect_list(F.struct(F.col("x0").alias("x"), F.col("text").alias("text"))))
-    lines = placed.groupBy(*PAGE, "line_no").agg(F.min("top").alias("y"), row.alias("items"))
-    return lines.select(*PAGE, "line_no", "y", F.array_join(F.transform("items", lambda i: i["text"]), " ").alias("text"), "items")
+    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in PAGE)
+    return words.groupBy(*PAGE).applyInArrow(page_lines(most, step), f"{kinds}, line_no int, y double, text string, items array<struct<x:double,text:string>>")
 
 
 def reading_score(text: Column, confidence: Column) -> Column:
