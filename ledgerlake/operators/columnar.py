@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import tables as t
-from ..sources.scratch import written
+from ..sources.scratch import small, written
 from .prefix import once, running
 
 BUCKET_LINES = 1 << 14
-MOST_BROADCAST = 200_000  # rows of a table of parts or pages that goes to all tasks
 NO_WORDS = "TRANSACTION"
 WORDS_IN = re.compile(r"^BY\b|\b(CR|CREDIT|DEPOSIT|CHQ RETURN|INWARD RETURN)\b")
 WORDS_OUT = re.compile(r"^TO\b|\b(DR|DEBIT|WITHDRAWAL|CHARGES?|CHQ PAID)\b|^GST$")
@@ -84,8 +83,7 @@ def sections(lines: DataFrame) -> DataFrame:
 
     Headers are few: they are found first, and each line looks at those of its part of the page, so lines are not shuffled."""
     rows = lines.select("file_id", "page_no", "line_no", clean(F.col("text")).alias("text"), F.floor(F.col("line_no") / BUCKET_LINES).alias("part"))
-    heads = written(headed(rows.withColumn("head", header_of(F.col("text")))), "column-parts")
-    near = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads
+    near = small(headed(rows.withColumn("head", header_of(F.col("text")))), "column-parts")
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in ("file_id", "page_no", "part")]
     placed = rows.alias("r").join(near.alias("h"), same).select("r.file_id", "r.page_no", line_at().alias("at"), "r.text", "h.heads")
     under = F.slice(F.filter("heads", lambda h: h["at"] <= F.col("at")), -1, 1)
@@ -279,8 +277,7 @@ def transactions(
 
     The entries of a page meet in one shuffle."""
     rows = entries(sections(lines), most, trail, starts, skip)
-    before = written(carried(rows, least), "column-before")
-    near = F.broadcast(before) if before.count() <= MOST_BROADCAST else before
+    near = small(carried(rows, least), "column-before")
     same = [F.col("r.file_id").eqNullSafe(F.col("b.file_id")), F.col("r.page") == F.col("b.page")]
     full = rows.alias("r").join(near.alias("b"), same, "left").select("r.*", "b.before")
     found = full.groupBy("file_id", "page").applyInArrow(page_rows(by, least), PAGE_ROWS.replace("file_id string", f"file_id {lines.schema['file_id'].dataType.simpleString()}"))

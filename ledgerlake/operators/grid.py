@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import tables as t
-from ..sources.scratch import written
+from ..sources.scratch import small, written
 from .balances import with_neighbour
-from .columnar import MOST_BROADCAST, NO_WORDS, clean
+from .columnar import NO_WORDS, clean
 from .prefix import once, running
 
 GAP = 25
@@ -96,8 +96,7 @@ def placed_rows(lines: DataFrame, words_from: float = 150.0, words_to: float = 4
     """(file_id, row_no, txn_date, particulars, balance, amount, side): rows as printed, newest first."""
     none = F.array().cast("array<struct<x:double,text:string>>")
     columns = named_columns(lines, gap, least).withColumn("_w", of_column("withdrawal")).withColumn("_b", of_column("balance"))
-    columns = written(columns, "position-columns")
-    near = F.broadcast(columns) if columns.count() <= MOST_BROADCAST else columns
+    near = small(columns, "position-columns")
     rows = lines.select("file_id", "page_no", "line_no", clean(F.col("text")).alias("text"), F.coalesce("items", none).alias("items"))
     rows = rows.filter((F.col("text") != "") & ~F.col("text").rlike(noise)).join(near, "file_id", "left")
     rows = once(rows.withColumnRenamed("items", "_items"), items=marked_items(F.col("_items"))).drop("_items")
